@@ -160,7 +160,8 @@ NET_T = [
 
 def with_ctes(parts: list[tuple[str, str]], final: str) -> str:
     body = ",\n".join(f"{name} AS ({sql})" for name, sql in parts)
-    return f"WITH {body}\n{final}"
+    kw = "WITH RECURSIVE" if any("(" in name for name, _ in parts) else "WITH"
+    return f"{kw} {body}\n{final}"
 
 
 def perc_upgraded(new: str, old: str, iu: str, cap: str) -> str:
@@ -216,3 +217,17 @@ def edge_table(run: str = "result", edges: str = "tedges", n_goods: int = 5,
 def cap_of(table: str, iu: str = "Iu", new: str = "Ijk", old: str = "Ijk_orig") -> str:
     return (f"SELECT coalesce(max(CASE WHEN isfinite({iu}) THEN {iu} END), "
             f"greatest(max({new}), max({old}))) AS cap FROM {table}")
+
+
+LINE_PAT = r"^\s*LINESTRING\s*\(([^)]*)\)\s*$"
+
+
+def parse_line(g: str) -> str:
+    """C1 in DuckDB: list of {lon, lat} structs, or NULL."""
+    toks = (f"list_transform(string_split(regexp_extract({g}, '{LINE_PAT}', 1, 'i'), ','), "
+            f"lambda p: regexp_split_to_array(regexp_replace(p, '^\\s+|\\s+$', '', 'g'), '\\s+'))")
+    pts = (f"list_transform({toks}, lambda tk: CASE WHEN TRY_CAST(tk[1] AS DOUBLE) IS NOT NULL "
+           f"AND TRY_CAST(tk[2] AS DOUBLE) IS NOT NULL THEN {{'lon': TRY_CAST(tk[1] AS DOUBLE), "
+           f"'lat': TRY_CAST(tk[2] AS DOUBLE)}} END)")
+    return (f"(CASE WHEN regexp_matches({g}, '{LINE_PAT}', 'i') AND len({pts}) >= 2 "
+            f"AND list_count({pts}) = len({pts}) THEN {pts} END)")
