@@ -231,3 +231,8 @@ def parse_line(g: str) -> str:
            f"'lat': TRY_CAST(tk[2] AS DOUBLE)}} END)")
     return (f"(CASE WHEN regexp_matches({g}, '{LINE_PAT}', 'i') AND len({pts}) >= 2 "
             f"AND list_count({pts}) = len({pts}) THEN {pts} END)")
+
+
+def plain(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(CAST(CAST(CAST({x} AS DOUBLE) AS DECIMAL(24,10)) "
+            f"AS VARCHAR), '0+$', ''), '\\.$', '.0')")

@@ -8,7 +8,7 @@ from arcweave.functions.numeric import (ces_exponent, iceberg_cost, increase, no
                                         transform_value, transport_cost, utility,
                                         widen_domain)
 from arcweave.functions.text import parse_progress, progress_distance, progress_iteration
-from arcweave.functions.util import as_col, finite_or_null, fixed_point_text
+from arcweave.functions.util import as_col, finite_or_null, fixed_point_text, plain_number
 
 __all__ = [
     "as_col", "ces_exponent", "curved_line", "curved_midpoint", "finite_or_null",

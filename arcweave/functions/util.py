@@ -33,3 +33,10 @@ def fixed_point_text(scaled, scale: int) -> Column:
     frac = F.lpad((mag % F.lit(unit)).cast("string"), scale, "0")
     sign = F.when(scaled < 0, F.lit("-")).otherwise(F.lit(""))
     return F.concat(sign, whole.cast("string"), F.lit("."), frac)
+
+
+def plain_number(x) -> Column:
+    """Decimal text without exponent, up to 10 decimals: 9e-4 -> '0.0009', 100 -> '100.0'."""
+    x = as_col(x).cast("double")
+    txt = x.cast("decimal(24,10)").cast("string")
+    return F.regexp_replace(F.regexp_replace(txt, "0+$", ""), r"\.$", ".0")

@@ -15,7 +15,9 @@ from arcweave.sources.fixtures import (DELTA_TAU_FLOOR, NetworkTables, edge_geom
                                        node_lat, node_lon, read_table, supplier_count,
                                        trade_edges, trade_lines, trade_nodes)
 
-S = F.col("from") + F.col("to")
+
+def _s():
+    return F.col("from") + F.col("to")
 
 
 def _txt(c):
@@ -32,15 +34,15 @@ def range_variant(spark: SparkSession, sf_dir: str) -> NetworkTables:
          .withColumn("population", F.when(node % 23 == 0, F.lit(0.0))
                      .otherwise(F.col("population"))))
     e = trade_edges(spark, sf_dir).withColumn(
-        "delta_i", F.when(S % 29 == 0, -F.col("delta_i")).otherwise(F.col("delta_i")))
+        "delta_i", F.when(_s() % 29 == 0, -F.col("delta_i")).otherwise(F.col("delta_i")))
     return NetworkTables(n, e)
 
 
 def bounds_variant(spark: SparkSession, sf_dir: str) -> NetworkTables:
     """BOUNDS: ``Il = Ijk + 1`` and ``Iu = Ijk − 1`` on a modulus."""
     e = trade_edges(spark, sf_dir)
-    e = (e.withColumn("Il", F.when(S % 3 == 0, F.col("Ijk") + 1).otherwise(F.col("Il")))
-         .withColumn("Iu", F.when(S % 4 == 0, F.col("Ijk") - 1).otherwise(F.col("Iu"))))
+    e = (e.withColumn("Il", F.when(_s() % 3 == 0, F.col("Ijk") + 1).otherwise(F.col("Il")))
+         .withColumn("Iu", F.when(_s() % 4 == 0, F.col("Ijk") - 1).otherwise(F.col("Iu"))))
     return NetworkTables(trade_nodes(spark, sf_dir), e)
 
 
@@ -72,15 +74,15 @@ def types_variant(spark: SparkSession, sf_dir: str) -> NetworkTables:
     e = trade_edges(spark, sf_dir)
     raw_e = e.select(
         "edge_id",
-        F.when(S % 3 == 0, F.concat(_txt(F.col("from")), F.lit(".0"))).otherwise(
+        F.when(_s() % 3 == 0, F.concat(_txt(F.col("from")), F.lit(".0"))).otherwise(
             _txt(F.col("from"))).alias("from"),
-        F.when(S % 43 == 0, F.concat(_txt(F.col("to")), F.lit(".5"))).otherwise(
+        F.when(_s() % 43 == 0, F.concat(_txt(F.col("to")), F.lit(".5"))).otherwise(
             _txt(F.col("to"))).alias("to"),
         _txt(F.col("delta_i")).alias("delta_i"),
-        F.when(S % 37 == 0, F.lit("x")).otherwise(_txt(F.col("delta_tau"))).alias("delta_tau"),
-        F.when(S % 41 == 0, F.lit("")).otherwise(_txt(F.col("Ijk"))).alias("Ijk"),
+        F.when(_s() % 37 == 0, F.lit("x")).otherwise(_txt(F.col("delta_tau"))).alias("delta_tau"),
+        F.when(_s() % 41 == 0, F.lit("")).otherwise(_txt(F.col("Ijk"))).alias("Ijk"),
         _txt(F.col("Il")).alias("Il"),
-        F.when(S % 47 == 0, F.lit("x")).otherwise(_txt(F.col("Iu"))).alias("Iu"),
+        F.when(_s() % 47 == 0, F.lit("x")).otherwise(_txt(F.col("Iu"))).alias("Iu"),
         F.col("geometry"))
     return NetworkTables(raw_n, raw_e)
 
@@ -100,10 +102,10 @@ def nan_variant(spark: SparkSession, sf_dir: str) -> NetworkTables:
     e = trade_edges(spark, sf_dir)
     raw_e = e.select(
         "edge_id", _txt(F.col("from")).alias("from"), _txt(F.col("to")).alias("to"),
-        F.when(S % 43 == 0, F.lit("NaN")).otherwise(_txt(F.col("delta_i"))).alias("delta_i"),
+        F.when(_s() % 43 == 0, F.lit("NaN")).otherwise(_txt(F.col("delta_i"))).alias("delta_i"),
         _txt(F.col("delta_tau")).alias("delta_tau"), _txt(F.col("Ijk")).alias("Ijk"),
         _txt(F.col("Il")).alias("Il"),
-        F.when(S % 19 == 0, F.lit("Inf")).otherwise(_txt(F.col("Iu"))).alias("Iu"))
+        F.when(_s() % 19 == 0, F.lit("Inf")).otherwise(_txt(F.col("Iu"))).alias("Iu"))
     return NetworkTables(raw_n, raw_e)
 
 
