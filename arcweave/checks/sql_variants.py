@@ -215,3 +215,28 @@ RUNLOG = [
 ]
 
 BASE = NET_T
+
+
+RAW = [
+    ("raw_nodes", """SELECT node AS row_order, lon, lat,
+        CASE WHEN node % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE population * 1000 END AS population,
+        productivity * 1e9 AS gdp,
+        CASE WHEN node % 7 = 0 THEN CAST(node * 10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END
+          AS outflows, product, name AS city_country FROM tnodes"""),
+    ("raw_edges", f"""SELECT edge_id, "from", "to", {_km} * 1000 AS distance,
+        CASE WHEN {S} % 53 = 0 THEN CAST(0 AS DOUBLE) ELSE {_km} * 1000 / 1000 / Ijk * 60 END
+          AS duration, delta_i * 1e5 AS ug_cost_km FROM tedges"""),
+    ("raw_geometry", f'SELECT "from", "to", geometry FROM tedges WHERE {S} % 17 <> 0'),
+]
+
+SCENARIOS = [
+    ("scen", """SELECT CAST(r_regionkey AS BIGINT) + 1 AS scenario_id,
+        (r_regionkey + 3) / 10 AS alpha, CAST(1 AS DOUBLE) AS beta, (r_regionkey + 8) / 10 AS gamma,
+        CAST(r_regionkey % 3 AS DOUBLE) AS rho, CAST((r_regionkey + 1) * 1000 AS DOUBLE) AS K,
+        CAST(r_regionkey + 3 AS DOUBLE) AS tol, CAST(r_regionkey + 2 AS DOUBLE) AS min_iter,
+        (r_regionkey * 10 + 105) / 10 AS max_iter, CAST(r_regionkey + 3 AS DOUBLE) AS sigma,
+        (r_regionkey + 7) / 10 AS a, (r_regionkey + 1) / 2 AS nu,
+        r_regionkey = 3 AS labor_mobility, r_regionkey % 2 = 0 AS annealing, true AS duality,
+        r_regionkey % 2 = 1 AS allow_downgrade, r_regionkey < 2 AS productivity_floor,
+        CASE WHEN r_regionkey = 4 THEN 'cemac' END AS preset FROM region"""),
+]

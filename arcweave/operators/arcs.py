@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.functions.util import finite_or_null
+
 PAIR = ("pair_lo", "pair_hi")
 
 
@@ -68,8 +70,9 @@ def effective_bounds(edges: DataFrame, allow_downgrade: bool = False) -> DataFra
     """Model bounds. ``Il_eff = min(Il, Ijk)`` if given, else 0 or ``Ijk``;
     ``Iu_eff = max(Iu, Ijk)`` if given, else null (unbounded)."""
     ijk = F.col("Ijk")
-    il = F.col("Il") if "Il" in edges.columns else F.lit(None).cast("double")
-    iu = F.col("Iu") if "Iu" in edges.columns else F.lit(None).cast("double")
+    # Non-finite bounds (e.g. an 'Inf' upper bound) mean "unbounded" / "no value".
+    il = finite_or_null(F.col("Il")) if "Il" in edges.columns else F.lit(None).cast("double")
+    iu = finite_or_null(F.col("Iu")) if "Iu" in edges.columns else F.lit(None).cast("double")
     default_il = F.lit(0.0) if allow_downgrade else ijk
     return edges.withColumn("Il_eff", F.when(il.isNotNull(), F.least(il, ijk)).otherwise(
         default_il)).withColumn("Iu_eff", F.when(iu.isNotNull(), F.greatest(iu, ijk)))

@@ -354,22 +354,27 @@ def network_summary(nodes: DataFrame | None, edges: DataFrame | None) -> DataFra
 # ------------------------------------------------------------------ B19, B20
 
 
-def check_solution(arcs: DataFrame, K: float, rtol: float = 1e-3, atol: float = 1e-6,
+def check_solution(arcs: DataFrame, K, rtol: float = 1e-3, atol: float = 1e-6,
                    infra_col: str = "ijk") -> DataFrame:
-    """Budget exhausted (``Σ δi·I ≈ 2K``), bounds respected, per arc table.
+    """Budget exhausted (``Σ δi·I ≈ 2K``) and bounds respected, on an arc table.
 
-    ``arcs`` carries ``delta_i, Il_eff, Iu_eff`` and the solved infrastructure.
-    Returns one row of counters and flags.
+    ``arcs`` carries ``delta_i, Il, Iu`` (effective bounds, null = unbounded) and
+    the solved infrastructure; ``K`` is a number or a one-row frame with ``K``.
+    Returns one row: spent, budget, budget_ok, n_below, n_above.
     """
     i = F.col(infra_col)
-    return arcs.agg(
+    stats = arcs.agg(
         F.sum(F.col("delta_i") * i).alias("spent"),
-        F.count_if(i < F.col("Il_eff") - atol).alias("n_below"),
-        F.count_if(F.col("Iu_eff").isNotNull() & (i > F.col("Iu_eff") + atol)).alias("n_above"),
-    ).select("spent", F.lit(2.0 * K).alias("budget"),
-             (F.abs(F.col("spent") - F.lit(2.0 * K)) <= F.lit(rtol) * F.lit(2.0 * K)).alias(
-                 "budget_ok"),
-             "n_below", "n_above")
+        F.count_if(i < F.col("Il") - atol).alias("n_below"),
+        F.count_if(F.col("Iu").isNotNull() & (i > F.col("Iu") + atol)).alias("n_above"))
+    if isinstance(K, DataFrame):
+        stats = stats.crossJoin(F.broadcast(K.select("K")))  # one row
+    else:
+        stats = stats.withColumn("K", F.lit(float(K)))
+    budget = F.col("K") * 2
+    return stats.select("spent", budget.alias("budget"),
+                        (F.abs(F.col("spent") - budget) <= F.lit(rtol) * budget).alias("budget_ok"),
+                        "n_below", "n_above")
 
 
 def check_params(scenarios: DataFrame) -> DataFrame:

@@ -232,3 +232,51 @@ def geometry_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 __all__ = ["bounded_variant", "bounds_variant", "domestic_network", "dup_edges",
            "edge_geometry_text", "geometry_edges", "nan_variant", "nation_flow",
            "nation_network", "orphan_variant", "range_variant", "run_log_lines", "types_variant"]
+
+
+# ---------------------------------------------------------------- raw ETL inputs and scenarios
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw node, edge and geometry tables in source units, built from NET-T.
+
+    Zero population every 5th node, port outflows every 7th, zero durations
+    (infinite speed) when ``(from + to) % 53 = 0``, and no geometry when
+    ``(from + to) % 17 = 0``.
+    """
+    n = trade_nodes(spark, sf_dir)
+    node = F.col("node")
+    raw_nodes = n.select(
+        node.alias("row_order"), "lon", "lat",
+        F.when(node % 5 == 0, F.lit(0.0)).otherwise(F.col("population") * 1000).alias(
+            "population"),
+        (F.col("productivity") * 1e9).alias("gdp"),
+        F.when(node % 7 == 0, (node * 10).cast("double")).otherwise(F.lit(0.0)).alias("outflows"),
+        "product", F.col("name").alias("city_country"))
+    e = trade_edges(spark, sf_dir)
+    f, t = F.col("from"), F.col("to")
+    metres = haversine_km(node_lon(f), node_lat(f), node_lon(t), node_lat(t)) * 1000
+    minutes = metres / 1000 / F.col("Ijk") * 60
+    raw_edges = e.select(
+        "edge_id", "from", "to", metres.alias("distance"),
+        F.when(_s() % 53 == 0, F.lit(0.0)).otherwise(minutes).alias("duration"),
+        (F.col("delta_i") * 1e5).alias("ug_cost_km"))
+    raw_geometry = e.filter(_s() % 17 != 0).select("from", "to", "geometry")
+    return raw_nodes, raw_edges, raw_geometry
+
+
+def scenario_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scenario per region, parameters by rule on the region key (exact decimals)."""
+    k = F.col("r_regionkey").cast("long")
+    return read_table(spark, sf_dir, "region").select(
+        (k + 1).alias("scenario_id"),
+        ((k + 3) / 10).alias("alpha"), F.lit(1.0).alias("beta"),
+        ((k + 8) / 10).alias("gamma"), (k % 3).cast("double").alias("rho"),
+        ((k + 1) * 1000).cast("double").alias("K"), (k + 3).cast("double").alias("tol"),
+        (k + 2).cast("double").alias("min_iter"), ((k * 10 + 105) / 10).alias("max_iter"),
+        (k + 3).cast("double").alias("sigma"), ((k + 7) / 10).alias("a"),
+        ((k + 1) / 2).alias("nu"),
+        (k == 3).alias("labor_mobility"), (k % 2 == 0).alias("annealing"),
+        F.lit(True).alias("duality"), (k % 2 == 1).alias("allow_downgrade"),
+        (k < 2).alias("productivity_floor"),
+        F.when(k == 4, F.lit("cemac")).alias("preset"))
