@@ -112,7 +112,7 @@ def e1_budget_stats_bounded(spark, sf_dir):
 def _result_arcs(spark, sf_dir):
     net = X.trade_network(spark, sf_dir)
     arcs = M.model_tables(net).arcs
-    infra = X.trade_arc_infra(net.edges).filter(F.col("run_id") == "result").drop("run_id")
+    infra = X.trade_allocations(spark, sf_dir).arc_infra.filter(F.col("run_id") == "result").drop("run_id")
     return arcs.join(infra, ["src", "dst"])
 
 

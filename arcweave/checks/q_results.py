@@ -89,7 +89,7 @@ def g2_to_pairs(spark, sf_dir):
                            f"pair_hi, sum(ijk * {S.W}) AS ijk FROM tinfra "
                            f"GROUP BY run_id, least(src, dst), greatest(src, dst)", ("ijk",))
 def d4_symmetrise(spark, sf_dir):
-    infra = X.trade_arc_infra(X.trade_edges(spark, sf_dir))
+    infra = X.trade_allocations(spark, sf_dir).arc_infra
     return symmetrise(infra, ["ijk"], keys=("run_id",))
 
 
