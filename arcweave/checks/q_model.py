@@ -292,8 +292,8 @@ def _f4_sql():
             lo, hi = f"coalesce(min({t}), 0.0)", f"coalesce(max({t}), 1.0)"
         doms.append(f"{lo} AS lo_{key}, CASE WHEN {hi} > {lo} THEN {hi} ELSE {lo} + 1e-9 END "
                     f"AS hi_{key}")
-        scaled.append(f"least(greatest(({t} - d.lo_{key}) / (d.hi_{key} - d.lo_{key}), 0.0), "
-                      f"1.0) AS {key}_scaled")
+        scaled.append(f"CASE WHEN ({t}) IS NOT NULL THEN least(greatest(({t} - d.lo_{key}) / "
+                      f"(d.hi_{key} - d.lo_{key}), 0.0), 1.0) END AS {key}_scaled")
     return (f'SELECT "from", "to", {", ".join(scaled)} FROM f1 CROSS JOIN '
             f"(SELECT {', '.join(doms)} FROM f1) d")
 

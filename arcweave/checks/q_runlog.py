@@ -156,3 +156,13 @@ def i4_stream_rebuild(spark, sf_dir):
                          available_now=True)
     q.awaitTermination()
     return R.read_version(spark, sink)
+
+
+@register("a9_grid_network")
+def a9_grid_network(spark, sf_dir):
+    """Grid sized by the supplied tables: one row per nation, a column per ten suppliers."""
+    from arcweave.sources.grid import grid_network
+    n_rows = X.read_table(spark, sf_dir, "nation").count()
+    n_cols = max(2, X.read_table(spark, sf_dir, "supplier").count() // 10)
+    net = grid_network(spark, n_rows, n_cols, seed=42)
+    return net.edges

@@ -96,10 +96,11 @@ def widen_domain(lo, hi) -> Column:
 
 
 def normalise(x, lo, hi) -> Column:
-    """Min-max scale to [0, 1] with clamping; ``hi`` must already be widened."""
+    """Min-max scale to [0, 1] with clamping; ``hi`` must already be widened.
+    A missing (out-of-domain) value stays null."""
     x, lo, hi = as_col(x), as_col(lo), as_col(hi)
     t = (x - lo) / (hi - lo)
-    return F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return F.when(t.isNotNull(), F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)))
 
 
 def utility(c, h, alpha, rho) -> Column:
