@@ -106,17 +106,20 @@ def productivity_long(nodes: DataFrame, goods: DataFrame | None = None,
 
     Without a floor only each node's own good is non-zero, so the table is a
     projection (zeros are implicit). With a floor every node gets every good:
-    a cross join with the goods table (N rows); the planner picks the join side
-    from measured sizes, no hint is forced.
+    the goods ``1..N`` are generated per node with ``explode(sequence(1, N))``
+    where N comes from a one-row aggregate.
     """
     own = F.col("product") if "product" in nodes.columns else F.lit(1)
     if floor is None:
         return nodes.select("node", own.cast("int").alias("good"),
                             F.col("productivity").alias("z"))
     if goods is None:
-        goods = nodes.agg(F.max(own).alias("n_goods")).select(
-            F.explode(F.sequence(F.lit(1), F.col("n_goods"))).alias("good"))
+        n_goods = F.broadcast(nodes.agg(F.max(own).alias("_n_goods")))  # one row
+        grid = (nodes.crossJoin(n_goods)
+                .withColumn("good", F.explode(F.sequence(F.lit(1), F.col("_n_goods")))))
+    else:
+        from arcweave.operators.util import attach_rows
+        grid = attach_rows(nodes, goods.select("good"))
     z = F.when(F.col("good") == own, F.col("productivity")).otherwise(F.lit(0.0))
-    return (nodes.crossJoin(goods)
-            .select("node", F.col("good").cast("int").alias("good"),
-                    F.greatest(z, F.lit(float(floor))).alias("z")))
+    return grid.select("node", F.col("good").cast("int").alias("good"),
+                       F.greatest(z, F.lit(float(floor))).alias("z"))

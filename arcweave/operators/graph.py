@@ -5,11 +5,13 @@ smallest label among itself and its neighbours, then jumps to its label's
 label. Labels only decrease, so the round is a fixpoint exactly when the label
 sum stops changing; that one number per round is all the driver sees.
 
-The arc table is hash-partitioned on ``src`` once and checkpointed; the label
-table is kept hash-partitioned on ``node`` with the same partition count, so
-the per-round join reuses both partitionings and only the small per-node
-results move. Each round is written with a reliable ``checkpoint()`` to the
-cluster's checkpoint folder, which cuts the lineage and survives lost executors.
+The arc table is checkpointed once and shuffled on ``src`` in every round's
+join on purpose: a hub node can own a large share of all arcs, and only a
+shuffle join lets AQE split that hot key over many tasks (the label side of a
+key is one row, so the split copies almost nothing). The minimum per node is a
+partial aggregate. Each round's labels are written with a reliable
+``checkpoint()`` to the cluster's checkpoint folder, which cuts the lineage and
+survives lost executors.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, partitions: int | N
 
     arcs = (to_arcs(edges.select(F.col(src).alias("from"), F.col(dst).alias("to")))
             .filter(F.col("src") != F.col("dst"))
-            .repartition(n, "src")
             .checkpoint())
     labels = (nodes.select(F.col("node").cast("long").alias("node"))
               .distinct()

@@ -2,7 +2,7 @@
 
 Parameters are rows of a scenario table, not driver-side constants, so one job
 evaluates any number of scenarios: the network is crossed with the scenario
-table (small and bounded by the number of scenarios the user lists) and
+table (broadcast after a row-count check, see ``broadcast_if_small``) and
 ``scenario_id`` joins every key.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.operators.arcs import effective_bounds, effective_housing, productivity_long, to_arcs
+from arcweave.operators.util import attach_rows, broadcast_if_small
 from arcweave.sources.fixtures import NetworkTables
 
 # Parameter defaults of the reference's form, and the named
@@ -55,7 +56,7 @@ def derive_params(scenarios: DataFrame, presets: DataFrame | None = None) -> Dat
     s = scenarios
     if presets is not None and "preset" in s.columns:
         p = presets.select("preset", *[F.col(f).alias(f"p_{f}") for f in NUMERIC + FLAGS])
-        s = s.join(F.broadcast(p), "preset", "left")  # presets: a fixed handful of rows
+        s = s.join(broadcast_if_small(p), "preset", "left")
     cols = [F.col("scenario_id")]
     for f in NUMERIC + FLAGS:
         own = F.col(f) if f in scenarios.columns else F.lit(None)
@@ -100,16 +101,15 @@ def model_tables(net: NetworkTables, params: DataFrame | None = None,
 def sweep_model_tables(net: NetworkTables, params: DataFrame) -> ModelTables:
     """D8 + F3: model tables for every scenario at once, keyed by ``scenario_id``.
 
-    The scenario table is broadcast (one row per listed scenario); downgrading,
+    The scenario table is broadcast after a size check; downgrading,
     the productivity floor and ``alpha`` are evaluated per row.
     """
-    sc = F.broadcast(params.select("scenario_id", "allow_downgrade", "productivity_floor",
-                                   "alpha"))
+    sc = params.select("scenario_id", "allow_downgrade", "productivity_floor", "alpha")
     edges = net.edges
     il = F.col("Il") if "Il" in edges.columns else F.lit(None).cast("double")
     iu = F.col("Iu") if "Iu" in edges.columns else F.lit(None).cast("double")
-    e = edges.select("from", "to", "delta_i", "delta_tau", "Ijk", il.alias("Il"),
-                     iu.alias("Iu")).crossJoin(sc)
+    e = attach_rows(edges.select("from", "to", "delta_i", "delta_tau", "Ijk", il.alias("Il"),
+                                 iu.alias("Iu")), sc)
     ijk = F.col("Ijk")
     e = e.select("scenario_id", "from", "to", "delta_i", "delta_tau", "Ijk",
                  F.when(F.col("Il").isNotNull(), F.least("Il", ijk))
@@ -120,16 +120,18 @@ def sweep_model_tables(net: NetworkTables, params: DataFrame) -> ModelTables:
                              F.col("Iu_eff").alias("Iu"))
     nodes = net.nodes
     own = F.col("product") if "product" in nodes.columns else F.lit(1)
-    goods = nodes.agg(F.max(own).alias("n_goods")).select(
-        F.explode(F.sequence(F.lit(1), F.col("n_goods"))).alias("good"))
+    n_goods = F.broadcast(nodes.agg(F.max(own).alias("_n_goods")))  # one row
+    grid = (nodes.crossJoin(n_goods)
+            .withColumn("good", F.explode(F.sequence(F.lit(1), F.col("_n_goods"))))
+            .drop("_n_goods"))
     z_own = F.when(F.col("good") == own, F.col("productivity")).otherwise(F.lit(0.0))
-    prod = (nodes.crossJoin(goods).crossJoin(sc)
+    prod = (attach_rows(grid, sc)
             .select("scenario_id", "node", F.col("good").cast("int").alias("good"),
                     F.when(F.col("productivity_floor"),
                            F.greatest(z_own, F.lit(PRODUCTIVITY_FLOOR))).otherwise(z_own)
                     .alias("z"))
             .filter(F.col("z") != 0))
-    lab = nodes.crossJoin(sc).select(
+    lab = attach_rows(nodes, sc).select(
         "scenario_id", "node", F.col("population").alias("Lj"),
         (F.col("population") * (F.lit(1.0) - F.col("alpha"))).alias("Hj"))
     return ModelTables(arcs, prod, lab)
@@ -140,4 +142,4 @@ def sweep(df: DataFrame, params: DataFrame, cols: list[str] | None = None) -> Da
     broadcast scenario table; callers add ``scenario_id`` to every key."""
     p = params.select("scenario_id", *(cols or [c for c in params.columns
                                                if c != "scenario_id"]))
-    return df.crossJoin(F.broadcast(p))
+    return attach_rows(df, p)

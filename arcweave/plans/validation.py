@@ -72,6 +72,8 @@ def validate_network(net: NetworkTables, raw: bool = False, root: int = 1,
               f"{other} table.")], V.FINDINGS_SCHEMA))
     out = V.union_findings(findings)
     if reachability and nodes is not None and edges is not None:
+        # Stored once: the error check and the returned table read the same rows.
+        out = out.checkpoint()
         n_err = out.filter(F.col("severity") == "error").limit(1).count()
         if n_err == 0:
             comps = connected_components(nodes, edges)

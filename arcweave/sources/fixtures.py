@@ -104,9 +104,9 @@ def build_trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.col("c_acctbal").alias("acctbal"),
                    F.col("c_nationkey").alias("nationkey"),
                    F.col("c_name").alias("name")))
-    # nation has a fixed 25 rows by the schema's definition.
-    nat = F.broadcast(nation.select(F.col("n_nationkey").alias("nationkey"),
-                                    (F.col("n_regionkey") + 1).cast("int").alias("product")))
+    # nation is tiny; the planner broadcasts it from its measured size.
+    nat = nation.select(F.col("n_nationkey").alias("nationkey"),
+                        (F.col("n_regionkey") + 1).cast("int").alias("product"))
     node = F.col("node").cast("long")
     return (sup.unionByName(cus).join(nat, "nationkey", "left")
             .select(node.alias("node"),
@@ -216,10 +216,9 @@ def trade_node_alloc(nodes: DataFrame, arc_flow: DataFrame,
         F.sum("q").alias("c"))
     ces = per_good.groupBy("run_id", "node").agg(
         F.pow(F.sum(F.pow("c", F.lit(e))), F.lit(1.0 / e)).alias("c_agg"))
-    runs = F.broadcast(nodes.sparkSession.createDataFrame(
-        [(RUN_BASELINE,), (RUN_RESULT,)], "run_id string"))  # two rows by definition
     h = F.lit(1.0 - p["alpha"])  # housing fallback per capita: H/L = 1 - alpha
-    grid = nodes.select("node", "population").crossJoin(runs)
+    grid = nodes.select("node", "population",
+                        F.explode(F.array(F.lit(RUN_BASELINE), F.lit(RUN_RESULT))).alias("run_id"))
     out = grid.join(ces, ["run_id", "node"], "left")
     c_pc = F.col("c_agg") / F.col("population")
     return out.select(
