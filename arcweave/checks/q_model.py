@@ -507,3 +507,72 @@ def d8_sweep_utility(spark, sf_dir):
     s = M.sweep(alloc.select("run_id", "node", "c_pc"), params, ["alpha", "rho"])
     return s.select("scenario_id", "run_id", "node",
                     utility("c_pc", F.lit(1.0) - F.col("alpha"), "alpha", "rho").alias("u"))
+
+
+# ---------------------------------------------------------------- single-function views
+
+@register("c10_perc_upgraded_bounded", f"""
+    SELECT f1."from", f1."to", f1.perc_upgraded FROM ({S.edge_table('result', edges='bnd',
+    prefix='f1c')[1]}) f1""", ("perc_upgraded",),
+          ctes=S.NET_T + [("bnd", "SELECT * REPLACE (CAST(100 AS DOUBLE) AS Iu) FROM tedges")]
+          + S.edge_table("result", edges="bnd", prefix="f1c")[0])
+def c10_perc_upgraded_bounded(spark, sf_dir):
+    t = _f1(spark, sf_dir, VA.bounded_variant(spark, sf_dir))
+    return t.select("from", "to", "perc_upgraded")
+
+
+@register("c11_c12_gain_increase", f"""
+    SELECT r.node, {S.pct_gain('r.uj', 'b.uj')} AS uj_gain_pct,
+           greatest(r.c_agg - b.c_agg, 0.0) AS c_agg_increase
+    FROM (SELECT * FROM talloc WHERE run_id = 'result') r
+    JOIN (SELECT * FROM talloc WHERE run_id = 'baseline') b ON b.node = r.node""",
+          ("uj_gain_pct", "c_agg_increase"))
+def c11_c12_gain_increase(spark, sf_dir):
+    from arcweave.functions import increase, pct_gain
+    from arcweave.plans.results import compare_runs
+    a = X.trade_allocations(spark, sf_dir).node_alloc
+    r = a.filter(F.col("run_id") == "result").drop("run_id")
+    b = a.filter(F.col("run_id") == "baseline").drop("run_id")
+    j = compare_runs(r, b)
+    return j.select("node", pct_gain("uj", "uj_orig").alias("uj_gain_pct"),
+                    increase("c_agg", "c_agg_orig").alias("c_agg_increase"))
+
+
+@register("d5_compare_runs", """
+    SELECT r.node, r.uj, b.uj AS uj_orig, r.PCj, b.PCj AS PCj_orig
+    FROM (SELECT * FROM talloc WHERE run_id = 'result') r
+    JOIN (SELECT * FROM talloc WHERE run_id = 'baseline') b ON b.node = r.node""",
+          ("uj", "uj_orig", "PCj", "PCj_orig"))
+def d5_compare_runs(spark, sf_dir):
+    from arcweave.plans.results import compare_runs
+    a = X.trade_allocations(spark, sf_dir).node_alloc
+    r = a.filter(F.col("run_id") == "result").select("node", "uj", "PCj")
+    b = a.filter(F.col("run_id") == "baseline").select("node", "uj", "PCj")
+    return compare_runs(r, b).select("node", "uj", "uj_orig", "PCj", "PCj_orig")
+
+
+@register("c13_feature_properties", f"""
+    SELECT node, {S.round_sig('productivity', 7)} AS productivity,
+           {S.round_sig('population', 7)} AS population, name, CAST(product AS VARCHAR) AS product
+    FROM tnodes""", ("productivity", "population"))
+def c13_feature_properties(spark, sf_dir):
+    from arcweave.plans.publish import feature_properties
+    n = X.trade_nodes(spark, sf_dir).select("node", "lon", "lat", "population", "productivity",
+                                            F.col("product").cast("string").alias("product"),
+                                            "name")
+    p = n.select("node", feature_properties(n).alias("p"))
+    return p.select("node", "p.productivity", "p.population", "p.name", "p.product")
+
+
+@register("c16_normalise", f"""
+    SELECT "from", "to",
+           CASE WHEN hi > lo THEN least(greatest((Qjk_total - lo) / (hi - lo), 0.0), 1.0)
+                ELSE least(greatest((Qjk_total - lo) / 1e-9, 0.0), 1.0) END AS q_norm
+    FROM f1 CROSS JOIN (SELECT min(Qjk_total) AS lo, max(Qjk_total) AS hi FROM f1) d""",
+          ("q_norm",), ctes=S.NET_T + F1C + [("f1", F1F)])
+def c16_normalise(spark, sf_dir):
+    from arcweave.functions import normalise, widen_domain
+    t = _f1(spark, sf_dir)
+    d = F.broadcast(t.agg(F.min("Qjk_total").alias("lo"), F.max("Qjk_total").alias("hi")))
+    return t.crossJoin(d).select(
+        "from", "to", normalise("Qjk_total", "lo", widen_domain("lo", "hi")).alias("q_norm"))
