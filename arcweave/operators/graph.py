@@ -35,9 +35,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, partitions: int | N
     arcs = (to_arcs(edges.select(F.col(src).alias("from"), F.col(dst).alias("to")))
             .filter(F.col("src") != F.col("dst"))
             .checkpoint())
+    # Round 0 needs no join: a node's first label is the smallest id among
+    # itself and its neighbours, a partial min over the arc table.
+    first = arcs.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("nb"))
     labels = (nodes.select(F.col("node").cast("long").alias("node"))
               .distinct()
-              .select("node", F.col("node").alias("label"))
+              .join(first, "node", "left")
+              .select("node", F.least("node", F.coalesce("nb", "node")).alias("label"))
               .repartition(n, "node")
               .checkpoint())
     prev = labels.agg(F.sum("label")).first()[0]
