@@ -481,16 +481,13 @@ def d8_sweep_model_arcs(spark, sf_dir):
 
 
 @register("d8_sweep_productivity", f"""
-    SELECT p.scenario_id, n.node, CAST(g.good AS INTEGER) AS good,
-           CASE WHEN p.productivity_floor THEN greatest(z, 0.001) ELSE z END AS z
-    FROM (SELECT n.node, g.good, CASE WHEN g.good = n.product THEN n.productivity ELSE 0.0 END
-                 AS z FROM tnodes n CROSS JOIN
+    SELECT p.scenario_id, n.node, CAST(n.good AS INTEGER) AS good,
+           CASE WHEN p.productivity_floor THEN greatest(n.z, 0.001) ELSE n.z END AS z
+    FROM (SELECT t.node, g.good, CASE WHEN g.good = t.product THEN t.productivity ELSE 0.0 END
+                 AS z FROM tnodes t CROSS JOIN
                  (SELECT unnest(range(1, (SELECT max(product) FROM tnodes) + 1)) AS good) g) n
     CROSS JOIN ({_c19_sql()}) p
-    CROSS JOIN (SELECT 1 AS good) g
-    WHERE (CASE WHEN p.productivity_floor THEN greatest(z, 0.001) ELSE z END) <> 0""".replace(
-    "CROSS JOIN (SELECT 1 AS good) g\n", "").replace("CAST(g.good AS INTEGER)",
-                                                     "CAST(n.good AS INTEGER)"),
+    WHERE (CASE WHEN p.productivity_floor THEN greatest(n.z, 0.001) ELSE n.z END) <> 0""",
           ("z",), ctes=S.NET_T + SV.SCENARIOS)
 def d8_sweep_productivity(spark, sf_dir):
     params = M.derive_params(VA.scenario_table(spark, sf_dir), M.presets_table(spark))

@@ -100,7 +100,7 @@ def i5_run_status(spark, sf_dir):
     return R.run_status(_log(spark, sf_dir))
 
 
-def _write_parts(spark, log, directory, parts: int = 3):
+def _write_parts(log, parts: int = 3):
     """Write the log as ``parts`` sequential drops into one folder (arrival order)."""
     bounds = log.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     tagged = log.crossJoin(F.broadcast(bounds)).withColumn(
@@ -125,7 +125,7 @@ def a10_read_run_log(spark, sf_dir):
 def i1_stream_progress(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     src, sink, ck = (scratch_dir(spark, n) for n in ("i1-src", "i1-sink", "i1-ck"))
-    for part in _write_parts(spark, _log(spark, sf_dir), src):
+    for part in _write_parts(_log(spark, sf_dir)):
         part.write.mode("append").json(src)
         stream = IO.read_run_log(spark, src, streaming=True)
         q = R.stream_progress(stream, ck, sink_path=sink, available_now=True)
@@ -136,7 +136,7 @@ def i1_stream_progress(spark, sf_dir):
 @register("i3_stream_tail", RETAIN_SQL, ctes=CT)
 def i3_stream_tail(spark, sf_dir):
     src, state, ck = (scratch_dir(spark, n) for n in ("i3-src", "i3-state", "i3-ck"))
-    for part in _write_parts(spark, _log(spark, sf_dir), src):
+    for part in _write_parts(_log(spark, sf_dir)):
         part.write.mode("append").json(src)
         stream = IO.read_run_log(spark, src, streaming=True)
         q = R.stream_tail(stream, state, ck, n=TAIL_N, available_now=True)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions import parse_linestring, straight_line
-from arcweave.operators.validate import FINDINGS_SCHEMA  # noqa: F401  (schema of D3 findings)
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
