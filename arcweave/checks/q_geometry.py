@@ -231,8 +231,8 @@ def a1_a3_csv_roundtrip(spark, sf_dir):
     net.edges.write.mode("overwrite").option("header", True).csv(f"{out}/edges.csv")
     loaded = IO.load_network(spark, out, "csv")
     typed, _ = type_network(loaded, raw=True)
-    return typed.nodes.select("node", "lon", "lat", "population", "productivity", "product",
-                              "name")
+    return typed.nodes.select("node", "lon", "lat", "population", "productivity",
+                              F.col("product").cast("int"), "name")
 
 
 @register("a2_csv_edges_roundtrip", 'SELECT edge_id, "from", "to", Ijk, Il, Iu, geometry '

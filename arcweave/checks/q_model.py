@@ -142,7 +142,7 @@ def e3_rescale_to_budget(spark, sf_dir):
 
 @register("b19_check_solution", f"""
     SELECT spent, K * 2 AS budget, abs(spent - K * 2) <= 0.001 * (K * 2) AS budget_ok,
-           n_below, n_above
+           CAST(n_below AS BIGINT) AS n_below, CAST(n_above AS BIGINT) AS n_above
     FROM (SELECT sum(delta_i * inew) AS spent,
                  count_if(inew < (CASE WHEN Il IS NOT NULL THEN least(Il, I0) ELSE I0 END)
                           - 1e-6) AS n_below,

@@ -236,7 +236,8 @@ def b17_validate_range(spark, sf_dir):
 
 
 @register("b17_findings_summary", f"""
-    SELECT count_if(severity = 'error') AS n_errors, count_if(severity = 'warning') AS n_warnings,
+    SELECT CAST(count_if(severity = 'error') AS BIGINT) AS n_errors,
+           CAST(count_if(severity = 'warning') AS BIGINT) AS n_warnings,
            count_if(severity = 'error') = 0 AS valid
     FROM (SELECT 'error' AS severity FROM vorphan_nodes WHERE false
           UNION ALL SELECT 'error' FROM (SELECT count(*) AS j, min(node) AS lo, max(node) AS hi
