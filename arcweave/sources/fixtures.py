@@ -149,11 +149,22 @@ def edge_geometry_text(f, t) -> "F.Column":
             .otherwise(line))
 
 
-def build_trade_edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def trade_line_facts(lines: DataFrame) -> DataFrame:
+    """Shipped quantity per (supplier, customer, returned, good, shipped before the
+    cutoff): the single aggregation of the line-level join that both the edges and
+    the flows are derived from (partial aggregation before the shuffle)."""
+    return lines.groupBy(
+        "supp_node", "cust_node",
+        (F.col("l_returnflag") == "R").alias("returned"),
+        (F.col("l_partkey") % N_GOODS_FROM_PARTS + 1).cast("int").alias("good"),
+        (F.col("l_shipdate") < F.lit(BASELINE_CUTOFF).cast("timestamp")).alias("early"),
+    ).agg(F.sum("l_quantity").alias("q"))
+
+
+def edges_from_facts(facts: DataFrame) -> DataFrame:
     """NET-T edges: one per (supplier, customer) pair with at least one line."""
-    lines = trade_lines(spark, sf_dir) if lines is None else lines
-    pairs = lines.groupBy(F.col("supp_node").alias("from"), F.col("cust_node").alias("to")).agg(
-        F.sum("l_quantity").alias("qty"))
+    pairs = facts.groupBy(F.col("supp_node").alias("from"), F.col("cust_node").alias("to")).agg(
+        F.sum("q").alias("qty"))
     f, t = F.col("from"), F.col("to")
     s = f + t
     ijk = (F.lit(IJK_BASE) + F.floor(F.col("qty")) % F.lit(IJK_MOD)).cast("double")
@@ -171,25 +182,32 @@ def build_trade_edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None
     )
 
 
-def build_trade_arc_flow(spark: SparkSession, sf_dir: str,
-                         lines: DataFrame | None = None) -> DataFrame:
+def flow_from_facts(facts: DataFrame) -> DataFrame:
     """Directed flows per run and good; returned lines travel customer -> supplier.
 
-    Each line feeds the result run and, if shipped before the cutoff, the baseline
-    run: one scan and one shuffle for both runs.
+    Every fact feeds the result run and, if shipped before the cutoff, the
+    baseline run: one pass and one shuffle for both runs.
     """
-    lines = trade_lines(spark, sf_dir) if lines is None else lines
-    returned = F.col("l_returnflag") == "R"
-    runs = F.when(F.col("l_shipdate") < F.lit(BASELINE_CUTOFF).cast("timestamp"),
-                  F.array(F.lit(RUN_BASELINE), F.lit(RUN_RESULT))).otherwise(
+    returned = F.col("returned")
+    runs = F.when(F.col("early"), F.array(F.lit(RUN_BASELINE), F.lit(RUN_RESULT))).otherwise(
         F.array(F.lit(RUN_RESULT)))
-    return (lines.select(
+    return (facts.select(
         F.explode(runs).alias("run_id"),
         F.when(returned, F.col("cust_node")).otherwise(F.col("supp_node")).alias("src"),
         F.when(returned, F.col("supp_node")).otherwise(F.col("cust_node")).alias("dst"),
-        (F.col("l_partkey") % N_GOODS_FROM_PARTS + 1).cast("int").alias("good"),
-        F.col("l_quantity"))
-        .groupBy("run_id", "src", "dst", "good").agg(F.sum("l_quantity").alias("q")))
+        "good", "q")
+        .groupBy("run_id", "src", "dst", "good").agg(F.sum("q").alias("q")))
+
+
+def build_trade_edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    lines = trade_lines(spark, sf_dir) if lines is None else lines
+    return edges_from_facts(trade_line_facts(lines))
+
+
+def build_trade_arc_flow(spark: SparkSession, sf_dir: str,
+                         lines: DataFrame | None = None) -> DataFrame:
+    lines = trade_lines(spark, sf_dir) if lines is None else lines
+    return flow_from_facts(trade_line_facts(lines))
 
 
 def trade_arc_infra(edges: DataFrame) -> DataFrame:
@@ -247,11 +265,14 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> str:
     if key in _STORE:
         return _STORE[key]
     base = scratch_dir(spark, "trade-network")
-    lines = trade_lines(spark, sf_dir)
+    # One pass over lineitem ⋈ orders: the aggregated facts are stored, then the
+    # edges and the flows are both derived from them.
+    trade_line_facts(trade_lines(spark, sf_dir)).write.mode("overwrite").parquet(
+        f"{base}/line_facts")
+    facts = spark.read.parquet(f"{base}/line_facts")
     build_trade_nodes(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/nodes")
-    build_trade_edges(spark, sf_dir, lines).write.mode("overwrite").parquet(f"{base}/edges")
-    build_trade_arc_flow(spark, sf_dir, lines).write.mode("overwrite").parquet(
-        f"{base}/arc_flow")
+    edges_from_facts(facts).write.mode("overwrite").parquet(f"{base}/edges")
+    flow_from_facts(facts).write.mode("overwrite").parquet(f"{base}/arc_flow")
     nodes = spark.read.parquet(f"{base}/nodes")
     edges = spark.read.parquet(f"{base}/edges")
     flow = spark.read.parquet(f"{base}/arc_flow")
