@@ -88,7 +88,7 @@ def _edges_select(src: str) -> str:
     f, t = "f", "t"
     km = hav(lon(f), lat(f), lon(t), lat(t))
     ijk = "CAST(20 + CAST(floor(qty) AS BIGINT) % 61 AS DOUBLE)"
-    return f"""SELECT f * 4294967296 + t AS edge_id, f AS "from", t AS "to",
+    return f"""SELECT row_number() OVER (ORDER BY f, t) AS edge_id, f AS "from", t AS "to",
       1 + ((f * 31 + t) % 97) / 10 AS delta_i,
       {iceberg(km, 0.005)} AS delta_tau,
       {ijk} AS Ijk,

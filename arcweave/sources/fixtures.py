@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import fixed_point_text, haversine_km, iceberg_cost, utility
 from arcweave.operators.arcs import to_arcs
+from arcweave.operators.windows import sequence_number
 from arcweave.session import scratch_dir
 
 # Fixed values of the fixture construction (shared with the SQL oracle).
@@ -162,15 +163,19 @@ def trade_line_facts(lines: DataFrame) -> DataFrame:
 
 
 def edges_from_facts(facts: DataFrame) -> DataFrame:
-    """NET-T edges: one per (supplier, customer) pair with at least one line."""
+    """NET-T edges: one per (supplier, customer) pair with at least one line.
+
+    ``edge_id`` is the pair's position in ``(from, to)`` order, numbered
+    distributedly (customer ids exceed 2^32 at the largest scales, so packing both
+    ids into one long would collide).
+    """
     pairs = facts.groupBy(F.col("supp_node").alias("from"), F.col("cust_node").alias("to")).agg(
         F.sum("q").alias("qty"))
     f, t = F.col("from"), F.col("to")
     s = f + t
     ijk = (F.lit(IJK_BASE) + F.floor(F.col("qty")) % F.lit(IJK_MOD)).cast("double")
     km = haversine_km(node_lon(f), node_lat(f), node_lon(t), node_lat(t))
-    return pairs.select(
-        (f * F.lit(1 << 32) + t).alias("edge_id"),
+    body = pairs.select(
         f.alias("from"), t.alias("to"),
         (F.lit(1.0) + ((f * F.lit(DELTA_I_MULT) + t) % F.lit(DELTA_I_MOD)) / F.lit(10)).alias(
             "delta_i"),
@@ -180,6 +185,8 @@ def edges_from_facts(facts: DataFrame) -> DataFrame:
         F.when(s % IU_NULL_MOD != 0, F.lit(IU_VALUE)).alias("Iu"),
         edge_geometry_text(f, t).alias("geometry"),
     )
+    numbered = sequence_number(body, ["from", "to"], "edge_id")
+    return numbered.select("edge_id", *body.columns)
 
 
 def flow_from_facts(facts: DataFrame) -> DataFrame:
