@@ -100,7 +100,7 @@ def grid_network(spark: SparkSession, n_rows: int, n_cols: int, seed: int = 42)
     ijk = _speed(uniform(seed, key, 11))
     off = F.lit(CURVE) * (uniform(seed, key, 13) - 0.5)
     edges = pairs.select(
-        (f * F.lit(1 << 32) + t).alias("edge_id"), "from", "to",
+        key.alias("edge_id"), "from", "to",  # 4·from + direction: unique, no id packing
         F.round(km * COST_PER_KM * (F.lit(0.8) + F.lit(0.4) * uniform(seed, key, 12)), 4).alias(
             "delta_i"),
         F.round(iceberg_cost(km, DELTA_TAU_FLOOR), 5).alias("delta_tau"),
