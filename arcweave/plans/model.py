@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.functions.util import finite_or_null
 from arcweave.operators.arcs import effective_bounds, effective_housing, productivity_long, to_arcs
 from arcweave.operators.util import attach_rows, broadcast_if_small
 from arcweave.sources.fixtures import NetworkTables
@@ -106,8 +107,9 @@ def sweep_model_tables(net: NetworkTables, params: DataFrame) -> ModelTables:
     """
     sc = params.select("scenario_id", "allow_downgrade", "productivity_floor", "alpha")
     edges = net.edges
-    il = F.col("Il") if "Il" in edges.columns else F.lit(None).cast("double")
-    iu = F.col("Iu") if "Iu" in edges.columns else F.lit(None).cast("double")
+    # as in ``effective_bounds``: a non-finite bound means unbounded / no value
+    il = finite_or_null(F.col("Il")) if "Il" in edges.columns else F.lit(None).cast("double")
+    iu = finite_or_null(F.col("Iu")) if "Iu" in edges.columns else F.lit(None).cast("double")
     e = attach_rows(edges.select("from", "to", "delta_i", "delta_tau", "Ijk", il.alias("Il"),
                                  iu.alias("Iu")), sc)
     ijk = F.col("Ijk")
