@@ -88,3 +88,24 @@ def test_stream_tail_equals_batch(spark):
     want = sorted(tuple(r) for r in W.retain_last(R.number_lines(log_df(spark)), 4).select(
         "run_id", "event_id", "line_no", "offset").collect())
     assert got == want
+
+
+def test_stream_progress_live_trigger(spark):
+    """The throttled trigger (250 ms) keeps the live table current while files arrive."""
+    base = tempfile.mkdtemp(prefix="arcweave-live-", dir="/tmp")
+    src = os.path.join(base, "src")
+    os.makedirs(src)
+    _write(src, LINES[:10], "part-0.json")
+    seen = []
+    q = R.stream_progress(IO.read_run_log(spark, src, streaming=True), os.path.join(base, "ck"),
+                          on_progress=lambda df, bid: seen.append(bid),
+                          sink_path=os.path.join(base, "sink"))
+    try:
+        q.processAllAvailable()
+        _write(src, LINES[10:], "part-1.json")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r["run_id"], r["iteration"])
+                 for r in R.read_latest(spark, os.path.join(base, "sink")).collect())
+    assert got == [(1, 12), (2, 12)] and len(seen) >= 2
