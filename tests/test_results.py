@@ -86,3 +86,14 @@ def test_attach_rows_is_bounded(spark):
     with pytest.raises(ValueError):
         attach_rows(df, spark.range(5).withColumnRenamed("id", "scenario_id"), max_rows=4)
     assert broadcast_if_small(params, max_rows=1) is params
+
+
+def test_edge_table_cap_without_any_bound(spark):
+    e = spark.createDataFrame([(1, 1, 2, 1.0, 0.1, 10.0, None, None),
+                               (2, 2, 3, 1.0, 0.1, 30.0, None, None)], EDGE_SCHEMA)
+    infra = spark.createDataFrame([("r", 1, 2, 20.0), ("r", 2, 1, 20.0), ("r", 2, 3, 30.0),
+                                   ("r", 3, 2, 30.0)], "run_id string, src long, dst long, ijk double")
+    t = {(r["from"], r["to"]): r["perc_upgraded"] for r in
+         edge_table(NetworkTables(None, e), infra, None, "r").collect()}
+    # cap = max(new, old) = 30: edge 1-2 went 10 -> 20 of a 20-wide headroom
+    assert t == {(1, 2): 50.0, (2, 3): 0.0}
