@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arcweave.llm import decontaminate, line_dedup, shard
+from arcweave.llm import bpe_tree, decontaminate, line_dedup, quality, shard
 from arcweave.llm.common import table
-from pyspark.sql import functions as F
 
 SHARDS = 16
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +21,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
+
+
+def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_tree.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
+                                   public_tokenizers.PATTERN)
+    return bpe_tree.digests(coded)
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_line_dedup, op8_rendezvous_shards)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_line_dedup, op5_quality_rules, op6_tree_bpe, op8_rendezvous_shards)}
 ORACLES = {"op3_decontaminate": decontaminate.oracle_sql, "op4_line_dedup": line_dedup.oracle_sql}
