@@ -6,13 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import bpe_tree, decontaminate, line_dedup, quality, shard
+from arcweave.llm import article, bpe_tree, decontaminate, line_dedup, quality, shard, warc
 from arcweave.llm.common import table
+from arcweave.session import ensure_checkpoint_dir, scratch_dir
 
 SHARDS = 16
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = scratch_dir(spark, "warc")
+    warc.write_captures(table(spark, sf_dir, "pages"), path)
+    return warc.page_results(spark, path).drop("url")
+
+
+def op2_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,5 +50,5 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_line_dedup, op5_quality_rules, op6_tree_bpe, op8_rendezvous_shards)}
+QUERIES = {f.__name__: f for f in (op1_warc_captures, op2_article_text, op3_decontaminate, op4_line_dedup, op5_quality_rules, op6_tree_bpe, op8_rendezvous_shards)}
 ORACLES = {"op3_decontaminate": decontaminate.oracle_sql, "op4_line_dedup": line_dedup.oracle_sql}
