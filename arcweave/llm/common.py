@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from arcweave.session import ensure_checkpoint_dir, scratch_dir
 
-#: White space of a word split: space and the control characters tab to carriage return.
-ASCII_SPACE = r"[\x20\x09-\x0D]+"
+#: White space between words: space and the control characters tab to carriage return.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,8 @@ def words(text: Column) -> Column:
 
     Null and blank texts give an empty array.
     """
-    return F.filter(F.split(F.coalesce(text, F.lit("")), ASCII_SPACE), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(ASCII_SPACE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{ASCII_SPACE}]+", -1))
 
 
 def n_partitions(spark: SparkSession) -> int:

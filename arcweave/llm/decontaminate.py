@@ -33,19 +33,20 @@ SHINGLE = 5
 PERCENT = 80  # share of an item's shingles that a document must hold
 
 
-def _starts(w: Column, k: int) -> Column:
-    return F.slice(w, F.lit(1), F.greatest(F.size(w) - F.lit(k - 1), F.lit(0)))
+def _shingles(w: Column, k: int, one) -> Column:
+    """``one`` applied to the ``k`` words from each word on; the word array is never read inside the lambda."""
+    n = F.greatest(F.size(w) - F.lit(k - 1), F.lit(0))
+    parts = F.arrays_zip(*[F.slice(w, F.lit(j), n).alias(f"w{j}") for j in range(1, k + 1)])
+    return F.transform(parts, lambda x: one(*[x[f"w{j}"] for j in range(1, k + 1)]))
 
 
 def _texts(w: Column, k: int) -> Column:
     """Shingles as words joined by a space (a word holds no space, so this is one to one)."""
-    return F.transform(_starts(w, k), lambda x, i: F.concat_ws(
-        " ", x, *[F.get(w, i + F.lit(j)) for j in range(1, k)]))
+    return _shingles(w, k, lambda *x: F.concat_ws(" ", *x))
 
 
 def _hashes(w: Column, k: int) -> Column:
-    return F.transform(_starts(w, k), lambda x, i: F.xxhash64(
-        x, *[F.get(w, i + F.lit(j)) for j in range(1, k)]))
+    return _shingles(w, k, F.xxhash64)
 
 
 def item_sketches(items: DataFrame, key: str = "item_id", text: str = "text", k: int = SHINGLE,
@@ -78,8 +79,8 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     sketch = stored(sketch, "sketches")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).filter("t is not null").select(
         "key", F.xxhash64("t").alias("h"), "t", words(F.col("t")).alias("w"))
-    probes = rows.filter(F.size("w") >= k).select(
-        "key", "h", F.explode(_hashes(F.col("w"), k)).alias("sh"))
+    # the outer form adds no filter that would compute the array a second time; its nulls join nothing
+    probes = rows.select("key", "h", F.explode_outer(_hashes(F.col("w"), k)).alias("sh"))
     found = stored(probes.join(sketch, "sh").select("key", "h", "item_no").distinct(), "candidates")
     pairs = found.join(base, "item_no").select(F.col("key").alias("ckey"), F.col("h").alias("ch"),
                                                "item", "n_items", "shingles")
