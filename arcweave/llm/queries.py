@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import article, bpe_tree, decontaminate, line_dedup, quality, shard, warc
+from arcweave.llm import article, bpe_tree, decontaminate, line_dedup, near_dup, phrases, quality, shard, warc
 from arcweave.llm.common import table
 from arcweave.session import ensure_checkpoint_dir, scratch_dir
 
@@ -45,10 +45,22 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(coded)
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard.assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_captures, op2_article_text, op3_decontaminate, op4_line_dedup, op5_quality_rules, op6_tree_bpe, op8_rendezvous_shards)}
+def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc_captures, op2_article_text, op3_decontaminate, op4_line_dedup, op5_quality_rules,
+    op6_tree_bpe, op7_order_minhash,
+    op8_rendezvous_shards, op10_repeated_phrases)}
 ORACLES = {"op3_decontaminate": decontaminate.oracle_sql, "op4_line_dedup": line_dedup.oracle_sql}

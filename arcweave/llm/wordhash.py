@@ -19,7 +19,7 @@ U64 = np.uint64
 CHUNK_BYTES = 4 << 20  # work on about this much text at once; one document is never split
 
 
-def _splitmix(seed: int, n: int) -> np.ndarray:
+def splitmix(seed: int, n: int) -> np.ndarray:
     """``n`` pseudo-random 64-bit numbers (the splitmix64 sequence of ``seed``)."""
     z = U64(seed) + np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=8)
 def _tables(seed: int) -> tuple[np.ndarray, U64, U64]:
-    r = _splitmix(seed * 1000 + 7, 260)
+    r = splitmix(seed * 1000 + 7, 260)
     return r[:256], r[256] | U64(1), r[257] | U64(1)
 
 
@@ -136,3 +136,20 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+
+
+def digests(w: Words, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of the word sequence of every document."""
+    out = []
+    count = np.diff(w.first)
+    place = np.arange(len(h1)) - np.repeat(w.first[:-1], count)
+    for seed, h in ((11, h1), (12, h2)):
+        total = np.zeros(len(h) + 1, dtype=U64)
+        # a word counts as the hash of it and its place, so order matters
+        np.cumsum(mix(h + mix(place.astype(U64) * U64(2 * seed + 1) + U64(seed))), out=total[1:])
+        out.append(mix(total[w.first[1:]] - total[w.first[:-1]] + count.astype(U64)))
+    return out[0], out[1]
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
