@@ -29,19 +29,21 @@ WINDOW = 3
 
 def _windows(lines: Column, window: int) -> Column:
     """Array with one struct (a, b) per window start; null where the window has no word."""
-    def one(line: Column, i: Column) -> Column:
-        part = [line] + [F.get(lines, i + F.lit(j)) for j in range(1, window)]
-        text = F.concat_ws("", *part)
-        return F.when(text.rlike(r"[^\x20\x09-\x0D]"),
+    n = F.greatest(F.size(lines) - F.lit(window - 1), F.lit(0))
+    parts = F.arrays_zip(*[F.slice(lines, F.lit(j), n).alias(f"l{j}") for j in range(1, window + 1)])
+
+    def one(x: Column) -> Column:
+        part = [x[f"l{j}"] for j in range(1, window + 1)]
+        return F.when(F.concat_ws("", *part).rlike(r"[^\x20\x09-\x0D]"),
                       F.struct(F.xxhash64(F.lit(1), *part).alias("a"),
                                F.xxhash64(F.lit(2), *reversed(part)).alias("b")))
 
-    n = F.greatest(F.size(lines) - F.lit(window - 1), F.lit(0))
-    return F.transform(F.slice(lines, F.lit(1), n), one)
+    return F.transform(parts, one)
 
 
 def _occurrences(docs: DataFrame, window: int) -> DataFrame:
-    return (docs.select("key", "h", F.posexplode(_windows(F.col("lines"), window)).alias("pos", "w"))
+    # the outer form adds no filter that would compute the array a second time
+    return (docs.select("key", "h", F.posexplode_outer(_windows(F.col("lines"), window)).alias("pos", "w"))
             .filter("w is not null").select("key", "h", "pos", "w.a", "w.b"))
 
 
@@ -51,10 +53,10 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
 
     The kept lines are joined by ``\\n``; a text that loses all its lines becomes empty.
     """
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"),
+    docs = df.select(F.col(key).alias("key"),
                      F.xxhash64(F.col(text)).alias("h"),
                      F.split(F.col(text), "\n", -1).alias("lines"))
-    occ = _occurrences(docs.filter(F.size("lines") >= window), window)
+    occ = _occurrences(docs, window)
     repeated = (occ.groupBy("a", "b")
                 .agg(F.min(F.struct("key", "h", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
                 .filter("n > 1").select("a", "b", "first"))
@@ -64,21 +66,37 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text",
     # at most one entry per line of the document
     covered = (later.groupBy(F.col("key").alias("ckey"), F.col("h").alias("ch"))
                .agg(F.collect_set("pos").alias("starts")))
-    joined = docs.drop("lines").join(
+    joined = docs.join(
         covered, F.col("key").eqNullSafe(F.col("ckey")) & (F.col("h") == F.col("ch")), "left")
-    lines = F.split(F.col("text"), "\n", -1)
+    n = F.coalesce(F.size("lines"), F.lit(0))
     cover = F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.lit(window - 1))))
-    n = F.coalesce(F.size(lines), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cover)
-    return (joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n))
-            .withColumn("lines", F.when(F.col("starts").isNotNull(), lines))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), cover)
+    return (joined.withColumn("n_lines", F.when(F.col("lines").isNull(), 0).otherwise(n))
             .withColumn("kept", F.when(F.col("starts").isNotNull(), kept))
             .select(F.col("key").alias(key), "n_lines",
                     F.when(F.col("starts").isNull(), 0)
                     .otherwise(F.col("n_lines") - F.size("kept")).alias("n_removed"),
-                    F.when(F.col("starts").isNull(), F.col("text")).otherwise(
-                        F.array_join(F.transform("kept", lambda i: F.get(F.col("lines"), i)), "\n"))
-                    .alias("text"), "h"))
+                    F.array_join(F.when(F.col("starts").isNull(), F.col("lines")).otherwise(
+                        F.transform("kept", lambda i: F.get(F.col("lines"), i))), "\n").alias("text"), "h"))
+
+
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                    n_chars: str | None = None) -> DataFrame:
+    """``df`` with the cleaned texts and all other columns as they are; texts that lose all their words go.
+
+    With ``n_chars`` that column is set to the new length. Only the changed texts are joined back.
+    """
+    out = dedup_lines(df, key, text, window).filter("n_removed > 0")
+    new = stored(out.select(F.col(key).alias("__key"), F.col("h").alias("__h"), F.col("text").alias("__text"))
+                 .distinct(), "changed-texts")
+    both = df.join(new, df[key].eqNullSafe(new["__key"]) & (F.xxhash64(df[text]) == new["__h"]), "left")
+    both = both.filter(F.col("__text").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    cleaned = F.coalesce(F.col("__text"), F.col(text))
+    cols = {text: cleaned}
+    if n_chars:
+        cols[n_chars] = F.when(F.col("__text").isNull(), F.col(n_chars)).otherwise(
+            F.char_length("__text").cast(df.schema[n_chars].dataType))
+    return both.select(*[cols.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def oracle_sql() -> str:
