@@ -247,8 +247,9 @@ def _slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Ite
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
-                  text: str = "text") -> DataFrame:
-    """key, ``ids`` (array of int) and ``decoded`` (the bytes that the ids stand for), per input row."""
+                  text: str = "text", keep_text: bool = False) -> DataFrame:
+    """key, ``ids`` (array of int) and ``decoded`` (the bytes that the ids stand for), per input row; with
+    ``keep_text`` also the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = _worker(ranks_path, pattern)
@@ -259,13 +260,14 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_
                 flat = np.frombuffer(b"".join(ids), dtype=np.int32)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 decoded = [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                     pa.array(decoded, pa.binary())], names=[key, "ids", "decoded"])
+                out = [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                       pa.array(decoded, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out + [part.column(1)] * keep_text, names=names)
 
     src = df.select(F.col(key), F.col(text))
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
+    names = [key, "ids", "decoded", "text"][:4 if keep_text else 3]
+    return src.mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary" + ", text string" * keep_text)
 
 
 def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:

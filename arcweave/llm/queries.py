@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import article, bpe_tree, decontaminate, line_dedup, near_dup, phrases, quality, shard, warc
+from arcweave.llm import (article, bpe_tree, decontaminate, idcoder, line_dedup, near_dup, phrases,
+                          quality, shard, warc)
 from arcweave.llm.common import table
 from arcweave.session import ensure_checkpoint_dir, scratch_dir
 
 SHARDS = 16
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,15 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    path = scratch_dir(spark, "token-ids")
+    idcoder.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE))
+    return idcoder.read_ids(spark, path).select(
+        "doc_id", "start", (F.octet_length("data") / 4).cast("long").alias("n_tokens"),
+        F.crc32("data").alias("ids_crc32"))
+
+
 def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrases.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -62,5 +73,5 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_warc_captures, op2_article_text, op3_decontaminate, op4_line_dedup, op5_quality_rules,
     op6_tree_bpe, op7_order_minhash,
-    op8_rendezvous_shards, op10_repeated_phrases)}
+    op8_rendezvous_shards, op9_id_files, op10_repeated_phrases)}
 ORACLES = {"op3_decontaminate": decontaminate.oracle_sql, "op4_line_dedup": line_dedup.oracle_sql}
