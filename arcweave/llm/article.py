@@ -9,7 +9,8 @@ Scoring: each block of text (a paragraph, list item, heading, cell, or the loose
 container) gets one point, one for each comma, and one for each 100 characters up to three. The
 points go in full to its parent, halved to the grandparent, then divided by three, four and so
 on. A container's score is multiplied by the share of its text outside links. The best container
-is widened to the article or main element around it, if there is one. Of its siblings those stay
+gives way to an article or main element in it that has half its score, and is widened to the one
+around it, if there is one. Of its siblings those stay
 that score at least a fifth of it, or that are prose (paragraphs, headings, lists, tables) with
 hardly any links. All blocks of the kept elements are returned in page order.
 
@@ -210,6 +211,12 @@ def _score(found: list[tuple[_Node, str, int]]) -> dict[_Node, float]:
     return {x: x.score * (1.0 - x.linked / x.length) for x in nodes}
 
 
+def _inside(node: _Node, other: _Node) -> bool:
+    while node is not None and node is not other:
+        node = node.parent
+    return node is not None
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the article joined by an empty line."""
     found = blocks(page) if page else []
@@ -217,6 +224,9 @@ def main_text(page: str | None) -> str:
         return ""
     score = _score(found)
     best = max(score, key=score.__getitem__)  # of equal ones the first in page order
+    inner = [x for x in score if x.tag in CONTENT and score[x] * 2 >= score[best] and _inside(x, best)]
+    if inner:
+        best = max(inner, key=score.__getitem__)
     around = best
     while around is not None:
         if around.tag in CONTENT:
