@@ -130,9 +130,10 @@ def e4_budget_spent(spark, sf_dir):
 
 
 @register("e3_rescale_to_budget", f"""
-    SELECT src, dst, inew * (k.K / k.spent) AS ijk FROM {RESULT_ARCS} r CROSS JOIN
-      (SELECT sum(delta_i * Ijk) * 2 * 1.2 AS K, (SELECT sum(delta_i * inew) FROM {RESULT_ARCS} q)
-       AS spent FROM tedges) k""", ("ijk",))
+    SELECT * FROM (WITH arcs AS MATERIALIZED (SELECT src, dst, delta_i, inew FROM {RESULT_ARCS} r),
+         k AS MATERIALIZED (SELECT (SELECT sum(delta_i * Ijk) * 2 * 1.2 FROM tedges) AS K,
+                                   (SELECT sum(delta_i * inew) FROM arcs) AS spent)
+    SELECT src, dst, inew * (k.K / k.spent) AS ijk FROM arcs CROSS JOIN k) e3""", ("ijk",))
 def e3_rescale_to_budget(spark, sf_dir):
     arcs = _result_arcs(spark, sf_dir).select("src", "dst", "delta_i", "ijk")
     K = X.trade_edges(spark, sf_dir).agg((F.sum(F.col("delta_i") * F.col("Ijk")) * 2 * 1.2)
@@ -142,7 +143,8 @@ def e3_rescale_to_budget(spark, sf_dir):
 
 @register("b19_check_solution", f"""
     SELECT spent, K * 2 AS budget, abs(spent - K * 2) <= 0.001 * (K * 2) AS budget_ok,
-           CAST(n_below AS BIGINT) AS n_below, CAST(n_above AS BIGINT) AS n_above
+           CAST(n_below AS BIGINT) AS n_below, CAST(n_above AS BIGINT) AS n_above,
+           CAST(0 AS BIGINT) AS n_percent
     FROM (SELECT sum(delta_i * inew) AS spent,
                  count_if(inew < (CASE WHEN Il IS NOT NULL THEN least(Il, I0) ELSE I0 END)
                           - 1e-6) AS n_below,
@@ -318,7 +320,7 @@ def e16_scale_domains(spark, sf_dir):
 
 @register("e13_run_summary", f"""
     SELECT {S.round_sig('w', 7)} AS welfare, {S.round_sig('wb', 7)} AS welfare_baseline,
-           {S.round_sig(S.pct_gain('w', 'wb'), 7)} AS welfare_gain_pct,
+           {S.round_sig(S.pct_gain(S.round_sig('w', 7), S.round_sig('wb', 7)), 7)} AS welfare_gain_pct,
            {S.round_sig('e', 7)} AS elapsed, {S.round_sig('k', 7)} AS K
     FROM (SELECT max(CASE WHEN run_id = 'result' THEN s END) AS w,
                  max(CASE WHEN run_id = 'baseline' THEN s END) AS wb
@@ -415,7 +417,7 @@ PARAM_COLS = M.NUMERIC + M.FLAGS
 
 
 def _c19_sql():
-    pre = M.CEMAC_PRESET
+    pre = M.ROAD_PRESET
     cols = []
     for f in PARAM_COLS:
         typ = "DOUBLE" if f in M.NUMERIC else "BOOLEAN"
@@ -426,14 +428,14 @@ def _c19_sql():
         pv_sql = "NULL" if pv is None else (str(pv).lower() if isinstance(pv, bool) else repr(pv))
         dv = M.PARAM_DEFAULTS[f]
         dv_sql = str(dv).lower() if isinstance(dv, bool) else repr(dv)
-        expr = (f"coalesce(CASE WHEN preset = 'cemac' THEN CAST({pv_sql} AS {typ}) END, "
+        expr = (f"coalesce(CASE WHEN preset = 'road' THEN CAST({pv_sql} AS {typ}) END, "
                 f"CAST({own} AS {typ}), CAST({dv_sql} AS {typ}))")
         if f in ("min_iter", "max_iter"):
             expr = f"CAST(round_even({expr}, 0) AS BIGINT)"
         cols.append(f"{expr} AS {f}")
     return (f"SELECT scenario_id, {', '.join(cols)}, pow(10.0, -tol_) AS tol_value, "
             f"K_ * 2 AS K_model FROM (SELECT *, "
-            f"coalesce(CASE WHEN preset = 'cemac' THEN CAST({pre['tol']!r} AS DOUBLE) END, tol) "
+            f"coalesce(CASE WHEN preset = 'road' THEN CAST({pre['tol']!r} AS DOUBLE) END, tol) "
             f"AS tol_, K AS K_ FROM scen) s")
 
 
@@ -447,16 +449,16 @@ def c19_derive_params(spark, sf_dir):
 def _b20_sql():
     p = f"({_c19_sql()}) p"
     rules = [
-        ("warning", "gamma > beta AND NOT annealing", "gamma > beta is non-convex: consider annealing"),
+        ("warning", "gamma > beta AND NOT annealing", "gamma above beta without annealing"),
         ("error", "duality AND (labor_mobility OR beta > 1)",
-         "the duality solver needs fixed labour and beta <= 1"),
-        ("error", "a > 1", "a must be <= 1 for convexity"),
-        ("error", "nu < 1", "nu must be >= 1"),
-        ("error", "alpha <= 0 OR alpha >= 1", "alpha must lie in (0, 1)"),
+         "duality with mobile labour or beta above 1"),
+        ("error", "a > 1", "a above 1"),
+        ("error", "nu < 1", "nu below 1"),
+        ("error", "alpha <= 0 OR alpha >= 1", "alpha not between 0 and 1"),
     ]
     return " UNION ALL ".join(
         f"SELECT '{sev}' AS severity, 'B20' AS rule, 'scenarios' AS entity, scenario_id AS key, "
-        f"'Scenario ' || CAST(scenario_id AS VARCHAR) || ': {msg}.' AS message FROM {p} "
+        f"'scenario ' || CAST(scenario_id AS VARCHAR) || ': {msg}' AS message FROM {p} "
         f"WHERE {cond}" for sev, cond, msg in rules)
 
 
@@ -483,17 +485,36 @@ def d8_sweep_model_arcs(spark, sf_dir):
 @register("d8_sweep_productivity", f"""
     SELECT p.scenario_id, n.node, CAST(n.good AS INTEGER) AS good,
            CASE WHEN p.productivity_floor THEN greatest(n.z, 0.001) ELSE n.z END AS z
-    FROM (SELECT t.node, g.good, CASE WHEN g.good = t.product THEN t.productivity ELSE 0.0 END
+    FROM (SELECT t.node, t.product, g.good, CASE WHEN g.good = t.product THEN t.productivity ELSE 0.0 END
                  AS z FROM tnodes t CROSS JOIN
                  (SELECT unnest(range(1, (SELECT max(product) FROM tnodes) + 1)) AS good) g) n
     CROSS JOIN ({_c19_sql()}) p
-    WHERE (CASE WHEN p.productivity_floor THEN greatest(n.z, 0.001) ELSE n.z END) <> 0""",
+    WHERE p.productivity_floor OR n.good = n.product""",
           ("z",), ctes=S.NET_T + SV.SCENARIOS)
 def d8_sweep_productivity(spark, sf_dir):
     params = M.derive_params(VA.scenario_table(spark, sf_dir), M.presets_table(spark))
     return M.sweep_model_tables(X.trade_network(spark, sf_dir), params).productivity
 
 
+@register("d8_sweep_labour", f"""
+    SELECT p.scenario_id, n.node, n.population AS Lj, n.population * 0.3 AS Hj
+    FROM tnodes n CROSS JOIN ({_c19_sql()}) p""", ("Lj", "Hj"), ctes=S.NET_T + SV.SCENARIOS)
+def d8_sweep_labour(spark, sf_dir):
+    """Every node has ``housing``, so it is used in place of the population share."""
+    params = M.derive_params(VA.scenario_table(spark, sf_dir), M.presets_table(spark))
+    net = X.trade_network(spark, sf_dir)
+    nodes = net.nodes.withColumn("housing", F.col("population") * 0.3)
+    return M.sweep_model_tables(X.NetworkTables(nodes, net.edges), params).labour
+
+
+@register("f3_model_from_params", f"""
+    SELECT p.scenario_id, n.node, n.population AS Lj, n.population * (1 - p.alpha) AS Hj
+    FROM tnodes n CROSS JOIN ({_c19_sql()}) p""", ("Lj", "Hj"), ctes=S.NET_T + SV.SCENARIOS)
+def f3_model_from_params(spark, sf_dir):
+    params = M.derive_params(VA.scenario_table(spark, sf_dir), M.presets_table(spark))
+    return M.model_tables(X.trade_network(spark, sf_dir), params).labour
+
+
 @register("d8_sweep_utility", f"""
     SELECT p.scenario_id, a.run_id, a.node,
            {S.utility('a.c_pc', '(1 - p.alpha)', 'p.alpha', 'p.rho')} AS u

@@ -35,6 +35,22 @@ def f1_edge_table_baseline(spark, sf_dir):
     return edge_table(net, alloc.arc_infra, alloc.arc_flow, "baseline", N_GOODS)
 
 
+_nf = [("nfedges", """SELECT * REPLACE (CASE WHEN ("from" + "to") % 5 < 2 THEN NULL ELSE Iu END AS Iu)
+    FROM tedges""")]
+_f1n_ctes, _f1n_final = S.edge_table("result", edges="nfedges", prefix="f1n")
+
+
+@register("f1_edge_table_nonfinite", _f1n_final, F1_DOUBLES, ctes=S.NET_T + _nf + _f1n_ctes)
+def f1_edge_table_nonfinite(spark, sf_dir):
+    """``Iu`` NaN or infinite on a modulus counts as unbounded."""
+    net = X.trade_network(spark, sf_dir)
+    alloc = X.trade_allocations(spark, sf_dir, net)
+    m = (F.col("from") + F.col("to")) % 5
+    edges = net.edges.withColumn("Iu", F.when(m == 0, F.lit(float("nan"))).when(
+        m == 1, F.lit(float("inf"))).otherwise(F.col("Iu")))
+    return edge_table(X.NetworkTables(net.nodes, edges), alloc.arc_infra, alloc.arc_flow, "result", N_GOODS)
+
+
 @register("f1_edge_inputs", 'SELECT "from", "to", delta_i, delta_tau, Ijk AS Ijk_orig FROM tedges',
           ("delta_i", "delta_tau", "Ijk_orig"))
 def f1_edge_inputs(spark, sf_dir):

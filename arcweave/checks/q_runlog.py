@@ -87,14 +87,18 @@ def h6_convergence(spark, sf_dir):
 
 
 @register("i5_run_status", """
-    SELECT r.run_id, coalesce(c.status, 'running') AS status, c.closed_at
-    FROM (SELECT DISTINCT run_id FROM runlog) r LEFT JOIN (
-      SELECT run_id, arg_max(status, event_id) AS status, max(event_id) AS closed_at FROM (
-        SELECT run_id, event_id, CASE
+    SELECT * FROM (WITH m AS (SELECT run_id, event_id, CASE
           WHEN regexp_matches(line, '^\\[app\\] Solve FAILED') THEN 'failed'
           WHEN regexp_matches(line, '^\\[app\\] Abort requested') THEN 'aborted'
-          WHEN regexp_matches(line, '^\\[app\\] Solve finished in ') THEN 'finished' END AS status
-        FROM runlog) s WHERE status IS NOT NULL GROUP BY run_id) c ON c.run_id = r.run_id""",
+          WHEN regexp_matches(line, '^\\[app\\] Solve finished in ') THEN 'finished' END AS kind
+        FROM runlog),
+      c AS (SELECT run_id, event_id, kind, lag(kind) OVER (PARTITION BY run_id ORDER BY event_id) AS before
+            FROM m WHERE kind IS NOT NULL),
+      s AS (SELECT run_id, arg_max(CASE WHEN kind = 'failed' AND before = 'aborted' THEN 'aborted'
+                                        ELSE kind END, event_id) AS status,
+                   max(event_id) AS closed_at FROM c GROUP BY run_id)
+    SELECT r.run_id, coalesce(s.status, 'running') AS status, s.closed_at
+    FROM (SELECT DISTINCT run_id FROM runlog) r LEFT JOIN s ON s.run_id = r.run_id) i5""",
           ctes=CT)
 def i5_run_status(spark, sf_dir):
     return R.run_status(_log(spark, sf_dir))
@@ -156,13 +160,3 @@ def i4_stream_rebuild(spark, sf_dir):
                          available_now=True)
     q.awaitTermination()
     return R.read_version(spark, sink)
-
-
-@register("a9_grid_network")
-def a9_grid_network(spark, sf_dir):
-    """Grid sized by the supplied tables: one row per nation, a column per ten suppliers."""
-    from arcweave.sources.grid import grid_network
-    n_rows = X.read_table(spark, sf_dir, "nation").count()
-    n_cols = max(2, X.read_table(spark, sf_dir, "supplier").count() // 10)
-    net = grid_network(spark, n_rows, n_cols, seed=42)
-    return net.edges

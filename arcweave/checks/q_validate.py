@@ -19,8 +19,8 @@ FIND = "SELECT severity, rule, entity, key, message FROM "
 
 
 @register("b1_require_columns", "SELECT 'error' AS severity, 'B1' AS rule, 'nodes' AS entity, "
-          "CAST(NULL AS BIGINT) AS key, 'Nodes table is missing required column(s): lat, "
-          "population, productivity. Required: node, lon, lat, population, productivity.' "
+          "CAST(NULL AS BIGINT) AS key, 'nodes: absent lat, "
+          "population, productivity; needed node, lon, lat, population, productivity' "
           "AS message FROM (SELECT count(*) AS n FROM tnodes) z WHERE n >= 0")
 def b1_require_columns(spark, sf_dir):
     nodes = X.trade_nodes(spark, sf_dir).select("node", "lon")
@@ -50,16 +50,16 @@ def b3_typed_nodes(spark, sf_dir):
 
 
 @register("b4_housing_policy", "SELECT 'warning' AS severity, 'B4' AS rule, 'nodes' AS entity, "
-          "CAST(NULL AS BIGINT) AS key, 'No ''housing'' column: using population x (1 - alpha) "
-          "as housing.' AS message FROM (SELECT count(*) AS n FROM tnodes) z WHERE n > 0")
+          "CAST(NULL AS BIGINT) AS key, 'housing absent, derived from population' "
+          "AS message FROM (SELECT count(*) AS n FROM tnodes) z WHERE n > 0")
 def b4_housing_policy(spark, sf_dir):
     return V.resolve_housing_policy(X.trade_nodes(spark, sf_dir))
 
 
 @register("b5_consecutive_ids", """
     SELECT 'error' AS severity, 'B5' AS rule, 'nodes' AS entity, CAST(NULL AS BIGINT) AS key,
-           'Node ids must be consecutive integers 1..J (found ' || CAST(j AS VARCHAR) ||
-           ' rows, ids ' || CAST(lo AS VARCHAR) || '..' || CAST(hi AS VARCHAR) || ').' AS message
+           'numbering has holes or repeats: rows ' || CAST(j AS VARCHAR) || ', lowest ' ||
+           CAST(lo AS VARCHAR) || ', highest ' || CAST(hi AS VARCHAR) AS message
     FROM (SELECT count(*) AS j, min(node) AS lo, max(node) AS hi, count(DISTINCT node) AS nd
           FROM vorphan_nodes) s
     WHERE j > 0 AND NOT (lo = 1 AND hi = j AND nd = j)""", ctes=CTES)
@@ -93,8 +93,8 @@ def b6_b9_nan_values(spark, sf_dir):
 
 @register("b10_references", """
     SELECT 'error' AS severity, 'B10' AS rule, 'edges' AS entity, edge_id AS key,
-           'Edge ' || CAST(edge_id AS VARCHAR) || ' references a node id that does not exist (' ||
-           CAST("from" AS VARCHAR) || ' -> ' || CAST("to" AS VARCHAR) || ').' AS message
+           'edge ' || CAST(edge_id AS VARCHAR) || ': unknown endpoint, ' ||
+           CAST("from" AS VARCHAR) || ' > ' || CAST("to" AS VARCHAR) AS message
     FROM tedges e
     WHERE NOT EXISTS (SELECT 1 FROM vorphan_nodes n WHERE n.node = e."from")
        OR NOT EXISTS (SELECT 1 FROM vorphan_nodes n WHERE n.node = e."to")""", ctes=CTES)
@@ -105,8 +105,8 @@ def b10_references(spark, sf_dir):
 
 @register("b11_self_loops", """
     SELECT 'error' AS severity, 'B11' AS rule, 'edges' AS entity, edge_id AS key,
-           'Edge ' || CAST(edge_id AS VARCHAR) || ' is a self-loop at node ' ||
-           CAST("from" AS VARCHAR) || '.' AS message
+           'edge ' || CAST(edge_id AS VARCHAR) || ': both ends at ' ||
+           CAST("from" AS VARCHAR) AS message
     FROM nedges WHERE "from" = "to" """, ctes=NET_T + SV.NATION)
 def b11_self_loops(spark, sf_dir):
     return V.check_self_loops(VA.nation_network(spark, sf_dir).edges)
@@ -114,10 +114,8 @@ def b11_self_loops(spark, sf_dir):
 
 @register("b12_duplicates", """
     SELECT 'error' AS severity, 'B12' AS rule, 'edges' AS entity, edge_id AS key,
-           'Duplicate edge ' || CAST("from" AS VARCHAR) || ' - ' || CAST("to" AS VARCHAR) ||
-           ' (edge ' || CAST(edge_id AS VARCHAR) || '; first seen as edge ' ||
-           CAST(first_id AS VARCHAR) || '). The graph is undirected: list each edge once.'
-           AS message
+           'edge ' || CAST(edge_id AS VARCHAR) || ' repeats edge ' || CAST(first_id AS VARCHAR) ||
+           ' between ' || CAST("from" AS VARCHAR) || ' and ' || CAST("to" AS VARCHAR) AS message
     FROM (SELECT edge_id, "from", "to", min(edge_id) OVER (PARTITION BY least("from", "to"),
                  greatest("from", "to")) AS first_id FROM vdup_edges) d
     WHERE edge_id <> first_id""", ctes=NET_T + SV.DUP)
@@ -127,13 +125,11 @@ def b12_duplicates(spark, sf_dir):
 
 @register("b13_bounds", """
     SELECT 'warning' AS severity, 'B13' AS rule, 'edges' AS entity, edge_id AS key,
-           'Edge ' || CAST("from" AS VARCHAR) || ' - ' || CAST("to" AS VARCHAR) ||
-           ': Il > Ijk; the lower bound is clamped to Ijk.' AS message
+           'edge ' || CAST(edge_id AS VARCHAR) || ': Il above Ijk, cut to Ijk' AS message
     FROM vbounds_edges WHERE Il > Ijk
     UNION ALL
     SELECT 'warning', 'B13', 'edges', edge_id,
-           'Edge ' || CAST("from" AS VARCHAR) || ' - ' || CAST("to" AS VARCHAR) ||
-           ': Iu < Ijk; the upper bound is raised to Ijk.'
+           'edge ' || CAST(edge_id AS VARCHAR) || ': Iu below Ijk, lifted to Ijk'
     FROM vbounds_edges WHERE Iu < Ijk""", ctes=CTES)
 def b13_bounds(spark, sf_dir):
     return V.check_bounds(VA.bounds_variant(spark, sf_dir).edges)
@@ -141,8 +137,8 @@ def b13_bounds(spark, sf_dir):
 
 @register("b10_b13_cross_checks", """
     SELECT 'error' AS severity, 'B11' AS rule, 'edges' AS entity, edge_id AS key,
-           'Edge ' || CAST(edge_id AS VARCHAR) || ' is a self-loop at node ' ||
-           CAST("from" AS VARCHAR) || '.' AS message
+           'edge ' || CAST(edge_id AS VARCHAR) || ': both ends at ' ||
+           CAST("from" AS VARCHAR) AS message
     FROM nedges WHERE "from" = "to" """, ctes=NET_T + SV.NATION)
 def b10_b13_cross_checks(spark, sf_dir):
     net = VA.nation_network(spark, sf_dir)
@@ -158,7 +154,7 @@ def b15_connected_components(spark, sf_dir):
 
 @register("b14_unreachable", """
     SELECT 'warning' AS severity, 'B14' AS rule, 'nodes' AS entity, CAST(NULL AS BIGINT) AS key,
-           CAST(n AS VARCHAR) || ' node(s) are disconnected from node 1.' AS message
+           'nodes without a path to 1: ' || CAST(n AS VARCHAR) AS message
     FROM (SELECT count_if(component <> (SELECT component FROM dcomp WHERE node = 1)) AS n
           FROM dcomp) s WHERE n > 0""", ctes=NET_T + SV.DOMESTIC)
 def b14_unreachable(spark, sf_dir):
@@ -174,7 +170,7 @@ def b15_component_sizes(spark, sf_dir):
     return component_sizes(connected_components(net.nodes, net.edges))
 
 
-GEOM_MSG = ("Geometry values could not be parsed as LINESTRING: straight lines are used")
+GEOM_MSG = "geometry unreadable, drawn straight"
 
 
 @register("b16_geometry", f"""
@@ -190,7 +186,7 @@ def _validate_sql():
     edge_f = SV.col_findings("tedges", SV.edge_value_specs())
     return f"""
     SELECT 'warning' AS severity, 'B4' AS rule, 'nodes' AS entity, CAST(NULL AS BIGINT) AS key,
-           'No ''housing'' column: using population x (1 - alpha) as housing.' AS message
+           'housing absent, derived from population' AS message
     UNION ALL {FIND}{node_f} a UNION ALL {FIND}{edge_f} b
     UNION ALL
     SELECT 'warning', 'B16', 'edges', CAST(NULL AS BIGINT),
@@ -198,7 +194,7 @@ def _validate_sql():
     FROM (SELECT count_if(geometry IS NOT NULL AND {PL} IS NULL) AS n FROM tedges) s WHERE n > 0
     UNION ALL
     SELECT 'warning', 'B14', 'nodes', CAST(NULL AS BIGINT),
-           CAST(n AS VARCHAR) || ' node(s) are disconnected from node 1.'
+           'nodes without a path to 1: ' || CAST(n AS VARCHAR)
     FROM (SELECT count_if(component <> (SELECT component FROM tcomp WHERE node = 1)) AS n
           FROM tcomp) c WHERE n > 0"""
 
@@ -222,7 +218,7 @@ def _validate_range_sql():
     edge_f = SV.col_findings("vrange_edges", SV.edge_value_specs())
     return f"""
     SELECT 'warning' AS severity, 'B4' AS rule, 'nodes' AS entity, CAST(NULL AS BIGINT) AS key,
-           'No ''housing'' column: using population x (1 - alpha) as housing.' AS message
+           'housing absent, derived from population' AS message
     UNION ALL {FIND}{node_f} a UNION ALL {FIND}{edge_f} b
     UNION ALL
     SELECT 'warning', 'B16', 'edges', CAST(NULL AS BIGINT),
@@ -242,9 +238,6 @@ def b17_validate_range(spark, sf_dir):
     FROM (SELECT 'error' AS severity FROM vorphan_nodes WHERE false
           UNION ALL SELECT 'error' FROM (SELECT count(*) AS j, min(node) AS lo, max(node) AS hi
                 FROM vorphan_nodes) s WHERE NOT (lo = 1 AND hi = j)
-          UNION ALL SELECT 'error' FROM tedges e
-                WHERE NOT EXISTS (SELECT 1 FROM vorphan_nodes n WHERE n.node = e."from")
-                   OR NOT EXISTS (SELECT 1 FROM vorphan_nodes n WHERE n.node = e."to")
           UNION ALL SELECT 'warning'
           UNION ALL SELECT 'warning' FROM (SELECT count_if(geometry IS NOT NULL AND {PL} IS NULL) AS n
                 FROM tedges) g WHERE n > 0) f""", ctes=CTES)
@@ -269,4 +262,93 @@ def b18_network_summary_nation(spark, sf_dir):
     return V.network_summary(net.nodes, net.edges)
 
 
-__all__ = ["F"]
+HALF = ("SELECT 'info' AS severity, 'B17' AS rule, '{0}' AS entity, CAST(NULL AS BIGINT) AS key, "
+        "'{0} present, {1} absent' AS message")
+B4_ABSENT = ("SELECT 'warning' AS severity, 'B4' AS rule, 'nodes' AS entity, "
+             "CAST(NULL AS BIGINT) AS key, 'housing absent, derived from population' AS message")
+
+
+@register("b17_nodes_only", f"{B4_ABSENT} UNION ALL "
+          f"{FIND}{SV.col_findings('tnodes', SV.node_value_specs())} a UNION ALL "
+          + HALF.format("nodes", "edges"), ctes=CTES)
+def b17_nodes_only(spark, sf_dir):
+    return validate_network(X.NetworkTables(X.trade_nodes(spark, sf_dir), None))
+
+
+@register("b17_edges_only", f"{FIND}{SV.col_findings('vrange_edges', SV.edge_value_specs())} a "
+          "UNION ALL " + HALF.format("edges", "nodes"), ctes=CTES)
+def b17_edges_only(spark, sf_dir):
+    return validate_network(X.NetworkTables(None, VA.range_variant(spark, sf_dir).edges.drop("geometry")))
+
+
+@register("b17_half_is_not_valid", "SELECT CAST(0 AS BIGINT) AS n_errors, CAST(0 AS BIGINT) AS "
+          "n_warnings, count(*) < 0 AS valid FROM tedges")
+def b17_half_is_not_valid(spark, sf_dir):
+    edges = X.trade_edges(spark, sf_dir).drop("geometry")
+    return V.findings_summary(validate_network(X.NetworkTables(None, edges)))
+
+
+@register("b17_validate_raw", f"{B4_ABSENT} UNION ALL {_types_sql()}", ctes=CTES)
+def b17_validate_raw(spark, sf_dir):
+    """Typing errors in both tables end the checks there."""
+    return validate_network(VA.types_variant(spark, sf_dir), raw=True)
+
+
+@register("b4_housing_gaps", "SELECT node, CAST(NULL AS DOUBLE) AS housing FROM tnodes", ("housing",))
+def b4_housing_gaps(spark, sf_dir):
+    """One missing value among the nodes: no housing value is used."""
+    n = X.trade_nodes(spark, sf_dir)
+    n = n.withColumn("housing", F.when(F.col("node") % 50 != 0, F.col("population") * 0.3))
+    return V.drop_incomplete_housing(n).select("node", "housing")
+
+
+@register("b13_bounds_nan", """
+    SELECT 'warning' AS severity, 'B13' AS rule, 'edges' AS entity, edge_id AS key,
+           'edge ' || CAST(edge_id AS VARCHAR) || ': Iu below Ijk, lifted to Ijk' AS message
+    FROM tedges WHERE ("from" + "to") % 4 = 0""")
+def b13_bounds_nan(spark, sf_dir):
+    """``Il`` NaN or infinite everywhere: no finding about it; ``Iu`` below Ijk on a modulus."""
+    s = F.col("from") + F.col("to")
+    e = X.trade_edges(spark, sf_dir)
+    e = (e.withColumn("Il", F.when(s % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf"))))
+         .withColumn("Iu", F.when(s % 4 == 0, F.col("Ijk") - 1).when(s % 4 == 1, F.lit(float("nan")))
+                     .otherwise(F.lit(float("-inf")))))
+    return V.check_bounds(e)
+
+
+# All cross rules on one network: two rows per edge on a modulus, loops, unknown ends and bounds.
+MIXED = [("vmixed", """
+    SELECT edge_id, "from", CASE WHEN ("from" + "to") % 23 = 0 THEN "from"
+                                 WHEN ("from" + "to") % 31 = 0 THEN -1 ELSE "to" END AS "to", Ijk,
+           CASE WHEN ("from" + "to") % 3 = 0 THEN Ijk + 1 END AS Il,
+           CASE WHEN ("from" + "to") % 4 = 0 THEN Ijk - 1 END AS Iu FROM tedges
+    UNION ALL SELECT edge_id + 1000000000000, "to", "from", Ijk, CAST(NULL AS DOUBLE),
+           CAST(NULL AS DOUBLE) FROM tedges WHERE ("from" + "to") % 7 = 0""")]
+
+
+@register("b10_b13_mixed", """
+    SELECT * FROM (WITH g AS (SELECT *, "to" > 0 AS good,
+              min(edge_id) OVER (PARTITION BY least("from", "to"), greatest("from", "to")) AS first_id FROM vmixed)
+    SELECT 'error' AS severity, 'B10' AS rule, 'edges' AS entity, edge_id AS key,
+           'edge ' || CAST(edge_id AS VARCHAR) || ': unknown endpoint, ' || CAST("from" AS VARCHAR) || ' > ' ||
+           CAST("to" AS VARCHAR) AS message FROM g WHERE NOT good
+    UNION ALL SELECT 'error', 'B11', 'edges', edge_id, 'edge ' || CAST(edge_id AS VARCHAR) || ': both ends at ' ||
+           CAST("from" AS VARCHAR) FROM g WHERE good AND "from" = "to"
+    UNION ALL SELECT 'error', 'B12', 'edges', edge_id, 'edge ' || CAST(edge_id AS VARCHAR) || ' repeats edge ' ||
+           CAST(first_id AS VARCHAR) || ' between ' || CAST("from" AS VARCHAR) || ' and ' || CAST("to" AS VARCHAR)
+           FROM g WHERE good AND edge_id <> first_id
+    UNION ALL SELECT 'warning', 'B13', 'edges', edge_id, 'edge ' || CAST(edge_id AS VARCHAR) ||
+           ': Il above Ijk, cut to Ijk' FROM g WHERE good AND Il > Ijk
+    UNION ALL SELECT 'warning', 'B13', 'edges', edge_id, 'edge ' || CAST(edge_id AS VARCHAR) ||
+           ': Iu below Ijk, lifted to Ijk' FROM g WHERE good AND Iu < Ijk) m""", ctes=NET_T + MIXED)
+def b10_b13_mixed(spark, sf_dir):
+    s = F.col("from") + F.col("to")
+    e = X.trade_edges(spark, sf_dir).select("edge_id", "from", "to", "Ijk")
+    none = F.lit(None).cast("double")
+    first = e.select("edge_id", "from", F.when(s % 23 == 0, F.col("from")).when(s % 31 == 0, F.lit(-1))
+                     .otherwise(F.col("to")).cast("long").alias("to"), "Ijk",
+                     F.when(s % 3 == 0, F.col("Ijk") + 1).alias("Il"), F.when(s % 4 == 0, F.col("Ijk") - 1).alias("Iu"))
+    again = e.filter(s % 7 == 0).select(
+        (F.col("edge_id") + 1000000000000).alias("edge_id"), F.col("to").alias("from"), F.col("from").alias("to"),
+        "Ijk", none.alias("Il"), none.alias("Iu"))
+    return V.check_edges(first.unionByName(again), X.trade_nodes(spark, sf_dir))

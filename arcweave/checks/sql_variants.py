@@ -7,17 +7,22 @@ from arcweave.checks.sqlparts import NET_T, fp, hav, iceberg, lat, lon
 S = '("from" + "to")'
 
 
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+WHOLE = r"^[+-]?\d+$"
+
+
 def blank(x: str) -> str:
     return f"({x} IS NULL OR trim({x}) = '')"
 
 
 def dbl(x: str) -> str:
-    return f"(CASE WHEN NOT {blank(x)} THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+    return f"(CASE WHEN regexp_matches(trim({x}), '{NUMBER}') THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
 
 
 def lng(x: str) -> str:
     d = dbl(x)
-    return (f"(CASE WHEN {d} IS NOT NULL AND isfinite({d}) AND floor({d}) = {d} "
+    return (f"(CASE WHEN regexp_matches(trim({x}), '{WHOLE}') THEN TRY_CAST(trim({x}) AS BIGINT) "
+            f"WHEN {d} IS NOT NULL AND abs({d}) < 9223372036854775808 AND floor({d}) = {d} "
             f"THEN CAST(floor({d}) AS BIGINT) END)")
 
 
@@ -47,11 +52,11 @@ def coerce_specs(cols: list[tuple[str, str, bool]], entity: str) -> list:
         q = f'"{c}"'
         val = lng(q) if kind == "int" else dbl(q)
         rule = "B3" if kind == "int" else "B2"
-        word = "is not an integer column" if kind == "int" else "is not numeric"
+        word = f"holds something else than {'whole ' if kind == 'int' else ''}numbers"
         specs.append((f"NOT {blank(q)} AND {val} IS NULL", "error", rule, entity,
-                      f"Column '{c}' {word}"))
+                      f"{c} {word}"))
         if req:
-            specs.append((blank(q), "error", rule, entity, f"Column '{c}' contains missing values"))
+            specs.append((blank(q), "error", rule, entity, f"{c} has blanks"))
     return specs
 
 
@@ -66,22 +71,22 @@ EDGE_COERCE = [("from", "int", True), ("to", "int", True), ("delta_i", "float",
 def node_value_specs(product: bool = True) -> list:
     specs = [
         (fails("lon", "lon BETWEEN -180 AND 180"), "error", "B6", "nodes",
-         "Column 'lon' has values outside [-180, 180]"),
+         "lon beyond 180 degrees"),
         (fails("lat", "lat BETWEEN -90 AND 90"), "error", "B6", "nodes",
-         "Column 'lat' has values outside [-90, 90]"),
+         "lat beyond 90 degrees"),
         (fails("population", "population > 0"), "error", "B7", "nodes",
-         "Column 'population' must be strictly positive"),
+         "population zero or less"),
         (fails("productivity", "productivity >= 0"), "error", "B7", "nodes",
-         "Column 'productivity' must be non-negative"),
+         "productivity below zero"),
     ]
     if product:
         specs.append(("product IS NOT NULL AND product < 1", "error", "B8", "nodes",
-                      "Column 'product' must contain integers in 1..N"))
+                      "product below one"))
     return specs
 
 
 def edge_value_specs() -> list:
-    return [(fails(c, f"{c} >= 0"), "error", "B9", "edges", f"Column '{c}' must be non-negative")
+    return [(fails(c, f"{c} >= 0"), "error", "B9", "edges", f"{c} below zero")
             for c in ("delta_i", "delta_tau", "Ijk")]
 
 
@@ -119,8 +124,8 @@ VARIANTS = [
         CASE WHEN node % 7 = 0 THEN {t('node')} || '.0' ELSE {t('node')} END AS node,
         CASE WHEN node % 31 = 0 THEN '' ELSE {t('lon')} END AS lon, {t('lat')} AS lat,
         {t('population')} AS population,
-        CASE WHEN node % 13 = 0 THEN 'x' ELSE {t('productivity')} END AS productivity,
-        CASE WHEN node % 11 = 0 THEN '3.7' ELSE {t('product')} END AS product, name
+        CASE node % 13 WHEN 0 THEN 'x' WHEN 1 THEN '5d' WHEN 2 THEN '1.5f' ELSE {t('productivity')} END AS productivity,
+        CASE node % 11 WHEN 0 THEN '3.7' WHEN 1 THEN '9007199254740993' WHEN 2 THEN '3.0' ELSE {t('product')} END AS product, name
         FROM tnodes"""),
     ("vtypes_edges", f"""SELECT edge_id,
         CASE WHEN {S} % 3 = 0 THEN {t('"from"')} || '.0' ELSE {t('"from"')} END AS "from",
@@ -204,11 +209,11 @@ RUNLOG = [
       SELECT run_id, event_id, CASE
         WHEN event_type = 'purchase' THEN '[app] Solve finished in ' || {_num('d', 1)} || ' s.'
         WHEN event_type = 'click' AND value > 300
-          THEN '[app] Abort requested - stopping the solver at the next Ipopt iteration...'
+          THEN '[app] Abort requested (event)'
         WHEN event_type = 'view' AND value > 300
           THEN '[app] Solve FAILED after ' || {_num('d', 1)} || ' s.'
-        WHEN event_type = 'signup' THEN '[app] Building model: run ' || CAST(run_id AS VARCHAR)
-        ELSE '========== Network optimization ==========' END
+        WHEN event_type = 'signup' THEN '[app] Building model: ' || CAST(run_id AS VARCHAR)
+        ELSE 'free text' END
       FROM ev WHERE event_type <> 'error'"""),
     ("runlog_n", "SELECT run_id, event_id, line, row_number() OVER (PARTITION BY run_id "
                  "ORDER BY event_id) AS line_no FROM runlog"),
@@ -238,5 +243,5 @@ SCENARIOS = [
         (r_regionkey + 7) / 10 AS a, (r_regionkey + 1) / 2 AS nu,
         r_regionkey = 3 AS labor_mobility, r_regionkey % 2 = 0 AS annealing, true AS duality,
         r_regionkey % 2 = 1 AS allow_downgrade, r_regionkey < 2 AS productivity_floor,
-        CASE WHEN r_regionkey = 4 THEN 'cemac' END AS preset FROM region"""),
+        CASE WHEN r_regionkey = 4 THEN 'road' END AS preset FROM region"""),
 ]

@@ -46,10 +46,10 @@ def round_sig(x, digits: int = 7) -> Column:
 def perc_upgraded(new, old, iu, cap) -> Column:
     """Share of the headroom ``cap − old`` that was built, clamped to 0..100.
 
-    ``iu`` null means the edge is unbounded and the global ``cap`` is used instead.
+    ``iu`` null or not finite means the edge is unbounded and the global ``cap`` is used instead.
     """
     new, old, iu, cap = as_col(new), as_col(old), as_col(iu), as_col(cap)
-    limit = F.coalesce(iu, cap)
+    limit = F.coalesce(finite_or_null(iu), cap)
     gap = limit - old
     share = (new - old) / gap * F.lit(100.0)
     return (F.when(gap <= GAP_TOLERANCE,

@@ -49,7 +49,7 @@ def rescale_to_budget(arcs: DataFrame, K, infra_col: str = "ijk") -> DataFrame:
     """
     spent = budget_spent(arcs, infra_col)
     if isinstance(K, DataFrame):
-        scal = spent.crossJoin(K.select("K"))
+        scal = spent.crossJoin(K.agg(F.max("K").alias("K")))  # one row each
     else:
         scal = spent.withColumn("K", F.lit(float(K)))
     factor = F.try_divide(F.col("K"), F.col("spent"))
@@ -149,12 +149,13 @@ def welfare_gain(welfare_df: DataFrame, result: str = "result",
 def run_summary(welfare_row: DataFrame, info: DataFrame) -> DataFrame:
     """Welfare, baseline welfare, gain %, elapsed, K — all to 7 significant digits.
 
-    ``info`` is one row with ``elapsed`` and ``K``.
+    ``info`` has ``elapsed`` and ``K``. The gain is taken between the rounded welfare values.
     """
-    return welfare_row.crossJoin(F.broadcast(info)).select(
-        round_sig("welfare", 7).alias("welfare"),
-        round_sig("welfare_baseline", 7).alias("welfare_baseline"),
-        round_sig("welfare_gain_pct", 7).alias("welfare_gain_pct"),
+    one = info.agg(F.max("elapsed").alias("elapsed"), F.max("K").alias("K"))
+    w, w0 = round_sig("welfare", 7), round_sig("welfare_baseline", 7)
+    return welfare_row.crossJoin(F.broadcast(one)).select(
+        w.alias("welfare"), w0.alias("welfare_baseline"),
+        round_sig(pct_gain(w, w0), 7).alias("welfare_gain_pct"),
         round_sig("elapsed", 7).alias("elapsed"),
         round_sig("K", 7).alias("K"))
 

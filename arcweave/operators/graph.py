@@ -1,17 +1,14 @@
 """Connected components (B15) and reachability (B14) as rounds of joins.
 
-Min-label propagation with pointer jumping: each round every node takes the
-smallest label among itself and its neighbours, then jumps to its label's
-label. Labels only decrease, so the round is a fixpoint exactly when the label
-sum stops changing; that one number per round is all the driver sees.
-
-The arc table is checkpointed once and shuffled on ``src`` in every round's
-join on purpose: a hub node can own a large share of all arcs, and only a
-shuffle join lets AQE split that hot key over many tasks (the label side of a
-key is one row, so the split copies almost nothing). The minimum per node is a
-partial aggregate. Each round's labels are written with a reliable
-``checkpoint()`` to the cluster's checkpoint folder, which cuts the lineage and
-survives lost executors.
+Alternating large-star and small-star rounds: each round rewrites the edge table so that every
+node points at a smaller one, until all point at the smallest of their component. Repeated edges
+and loops go in every round, so a round costs what is still unsettled, and the number of rounds
+grows with the logarithm of the largest component.
+
+The minimum per node is a partial aggregate; the join that spreads it over a node's edges can be
+split by AQE's skew-join rule when a hub node owns a large share of them. Each round's edges are
+written with a reliable ``checkpoint()`` to the cluster's checkpoint folder, which cuts the
+lineage and survives lost executors; the driver sees one count and one checksum a round.
 """
 
 from __future__ import annotations
@@ -19,67 +16,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.operators.arcs import to_arcs
 from arcweave.session import ensure_checkpoint_dir
 
-SAFETY_ROUNDS = 10_000  # guard against a logic error, far above log-depth needs
 
+def _with_lowest(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): every pair with the smallest v of its u."""
+    return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
 
-def _label_sum():
-    """Exact label sum: decimal(38, 0) cannot overflow for any realistic id range,
-    where a long sum of billions of large ids could."""
-    return F.sum(F.col("label").cast("decimal(38,0)"))
 
+def _mark(edges: DataFrame) -> tuple:
+    # a decimal sum cannot overflow
+    return tuple(edges.agg(F.count(F.lit(1)),
+                           F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-def connected_components(nodes: DataFrame, edges: DataFrame, partitions: int | None = None,
-                         src: str = "from", dst: str = "to") -> DataFrame:
-    """``(node, component)`` where ``component`` is the smallest node id reachable."""
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    arcs = (to_arcs(edges.select(F.col(src).alias("from"), F.col(dst).alias("to")))
-            .filter(F.col("src") != F.col("dst"))
-            .checkpoint())
-    # Round 0 needs no join: a node's first label is the smallest id among
-    # itself and its neighbours, a partial min over the arc table.
-    first = arcs.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("nb"))
-    labels = (nodes.select(F.col("node").cast("long").alias("node"))
-              .distinct()
-              .join(first, "node", "left")
-              .select("node", F.least("node", F.coalesce("nb", "node")).alias("label"))
-              .repartition(n, "node")
-              .checkpoint())
-    prev = labels.agg(_label_sum()).first()[0]
+def _stars(edges: DataFrame) -> DataFrame:
+    """(u, v): every node of an edge but the smallest of its component, with that smallest one."""
+    now = edges.filter(F.col("u") != F.col("v")).select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    mark = _mark(now)
+    while mark[0]:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = (_with_lowest(both).filter(F.col("v") > F.col("u"))
+                 .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct().checkpoint())
+        low = _with_lowest(large)
+        now = (low.select(F.col("v").alias("u"), F.col("m").alias("v"))
+               .unionByName(low.select("u", F.col("m").alias("v")))
+               .filter(F.col("u") != F.col("v")).distinct().checkpoint())
+        before, mark = mark, _mark(now)
+        if mark == before:
+            break
+    return now
+
 
-    for _ in range(SAFETY_ROUNDS):
-        # 1. smallest neighbour label per node (partial min before the shuffle)
-        reach = (arcs.join(labels.withColumnRenamed("node", "src"), "src")
-                 .groupBy(F.col("dst").alias("node"))
-                 .agg(F.min("label").alias("nb")))
-        hop = (labels.join(reach, "node", "left")
-               .select("node", F.least("label", F.coalesce("nb", "label")).alias("label")))
-        # 2. pointer jumping: a node adopts its label's own label
-        jump = hop.select(F.col("node").alias("label"), F.col("label").alias("via"))
-        nxt = (hop.join(jump, "label", "left")
-               .select("node", F.least("label", F.coalesce("via", "label")).alias("label"))
-               .repartition(n, "node")
-               .checkpoint())
-        total = nxt.agg(_label_sum()).first()[0]
-        labels = nxt
-        if total == prev:
-            return labels.withColumnRenamed("label", "component")
-        prev = total
-    raise RuntimeError("connected components did not converge")
+def connected_components(nodes: DataFrame, edges: DataFrame,
+                         src: str = "from", dst: str = "to") -> DataFrame:
+    """``(node, component)`` where ``component`` is the smallest node id reachable."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    stars = _stars(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")))
+    return (nodes.select(F.col("node").cast("long").alias("node")).distinct()
+            .join(stars, F.col("node") == F.col("u"), "left")
+            .select("node", F.coalesce("v", "node").alias("component")))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:
     """Nodes per component."""
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
-
-
-def unreachable_nodes(components: DataFrame, root: int = 1) -> DataFrame:
-    """Nodes outside the root's component."""
-    root_c = components.filter(F.col("node") == root).select(F.col("component").alias("rc"))
-    return (components.crossJoin(F.broadcast(root_c))  # at most one row
-            .filter(F.col("component") != F.col("rc")).select("node"))

@@ -5,31 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 100_000
+SPREAD = 8
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count (one small count job).
+def attach_rows(df: DataFrame, params: DataFrame, spread: int = SPREAD) -> DataFrame:
+    """Every row of ``df`` once per row of a parameter table of any size.
 
-    Used for user parameter tables (scenarios, presets) whose size is not fixed
-    by construction; above the bound the planner chooses the join freely.
+    Each parameter row gets one of ``spread`` buckets by its hash, each row of ``df`` is generated
+    once per bucket, and the two meet in an equi-join on the bucket, which the planner broadcasts
+    or shuffles by the tables' sizes and can split where a bucket is large.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def attach_rows(df: DataFrame, small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Every row of ``df`` once per row of a small parameter table.
-
-    The small table is checked to hold at most ``max_rows`` rows, folded into a
-    one-row array (a scalar), attached by broadcast and exploded — a generator
-    per row instead of a join between two data tables.
-    """
-    n = small.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"parameter table has more than {max_rows} rows")
-    cols = small.columns
-    packed = small.agg(F.collect_list(F.struct(*cols)).alias("_rows"))
-    return (df.crossJoin(F.broadcast(packed))  # one row
-            .select(*df.columns, F.explode("_rows").alias("_r"))
-            .select(*df.columns, *[F.col(f"_r.{c}").alias(c) for c in cols]))
+    cols = params.columns
+    p = params.select(F.pmod(F.xxhash64(*cols), F.lit(spread)).alias("_bucket"),
+                      *[F.col(c).alias(f"_p_{c}") for c in cols])
+    wide = df.withColumn("_bucket", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    return wide.join(p, "_bucket").select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_p_{c}").alias(c) for c in cols])

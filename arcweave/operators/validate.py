@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.functions import parse_linestring
+from arcweave.functions import finite_or_null, parse_linestring
 from arcweave.operators.arcs import pair_hi, pair_lo
 
 FINDINGS_SCHEMA = "severity string, rule string, entity string, key long, message string"
@@ -31,6 +31,13 @@ EDGE_INT_COLS = ["from", "to"]
 EDGE_FLOAT_COLS = ["delta_i", "delta_tau", "Ijk"]
 EDGE_OPTIONAL_FLOAT = ["Il", "Iu"]
 
+HOUSING_ABSENT = "housing absent, derived from population"
+HOUSING_GAPS = "housing incomplete, derived from population"
+GEOMETRY_BAD = "geometry unreadable, drawn straight"
+# A number: digits with an optional point and exponent, or a word for a non-finite value.
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
+WHOLE = r"^[+-]?\d+$"
+
 
 def empty_findings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FINDINGS_SCHEMA)
@@ -76,8 +83,7 @@ def require_columns(df: DataFrame, required: list[str], entity: str) -> DataFram
     missing = [c for c in required if c not in df.columns]
     if not missing:
         return empty_findings(spark)
-    msg = (f"{entity.capitalize()} table is missing required column(s): {', '.join(missing)}. "
-           f"Required: {', '.join(required)}.")
+    msg = f"{entity}: absent {', '.join(missing)}; needed {', '.join(required)}"
     return spark.createDataFrame([("error", "B1", entity, None, msg)], FINDINGS_SCHEMA)
 
 
@@ -89,15 +95,19 @@ def _blank(raw: Column) -> Column:
 
 
 def coerced_double(raw: Column) -> Column:
-    """B2 value: text -> double; blank or unparseable -> null."""
-    return F.when(~_blank(raw), F.trim(raw.cast("string")).try_cast("double"))
+    """B2 value: text -> double; blank or no number (also ``5d``, ``1.5f``) -> null."""
+    text = F.trim(raw.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def coerced_long(raw: Column) -> Column:
-    """B3 value: text -> long via double; ``3.0`` accepted, ``3.7`` and non-finite -> null."""
+    """B3 value: text -> long. Plain digits are read exactly; ``3.0`` is accepted, ``3.7``,
+    non-finite and too large values -> null."""
+    text = F.trim(raw.cast("string"))
     d = coerced_double(raw)
-    ok = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))) & (F.floor(d) == d)
-    return F.when(ok, F.floor(d).cast("long"))
+    # NaN and the infinities are not below the bound
+    ok = d.isNotNull() & (F.abs(d) < F.lit(2.0 ** 63)) & (F.floor(d) == d)
+    return F.when(text.rlike(WHOLE), text.try_cast("long")).when(ok, F.floor(d).cast("long"))
 
 
 def coerce_table(raw: DataFrame, entity: str, int_cols: list[str], float_cols: list[str],
@@ -115,21 +125,21 @@ def coerce_table(raw: DataFrame, entity: str, int_cols: list[str], float_cols: l
         if c in int_cols or c in optional_int:
             typed_cols.append(coerced_long(col).alias(c))
             bad = ~_blank(col) & coerced_long(col).isNull()
-            kind = "is not an integer column"
+            kind = "holds something else than whole numbers"
         elif c in float_cols or c in optional_float:
             typed_cols.append(coerced_double(col).alias(c))
             bad = ~_blank(col) & coerced_double(col).isNull()
-            kind = "is not numeric"
+            kind = "holds something else than numbers"
         else:
             typed_cols.append(col)
             continue
         rule = "B3" if (c in int_cols or c in optional_int) else "B2"
         counters.append(F.count_if(bad).alias(f"bad_{c}"))
-        specs.append((f"bad_{c}", "error", rule, entity, f"Column '{c}' {kind}"))
+        specs.append((f"bad_{c}", "error", rule, entity, f"{c} {kind}"))
         if c in int_cols or c in float_cols:
             counters.append(F.count_if(_blank(col)).alias(f"miss_{c}"))
             specs.append((f"miss_{c}", "error", rule, entity,
-                          f"Column '{c}' contains missing values"))
+                          f"{c} has blanks"))
     typed = raw.select(*typed_cols)
     if not counters or not (present & set(int_cols + float_cols + list(optional_float)
                                           + list(optional_int))):
@@ -155,16 +165,25 @@ def typed_view(df: DataFrame, int_cols: list[str], float_cols: list[str]) -> Dat
 
 def resolve_housing_policy(nodes: DataFrame) -> DataFrame:
     """A warning when ``housing`` is absent or has a missing value (then it is ignored)."""
-    spark = nodes.sparkSession
     if "housing" not in nodes.columns:
-        return spark.createDataFrame(
-            [("warning", "B4", "nodes", None,
-              "No 'housing' column: using population x (1 - alpha) as housing.")],
-            FINDINGS_SCHEMA)
-    stats = nodes.agg(F.count_if(F.col("housing").isNull()).alias("n_missing"))
-    return _column_findings(stats, [(
-        "n_missing", "warning", "B4", "nodes",
-        "Column 'housing' has missing values: falling back to population x (1 - alpha)")])
+        # one row for a table with any row
+        any_row = nodes.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0)
+        return any_row.select(*_finding("warning", "B4", "nodes", None, F.lit(HOUSING_ABSENT)))
+    stats = nodes.agg(F.count_if(_blank(F.col("housing"))).alias("n_missing"))
+    return _column_findings(stats, [("n_missing", "warning", "B4", "nodes", HOUSING_GAPS)])
+
+
+def drop_incomplete_housing(nodes: DataFrame) -> DataFrame:
+    """The node table without ``housing`` values if any of them is missing.
+
+    The column stays (as nulls) so that the schema does not depend on the data; all users of
+    housing treat a column with nulls as absent.
+    """
+    if "housing" not in nodes.columns:
+        return nodes
+    gaps = nodes.agg(F.count_if(_blank(F.col("housing"))).alias("_gaps"))  # one row
+    return (nodes.crossJoin(F.broadcast(gaps))
+            .withColumn("housing", F.when(F.col("_gaps") == 0, F.col("housing"))).drop("_gaps"))
 
 
 # ------------------------------------------------------------------ B5 – B9, B16
@@ -186,18 +205,17 @@ def check_consecutive_ids(nodes: DataFrame) -> DataFrame:
     bad = ~((F.col("lo") == 1) & (F.col("hi") == F.col("j")) & (F.col("nd") == F.col("j")))
     return s.filter(bad & (F.col("j") > 0)).select(*_finding(
         "error", "B5", "nodes", None,
-        F.concat(F.lit("Node ids must be consecutive integers 1..J (found "), _txt(F.col("j")),
-                 F.lit(" rows, ids "), _txt(F.col("lo")), F.lit(".."), _txt(F.col("hi")),
-                 F.lit(")."))))
+        F.concat(F.lit("numbering has holes or repeats: rows "), _txt(F.col("j")),
+                 F.lit(", lowest "), _txt(F.col("lo")), F.lit(", highest "), _txt(F.col("hi")))))
 
 
 NODE_RULES = [
     # (counter, severity, rule, message) ; predicates built in check_node_values
-    ("lon", "B6", "Column 'lon' has values outside [-180, 180]"),
-    ("lat", "B6", "Column 'lat' has values outside [-90, 90]"),
-    ("population", "B7", "Column 'population' must be strictly positive"),
-    ("productivity", "B7", "Column 'productivity' must be non-negative"),
-    ("product", "B8", "Column 'product' must contain integers in 1..N"),
+    ("lon", "B6", "lon beyond 180 degrees"),
+    ("lat", "B6", "lat beyond 90 degrees"),
+    ("population", "B7", "population zero or less"),
+    ("productivity", "B7", "productivity below zero"),
+    ("product", "B8", "product below one"),
 ]
 
 
@@ -221,13 +239,13 @@ def check_edge_values(edges: DataFrame) -> DataFrame:
     """B9 (and B16 when a ``geometry`` column exists) in one aggregate pass."""
     c = F.col
     aggs = [F.count_if(_fails(c(k), c(k) >= 0)).alias(f"n_{k}") for k in EDGE_FLOAT_COLS]
-    specs = [(f"n_{k}", "error", "B9", "edges", f"Column '{k}' must be non-negative")
+    specs = [(f"n_{k}", "error", "B9", "edges", f"{k} below zero")
              for k in EDGE_FLOAT_COLS]
     if "geometry" in edges.columns:
         g = c("geometry")
         aggs.append(F.count_if(g.isNotNull() & parse_linestring(g).isNull()).alias("n_geom"))
         specs.append(("n_geom", "warning", "B16", "edges",
-                      "Geometry values could not be parsed as LINESTRING: straight lines are used"))
+                      GEOMETRY_BAD))
     return _column_findings(edges.agg(*aggs), specs)
 
 
@@ -236,17 +254,12 @@ def check_geometry(edges: DataFrame) -> DataFrame:
     g = F.col("geometry")
     stats = edges.agg(F.count_if(g.isNotNull() & parse_linestring(g).isNull()).alias("n_geom"))
     return _column_findings(stats, [("n_geom", "warning", "B16", "edges",
-                                     "Geometry values could not be parsed as LINESTRING: "
-                                     "straight lines are used")])
+                                     GEOMETRY_BAD)])
 
 
 # ------------------------------------------------------------------ B10 – B13
 
 
-def _edge_label(prefix: str = "Edge ") -> Column:
-    return F.concat(F.lit(prefix), _txt(F.col("from")), F.lit(" - "), _txt(F.col("to")))
-
-
 def reference_flags(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with ``ref_ok``: both endpoints exist in ``nodes``.
 
@@ -262,53 +275,97 @@ def reference_flags(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .drop("_f_ok", "_t_ok"))
 
 
+def _row_finding(when: Column, severity: str, rule: str, message: Column) -> Column:
+    """One finding about an edge row, or null."""
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"),
+                                 F.lit("edges").alias("entity"),
+                                 F.col("edge_id").cast("long").alias("key"),
+                                 message.alias("message")))
+
+
+def _edge(*rest) -> Column:
+    return F.concat(F.lit("edge "), _txt(F.col("edge_id")), *[
+        F.lit(x) if isinstance(x, str) else _txt(x) for x in rest])
+
+
+def _reference_rule(bad: Column) -> Column:
+    return _row_finding(bad, "error", "B10", _edge(": unknown endpoint, ", F.col("from"), " > ", F.col("to")))
+
+
+def _loop_rule(good: Column) -> Column:
+    return _row_finding(good & (F.col("from") == F.col("to")), "error", "B11",
+                        _edge(": both ends at ", F.col("from")))
+
+
+def _duplicate_rule(good: Column) -> Column:
+    return _row_finding(good & (F.col("edge_id") != F.col("first_id")), "error", "B12",
+                        _edge(" repeats edge ", F.col("first_id"), " between ", F.col("from"),
+                              " and ", F.col("to")))
+
+
+def _bound_rules(good: Column, columns: list[str]) -> list[Column]:
+    """Non-finite bounds mean "unbounded" and are no finding."""
+    ijk, out = F.col("Ijk"), []
+    if "Il" in columns:
+        out.append(_row_finding(good & (finite_or_null(F.col("Il")) > ijk), "warning", "B13",
+                                _edge(": Il above Ijk, cut to Ijk")))
+    if "Iu" in columns:
+        out.append(_row_finding(good & (finite_or_null(F.col("Iu")) < ijk), "warning", "B13",
+                                _edge(": Iu below Ijk, lifted to Ijk")))
+    return out
+
+
+def _emit(edges: DataFrame, rules: list[Column]) -> DataFrame:
+    """All row rules of the edges in one pass."""
+    if not rules:
+        return empty_findings(edges.sparkSession)
+    return edges.select(F.inline(F.filter(F.array(*rules), lambda x: x.isNotNull())))
+
+
 def check_references(flagged: DataFrame) -> DataFrame:
     """One error per edge whose endpoint is not a node (input from ``reference_flags``)."""
-    return flagged.filter(~F.col("ref_ok")).select(*_finding(
-        "error", "B10", "edges", F.col("edge_id"),
-        F.concat(F.lit("Edge "), _txt(F.col("edge_id")),
-                 F.lit(" references a node id that does not exist ("), _txt(F.col("from")),
-                 F.lit(" -> "), _txt(F.col("to")), F.lit(")."))))
+    return _emit(flagged, [_reference_rule(~F.col("ref_ok"))])
 
 
 def check_self_loops(edges: DataFrame) -> DataFrame:
     """One error per self-loop ``from = to``."""
-    return edges.filter(F.col("from") == F.col("to")).select(*_finding(
-        "error", "B11", "edges", F.col("edge_id"),
-        F.concat(F.lit("Edge "), _txt(F.col("edge_id")), F.lit(" is a self-loop at node "),
-                 _txt(F.col("from")), F.lit("."))))
+    return _emit(edges, [_loop_rule(F.lit(True))])
 
 
-def check_duplicates(edges: DataFrame) -> DataFrame:
-    """Second and later occurrences of an undirected pair (by ``edge_id`` order).
+def with_first_of_pair(edges: DataFrame) -> DataFrame:
+    """Edges with ``first_id``: the smallest ``edge_id`` of their undirected pair, null if it is the only one.
 
     ``min(edge_id)`` per pair is a partial aggregate (a pair holding a third of
     all rows is combined map-side); only pairs seen more than once join back.
     """
-    keyed = edges.select("edge_id", "from", "to", pair_lo().alias("lo"), pair_hi().alias("hi"))
-    firsts = (keyed.groupBy("lo", "hi")
-              .agg(F.min("edge_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > 1))
-    dups = keyed.join(firsts, ["lo", "hi"]).filter(F.col("edge_id") != F.col("first_id"))
-    return dups.select(*_finding(
-        "error", "B12", "edges", F.col("edge_id"),
-        F.concat(F.lit("Duplicate edge "), _txt(F.col("from")), F.lit(" - "), _txt(F.col("to")),
-                 F.lit(" (edge "), _txt(F.col("edge_id")), F.lit("; first seen as edge "),
-                 _txt(F.col("first_id")), F.lit("). The graph is undirected: list each edge once."))))
+    keyed = edges.withColumn("_lo", pair_lo()).withColumn("_hi", pair_hi())
+    firsts = (keyed.groupBy("_lo", "_hi")
+              .agg(F.min("edge_id").alias("first_id"), F.count(F.lit(1)).alias("_n"))
+              .filter(F.col("_n") > 1).drop("_n"))
+    return keyed.join(firsts, ["_lo", "_hi"], "left").drop("_lo", "_hi")
+
+
+def check_duplicates(edges: DataFrame) -> DataFrame:
+    """Second and later occurrences of an undirected pair (by ``edge_id`` order)."""
+    return _emit(with_first_of_pair(edges.select("edge_id", "from", "to")), [_duplicate_rule(F.lit(True))])
 
 
 def check_bounds(edges: DataFrame) -> DataFrame:
     """``Il > Ijk`` and ``Iu < Ijk`` are warnings (values are clamped later)."""
-    parts = []
-    if "Il" in edges.columns:
-        parts.append(edges.filter(F.col("Il") > F.col("Ijk")).select(*_finding(
-            "warning", "B13", "edges", F.col("edge_id"),
-            F.concat(_edge_label(), F.lit(": Il > Ijk; the lower bound is clamped to Ijk.")))))
-    if "Iu" in edges.columns:
-        parts.append(edges.filter(F.col("Iu") < F.col("Ijk")).select(*_finding(
-            "warning", "B13", "edges", F.col("edge_id"),
-            F.concat(_edge_label(), F.lit(": Iu < Ijk; the upper bound is raised to Ijk.")))))
-    return union_findings(parts) if parts else empty_findings(edges.sparkSession)
+    return _emit(edges, _bound_rules(F.lit(True), edges.columns))
+
+
+def check_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """B10–B13 in one pass; an edge with an unknown endpoint gets no other finding.
+
+    All edges of a pair have the same endpoints, so the first of a pair can be
+    found before the endpoints are known to be good.
+    """
+    cols = ["edge_id", "from", "to", "Ijk", *[c for c in EDGE_OPTIONAL_FLOAT if c in edges.columns]]
+    flagged = reference_flags(with_first_of_pair(edges.select(*cols)), nodes)
+    good = F.col("ref_ok")
+    return _emit(flagged, [_reference_rule(~good), _loop_rule(good), _duplicate_rule(good),
+                           *_bound_rules(good, cols)])
 
 
 # ------------------------------------------------------------------ B14 (needs B15)
@@ -321,19 +378,20 @@ def unreachable_finding(components: DataFrame, root: int = 1) -> DataFrame:
          .agg(F.count_if(F.col("component") != F.col("rc")).alias("n_unreachable")))
     return n.filter(F.col("n_unreachable") > 0).select(*_finding(
         "warning", "B14", "nodes", None,
-        F.concat(_txt(F.col("n_unreachable")),
-                 F.lit(f" node(s) are disconnected from node {root}."))))
+        F.concat(F.lit(f"nodes without a path to {root}: "), _txt(F.col("n_unreachable")))))
 
 
 # ------------------------------------------------------------------ B17, B18
 
 
 def findings_summary(findings: DataFrame) -> DataFrame:
-    """One row ``n_errors, n_warnings, valid``."""
+    """One row ``n_errors, n_warnings, valid``. A network that lacks a table (the finding with
+    severity ``info``) is not valid."""
     return findings.agg(
         F.count_if(F.col("severity") == "error").alias("n_errors"),
-        F.count_if(F.col("severity") == "warning").alias("n_warnings")).withColumn(
-        "valid", F.col("n_errors") == 0)
+        F.count_if(F.col("severity") == "warning").alias("n_warnings"),
+        F.count_if(F.col("severity") == "info").alias("_half")).withColumn(
+        "valid", (F.col("n_errors") == 0) & (F.col("_half") == 0)).drop("_half")
 
 
 def network_summary(nodes: DataFrame | None, edges: DataFrame | None) -> DataFrame:
@@ -360,21 +418,24 @@ def check_solution(arcs: DataFrame, K, rtol: float = 1e-3, atol: float = 1e-6,
 
     ``arcs`` carries ``delta_i, Il, Iu`` (effective bounds, null = unbounded) and
     the solved infrastructure; ``K`` is a number or a one-row frame with ``K``.
-    Returns one row: spent, budget, budget_ok, n_below, n_above.
+    Returns one row: spent, budget, budget_ok, n_below, n_above, and n_percent (rows whose
+    ``perc_upgraded``, if there is such a column, is outside 0..100).
     """
     i = F.col(infra_col)
+    percent = F.col("perc_upgraded") if "perc_upgraded" in arcs.columns else F.lit(None).cast("double")
     stats = arcs.agg(
         F.sum(F.col("delta_i") * i).alias("spent"),
         F.count_if(i < F.col("Il") - atol).alias("n_below"),
-        F.count_if(F.col("Iu").isNotNull() & (i > F.col("Iu") + atol)).alias("n_above"))
+        F.count_if(F.col("Iu").isNotNull() & (i > F.col("Iu") + atol)).alias("n_above"),
+        F.count_if(~percent.between(-atol, 100 + atol)).alias("n_percent"))
     if isinstance(K, DataFrame):
-        stats = stats.crossJoin(F.broadcast(K.select("K")))  # one row
+        stats = stats.crossJoin(F.broadcast(K.agg(F.max("K").alias("K"))))  # one row
     else:
         stats = stats.withColumn("K", F.lit(float(K)))
     budget = F.col("K") * 2
     return stats.select("spent", budget.alias("budget"),
                         (F.abs(F.col("spent") - budget) <= F.lit(rtol) * budget).alias("budget_ok"),
-                        "n_below", "n_above")
+                        "n_below", "n_above", "n_percent")
 
 
 def check_params(scenarios: DataFrame) -> DataFrame:
@@ -382,15 +443,15 @@ def check_params(scenarios: DataFrame) -> DataFrame:
     c = F.col
     rules = [
         ("warning", (c("gamma") > c("beta")) & ~c("annealing"),
-         "gamma > beta is non-convex: consider annealing"),
+         "gamma above beta without annealing"),
         ("error", c("duality") & (c("labor_mobility") | (c("beta") > 1)),
-         "the duality solver needs fixed labour and beta <= 1"),
-        ("error", c("a") > 1, "a must be <= 1 for convexity"),
-        ("error", c("nu") < 1, "nu must be >= 1"),
-        ("error", (c("alpha") <= 0) | (c("alpha") >= 1), "alpha must lie in (0, 1)"),
+         "duality with mobile labour or beta above 1"),
+        ("error", c("a") > 1, "a above 1"),
+        ("error", c("nu") < 1, "nu below 1"),
+        ("error", (c("alpha") <= 0) | (c("alpha") >= 1), "alpha not between 0 and 1"),
     ]
     parts = [scenarios.filter(pred).select(*_finding(
         sev, "B20", "scenarios", c("scenario_id"),
-        F.concat(F.lit("Scenario "), _txt(c("scenario_id")), F.lit(": " + msg + "."))))
+        F.concat(F.lit("scenario "), _txt(c("scenario_id")), F.lit(": " + msg))))
         for sev, pred, msg in rules]
     return union_findings(parts)

@@ -1,9 +1,8 @@
 """Model tables (F3), scenario parameters (C19) and scenario sweeps.
 
 Parameters are rows of a scenario table, not driver-side constants, so one job
-evaluates any number of scenarios: the network is crossed with the scenario
-table (broadcast after a row-count check, see ``broadcast_if_small``) and
-``scenario_id`` joins every key.
+evaluates any number of scenarios: every row of the network meets every scenario
+(``attach_rows``) and ``scenario_id`` joins every key.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions.util import finite_or_null
-from arcweave.operators.arcs import effective_bounds, effective_housing, productivity_long, to_arcs
-from arcweave.operators.util import attach_rows, broadcast_if_small
+from arcweave.operators.arcs import (effective_bounds, effective_housing, housing_policy,
+                                     productivity_long, to_arcs)
+from arcweave.operators.util import attach_rows
 from arcweave.sources.fixtures import NetworkTables
 
 # Parameter defaults of the reference's form, and the named
@@ -27,7 +27,7 @@ PARAM_DEFAULTS = {
     "duality": True, "compute_baseline": True, "allow_downgrade": False,
     "productivity_floor": True,
 }
-CEMAC_PRESET = {
+ROAD_PRESET = {
     "alpha": 0.7, "beta": 1.0, "gamma": 1.2, "rho": 0.0, "sigma": 3.8, "a": 1.0, "nu": 2.0,
     "cross_good_congestion": False, "annealing": False, "duality": True, "tol": 5.0,
     "min_iter": 15.0, "max_iter": 45.0, "productivity_floor": True,
@@ -43,7 +43,7 @@ def presets_table(spark: SparkSession) -> DataFrame:
     fields = NUMERIC + FLAGS
     schema = ("preset string, " + ", ".join(f"{f} double" for f in NUMERIC) + ", "
               + ", ".join(f"{f} boolean" for f in FLAGS))
-    row = ["cemac"] + [CEMAC_PRESET.get(f) for f in fields]
+    row = ["road"] + [ROAD_PRESET.get(f) for f in fields]
     return spark.createDataFrame([tuple(row)], schema)
 
 
@@ -57,7 +57,7 @@ def derive_params(scenarios: DataFrame, presets: DataFrame | None = None) -> Dat
     s = scenarios
     if presets is not None and "preset" in s.columns:
         p = presets.select("preset", *[F.col(f).alias(f"p_{f}") for f in NUMERIC + FLAGS])
-        s = s.join(broadcast_if_small(p), "preset", "left")
+        s = s.join(p, "preset", "left")
     cols = [F.col("scenario_id")]
     for f in NUMERIC + FLAGS:
         own = F.col(f) if f in scenarios.columns else F.lit(None)
@@ -85,9 +85,11 @@ def model_tables(net: NetworkTables, params: DataFrame | None = None,
     """directed arcs with effective bounds (G1 + C7), node × good productivity
     (D7), labour and housing (C8).
 
-    Without ``params`` the scalar arguments apply; with a scenario table the
-    per-scenario flags and ``alpha`` are used (see ``sweep_model_tables``).
+    Without ``params`` the scalar arguments apply; a scenario table (one row or many) gives
+    tables keyed by ``scenario_id`` with its flags and ``alpha`` (``sweep_model_tables``).
     """
+    if params is not None:
+        return sweep_model_tables(net, params)
     edges = net.edges.select("from", "to", "delta_i", "delta_tau", "Ijk",
                              *[c for c in ("Il", "Iu") if c in net.edges.columns])
     arcs = to_arcs(effective_bounds(edges, allow_downgrade)).select(
@@ -102,8 +104,9 @@ def model_tables(net: NetworkTables, params: DataFrame | None = None,
 def sweep_model_tables(net: NetworkTables, params: DataFrame) -> ModelTables:
     """D8 + F3: model tables for every scenario at once, keyed by ``scenario_id``.
 
-    The scenario table is broadcast after a size check; downgrading,
-    the productivity floor and ``alpha`` are evaluated per row.
+    Downgrading, the productivity floor and ``alpha`` are evaluated per row. Only scenarios
+    with the floor get all goods of a node; the others its own good. ``housing`` is used as in
+    ``effective_housing``.
     """
     sc = params.select("scenario_id", "allow_downgrade", "productivity_floor", "alpha")
     edges = net.edges
@@ -121,27 +124,30 @@ def sweep_model_tables(net: NetworkTables, params: DataFrame) -> ModelTables:
                              F.col("Ijk").alias("I0"), F.col("Il_eff").alias("Il"),
                              F.col("Iu_eff").alias("Iu"))
     nodes = net.nodes
-    own = F.col("product") if "product" in nodes.columns else F.lit(1)
+    own = (F.col("product") if "product" in nodes.columns else F.lit(1)).cast("int").alias("own")
     n_goods = F.broadcast(nodes.agg(F.max(own).alias("_n_goods")))  # one row
-    grid = (nodes.crossJoin(n_goods)
-            .withColumn("good", F.explode(F.sequence(F.lit(1), F.col("_n_goods"))))
-            .drop("_n_goods"))
-    z_own = F.when(F.col("good") == own, F.col("productivity")).otherwise(F.lit(0.0))
-    prod = (attach_rows(grid, sc)
-            .select("scenario_id", "node", F.col("good").cast("int").alias("good"),
-                    F.when(F.col("productivity_floor"),
-                           F.greatest(z_own, F.lit(PRODUCTIVITY_FLOOR))).otherwise(z_own)
-                    .alias("z"))
-            .filter(F.col("z") != 0))
-    lab = attach_rows(nodes, sc).select(
+    facts = nodes.select("node", own, "productivity").crossJoin(n_goods)
+    every = attach_rows(facts, sc.select("scenario_id", "productivity_floor"))
+    goods = F.when(F.col("productivity_floor"), F.sequence(F.lit(1), F.col("_n_goods"))).otherwise(
+        F.array("own"))
+    z_own = F.when(F.col("good") == F.col("own"), F.col("productivity")).otherwise(F.lit(0.0))
+    prod = every.withColumn("good", F.explode(goods)).select(
+        "scenario_id", "node", "good",
+        F.when(F.col("productivity_floor"), F.greatest(z_own, F.lit(PRODUCTIVITY_FLOOR)))
+        .otherwise(z_own).alias("z"))
+    housing = F.col("housing") if "housing" in nodes.columns else F.lit(None).cast("double")
+    homes = (nodes.select("node", "population", housing.alias("housing"))
+             .crossJoin(F.broadcast(housing_policy(nodes))))  # one row
+    lab = attach_rows(homes, sc.select("scenario_id", "alpha")).select(
         "scenario_id", "node", F.col("population").alias("Lj"),
-        (F.col("population") * (F.lit(1.0) - F.col("alpha"))).alias("Hj"))
+        F.when(F.col("housing_ok"), F.col("housing"))
+        .otherwise(F.col("population") * (F.lit(1.0) - F.col("alpha"))).alias("Hj"))
     return ModelTables(arcs, prod, lab)
 
 
 def sweep(df: DataFrame, params: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Evaluate any per-row operator for many scenarios: cross the table with the
-    broadcast scenario table; callers add ``scenario_id`` to every key."""
+    """Evaluate any per-row operator for many scenarios: every row meets every scenario;
+    callers add ``scenario_id`` to every key."""
     p = params.select("scenario_id", *(cols or [c for c in params.columns
                                                if c != "scenario_id"]))
     return attach_rows(df, p)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from arcweave.functions import normalise, round_sig, transform_value
 from arcweave.operators.aggregates import scale_domains
@@ -18,14 +18,16 @@ SKIP_PROPS = ("lon", "lat", "line", "geometry")
 
 
 def feature_properties(df: DataFrame, skip: tuple[str, ...] = SKIP_PROPS) -> Column:
-    """Struct of all columns but coordinates; numbers to 7 significant digits
-    (non-finite -> null), other values as text."""
+    """Struct of all columns but coordinates; whole numbers (ids, counts) exact, other
+    numbers to 7 significant digits (non-finite -> null), other values as text."""
     fields = []
     for f in df.schema.fields:
         if f.name in skip:
             continue
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, NumericType):
+        if isinstance(f.dataType, IntegralType):
+            fields.append(c.cast("long").alias(f.name))
+        elif isinstance(f.dataType, NumericType):
             fields.append(round_sig(c.cast("double"), 7).alias(f.name))
         else:
             fields.append(c.cast("string").alias(f.name))

@@ -3,8 +3,8 @@
 F1 plan shape: the two fact tables (``arc_infra`` and ``arc_flow``) are each
 pre-aggregated on the canonical pair — one shuffle each, with map-side partial
 aggregation so hot pairs are combined before the exchange — and joined to the
-edge list on the same key. The only other work is a one-row cap aggregate that
-is attached by broadcast (from the edge table alone when any ``Iu`` is finite).
+edge list on the same key. The only other work is two one-row aggregates for the
+cap, of the edge table and of the aggregated pairs, attached by broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions import finite_or_null, increase, pct_gain, perc_upgraded
-from arcweave.operators.aggregates import edge_flows_wide, global_cap, node_production
+from arcweave.operators.aggregates import edge_flows_wide, node_production
 from arcweave.operators.arcs import symmetrise, with_pair
 from arcweave.sources.fixtures import NetworkTables
 
@@ -53,15 +53,13 @@ def edge_table(net: NetworkTables, arc_infra: DataFrame | None = None,
            .withColumn("Ijk", F.coalesce(F.col("ijk_sym"), F.lit(0.0))).drop("ijk_sym")
            .withColumn("increase", increase("Ijk", "Ijk_orig")))
 
-    # E5. The usual case, some finite Iu, needs only the edge table; the join
-    # result is aggregated for the cap only when no edge has a finite Iu. The
-    # branch costs one scalar read of a single pruned column.
-    iu_cap = base.agg(F.max(finite_or_null(F.col("Iu"))).alias("cap"))
-    if iu_cap.first()["cap"] is not None:
-        cap = F.broadcast(iu_cap)  # one row
-    else:
-        cap = F.broadcast(global_cap(out))  # one row
-    out = (out.crossJoin(cap)
+    # E5: the largest finite Iu, or else the largest old or new infrastructure of an edge
+    old = base.agg(F.max(finite_or_null(F.col("Iu"))).alias("_iu"), F.max("Ijk_orig").alias("_old"))
+    new = (base.select("pair_lo", "pair_hi").join(infra, ["pair_lo", "pair_hi"])
+           .agg(F.max("ijk_sym").alias("_new")))
+    cap = old.crossJoin(new).select(  # one row each
+        F.coalesce("_iu", F.greatest("_old", F.coalesce("_new", F.lit(0.0)))).alias("cap"))
+    out = (out.crossJoin(F.broadcast(cap))
            .withColumn("perc_upgraded", perc_upgraded("Ijk", "Ijk_orig", "Iu", "cap"))
            .drop("cap"))
 

@@ -1,4 +1,10 @@
-"""Validate a network end to end into one findings table."""
+"""Validate a network end to end into one findings table.
+
+The rules run in stages, and a stage with errors ends the checks that build on it: required
+columns, then types, then values for each table, then the rules across both tables if both were
+accepted, then reachability. Between stages the driver asks whether the stage's findings hold an
+error. Findings are a few rows per column or one per bad edge; each stage is stored once.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ from pyspark.sql import functions as F
 
 from arcweave.operators import validate as V
 from arcweave.operators.graph import connected_components
+from arcweave.session import ensure_checkpoint_dir
 from arcweave.sources.fixtures import NetworkTables
 
 
@@ -15,72 +22,89 @@ def type_network(net: NetworkTables, raw: bool) -> tuple[NetworkTables, list[Dat
     findings = []
     nodes = edges = None
     if net.nodes is not None:
-        b1 = V.require_columns(net.nodes, V.NODE_REQUIRED, "nodes")
-        findings.append(b1)
-        if all(c in net.nodes.columns for c in V.NODE_REQUIRED):
-            if raw:
-                nodes, f = V.coerce_table(net.nodes, "nodes", V.NODE_INT_COLS, V.NODE_FLOAT_COLS,
-                                          optional_float=["housing"], optional_int=["product"])
-                findings.append(f)
-            else:
-                nodes = V.typed_view(net.nodes, V.NODE_INT_COLS + ["product"],
-                                     V.NODE_FLOAT_COLS + ["housing"])
+        nodes, found = _typed(net.nodes, "nodes", raw)
+        findings += found
     if net.edges is not None:
-        findings.append(V.require_columns(net.edges, V.EDGE_REQUIRED, "edges"))
-        if all(c in net.edges.columns for c in V.EDGE_REQUIRED):
-            if raw:
-                edges, f = V.coerce_table(net.edges, "edges", V.EDGE_INT_COLS, V.EDGE_FLOAT_COLS,
-                                          optional_float=V.EDGE_OPTIONAL_FLOAT)
-                findings.append(f)
-            else:
-                edges = V.typed_view(net.edges, V.EDGE_INT_COLS,
-                                     V.EDGE_FLOAT_COLS + V.EDGE_OPTIONAL_FLOAT)
+        edges, found = _typed(net.edges, "edges", raw)
+        findings += found
     return NetworkTables(nodes, edges), findings
 
 
+def _typed(df: DataFrame, entity: str, raw: bool) -> tuple[DataFrame | None, list[DataFrame]]:
+    is_nodes = entity == "nodes"
+    required = V.NODE_REQUIRED if is_nodes else V.EDGE_REQUIRED
+    ints = V.NODE_INT_COLS if is_nodes else V.EDGE_INT_COLS
+    floats = V.NODE_FLOAT_COLS if is_nodes else V.EDGE_FLOAT_COLS
+    more_floats = ["housing"] if is_nodes else V.EDGE_OPTIONAL_FLOAT
+    more_ints = ["product"] if is_nodes else []
+    missing = V.require_columns(df, required, entity)
+    if any(c not in df.columns for c in required):
+        return None, [missing]
+    if raw:
+        typed, found = V.coerce_table(df, entity, ints, floats, optional_float=more_floats, optional_int=more_ints)
+        return typed, [missing, found]
+    return V.typed_view(df, ints + more_ints, floats + more_floats), [missing]
+
+
 def cross_checks(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
     """References first; rows with a bad endpoint skip the other edge rules."""
-    flagged = V.reference_flags(edges, nodes)
-    good = flagged.filter(F.col("ref_ok")).drop("ref_ok")
-    return [V.check_references(flagged), V.check_self_loops(good), V.check_duplicates(good),
-            V.check_bounds(good)]
+    return [V.check_edges(edges, nodes)]
+
+
+class _Stages:
+    """Findings so far; ``passes`` stores a stage and tells whether it has no error."""
+
+    def __init__(self) -> None:
+        self.parts: list[DataFrame] = []
+
+    def passes(self, *findings: DataFrame) -> bool:
+        stage = V.union_findings(list(findings)).checkpoint()
+        self.parts.append(stage)
+        return stage.filter(F.col("severity") == "error").isEmpty()
+
+
+def accept_nodes(stages: _Stages, raw_nodes: DataFrame, raw: bool) -> DataFrame | None:
+    """The typed node table, or None if a rule of its own found an error."""
+    nodes, found = _typed(raw_nodes, "nodes", raw)
+    if nodes is None:
+        stages.passes(*found)
+        return None
+    policy = V.resolve_housing_policy(raw_nodes)
+    if not stages.passes(*found, policy):
+        return None
+    nodes = V.drop_incomplete_housing(nodes)
+    if not stages.passes(V.check_consecutive_ids(nodes)):
+        return None
+    return nodes if stages.passes(V.check_node_values(nodes)) else None
+
+
+def accept_edges(stages: _Stages, raw_edges: DataFrame, raw: bool) -> DataFrame | None:
+    """The typed edge table, or None if a rule of its own found an error."""
+    edges, found = _typed(raw_edges, "edges", raw)
+    if edges is None or not stages.passes(*found):
+        if edges is None:
+            stages.passes(*found)
+        return None
+    return edges if stages.passes(V.check_edge_values(edges)) else None
 
 
 def validate_network(net: NetworkTables, raw: bool = False, root: int = 1,
                      reachability: bool = True) -> DataFrame:
     """All rules into one findings table.
 
-    A nodes-only or edges-only network gets its own rules and a note; it is never
-    valid. Reachability (B14) runs only when no error was found, as in the
-    reference: that decision needs one error count on the driver.
+    A nodes-only or edges-only network gets its own rules and a finding of severity ``info``,
+    which makes ``findings_summary`` report it as not valid.
     """
     spark: SparkSession = (net.nodes if net.nodes is not None else net.edges).sparkSession
-    typed, findings = type_network(net, raw)
-    nodes, edges = typed.nodes, typed.edges
-    if nodes is not None:
-        findings += [V.resolve_housing_policy(nodes), V.check_consecutive_ids(nodes),
-                     V.check_node_values(nodes)]
-    if edges is not None:
-        findings.append(V.check_edge_values(edges))
-    if nodes is not None and edges is not None:
-        findings += cross_checks(nodes, edges)
-    elif net.nodes is None or net.edges is None:
-        which = "edges" if net.nodes is None else "nodes"
-        other = "nodes" if net.nodes is None else "edges"
-        findings.append(spark.createDataFrame(
-            [("info", "B17", which, None, f"{which.capitalize()} loaded: waiting for the "
-              f"{other} table.")], V.FINDINGS_SCHEMA))
-    out = V.union_findings(findings)
-    if reachability and nodes is not None and edges is not None:
-        # Stored once: the error check and the returned table read the same rows.
-        out = out.checkpoint()
-        n_err = out.filter(F.col("severity") == "error").limit(1).count()
-        if n_err == 0:
-            comps = connected_components(nodes, edges)
-            out = out.unionByName(V.unreachable_finding(comps, root))
-    return out
-
-
-def is_valid(findings: DataFrame, both_loaded: bool = True) -> DataFrame:
-    """One row ``valid`` — no errors and both tables present."""
-    return V.findings_summary(findings).withColumn("valid", F.col("valid") & F.lit(both_loaded))
+    ensure_checkpoint_dir(spark)
+    stages = _Stages()
+    nodes = None if net.nodes is None else accept_nodes(stages, net.nodes, raw)
+    edges = None if net.edges is None else accept_edges(stages, net.edges, raw)
+    if net.nodes is None or net.edges is None:
+        here, other = ("edges", "nodes") if net.nodes is None else ("nodes", "edges")
+        stages.parts.append(spark.createDataFrame(
+            [("info", "B17", here, None, f"{here} present, {other} absent")], V.FINDINGS_SCHEMA))
+    elif nodes is not None and edges is not None:
+        if stages.passes(*cross_checks(nodes, edges)) and reachability:
+            stages.parts.append(V.unreachable_finding(connected_components(nodes, edges), root))
+    return V.union_findings(stages.parts)

@@ -67,9 +67,11 @@ def types_variant(spark: SparkSession, sf_dir: str) -> NetworkTables:
         F.when(node % 31 == 0, F.lit("")).otherwise(_txt(F.col("lon"))).alias("lon"),
         _txt(F.col("lat")).alias("lat"),
         _txt(F.col("population")).alias("population"),
-        F.when(node % 13 == 0, F.lit("x")).otherwise(_txt(F.col("productivity"))).alias(
+        F.when(node % 13 == 0, F.lit("x")).when(node % 13 == 1, F.lit("5d"))
+        .when(node % 13 == 2, F.lit("1.5f")).otherwise(_txt(F.col("productivity"))).alias(
             "productivity"),
-        F.when(node % 11 == 0, F.lit("3.7")).otherwise(_txt(F.col("product"))).alias("product"),
+        F.when(node % 11 == 0, F.lit("3.7")).when(node % 11 == 1, F.lit("9007199254740993"))
+        .when(node % 11 == 2, F.lit("3.0")).otherwise(_txt(F.col("product"))).alias("product"),
         F.col("name"))
     e = trade_edges(spark, sf_dir)
     raw_e = e.select(
@@ -215,12 +217,11 @@ def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "event_id",
         F.when(t == "purchase", F.concat(F.lit("[app] Solve finished in "),
                                          fixed_point_text(tenths, 1), F.lit(" s.")))
-        .when((t == "click") & (v > 300), F.lit(
-            "[app] Abort requested - stopping the solver at the next Ipopt iteration..."))
+        .when((t == "click") & (v > 300), F.lit("[app] Abort requested (event)"))
         .when((t == "view") & (v > 300), F.concat(F.lit("[app] Solve FAILED after "),
                                                   fixed_point_text(tenths, 1), F.lit(" s.")))
-        .when(t == "signup", F.concat(F.lit("[app] Building model: run "), _txt(F.col("run_id"))))
-        .otherwise(F.lit("========== Network optimization ==========")).alias("line"))
+        .when(t == "signup", F.concat(F.lit("[app] Building model: "), _txt(F.col("run_id"))))
+        .otherwise(F.lit("free text")).alias("line"))
     return progress.unionByName(other)
 
 
@@ -279,4 +280,4 @@ def scenario_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k == 3).alias("labor_mobility"), (k % 2 == 0).alias("annealing"),
         F.lit(True).alias("duality"), (k % 2 == 1).alias("allow_downgrade"),
         (k < 2).alias("productivity_floor"),
-        F.when(k == 4, F.lit("cemac")).alias("preset"))
+        F.when(k == 4, F.lit("road")).alias("preset"))

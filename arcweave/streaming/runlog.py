@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,19 +34,35 @@ def number_lines(log: DataFrame) -> DataFrame:
 
 def run_status(log: DataFrame) -> DataFrame:
     """Status per run from its last closing line: finished, failed or aborted;
-    runs without one are running."""
-    line = F.col("line")
-    status = (F.when(line.rlike(FAILED_PATTERN), F.lit("failed"))
-              .when(line.rlike(ABORT_PATTERN), F.lit("aborted"))
-              .when(line.rlike(FINISHED_PATTERN), F.lit("finished")))
-    closing = (log.select("run_id", "event_id", status.alias("status"))
-               .filter(F.col("status").isNotNull())
-               .groupBy("run_id").agg(F.max_by("status", "event_id").alias("status"),
-                                      F.max("event_id").alias("closed_at")))
-    runs = log.select("run_id").distinct()
-    return (runs.join(closing, "run_id", "left")
-            .select("run_id", F.coalesce("status", F.lit("running")).alias("status"),
-                    "closed_at"))
+    runs without one are running.
+
+    An aborted solve ends through the failure path, so a failure counts as aborted when the
+    abort request came after the last line that finished or failed before it.
+    """
+    line, at = F.col("line"), F.col("event_id")
+    kind = (F.when(line.rlike(FAILED_PATTERN), F.lit("failed"))
+            .when(line.rlike(ABORT_PATTERN), F.lit("aborted"))
+            .when(line.rlike(FINISHED_PATTERN), F.lit("finished")))
+    marks = log.select("run_id", "event_id", kind.alias("kind"))
+    ends = marks.groupBy("run_id").agg(
+        F.max(F.when(F.col("kind") == "aborted", at)).alias("abort_at"),
+        F.max(F.when(F.col("kind").isin("failed", "finished"), at)).alias("end_at"),
+        F.max_by("kind", F.when(F.col("kind").isin("failed", "finished"), at)).alias("end"),
+        F.max(F.when(F.col("kind").isNotNull(), at)).alias("closed_at"))
+    # the end before the last one: its solve's abort requests do not count for the last
+    earlier = (marks.filter(F.col("kind").isin("failed", "finished"))
+               .join(ends.select("run_id", "end_at"), "run_id").filter(at < F.col("end_at"))
+               .groupBy("run_id").agg(F.max("event_id").alias("previous_at")))
+    requests = (marks.filter(F.col("kind") == "aborted")
+                .join(ends.select("run_id", "end_at"), "run_id")
+                .join(earlier, "run_id", "left")
+                .filter((at < F.col("end_at")) & (at > F.coalesce("previous_at", F.lit(-(1 << 62)))))
+                .groupBy("run_id").agg(F.count(F.lit(1)).alias("n")))
+    open_abort = F.col("abort_at") > F.coalesce("end_at", F.lit(-(1 << 62)))
+    status = (F.when(open_abort, F.lit("aborted"))
+              .when((F.col("end") == "failed") & F.col("n").isNotNull(), F.lit("aborted"))
+              .otherwise(F.coalesce("end", F.lit("running"))))
+    return ends.join(requests, "run_id", "left").select("run_id", status.alias("status"), "closed_at")
 
 
 # ---------------------------------------------------------------- I1
@@ -86,12 +103,18 @@ def stream_progress(log_stream: DataFrame, checkpoint: str,
 
 
 def _latest_version(spark: SparkSession, path: str) -> int | None:
-    """Highest committed version under ``path`` (a ``_committed`` table of versions)."""
+    """Highest committed version under ``path`` (a ``_committed`` table of versions).
+
+    Only a missing table means that nothing is committed; any other error is raised, so that a
+    batch fails instead of starting anew without the stored state.
+    """
     try:
-        row = spark.read.parquet(f"{path}/_committed").agg(F.max("version")).first()
-    except Exception:  # noqa: BLE001 - no commit yet
-        return None
-    return None if row is None else row[0]
+        commits = spark.read.schema("version long").parquet(f"{path}/_committed")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return commits.agg(F.max("version")).first()[0]
 
 
 def _commit(spark: SparkSession, path: str, version: int) -> None:

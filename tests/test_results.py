@@ -77,15 +77,14 @@ def test_metric_catalogue_percent_domain(spark):
         "Ijk", "perc_upgraded", "Qjk_total"]
 
 
-def test_attach_rows_is_bounded(spark):
-    from arcweave.operators.util import attach_rows, broadcast_if_small
+def test_attach_rows_has_no_bound(spark):
+    from arcweave.operators.util import attach_rows
     df = spark.range(3).withColumnRenamed("id", "x")
     params = spark.createDataFrame([(1, 0.5), (2, 0.7)], "scenario_id int, alpha double")
     out = attach_rows(df, params)
     assert out.count() == 6 and set(out.columns) == {"x", "scenario_id", "alpha"}
-    with pytest.raises(ValueError):
-        attach_rows(df, spark.range(5).withColumnRenamed("id", "scenario_id"), max_rows=4)
-    assert broadcast_if_small(params, max_rows=1) is params
+    many = spark.range(150_000).withColumnRenamed("id", "scenario_id")
+    assert attach_rows(df, many).distinct().count() == 450_000
 
 
 def test_edge_table_cap_without_any_bound(spark):

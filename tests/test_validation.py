@@ -54,8 +54,39 @@ def test_coercion_accepts_integral_floats(spark):
     typed, f = V.coerce_table(raw, "nodes", ["node"], [], optional_int=["product"])
     assert [r["node"] for r in typed.collect()] == [1, 2, None]
     msgs = sorted(r["message"] for r in f.collect())
-    assert msgs == ["Column 'node' is not an integer column (1 rows)",
-                    "Column 'product' is not an integer column (1 rows)"]
+    assert msgs == ["node holds something else than whole numbers (1 rows)",
+                    "product holds something else than whole numbers (1 rows)"]
+
+
+def test_numbers_are_read_exactly(spark):
+    raw = spark.createDataFrame([("9007199254740993", "5d"), ("1.5f", "1.5f"), (" 3.0 ", "1e3"), ("-7", "-Inf"),
+                                 ("99999999999999999999", ".5")], "node string, x string")
+    typed, _ = V.coerce_table(raw, "nodes", ["node"], ["x"])
+    rows = typed.collect()
+    assert [r.node for r in rows] == [9007199254740993, None, 3, -7, None]
+    assert [r.x for r in rows] == [None, None, 1000.0, float("-inf"), 0.5]
+
+
+def test_half_networks_are_not_valid_and_stages_stop(spark):
+    n = net(spark, [(1, 1, 2, 1.0, 0.1, 10.0, None, None)])
+    for half in (NetworkTables(n.nodes, None), NetworkTables(None, n.edges)):
+        assert not V.findings_summary(validate_network(half)).first().valid
+    text = spark.createDataFrame([("x", "1", "1", "1", "1"), ("2", "1", "1", "1", "1")],
+                                 "node string, lon string, lat string, population string, productivity string")
+    found = {r.rule for r in validate_network(NetworkTables(text, n.edges), raw=True).collect()}
+    assert found == {"B3", "B4"}
+
+
+def test_long_chain_and_hub(spark):
+    import random
+    ids = list(range(1, 301))
+    random.Random(3).shuffle(ids)
+    chain = list(zip(ids, ids[1:]))
+    hub = [(1000, 1001 + i) for i in range(300)]
+    nodes = spark.createDataFrame([(i,) for i in ids] + [(1000 + i,) for i in range(301)] + [(9,)], "node long")
+    edges = spark.createDataFrame(chain + hub, "from long, to long")
+    got = {r.node: r.component for r in connected_components(nodes, edges).collect()}
+    assert got == {i: 1 for i in ids} | {1000 + i: 1000 for i in range(301)}
 
 
 def test_nan_fails_range_checks(spark):
@@ -111,7 +142,7 @@ def test_components_independent_of_edge_order(spark):
 def test_unreachable_warning(spark):
     n = net(spark, [(1, 1, 2, 1.0, 0.1, 10.0, None, None), (2, 2, 3, 1.0, 0.1, 10.0, None, None)])
     f = validate_network(n).filter(F.col("rule") == "B14").collect()
-    assert len(f) == 1 and f[0]["message"].startswith("2 node(s)")
+    assert len(f) == 1 and f[0]["message"] == "nodes without a path to 1: 2"
 
 
 def test_grid_network_is_valid(spark):
