@@ -265,7 +265,7 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     out = []
     for i, j in _groups(sizes):
         steps = max(sizes[i:j])
-        x = np.zeros((steps, j - i), dtype=np.int64)  # a block one shorter is filled up by a zero
+        x = np.zeros((steps, j - i), dtype=np.int32)  # a block one shorter is filled up by a zero
         for r in range(i, j):
             x[:sizes[r], r - i] = ids[ends[r]:ends[r + 1]]
         coder = _Writer(j - i, steps)
@@ -280,7 +280,7 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     parts = []
     for i, j in _groups([n for n, _, _ in blocks]):
         steps = max(n for n, _, _ in blocks[i:j])
-        x = _run(j - i, steps, np.zeros((steps, j - i), dtype=np.int64), _Reader([b for _, _, b in blocks[i:j]]), True)
+        x = _run(j - i, steps, np.zeros((steps, j - i), dtype=np.int32), _Reader([b for _, _, b in blocks[i:j]]), True)
         for r in range(i, j):
             own = x[:blocks[r][0], r - i].astype("<u4")
             if zlib.crc32(own.tobytes()) != blocks[r][1]:
@@ -389,7 +389,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
 
 
 def _frame_row(part, number, keys, counts, held) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(held), dtype="<u2").astype(np.int64)
+    ids = np.frombuffer(b"".join(held), dtype="<u2")
     return pa.RecordBatch.from_arrays([pa.array([write_frame(part, number, keys, counts, ids)], pa.binary())], ["value"])
 
 

@@ -40,7 +40,7 @@ def test_pages_come_back(spark, tmp_path):
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect())
     assert got == brute(df.collect())
     raw = read_records(spark, path)
-    assert Counter(r["type"] for r in raw.select("type").collect()) == {"request": 14, "response": 10, "revisit": 4, "metadata": 14}
+    assert Counter(r["type"] for r in raw.select("type").collect()) == {"request": 14, "response": 9, "revisit": 5, "metadata": 14}
     assert raw.filter("truncated").count() == 0
     nested = assemble(raw).collect()
     assert len(nested) == 14 and all(len(r.responses) == len(r.requests) == len(r.metadata) == 1 for r in nested)
