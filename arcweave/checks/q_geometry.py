@@ -136,8 +136,7 @@ def d3_attach_geometry(spark, sf_dir):
 
 @register("d3_missing_geometry", """
     SELECT 'error' AS severity, 'D3' AS rule, 'edges' AS entity, edge_id AS key,
-           'Edge ' || CAST("from" AS VARCHAR) || ' - ' || CAST("to" AS VARCHAR) ||
-           ' has no matching geometry.' AS message
+           'no geometry for ' || CAST("from" AS VARCHAR) || '/' || CAST("to" AS VARCHAR) AS message
     FROM tedges WHERE ("from" + "to") % 17 = 0""")
 def d3_missing_geometry(spark, sf_dir):
     e = X.trade_edges(spark, sf_dir)
@@ -146,6 +145,17 @@ def d3_missing_geometry(spark, sf_dir):
     return findings
 
 
+@register("d3_duplicate_geometry", """
+    SELECT 'warning' AS severity, 'D3' AS rule, 'edges' AS entity, edge_id AS key,
+           '2 geometries for ' || CAST("from" AS VARCHAR) || '/' || CAST("to" AS VARCHAR) AS message
+    FROM tedges WHERE ("from" + "to") % 19 = 0""")
+def d3_duplicate_geometry(spark, sf_dir):
+    e = X.trade_edges(spark, sf_dir)
+    geom = e.select("from", "to", "geometry")
+    again = e.filter((F.col("from") + F.col("to")) % 19 == 0).select("from", "to", F.lit("x").alias("geometry"))
+    return attach_geometry(e.select("edge_id", "from", "to"), geom.unionByName(again))[1]
+
+
 def _f1_with_line(spark, sf_dir):
     net = X.trade_network(spark, sf_dir)
     alloc = X.trade_allocations(spark, sf_dir, net)

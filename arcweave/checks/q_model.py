@@ -391,8 +391,7 @@ def c5_derive_edge_attributes(spark, sf_dir):
     FROM raw_edges WHERE duration = 0
     UNION ALL
     SELECT 'error', 'D3', 'edges', edge_id,
-           'Edge ' || CAST("from" AS VARCHAR) || ' - ' || CAST("to" AS VARCHAR) ||
-           ' has no matching geometry.'
+           'no geometry for ' || CAST("from" AS VARCHAR) || '/' || CAST("to" AS VARCHAR)
     FROM raw_edges e WHERE NOT EXISTS (SELECT 1 FROM raw_geometry g
                                        WHERE g."from" = e."from" AND g."to" = e."to")""",
           ctes=S.NET_T + SV.RAW)

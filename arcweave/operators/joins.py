@@ -41,15 +41,18 @@ def attach_geometry(edges: DataFrame, geom: DataFrame) -> tuple[DataFrame, DataF
     """D3: keyed geometry by ``(from, to)``; every edge must match.
 
     Returns (edges with ``geometry``, findings for edges without a geometry).
-    Duplicate geometry keys keep one text per key (a partial aggregate), so the
-    join cannot multiply edges.
+    Of several texts for one key the smallest is used (a partial aggregate), so the
+    join cannot multiply edges; a warning names such an edge.
     """
-    one = geom.groupBy("from", "to").agg(F.min("geometry").alias("geometry"))
+    one = geom.groupBy("from", "to").agg(F.min("geometry").alias("geometry"),
+                                         F.count(F.lit(1)).alias("_n"))
     joined = edges.join(one, ["from", "to"], "left")
-    missing = edges.join(one, ["from", "to"], "left_anti")
-    findings = missing.select(
-        F.lit("error").alias("severity"), F.lit("D3").alias("rule"), F.lit("edges").alias("entity"),
+    pair = F.concat(F.col("from").cast("string"), F.lit("/"), F.col("to").cast("string"))
+    findings = joined.filter(F.col("_n").isNull() | (F.col("_n") > 1)).select(
+        F.when(F.col("_n").isNull(), "error").otherwise("warning").alias("severity"),
+        F.lit("D3").alias("rule"), F.lit("edges").alias("entity"),
         F.col("edge_id").cast("long").alias("key"),
-        F.concat(F.lit("Edge "), F.col("from").cast("string"), F.lit(" - "),
-                 F.col("to").cast("string"), F.lit(" has no matching geometry.")).alias("message"))
+        F.when(F.col("_n").isNull(), F.concat(F.lit("no geometry for "), pair))
+        .otherwise(F.concat(F.col("_n").cast("string"), F.lit(" geometries for "), pair)).alias("message"))
+    joined = joined.drop("_n")
     return joined, findings

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from arcweave.functions import finite_or_null, increase, pct_gain, perc_upgraded
 from arcweave.operators.aggregates import edge_flows_wide, node_production
 from arcweave.operators.arcs import symmetrise, with_pair
+from arcweave.operators.validate import drop_incomplete_housing
 from arcweave.sources.fixtures import NetworkTables
 
 EDGE_INPUT_COLS = ["from", "to", "delta_i", "delta_tau", "Ijk_orig"]
@@ -77,6 +78,8 @@ GAIN_COLS = ["uj", "c_pc", "c_agg", "PCj"]
 
 
 def node_inputs(nodes: DataFrame) -> DataFrame:
+    """Input columns of the node table; ``housing`` with gaps is not used."""
+    nodes = drop_incomplete_housing(nodes)
     cols = [F.col("node"), F.col("lon"), F.col("lat"),
             F.col("population").cast("double"), F.col("productivity").cast("double")]
     for c in ("housing", "product", "name"):

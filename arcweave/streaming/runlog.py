@@ -201,11 +201,13 @@ def stream_rebuild(edge_stream: DataFrame, nodes: DataFrame, sink: str, checkpoi
     """I4: each batch of edge files replaces the network; ``build(edges, nodes)``
     (e.g. the F1 input table) is written as ``version = batch_id + 1``.
 
-    Overwriting ``{sink}/version=<v>`` makes a replayed batch idempotent.
+    Overwriting ``{sink}/version=<v>`` makes a replayed batch idempotent; a version is
+    visible once its commit is written.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         build(batch, nodes).write.mode("overwrite").parquet(f"{sink}/version={version}")
+        _commit(batch.sparkSession, sink, version)
 
     w = (edge_stream.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(handle))
@@ -214,8 +216,9 @@ def stream_rebuild(edge_stream: DataFrame, nodes: DataFrame, sink: str, checkpoi
 
 
 def read_version(spark: SparkSession, sink: str, version: int | None = None) -> DataFrame:
-    df = spark.read.parquet(sink).withColumn("version", F.col("version").cast("long"))
+    """A committed version, the newest by default; only its own folder is read."""
+    version = _latest_version(spark, sink) if version is None else version
     if version is None:
-        top = df.agg(F.max("version").alias("v"))
-        return df.join(F.broadcast(top), df.version == top.v).drop("v")  # one-row frame
-    return df.filter(F.col("version") == version)
+        raise FileNotFoundError(f"no committed version under {sink}")
+    return spark.read.parquet(f"{sink}/version={version}").withColumn(
+        "version", F.lit(version).cast("long"))
