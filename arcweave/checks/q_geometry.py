@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from arcweave.checks import sql_variants as SV
 from arcweave.checks import sqlparts as S
+from arcweave.checks.q_results import F1_DOUBLES, F2_DOUBLES, _f2_sql
 from arcweave.checks.registry import register
 from arcweave.functions import (curved_line, haversine_km, iceberg_cost, parse_linestring,
                                 to_linestring)
 from arcweave.operators.aggregates import bounding_box
 from arcweave.operators.joins import attach_geometry, resolve_geometry, with_endpoints
 from arcweave.plans.publish import edge_features, node_features
-from arcweave.plans.results import edge_table
+from arcweave.plans.results import edge_table, node_table
 from arcweave.session import scratch_dir
 from arcweave.sources import files as IO
 from arcweave.sources import fixtures as X
@@ -258,18 +259,42 @@ def a2_csv_edges_roundtrip(spark, sf_dir):
                               "geometry")
 
 
-@register("a5_write_results", f"""
-    SELECT "from", "to", Ijk, Qjk_total FROM ({S.edge_table('result')[1]}) f1""",
-          ("Ijk", "Qjk_total"), ctes=S.NET_T + S.edge_table("result")[0])
+def _read_back(spark, written, path):
+    """A CSV table with the columns and types of ``written``."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(*[F.col(f.name).cast(f.dataType) for f in written.schema.fields])
+
+
+@register("a5_write_results", f"SELECT * FROM ({S.edge_table('result')[1]}) f1", F1_DOUBLES,
+          ctes=S.NET_T + S.edge_table("result")[0])
 def a5_write_results(spark, sf_dir):
-    from arcweave.plans.validation import type_network
     net = X.trade_network(spark, sf_dir)
     alloc = X.trade_allocations(spark, sf_dir, net)
     edges = edge_table(net, alloc.arc_infra, alloc.arc_flow, "result", X.N_GOODS_FROM_PARTS)
     out = scratch_dir(spark, "results")
     IO.write_results(None, edges, out, "csv")
-    raw = spark.read.option("header", True).csv(f"{out}/edges_results")
-    typed = raw.select(F.col("from").cast("long"), F.col("to").cast("long"),
-                       F.col("Ijk").cast("double"), F.col("Qjk_total").cast("double"))
-    return typed
+    return _read_back(spark, edges, f"{out}/edges_results")
+
 
+@register("a5_write_node_results", _f2_sql(), F2_DOUBLES)
+def a5_write_node_results(spark, sf_dir):
+    net = X.trade_network(spark, sf_dir)
+    alloc = X.trade_allocations(spark, sf_dir, net)
+    nodes = node_table(X.NetworkTables(net.nodes.drop("nationkey"), net.edges), alloc.node_alloc, alloc.node_output)
+    out = scratch_dir(spark, "results")
+    IO.write_results(nodes, None, out, "csv")
+    return _read_back(spark, nodes, f"{out}/nodes_results")
+
+
+@register("a6_write_features", f"""
+    SELECT CAST("from" AS BIGINT) AS "from", CAST("to" AS BIGINT) AS "to",
+           {S.round_sig('Ijk', 7)} AS Ijk FROM ({S.edge_table('result')[1]}) f1""", ("Ijk",),
+          ctes=S.NET_T + S.edge_table("result")[0])
+def a6_write_features(spark, sf_dir):
+    """Features written as text and read back; ids are exact."""
+    out = scratch_dir(spark, "features")
+    IO.write_lines(edge_features(_f1_with_line(spark, sf_dir)), out)
+    prop = lambda k: F.get_json_object("value", f"$.properties.{k}")
+    return spark.read.text(out).select(prop("from").cast("long").alias("from"),
+                                       prop("to").cast("long").alias("to"),
+                                       prop("Ijk").cast("double").alias("Ijk"))
