@@ -9,10 +9,12 @@ components of the links.
 
 Texts with equal words are one text first (an aggregation over a 128-bit digest). The documents
 of a bucket are not paired with each other: each is aligned with the bucket's centre, chosen by
-one of four orders so that a class has several centres. Documents that fail and do not share the
-centre's class go on to further rounds with eight times as many centres each, until no bucket
-holds two unrelated classes that were not compared. So a large group of copies costs one
-alignment per document and order, and no bucket is cut off.
+one of two orders of all documents. Those that are not linked to it are dealt anew into narrower
+buckets, of documents that agree on one more sketch, and so on until no bucket has two. So a large
+group of copies costs one alignment per document and order, and a bucket of documents that share a
+passage and nothing else falls apart at a rate that does not depend on its size; no bucket is cut
+off. Two near documents are compared in many buckets, and only need one whose centre is near both
+or one of them.
 
 For k-mer sets with a Jaccard similarity J a sketch agrees with a chance of about J^3; of pairs
 with J = 0.8 fewer than one in 10^9 are missed by 32 sketches, with J = 0.5 about 1.4 %.
@@ -26,6 +28,7 @@ empty result; further columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,10 @@ from arcweave.llm.wordhash import U64, Words, chunks, digests, mix, signed, spli
 KMER = 5
 SKETCHES = 32
 PICKS = 3
+CANDIDATES = 12  # k-mers of a document that are sorted to find the smallest (more if they are too few)
 EDIT_PERCENT = 20
-ORDERS = 4
-GROWTH = 8
+ORDERS = 2
+BAND = 512  # width that a first alignment has at least, as far as the limit allows
 _NULL_ID = -(1 << 63)
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -67,23 +71,28 @@ def order_minhash(w: Words, h: np.ndarray, k: int = KMER, sketches: int = SKETCH
     seen = np.empty(len(s), dtype=U64)
     seen[order] = (at - np.maximum.accumulate(np.where(head, at, 0))).astype(U64)
     label = mix(g + seen * U64(0x9E3779B97F4A7C15)) | U64(1)
-    out = np.empty((len(docs), sketches), dtype=U64)
+    n, numbers = len(docs), np.arange(len(docs))
+    # the smallest values of a document lie below this with a good chance; else all its k-mers are looked at
+    bound = np.where(count > CANDIDATES, np.float64(2 ** 64) * CANDIDATES / np.maximum(count, CANDIDATES + 1), 0)
+    bound = np.repeat(np.where(count > CANDIDATES, bound.astype(U64), _MAX), count)
+    out = np.empty((n, sketches), dtype=U64)
+    padded = np.concatenate([g, np.zeros(1, dtype=U64)])
     for j, a in enumerate(splitmix(31, sketches) | U64(1)):
         v = label * a
         v ^= v >> U64(32)
-        found = np.full((picks, len(docs)), edge[-1], dtype=np.int64)
+        at = np.flatnonzero(v <= bound)
+        per = np.bincount(doc[at], minlength=n)
+        few = np.flatnonzero((per < picks) & (per < count))
+        if len(few):
+            at = np.concatenate([at[~np.isin(doc[at], few)], *[np.arange(edge[d], edge[d + 1]) for d in few]])
+        at = at[np.argsort((doc[at].astype(U64) << U64(40)) | (v[at] >> U64(24)), kind="stable")]
+        first = np.searchsorted(doc[at], np.arange(n + 1))
+        found = np.full((picks, n), edge[-1], dtype=np.int64)
         for r in range(picks):
-            low = np.minimum.reduceat(v, edge[:-1])
-            hit = np.flatnonzero(v == np.repeat(low, count))
-            owner = doc[hit]
-            firsts = np.concatenate([[True], owner[1:] != owner[:-1]])
-            hit, owner = hit[firsts], owner[firsts]
-            live = low[owner] != _MAX
-            found[r, owner[live]] = hit[live]
-            v[hit] = _MAX
+            live = numbers[first[:-1] + r < first[1:]]
+            found[r, live] = at[first[live] + r]
         found.sort(axis=0)  # text order
-        value = np.full(len(docs), U64(j + 1))
-        padded = np.concatenate([g, np.zeros(1, dtype=U64)])
+        value = np.full(n, U64(j + 1))
         for r in range(picks):
             value = mix(value * U64(0xD6E8FEB86659FD93) + padded[found[r]])
         out[:, j] = value
@@ -131,6 +140,7 @@ def band_distance(a: Sequence, b: Sequence, band: int) -> int | None:
     down = 0
     steps = max(m - band, 0)  # columns in which the lower edge of the band is followed
     distance = min(band, m)
+    give_up = 2 * band + n - m  # from the lower edge at most that much can be made good
     for j, x in enumerate(b):
         eq = where.get(x, 0)
         eq = (eq >> (j - band) if j >= band else eq << (band - j)) & mask
@@ -139,6 +149,8 @@ def band_distance(a: Sequence, b: Sequence, band: int) -> int | None:
         minus = same & up
         if j < steps:
             distance += 1 - (same >> top & 1)
+            if distance > give_up:
+                return None
         else:
             at = m - 1 - j + band
             distance += (plus >> at & 1) - (minus >> at & 1)
@@ -149,7 +161,10 @@ def band_distance(a: Sequence, b: Sequence, band: int) -> int | None:
 
 
 def edit_distance_within(a: Sequence, b: Sequence, limit: int) -> int | None:
-    """Edit distance if at most ``limit``: equal ends are cut off, then the band doubles until it suffices."""
+    """Edit distance if at most ``limit``: equal ends are cut off, then the band doubles until it suffices.
+
+    A column costs about the same for any band of a few hundred diagonals, so it starts that wide.
+    """
     i, j, n = 0, 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
         i += 1
@@ -158,7 +173,7 @@ def edit_distance_within(a: Sequence, b: Sequence, limit: int) -> int | None:
     a, b = a[i:len(a) - j], b[i:len(b) - j]
     if abs(len(a) - len(b)) > limit:
         return None
-    band = min(max(8, abs(len(a) - len(b))), limit)
+    band = min(max(BAND, abs(len(a) - len(b))), limit)
     while True:
         found = band_distance(a, b, band)
         if found is not None or band >= limit:
@@ -175,57 +190,59 @@ def _aligned(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, ok) for pairs of ids."""
-    ids = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-    texts = stored(docs.join(ids, docs["id"] == ids["nid"]).groupBy("id").agg(F.min("text").alias("text")), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
     ok = F.arrow_udf(_aligned, "boolean")
     return pairs.join(left, "a").join(right, "b").select("a", "b", ok("left", "right").alias("ok"))
 
 
+def _refined(rows: DataFrame, unique: DataFrame) -> DataFrame:
+    """Rows of buckets keyed by one more common sketch, of a higher number than those so far."""
+    later = F.slice(F.col("sketches"), F.col("j") + 2, F.lit(SKETCHES))
+    return (rows.join(unique.select("rep", "sketches"), "rep")
+            .select("bucket", "rep", "n_words", "j", F.posexplode_outer(later).alias("more", "s"))
+            .filter("s is not null")
+            .select(F.xxhash64("bucket", "s", "more").alias("bucket"),
+                    (F.col("j") + F.col("more") + 1).alias("j"), "rep", "n_words"))
+
+
 def find_links(docs: DataFrame, unique: DataFrame) -> DataFrame:
     """Verified links (a, b), a < b, between the documents of ``unique`` (rep, n_words, sketches)."""
     todo = stored(unique.select("rep", "n_words", F.posexplode_outer("sketches").alias("j", "s"))
                   .filter("s is not null")
-                  .select(F.xxhash64("s", "j").alias("bucket"), F.pmod("j", F.lit(ORDERS)).alias("turn"),
-                          "rep", "n_words"), "buckets")
-    tried, centres_per_bucket = None, 1
+                  .select(F.xxhash64("s", "j").alias("bucket"), "j", "rep", "n_words"), "buckets")
+    texts, verdicts = None, []
     while True:
-        slot = F.pmod(F.xxhash64("rep", "bucket"), F.lit(centres_per_bucket)).alias("slot")
-        order = F.struct(F.xxhash64("rep", "turn").alias("rank"), F.col("rep"), F.col("n_words"))
-        centres = todo.groupBy("bucket", slot).agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n"))
-        if centres_per_bucket == 1:
-            centres = centres.filter("n > 1")
-        centres = centres.select("bucket", F.col("c.rep").alias("centre"), F.col("c.n_words").alias("n_centre"))
+        # one of a few orders of all documents, so that a class has few different centres
+        rank = F.xxhash64("rep", F.pmod("bucket", F.lit(ORDERS)))
+        order = F.struct(rank.alias("rank"), F.col("rep"), F.col("n_words"))
+        centres = (todo.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n"))
+                   .filter("n > 1")
+                   .select("bucket", F.col("c.rep").alias("centre"), F.col("c.n_words").alias("n_centre")))
         longer, shorter = F.greatest("n_words", "n_centre"), F.least("n_words", "n_centre")
         near = (longer - shorter) * 100 <= longer * EDIT_PERCENT
         met = stored(todo.join(centres, "bucket").select(
-            "bucket", "turn", "rep", "n_words", "centre", F.least("rep", "centre").alias("a"),
+            "bucket", "j", "rep", "n_words", "centre", F.least("rep", "centre").alias("a"),
             F.greatest("rep", "centre").alias("b"), near.alias("near")), "met")
+        if met.isEmpty():
+            break
+        if texts is None:  # later rounds only have documents of the first
+            ids = met.select(F.col("rep").alias("nid")).distinct()
+            texts = stored(docs.join(ids, docs["id"] == ids["nid"]).groupBy("id")
+                           .agg(F.min("text").alias("text")), "texts")
         new = met.filter("rep <> centre and near").select("a", "b").distinct()
-        if tried is not None:
-            new = new.join(tried, ["a", "b"], "left_anti")
-        verdict = stored(_verify(stored(new, "pairs"), docs), "verdicts")
-        tried = verdict if tried is None else stored(tried.union(verdict), "tried")
-        links = tried.filter("ok").select("a", "b")
-        label = stored(components(links, "a", "b"), "labels")
-        mine = label.select(F.col("node").alias("rep"), F.col("label").alias("mine"))
-        theirs = label.select(F.col("node").alias("centre"), F.col("label").alias("theirs"))
-        classed = (met.join(mine, "rep", "left").join(theirs, "centre", "left")
-                   .withColumn("mine", F.coalesce("mine", "rep"))
-                   .withColumn("theirs", F.coalesce("theirs", "centre")))
-        # still open: neither a centre of the bucket nor in the class of one
-        rest = (classed.groupBy("bucket", "turn", "rep", "n_words", "mine")
-                .agg(F.max((F.col("mine") == F.col("theirs")).cast("int")).alias("done")).filter("done = 0"))
-        rest = stored(rest.drop("done"), "open")
-        several = rest.groupBy("bucket").agg(F.min("mine").alias("lo"), F.max("mine").alias("hi")).filter(
-            "lo < hi").select("bucket")
-        todo = stored(rest.join(several, "bucket", "left_semi").drop("mine"), "todo")
-        if todo.isEmpty():
-            return links
-        centres_per_bucket *= GROWTH
+        for known in verdicts:
+            new = new.join(known, ["a", "b"], "left_anti")
+        verdicts.append(stored(_verify(new, texts), "verdicts"))
+        linked = reduce(DataFrame.union, verdicts).filter("ok").select("a", "b", F.lit(True).alias("linked"))
+        still = (met.filter("rep <> centre").join(linked, ["a", "b"], "left_anti")
+                 .select("bucket", "j", "rep", "n_words"))
+        todo = stored(_refined(still, unique), "refined")
+    if not verdicts:
+        return met.select("a", "b")
+    return reduce(DataFrame.union, verdicts).filter("ok").select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
