@@ -11,13 +11,13 @@ phrases; about one phrase in twenty words is chosen at all.
    are shards of the set of all recurring phrases, each phrase only where it can occur, so work
    and memory of a part do not grow with the corpus.
 3. All documents of the part stream through its automaton, which locates every occurrence of the
-   phrases. A window whose phrase was located is a candidate and gets a 128-bit hash.
+   phrases. A window whose phrase was located is a candidate and gets a 96-bit hash.
 4. One aggregation over the candidates finds the smallest document of each window; a window that
    starts in a smaller document than its own covers its words, which are removed.
 
 A text whose words equal those of an earlier document is decided by a digest of all its words
-and gives no windows. Hashes are 128 bits where equality counts; the 64-bit phrase hashes only
-choose what is looked at, equally in all documents.
+and gives no windows. Where equality counts, hashes have 96 bits (windows) or 128 bits (texts); the
+64-bit phrase hashes only choose what is looked at, equally in all documents.
 
 Words are runs of characters other than ASCII white space, unchanged. Defined results: null,
 blank and short texts lose nothing; a null id is smaller than all others; rows with the same id
@@ -175,7 +175,7 @@ class _Part:
         ends = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, x) for x in (
             pa.array((starts - w.first[doc[starts]] if len(starts) else starts).astype(np.int32)),
-            signed(wins[0]), signed(wins[1]))]
+            signed(wins[0]), pa.array((wins[1] >> U64(32)).astype(np.uint32).view(np.int32)))]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[i:j]), pa.array(count), pa.array(np.where(copy, count, 0)), pa.array(shas, pa.string()),
              pa.array(texts, pa.binary()), *lists],
@@ -183,7 +183,7 @@ class _Part:
 
 
 _ROWS = ("id long, n_words long, n_copied long, sha string, words binary, pos array<int>, "
-         "wa array<long>, wb array<long>")
+         "wa array<long>, wb array<int>")
 
 
 def _located(rows: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -232,7 +232,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     phrases = choice.filter("kind = 1").select("id", F.col("a").alias("phrase"), F.col("b").alias("digest"))
     recurring = phrases.groupBy("phrase").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter(
         "lo < hi").select("phrase")
-    wanted = phrases.join(stored(recurring, "recurring"), "phrase").select(part, "phrase").distinct()
+    wanted = phrases.select(part, "phrase").join(stored(recurring, "recurring"), "phrase").select(
+        "part", "phrase").distinct()
     full = choice.filter(F.col("kind") == 0).filter(F.col("n_words") >= window)
     firsts = full.groupBy("a", "b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = full.join(stored(firsts, "copies").select("a", "b", "first"), ["a", "b"]).filter(
