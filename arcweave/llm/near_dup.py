@@ -272,6 +272,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``df`` for each class, with all its columns."""
-    keep = stored(near_duplicates(df, key, text).filter("kept").select(F.col(key).alias("__keep")).distinct(), "kept")
-    return df.join(keep, df[key].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates([key])
-
+    keep = stored(near_duplicates(df, key, text).filter("kept").groupBy(F.col(key).alias("__keep"))
+                  .agg(F.count(F.lit(1)).alias("__n")), "kept")
+    single = keep.filter("__n = 1").select("__keep")
+    # ids of several rows are few or none; only their rows are grouped
+    several = stored(keep.filter("__n > 1").select("__keep"), "repeated")
+    pick = lambda ids: df.join(ids, df[key].eqNullSafe(ids["__keep"]), "left_semi")
+    return pick(single).unionByName(pick(several).dropDuplicates([key]))
