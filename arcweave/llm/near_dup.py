@@ -7,14 +7,16 @@ common k-mers and on their order, so it follows edit similarity. Candidates are
 banded alignment finds at most 20 % of the longer one's words as edits. Classes are the connected
 components of the links.
 
-Texts with equal words are one text first (an aggregation over a 128-bit digest). The documents
-of a bucket are not paired with each other: each is aligned with the bucket's centre, chosen by
-one of two orders of all documents. Those that are not linked to it are dealt anew into narrower
-buckets, of documents that agree on one more sketch, and so on until no bucket has two. So a large
-group of copies costs one alignment per document and order, and a bucket of documents that share a
-passage and nothing else falls apart at a rate that does not depend on its size; no bucket is cut
-off. Two near documents are compared in many buckets, and only need one whose centre is near both
-or one of them.
+Texts with equal words are one text first (an aggregation over a 128-bit digest). The texts of a
+bucket are first aligned with its centre only, chosen by one of two orders of all texts, and the
+classes of all links so far are found. A bucket whose members without the centre are one class is
+done: a large group of copies costs one alignment per text and order. Otherwise all its members go
+on, linked to the centre or not, and only pairs of two classes are looked at: all of them in a bucket
+of up to ``SMALL`` members. A larger one is dealt by the members' rarest words, of which two near
+texts always share one, so texts that share a passage and nothing else come apart; what is still
+large gets 2, 4, 8, ... further centres a turn until one class is left or all have been compared. So
+two near texts that agree on any sketch always end in one class, and no bucket is cut off. Before a
+pair is aligned, the numbers of words by hash bin tell whether it can be near at all.
 
 For k-mer sets with a Jaccard similarity J a sketch agrees with a chance of about J^3; of pairs
 with J = 0.8 fewer than one in 10^9 are missed by 32 sketches, with J = 0.5 about 1.4 %.
@@ -32,10 +34,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import stored
+from arcweave.llm.common import stored, words
 from arcweave.llm.components import components
 from arcweave.llm.wordhash import U64, Words, chunks, digests, mix, signed, split_words, splitmix, text_buffer
 
@@ -45,6 +47,8 @@ PICKS = 3
 CANDIDATES = 12  # k-mers of a document that are sorted to find the smallest (more if they are too few)
 EDIT_PERCENT = 20
 ORDERS = 2
+SMALL = 32  # members up to which a bucket is compared in full
+BINS = 128
 BAND = 512  # width that a first alignment has at least, as far as the limit allows
 _NULL_ID = -(1 << 63)
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
@@ -119,6 +123,20 @@ def _sketched(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id long, n_words long, a long, b long, sketches array<long>")
 
 
+def _digest(text: Column | str) -> Column:
+    """Struct of the two digests of a text's words (not null)."""
+    def run(texts: pa.Array) -> pa.Array:
+        data, offsets = text_buffer(texts)
+        out = [np.zeros((2, 0), dtype=U64)]
+        for i, j in chunks(offsets):
+            w = split_words(data, offsets[i:j + 1])
+            out.append(np.stack(digests(w, w.hashes(1), w.hashes(2))))
+        a, b = np.concatenate(out, axis=1)
+        return pa.StructArray.from_arrays([signed(a), signed(b)], names=["a", "b"])
+
+    return F.arrow_udf(run, "struct<a:long,b:long>")(text)
+
+
 def band_distance(a: Sequence, b: Sequence, band: int) -> int | None:
     """Edit distance of two sequences if it is at most ``band``, computed on 2 * band + 1 diagonals.
 
@@ -181,68 +199,126 @@ def edit_distance_within(a: Sequence, b: Sequence, limit: int) -> int | None:
         band = min(2 * band, limit)
 
 
+def _bags(texts: pa.Array) -> pa.Array:
+    """How many words of a text fall into each of ``BINS`` bins by hash, one byte a bin (at most 255)."""
+    data, offsets = text_buffer(texts)
+    out = []
+    for i, j in chunks(offsets):
+        w = split_words(data, offsets[i:j + 1])
+        at = w.doc_of_word() * BINS + (w.hashes(1) % U64(BINS)).astype(np.int64)
+        count = np.bincount(at, minlength=(j - i) * BINS).reshape(-1, BINS)
+        out += [x.tobytes() for x in np.minimum(count, 255).astype(np.uint8)]
+    return pa.array(out, pa.binary())
+
+
+def _possible(left: pa.Array, right: pa.Array, limit: pa.Array) -> pa.Array:
+    """Whether no more words are missing on either side than ``limit`` edits can make good (never false for near ones)."""
+    if not len(left):
+        return pa.array([], pa.bool_())
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in (left, right))
+    d, most = x - y, np.asarray(limit)
+    return pa.array((np.maximum(d, 0).sum(axis=1) <= most) & (np.maximum(-d, 0).sum(axis=1) <= most))
+
+
 def _aligned(left: pa.Array, right: pa.Array) -> pa.Array:
     out = []
     for x, y in zip(left.to_pylist(), right.to_pylist()):
         x, y = x.encode().split(), y.encode().split()
         limit = max(len(x), len(y)) * EDIT_PERCENT // 100
         out.append(edit_distance_within(x, y, limit) is not None)
-    return pa.array(out)
+    return pa.array(out, pa.bool_())
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ok) for pairs of ids."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("right"))
+    """(a, b, ok) for pairs (a, b, limit); those whose bags of words exclude it are not aligned."""
+    side = lambda key, *cols: texts.select(F.col("rep").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in cols])
+    possible = F.arrow_udf(_possible, "boolean")
+    bags = stored(pairs.join(side("a", "bag"), "a").join(side("b", "bag"), "b")
+                  .select("a", "b", possible("a_bag", "b_bag", "limit").alias("possible")), "bags")
     ok = F.arrow_udf(_aligned, "boolean")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", ok("left", "right").alias("ok"))
+    some = bags.filter("possible").join(side("a", "text"), "a").join(side("b", "text"), "b").select(
+        "a", "b", ok("a_text", "b_text").alias("ok"))
+    return some.union(bags.filter("not possible").select("a", "b", F.lit(False)))
+
 
+def _rare_words(texts: DataFrame) -> DataFrame:
+    """(rep, token): the rarest fifth of a text's words, and one more; equal words are numbered.
 
-def _refined(rows: DataFrame, unique: DataFrame) -> DataFrame:
-    """Rows of buckets keyed by one more common sketch, of a higher number than those so far."""
-    later = F.slice(F.col("sketches"), F.col("j") + 2, F.lit(SKETCHES))
-    return (rows.join(unique.select("rep", "sketches"), "rep")
-            .select("bucket", "rep", "n_words", "j", F.posexplode_outer(later).alias("more", "s"))
-            .filter("s is not null")
-            .select(F.xxhash64("bucket", "s", "more").alias("bucket"),
-                    (F.col("j") + F.col("more") + 1).alias("j"), "rep", "n_words"))
+    Two texts of which one becomes the other by editing at most a fifth of the longer one's words have
+    four fifths of its words in common, so in any one order of all words these lists share one.
+    """
+    tokens = stored(texts.select("rep", F.explode(words(F.col("text"))).alias("w"))
+                    .groupBy("rep", "w").agg(F.count(F.lit(1)).cast("int").alias("c"))
+                    .select("rep", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("c"), "w")
+                    .select("rep", F.xxhash64("w", "c").alias("token")), "tokens")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # a list is bounded by its own row's text
+    lists = tokens.join(common, "token").groupBy("rep").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
+    size = F.floor(F.size("o") * F.lit(EDIT_PERCENT) / F.lit(100)).cast("int") + 1
+    return lists.select("rep", F.explode(F.slice("o", F.lit(1), size)).alias("o")).select("rep", F.col("o.token").alias("token"))
 
 
 def find_links(docs: DataFrame, unique: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, between the documents of ``unique`` (rep, n_words, sketches)."""
+    """Verified links (a, b), a < b, between the texts of ``unique`` (rep, a, b, n_words, sketches).
+
+    Links join all texts into one class that agree on a sketch and are near, directly or through others.
+    """
     todo = stored(unique.select("rep", "n_words", F.posexplode_outer("sketches").alias("j", "s"))
-                  .filter("s is not null")
-                  .select(F.xxhash64("s", "j").alias("bucket"), "j", "rep", "n_words"), "buckets")
-    texts, verdicts = None, []
+                  .filter("s is not null").select(F.xxhash64("s", "j").alias("bucket"), "rep", "n_words"), "buckets")
+    texts, label, verdicts, turn = None, None, [], 0
     while True:
-        # one of a few orders of all documents, so that a class has few different centres
-        rank = F.xxhash64("rep", F.pmod("bucket", F.lit(ORDERS)))
-        order = F.struct(rank.alias("rank"), F.col("rep"), F.col("n_words"))
-        centres = (todo.groupBy("bucket").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("n"))
-                   .filter("n > 1")
-                   .select("bucket", F.col("c.rep").alias("centre"), F.col("c.n_words").alias("n_centre")))
-        longer, shorter = F.greatest("n_words", "n_centre"), F.least("n_words", "n_centre")
-        near = (longer - shorter) * 100 <= longer * EDIT_PERCENT
-        met = stored(todo.join(centres, "bucket").select(
-            "bucket", "j", "rep", "n_words", "centre", F.least("rep", "centre").alias("a"),
-            F.greatest("rep", "centre").alias("b"), near.alias("near")), "met")
+        # one of a few orders of all texts in a turn, so that a class has few different centres
+        rank = F.xxhash64("rep", F.pmod("bucket", F.lit(ORDERS)), F.lit(turn))
+        ranked = todo.withColumn("rank", rank)
+        sizes = (ranked.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("c"), F.count(F.lit(1)).alias("n"))
+                 .filter("n > 1").select("bucket", F.col("c.rep").alias("first"), "n"))
+        # in the first turn one centre; later 2, 4, 8, ... (about) in a large bucket and all members in a small one
+        centre = F.col("rep") == F.col("first")
+        if turn:
+            part = F.col("rank").cast("double") / F.lit(2.0 ** 64) + 0.5
+            centre = centre | (F.col("n") <= SMALL) | (part < F.lit(2.0 ** turn - 1) / F.col("n"))
+        met = ranked.join(sizes, "bucket").select("bucket", "rep", "n_words", "n", centre.alias("centre"))
+        if label is not None:
+            met = met.join(label, met["rep"] == label["node"], "left").drop("node")
+        else:
+            met = met.withColumn("label", F.lit(None).cast("long"))
+        met = stored(met.withColumn("label", F.coalesce("label", "rep")), "met")
         if met.isEmpty():
             break
-        if texts is None:  # later rounds only have documents of the first
-            ids = met.select(F.col("rep").alias("nid")).distinct()
-            texts = stored(docs.join(ids, docs["id"] == ids["nid"]).groupBy("id")
-                           .agg(F.min("text").alias("text")), "texts")
-        new = met.filter("rep <> centre and near").select("a", "b").distinct()
+        if texts is None:  # later turns only have texts of the first
+            need = unique.join(met.select("rep").distinct(), "rep").select("rep", "a", "b")
+            texts = stored(docs.withColumn("d", _digest("text")).select("text", F.col("d.a").alias("a"), F.col("d.b").alias("b"))
+                           .join(need, ["a", "b"]).groupBy("rep").agg(F.min("text").alias("text"))
+                           .withColumn("bag", F.arrow_udf(_bags, "binary")("text")), "texts")
+        x = met.filter("centre").select("bucket", F.col("rep").alias("x"), F.col("n_words").alias("nx"), F.col("label").alias("lx"))
+        longer, shorter = F.greatest("n_words", "nx"), F.least("n_words", "nx")
+        limit = F.floor(longer * EDIT_PERCENT / 100).cast("long")
+        new = (met.join(x, (met["bucket"] == x["bucket"]) & (F.col("label") != F.col("lx")) & (longer - shorter <= limit)
+                        & (~F.col("centre") | (F.col("rep") > F.col("x"))))
+               .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"), limit.alias("limit")).distinct())
         for known in verdicts:
             new = new.join(known, ["a", "b"], "left_anti")
         verdicts.append(stored(_verify(new, texts), "verdicts"))
-        linked = reduce(DataFrame.union, verdicts).filter("ok").select("a", "b", F.lit(True).alias("linked"))
-        still = (met.filter("rep <> centre").join(linked, ["a", "b"], "left_anti")
-                 .select("bucket", "j", "rep", "n_words"))
-        todo = stored(_refined(still, unique), "refined")
+        links = reduce(DataFrame.union, verdicts).filter("ok").select("a", "b")
+        label = components(links, "a", "b")
+        # a centre has met all others; the rest of a bucket is done when it is one class
+        rest = met.filter("not centre").drop("label").join(label, F.col("rep") == F.col("node"), "left").select(
+            "bucket", "rep", "n_words", "n", F.coalesce("label", "rep").alias("label"))
+        several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "n_words", "n"), "rest")
+        if turn == 0:
+            # large buckets: only members that share one of their rarest words can be near
+            large = rest.filter(F.col("n") > SMALL)
+            rare = _rare_words(texts.join(large.select("rep").distinct(), "rep").select("rep", "text"))
+            todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep", "n_words").union(
+                large.join(rare, "rep").select(F.xxhash64("bucket", "token").alias("bucket"), "rep", "n_words")), "refined")
+        else:
+            todo = rest.select("bucket", "rep", "n_words")
+        turn += 1
     if not verdicts:
-        return met.select("a", "b")
-    return reduce(DataFrame.union, verdicts).filter("ok").select("a", "b")
+        return met.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    return links
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

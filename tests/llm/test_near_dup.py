@@ -116,5 +116,35 @@ def test_large_group_of_copies(spark):
     assert {r.class_id for r in out} == {0}
 
 
+def test_star_of_variants_is_one_class(spark):
+    """All are near the base, those of different groups are not near each other."""
+    rng = random.Random(12)
+    base = sentence(rng, 350, 10 ** 6).split()
+    rows = [" ".join(base)]
+    for k in range(7):
+        cut = " ".join(base[:50 * k] + base[50 * k + 50:])
+        rows += [edit(rng, cut, 1 + n % 3) for n in range(16)]
+    w = [words(t) for t in rows]
+    near = lambda x, y: edit_distance_within(x, y, max(len(x), len(y)) // 5) is not None
+    assert len(rows) > 100 and all(near(w[0], x) for x in w) and not near(w[1], w[40])
+    for order in (rows, rows[::-1]):
+        out = near_duplicates(documents(spark, order)).filter("doc_id is not null").collect()
+        assert {r.class_id for r in out} == {0}
+
+
+def test_many_texts_with_one_passage_and_two_near_ones(spark):
+    """A large bucket of texts that are not near holds pairs that are."""
+    rng = random.Random(13)
+    passage = sentence(rng, 60, 10 ** 6)
+    rows = [passage + " " + sentence(rng, 60, 10 ** 6) for _ in range(150)]
+    for i in range(20):
+        x = rows[i].split()
+        for p in rng.sample(range(60, 120), 18):
+            x[p] = f"new{rng.randrange(10 ** 6)}"
+        rows.append(" ".join(x))
+    cls = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, rows)).collect()}
+    assert all(cls[i] == (i - 150 if i >= 150 else i) for i in range(len(rows)))
+
+
 def test_empty(spark):
     assert near_duplicates(empty(spark)).count() == 0 and one_per_class(empty(spark)).count() == 0
