@@ -146,5 +146,19 @@ def test_many_texts_with_one_passage_and_two_near_ones(spark):
     assert all(cls[i] == (i - 150 if i >= 150 else i) for i in range(len(rows)))
 
 
+def test_pairs_at_the_edit_limit_are_found(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(120):
+        x = sentence(rng, 300, 10 ** 6).split()
+        rows.append(" ".join(x))
+        for p in rng.sample(range(300), 45 if i % 2 else 60):  # 15 or 20 % of the words
+            x[p] = f"new{rng.randrange(10 ** 6)}"
+        rows.append(" ".join(x))
+    cls = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, rows)).collect()}
+    met = [cls[2 * i] == cls[2 * i + 1] for i in range(120)]
+    assert all(met[1::2]) and sum(met[::2]) >= 57
+
+
 def test_empty(spark):
     assert near_duplicates(empty(spark)).count() == 0 and one_per_class(empty(spark)).count() == 0
