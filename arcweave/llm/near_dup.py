@@ -23,8 +23,9 @@ of 20 % of the words, the most that is accepted, leave J = 0.34: 40 sketches mis
 With 15 % (J = 0.44) fewer than 0.02 % are missed, with 10 % (J = 0.57) fewer than one in 10^6.
 
 Defined results: null, blank and equal texts are copies of each other; texts of under five words
-have no sketch and are only copies or unique; a null id is smaller than all others; rows with one
-id are one document, represented in alignments by its smallest text; an empty table gives an
+have no sketch and are only copies or unique; a null id is smaller than all others; rows are
+told apart by id and words, so different texts under a null or repeated id are documents of their
+own; an empty table gives an
 empty result; further columns are not looked at.
 """
 
@@ -324,37 +325,51 @@ def find_links(docs: DataFrame, unique: DataFrame) -> DataFrame:
     return links
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per input row: key, ``class_id`` (the smallest id of its class), n_links (different texts it is linked
-    to directly) and ``kept`` (true for the document with the smallest id)."""
+def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Per input row: id, a and b (digests of its words), class_id, n_links and kept."""
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"),
                      F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = stored(_sketched(docs), "sketches")
+    # texts are numbered, so that no two of them are ever one node
     unique = stored(rows.groupBy("a", "b").agg(
-        F.min("id").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches")), "unique")
+        F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+        .sortWithinPartitions("a", "b").withColumn("rep", F.monotonically_increasing_id()), "unique")
     links = find_links(docs, unique)
-    # rows with one id are one document
-    ids = rows.join(unique.select("a", "b", "rep"), ["a", "b"]).select("id", "rep").distinct()
-    ids = stored(ids, "ids")
-    label = components(links.union(ids), "a", "b")
+    label = components(links, "a", "b")
     ends = links.select(F.col("a").alias("e")).union(links.select("b")).groupBy("e").agg(
         F.count(F.lit(1)).alias("n_links"))
-    facts = stored(ids.select("id", "rep").groupBy("id").agg(F.min("rep").alias("rep"))
-                   .join(label, F.col("id") == F.col("node"), "left").join(ends, F.col("rep") == F.col("e"), "left")
-                   .select("id", F.coalesce("label", "id").alias("class_id"),
-                           F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    real = lambda c: F.when(F.col(c) == F.lit(_NULL_ID), None).otherwise(F.col(c))
-    return rows.select("id").join(facts, "id").select(
-        real("id").alias(key), real("class_id").alias("class_id"), "n_links",
-        (F.col("id") == F.col("class_id")).alias("kept"))
+    texts = stored(unique.select("rep", "a", "b", "id").join(label, F.col("rep") == F.col("node"), "left")
+                   .join(ends, F.col("rep") == F.col("e"), "left")
+                   .select("a", "b", "id", F.col("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "texts")
+    # texts without a link are their own class and need no aggregation
+    first = (texts.filter("label is not null").groupBy("label").agg(F.min(F.struct("id", "a", "b")).alias("f"))
+             .withColumnRenamed("label", "l"))
+    own = F.struct("id", "a", "b")
+    facts = stored(texts.join(first, F.col("label") == F.col("l"), "left")
+                   .select("a", "b", F.coalesce("f", own).alias("f"), "n_links"), "classes")
+    return rows.select("id", "a", "b").join(facts, ["a", "b"]).select(
+        "id", "a", "b", F.col("f.id").alias("class_id"), "n_links", (own == F.col("f")).alias("kept"))
+
+
+def _real(c: str) -> Column:
+    return F.when(F.col(c) == F.lit(_NULL_ID), None).otherwise(F.col(c))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per input row: key, ``class_id`` (the smallest id of its class), n_links (different texts it is linked
+    to directly) and ``kept`` (true for the smallest id of the class and its first text by digest)."""
+    return _classes(df, key, text).select(_real("id").alias(key), _real("class_id").alias("class_id"), "n_links", "kept")
 
 
 def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``df`` for each class, with all its columns."""
-    keep = stored(near_duplicates(df, key, text).filter("kept").groupBy(F.col(key).alias("__keep"))
-                  .agg(F.count(F.lit(1)).alias("__n")), "kept")
-    single = keep.filter("__n = 1").select("__keep")
-    # ids of several rows are few or none; only their rows are grouped
-    several = stored(keep.filter("__n > 1").select("__keep"), "repeated")
-    pick = lambda ids: df.join(ids, df[key].eqNullSafe(ids["__keep"]), "left_semi")
-    return pick(single).unionByName(pick(several).dropDuplicates([key]))
+    keep = stored(_classes(df, key, text).filter("kept").groupBy(_real("id").alias("__keep"), "a", "b")
+                  .agg(F.count(F.lit(1)).alias("__n")).withColumnsRenamed({"a": "__a", "b": "__b"}), "kept")
+    marked = df.withColumn("__d", _digest(F.coalesce(F.col(text), F.lit(""))))
+    marked = marked.select(*df.columns, F.col("__d.a").alias("__da"), F.col("__d.b").alias("__db"))
+    same = (F.col("__da") == F.col("__a")) & (F.col("__db") == F.col("__b")) & F.col(key).eqNullSafe(F.col("__keep"))
+    pick = lambda ids: marked.join(ids, same, "left_semi")
+    single = keep.filter("__n = 1").drop("__n")
+    # rows that are there several times are few or none; only they are grouped
+    several = stored(keep.filter("__n > 1").drop("__n"), "repeated")
+    return pick(single).unionByName(pick(several).dropDuplicates([key, "__da", "__db"])).select(*df.columns)

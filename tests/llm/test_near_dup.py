@@ -3,6 +3,7 @@ import random
 from fixtures import documents, empty, sentence, texts, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from arcweave.llm.near_dup import band_distance, edit_distance_within, near_duplicates, one_per_class
 
@@ -160,5 +161,17 @@ def test_pairs_at_the_edit_limit_are_found(spark):
     assert all(met[1::2]) and sum(met[::2]) >= 57
 
 
+def test_texts_of_null_and_repeated_ids_stay(spark):
+    rng = random.Random(15)
+    a, b, c, d = (sentence(rng, 60, 10 ** 6) for _ in range(4))
+    near = edit(rng, c, 2)
+    df = documents(spark, [a, b, a, c, d, near, d], ids=[-1, -1, 7, -1, 7, 9, 8])
+    df = df.withColumn("doc_id", F.expr("nullif(doc_id, -1)"))
+    got = {(r.doc_id, r.class_id, r.kept) for r in near_duplicates(df).collect()}
+    assert got == {(None, None, True), (7, None, False), (7, 7, True), (8, 7, False), (9, None, False)}
+    kept = sorted((r.doc_id or 0, r.text or "") for r in one_per_class(df).collect())
+    assert kept == sorted([(0, ""), (0, a), (0, b), (0, c), (7, d)])
+
+
 def test_empty(spark):
     assert near_duplicates(empty(spark)).count() == 0 and one_per_class(empty(spark)).count() == 0
