@@ -71,10 +71,9 @@ def item_sketches(items: DataFrame, key: str = "item_id", text: str = "text", k:
     return base.drop("hashes"), sketch
 
 
-def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-                    item_key: str = "item_id", item_text: str = "text", k: int = SHINGLE,
-                    percent: int = PERCENT) -> DataFrame:
-    """Pairs (document, item) with ``n_shared`` of the item's ``n_shingles`` shingles, over the limit."""
+def _checked(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, k: int,
+             percent: int) -> DataFrame:
+    """Rows (key, h: hash of the text) and items with the shingles they share, over the limit."""
     base, sketch = item_sketches(items, item_key, item_text, k, percent)
     sketch = stored(sketch, "sketches")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).filter("t is not null").select(
@@ -86,19 +85,29 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
                                                "item", "n_items", "shingles")
     both = rows.drop("w").join(
         pairs, F.col("key").eqNullSafe(F.col("ckey")) & (F.col("h") == F.col("ch")))
-    checked = (both.withColumn("w", words(F.col("t")))
-               .withColumn("n_shared", F.size(F.array_intersect("shingles", _texts(F.col("w"), k))))
-               .withColumn("n_shingles", F.size("shingles"))
-               .filter(F.col("n_shared") * 100 >= F.col("n_shingles") * percent))
+    return (both.withColumn("w", words(F.col("t")))
+            .withColumn("n_shared", F.size(F.array_intersect("shingles", _texts(F.col("w"), k))))
+            .withColumn("n_shingles", F.size("shingles"))
+            .filter(F.col("n_shared") * 100 >= F.col("n_shingles") * percent))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                    item_key: str = "item_id", item_text: str = "text", k: int = SHINGLE,
+                    percent: int = PERCENT) -> DataFrame:
+    """Pairs (document, item) with ``n_shared`` of the item's ``n_shingles`` shingles, over the limit."""
+    checked = _checked(docs, items, key, text, item_key, item_text, k, percent)
     return (checked.groupBy(F.col("key").alias(key), F.col("item").alias(item_key if item_key != key else "item"))
             .agg(F.max("n_items").alias("n_items"), F.max("n_shared").alias("n_shared"),
                  F.max("n_shingles").alias("n_shingles")))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", **kw) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
-    hit = stored(contained_items(docs, items, key=key, **kw).select(F.col(key).alias("__hit")).distinct(), "hits")
-    return docs.join(hit, docs[key].eqNullSafe(hit["__hit"]), "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                    item_key: str = "item_id", item_text: str = "text", k: int = SHINGLE,
+                    percent: int = PERCENT) -> DataFrame:
+    """The documents that contain no item, with all their columns; rows of one key are told apart by their texts."""
+    hit = stored(_checked(docs, items, key, text, item_key, item_text, k, percent)
+                 .select(F.col("key").alias("__hit"), F.col("h").alias("__h")).distinct(), "hits")
+    return docs.join(hit, docs[key].eqNullSafe(hit["__hit"]) & (F.xxhash64(docs[text]) == hit["__h"]), "left_anti")
 
 
 def oracle_sql() -> str:

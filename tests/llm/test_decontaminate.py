@@ -1,4 +1,5 @@
 from fixtures import documents, empty, texts, words
+from pyspark.sql import functions as F
 
 from arcweave.llm.decontaminate import clean_documents, contained_items, item_sketches
 
@@ -66,3 +67,12 @@ def test_empty_tables(spark):
     assert contained_items(empty(spark), items(spark, some_items())).count() == 0
     assert contained_items(documents(spark), none).count() == 0
     assert clean_documents(documents(spark), none).count() == documents(spark).count()
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    bad = "this text holds all of the item in it and more"
+    rows = ["a clean text of an id that is there twice", bad, "clean text with a null id", "other " + bad, "clean"]
+    df = documents(spark, rows, ids=[1, 1, -1, -1, 2]).withColumn("doc_id", F.expr("nullif(doc_id, -1)"))
+    out = clean_documents(df, items(spark, [(1, "holds all of the item in it")]))
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [
+        (0, ""), (0, rows[2]), (1, rows[0]), (2, "clean"), (2, "clean")]
