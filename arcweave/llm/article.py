@@ -15,8 +15,9 @@ that score at least a fifth of it, or that are prose (paragraphs, headings, list
 hardly any links. All blocks of the kept elements are returned in page order.
 
 Where no block scores (all are empty) the text is empty. Reading is a single pass with an
-explicit stack, so depth and length of a page do not matter; unclosed tags, comments and quotes
-run to the end of the page, as in browsers.
+explicit stack, so depth and length of a page do not matter; unclosed tags and comments run to the
+end of the page, as in browsers. A quote opens a string only where an attribute's value starts; one
+that is never closed is an ordinary character, and its tag ends at the next ``>``.
 
 Defined results: null html is empty; rows are independent, so repeated rows and null ids need no
 rule; an empty table gives an empty result; only the key, url and html columns are looked at.
@@ -59,8 +60,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
                   "toolbar form".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTR = re.compile(r"""[^"'>]*+(?:"[^"]*"[^"'>]*+|'[^']*'[^"'>]*+)*+>""")
-_VALUE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+# An attribute as browsers read it: a quote opens a string only where a value starts, and only if it is closed.
+_PAIR = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+_VALUE = re.compile(_PAIR)
+_ATTR = re.compile(rf"(?:[\s/]++|{_PAIR})*+>")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _SPACE = re.compile(r"\s+")
 

@@ -36,6 +36,18 @@ def test_hard_markup():
         assert main_text(page) == want, page
 
 
+def test_stray_quotes_do_not_swallow_text():
+    cases = {
+        "<p title=don't>Some text</p><p>more</p>": "Some text\n\nmore",
+        '<a href="x"">Text</a><p>rest "quoted" end</p>': 'Text\n\nrest "quoted" end',
+        "<p title='open>Some text</p><p>more</p>": "Some text\n\nmore",
+        "<p it's>one</p><p a=b\"c d = 'x > y'>it's two</p>": "one\n\nit's two",
+        "<p>a</p ><p =\"x>b</p><p class = \"ok\"id='y'>c": "a\n\nb\n\nc",
+    }
+    for page, want in cases.items():
+        assert main_text(page) == want, page
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 50000 + "<p>x, y") == "x, y"
     assert main_text("<p>" + "<b>" * 20000 + "x") == "x"
