@@ -5,6 +5,11 @@ styles and other raw text are skipped; elements that are boilerplate by tag, rol
 their class or id are dropped with all they hold (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments).
 
+A word of a class or id can also stand on a wrapper of the article (``has-sidebar``). Such an element
+stays if its text outside links has at least the points of all unmarked text and it holds an h1, a
+main or an unmarked article element, or if it has four times these points and hardly any unmarked
+text is left (the strongest one first; what it holds then counts as unmarked).
+
 Scoring: each block of text (a paragraph, list item, heading, cell, or the loose text of a
 container) gets one point, one for each comma, and one for each 100 characters up to three. The
 points go in full to its parent, halved to the grandparent, then divided by three, four and so
@@ -27,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +61,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "consent gdpr popup modal overlay alert newsletter subscribe subscription signup login "
                   "share sharing social comment comments commentlist disqus replies respond toolbar skip "
                   "copyright disclaimer".split())
+LITTLE = 200  # characters outside links and marked elements that are no article
+CLEARLY = 4  # times the points of the unmarked text
 KEEP_MARKED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
                   "toolbar form".split())
@@ -69,39 +77,43 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "block", "score", "length", "linked", "link")
+    __slots__ = ("tag", "parent", "dropped", "block", "score", "length", "linked", "link", "mark", "outer", "proof")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, marked: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.outer = parent.mark if parent is not None else None  # the nearest marked element around this one
+        self.mark, self.proof = self if marked else self.outer, False
         self.block = tag not in INLINE
         self.link = tag == "a" or (parent is not None and parent.link)
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is dropped in any case, and whether its class or id marks it."""
     if tag in DROPPED:
-        return True
+        return True, False
+    marked = False
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return False, False
     for name, value in _VALUE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, marked
         if name == "role" and value in ROLES:
-            return True
+            return True, marked
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and tag not in KEEP_MARKED and not MARKS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            return True, marked
+        if name in ("class", "id") and not MARKS.isdisjoint(_SPLIT.split(value)):
+            marked = True
+    return False, marked
 
 
 def _closing(tag: str) -> tuple[str, ...]:
     return ("p",) if tag in CLOSES_P else SELF_CLOSING.get(tag, ())
 
 
-def blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(element, text, characters in links) of all text blocks in page order, outside boilerplate."""
+def _read(page: str) -> list[tuple[_Node, list[tuple[str, bool, _Node | None]]]]:
+    """(element, pieces) of all text blocks in page order; a piece is text, whether in a link, and its mark."""
     root = _Node("html", None, False)
     stack, out, run, owner = [root], [], [], root
     pos, n = 0, len(page)
@@ -109,10 +121,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
     def flush() -> None:
         nonlocal run
         if run:
-            text = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in run))).strip()
-            if text:
-                linked = sum(len(t) for t, link in run if link)
-                out.append((owner, text, min(linked, len(text))))
+            out.append((owner, run))
             run = []
 
     def pop_to(at: int) -> None:
@@ -127,7 +136,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
         if lt < 0:
             lt = n
         if lt > pos and not stack[-1].dropped:
-            run.append((page[pos:lt], stack[-1].link))
+            run.append((page[pos:lt], stack[-1].link, stack[-1].mark))
         if lt == n:
             break
         nxt = page[lt + 1:lt + 2]
@@ -146,7 +155,7 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
                 pos = n if end < 0 else end + 1
             else:
                 if not stack[-1].dropped:
-                    run.append(("<", stack[-1].link))
+                    run.append(("<", stack[-1].link, stack[-1].mark))
                 pos = lt + 1
             continue
         tail = _ATTR.match(page, name.end())
@@ -176,9 +185,14 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
                 if tag == "hr":
                     flush()
                 elif tag == "br":
-                    run.append((" ", False))
+                    run.append((" ", False, stack[-1].mark))
             continue
-        node = _Node(tag, stack[-1], stack[-1].dropped or _boilerplate(tag, attrs))
+        gone, marked = _boilerplate(tag, attrs)
+        node = _Node(tag, stack[-1], stack[-1].dropped or gone, marked and tag not in KEEP_MARKED)
+        if not node.dropped and (tag in ("h1", "main") or (tag == "article" and not marked)):
+            around = node.outer
+            while around is not None and not around.proof:
+                around.proof, around = True, around.outer
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
             if end is None:
@@ -197,11 +211,72 @@ def blocks(page: str) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _rendered(read: list, shut: Callable[[_Node | None], bool]) -> list[tuple[_Node, str, int, _Node | None]]:
+    """(element, text, characters in links, mark) of the blocks, without the pieces under a mark that is ``shut``."""
+    out = []
+    for owner, pieces in read:
+        run = [x for x in pieces if not shut(x[2])]
+        text = _SPACE.sub(" ", entities.unescape("".join(t for t, _, _ in run))).strip()
+        if text:
+            out.append((owner, text, min(sum(len(t) for t, link, _ in run if link), len(text)), run[0][2]))
+    return out
+
+
+def _points(text: str) -> float:
+    return 1.0 + text.count(",") + min(len(text) // 100, 3)
+
+
+def _wrappers(read: list) -> set[_Node]:
+    """Marked elements that hold the article, and so stay."""
+    marks: dict[_Node, list[float]] = {}  # mark: points and characters outside links, of its own pieces only
+    bare = [0.0, 0.0]
+    for _, text, linked, mark in _rendered(read, lambda _: False):
+        own = bare if mark is None else marks.setdefault(mark, [0.0, 0.0])
+        own[0] += _points(text) * (1.0 - linked / len(text))
+        own[1] += len(text) - linked
+    total: dict[_Node, float] = {}
+    for mark, (points, _) in marks.items():
+        around = mark
+        while around is not None:
+            total[around] = total.get(around, 0.0) + points
+            around = around.outer
+    stay: set[_Node] = set()
+    while True:
+        fit = [x for x in total if x not in stay and (x.outer is None or x.outer in stay) and total[x] > 0
+               and total[x] >= bare[0] * (1 if x.proof else CLEARLY) and (x.proof or bare[1] < LITTLE)]
+        if not fit:
+            return stay
+        best = max(fit, key=lambda x: (x.proof, total[x]))
+        stay.add(best)
+        own = marks.get(best, (0.0, 0.0))
+        bare = [bare[0] + own[0], bare[1] + own[1]]
+
+
+def blocks(page: str) -> list[tuple[_Node, str, int]]:
+    """(element, text, characters in links) of all text blocks in page order, outside boilerplate."""
+    read = _read(page)
+    if all(mark is None for _, pieces in read for _, _, mark in pieces):
+        return [x[:3] for x in _rendered(read, lambda _: False)]
+    stay = _wrappers(read)
+    known: dict[_Node | None, bool] = {None: False}
+
+    def shut(mark: _Node | None) -> bool:
+        path = []
+        while mark not in known and mark in stay:
+            path.append(mark)
+            mark = mark.outer
+        answer = known.setdefault(mark, True)
+        known.update(dict.fromkeys(path, answer))
+        return answer
+
+    return [x[:3] for x in _rendered(read, shut)]
+
+
 def _score(found: list[tuple[_Node, str, int]]) -> dict[_Node, float]:
     """Points of every container: score times the share of its text outside links."""
     nodes: dict[_Node, None] = {}
     for block, text, linked in found:
-        points = 1.0 + text.count(",") + min(len(text) // 100, 3)
+        points = _points(text)
         loose = block.tag in SCOPE or block.tag == "html"
         level, node = 0 if loose else -1, block
         while node is not None:

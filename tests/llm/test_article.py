@@ -48,6 +48,24 @@ def test_stray_quotes_do_not_swallow_text():
         assert main_text(page) == want, page
 
 
+def test_marks_on_a_wrapper_keep_the_article():
+    long = "Words, words, and more words that go on, " * 8
+    body = f"<h2>Title</h2><p>{long}</p><p>{long}</p>"
+    want = "\n\n".join(["Title", long.strip(), long.strip()])
+    aside = "<div class=sidebar><p>Other, things, to, read, here</p></div>"
+    talk = f"<div class=comments>{'<p>I, also, think, so, too, yes.</p>' * 40}</div>"
+    intro = f"<p>{'Some teaser text without much. ' * 8}</p>"
+    for name in ("content has-sidebar", "no-sidebar", "page-header-wrap"):
+        assert main_text(f'<div class="{name}">{body}{aside}</div>') == want, name
+        assert main_text(f'<div class="{name}"><div id=page-header>{body}</div>{aside}</div>{talk}'.replace("h2", "h1")) == want
+        assert main_text(f'{intro}<div id="{name}"><main>{body}</main></div>') == want
+    # larger than the article, but not around it
+    assert main_text(f"<div><div>{body}</div>{talk}</div>") == want
+    menu = "<div class=menu>" + "<li><a href=x>Some, linked, words</a></li>" * 50 + "</div>"
+    assert main_text(f"{menu}<div><p>Short, text.</p></div>") == "Short, text."
+    assert main_text("<div><p>One <span class=ad>buy</span> two</p></div>") == "One two"
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 50000 + "<p>x, y") == "x, y"
     assert main_text("<p>" + "<b>" * 20000 + "x") == "x"
