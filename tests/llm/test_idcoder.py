@@ -66,6 +66,21 @@ def test_files_match_the_library(spark, tmp_path):
     assert sorted(got, key=lambda x: x[1]) == want
 
 
+def test_ids_are_those_of_the_library_default_without_added_tokens():
+    path = P.path("word_bpe_49k.json")
+    tk, known = Tokenizer.from_file(path), c._Tokens(path)
+    rows = [t or "" for t in texts()[:-1]] + ["< |endoftext|> İΣΑΣ ǅ é  x y", "<|end", "ẞ"]
+    for t in rows:
+        words = t.encode().split()
+        known.fill(set(words))
+        own = np.frombuffer(b"".join(known[w] for w in words), dtype="<u2").tolist()
+        assert own == tk.encode(t, add_special_tokens=False).ids
+    # the named difference
+    known.fill({b"a", b"<|endoftext|>"})
+    assert tk.encode("a <|endoftext|>", add_special_tokens=False).ids[1:] == [49407]
+    assert len(known[b"<|endoftext|>"]) > 2
+
+
 def test_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     c.write_ids(empty(spark), path, P.path("word_bpe_49k.json"))
