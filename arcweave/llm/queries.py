@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.llm import (article, bpe_tree, decontaminate, idcoder, line_dedup, near_dup, phrases,
-                          quality, shard, warc)
+from arcweave.llm import (article, bpe_tree, decontaminate, frames, idcoder, line_dedup, near_dup, phrases,
+                          quality, shard, spelling, syncmers, warc)
 from arcweave.llm.common import table
 from arcweave.session import ensure_checkpoint_dir, scratch_dir
 
@@ -70,8 +70,21 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.successor_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_trie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_framed_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.fill_in_middle(frames.store(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_captures, op2_article_text, op3_decontaminate, op4_line_dedup, op5_quality_rules,
     op6_tree_bpe, op7_order_minhash,
-    op8_rendezvous_shards, op9_id_files, op10_repeated_phrases)}
+    op8_rendezvous_shards, op9_id_files, op10_repeated_phrases, op11_closed_syncmers, op12_trie_pairs,
+    op13_framed_middle)}
 ORACLES = {"op3_decontaminate": decontaminate.oracle_sql, "op4_line_dedup": line_dedup.oracle_sql}
