@@ -158,8 +158,8 @@ def d3_duplicate_geometry(spark, sf_dir):
 
 
 def _f1_with_line(spark, sf_dir):
-    net = X.trade_network(spark, sf_dir)
-    alloc = X.trade_allocations(spark, sf_dir, net)
+    net = X.trade_network(spark, sf_dir, paired=True)
+    alloc = X.trade_allocations(spark, sf_dir, net, paired=True)
     t = edge_table(net, alloc.arc_infra, alloc.arc_flow, "result", X.N_GOODS_FROM_PARTS,
                    keep=("edge_id", "geometry"))
     nodes = net.nodes.select("node", "lon", "lat")

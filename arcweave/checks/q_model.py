@@ -25,8 +25,8 @@ CTES = S.NET_T + SV.VARIANTS
 
 
 def _f1(spark, sf_dir, net=None):
-    net = X.trade_network(spark, sf_dir) if net is None else net
-    alloc = X.trade_allocations(spark, sf_dir, net)
+    net = X.trade_network(spark, sf_dir, paired=True) if net is None else net
+    alloc = X.trade_allocations(spark, sf_dir, net, paired=True)
     return edge_table(net, alloc.arc_infra, alloc.arc_flow, "result", NG)
 
 

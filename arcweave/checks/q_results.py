@@ -20,8 +20,8 @@ _f1_ctes, _f1_final = S.edge_table("result")
 
 @register("f1_edge_table", _f1_final, F1_DOUBLES, ctes=S.NET_T + _f1_ctes)
 def f1_edge_table(spark, sf_dir):
-    net = X.trade_network(spark, sf_dir)
-    alloc = X.trade_allocations(spark, sf_dir, net)
+    net = X.trade_network(spark, sf_dir, paired=True)
+    alloc = X.trade_allocations(spark, sf_dir, net, paired=True)
     return edge_table(net, alloc.arc_infra, alloc.arc_flow, "result", N_GOODS)
 
 
@@ -30,8 +30,8 @@ _f1b_ctes, _f1b_final = S.edge_table("baseline", prefix="f1b")
 
 @register("f1_edge_table_baseline", _f1b_final, F1_DOUBLES, ctes=S.NET_T + _f1b_ctes)
 def f1_edge_table_baseline(spark, sf_dir):
-    net = X.trade_network(spark, sf_dir)
-    alloc = X.trade_allocations(spark, sf_dir, net)
+    net = X.trade_network(spark, sf_dir, paired=True)
+    alloc = X.trade_allocations(spark, sf_dir, net, paired=True)
     return edge_table(net, alloc.arc_infra, alloc.arc_flow, "baseline", N_GOODS)
 
 
@@ -105,7 +105,7 @@ def g2_to_pairs(spark, sf_dir):
                            f"pair_hi, sum(ijk * {S.W}) AS ijk FROM tinfra "
                            f"GROUP BY run_id, least(src, dst), greatest(src, dst)", ("ijk",))
 def d4_symmetrise(spark, sf_dir):
-    infra = X.trade_allocations(spark, sf_dir).arc_infra
+    infra = X.trade_allocations(spark, sf_dir, paired=True).arc_infra
     return symmetrise(infra, ["ijk"], keys=("run_id",))
 
 
@@ -131,7 +131,7 @@ def e5_global_cap_unbounded(spark, sf_dir):
                                 f"GROUP BY run_id, least(src, dst), greatest(src, dst), good",
           ("q",))
 def e6_edge_flows_long(spark, sf_dir):
-    return A.edge_flows_long(X.trade_arc_flow(spark, sf_dir), keys=("run_id",))
+    return A.edge_flows_long(X.trade_allocations(spark, sf_dir, paired=True).arc_flow, keys=("run_id",))
 
 
 def _wide_sql():
@@ -145,7 +145,7 @@ def _wide_sql():
 @register("e7_edge_flows_wide", _wide_sql(),
           (*[f"Qjk_{g}" for g in range(1, N_GOODS + 1)], "Qjk_total"))
 def e7_edge_flows_wide(spark, sf_dir):
-    return A.edge_flows_wide(X.trade_arc_flow(spark, sf_dir), N_GOODS, keys=("run_id",))
+    return A.edge_flows_wide(X.trade_allocations(spark, sf_dir, paired=True).arc_flow, N_GOODS, keys=("run_id",))
 
 
 @register("e8_edge_flow_total", f"SELECT run_id, least(src, dst) AS pair_lo, greatest(src, dst) "
@@ -153,7 +153,7 @@ def e7_edge_flows_wide(spark, sf_dir):
                                 f"GROUP BY run_id, least(src, dst), greatest(src, dst)",
           ("Qjk_total",))
 def e8_edge_flow_total(spark, sf_dir):
-    long = A.edge_flows_long(X.trade_arc_flow(spark, sf_dir), keys=("run_id",))
+    long = A.edge_flows_long(X.trade_allocations(spark, sf_dir, paired=True).arc_flow, keys=("run_id",))
     return A.edge_flow_total(long, keys=("run_id",))
 
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arcweave.checks import sql_variants as SV
+from arcweave.checks import sqlparts as S
+from arcweave.checks.q_results import F1_DOUBLES
 from arcweave.checks.registry import register
 from arcweave.functions import parse_progress
 from arcweave.operators import windows as W
-from arcweave.plans.results import edge_inputs
+from arcweave.plans import incremental
 from arcweave.session import ensure_checkpoint_dir, scratch_dir
 from arcweave.sources import files as IO
 from arcweave.sources import fixtures as X
 from arcweave.sources import variants as VA
+from arcweave.streaming import latest as L
+from arcweave.streaming import rebuild as RB
 from arcweave.streaming import runlog as R
+from arcweave.streaming import tail as T
 
 CT = SV.RUNLOG
 PROG = r"Iteration No\. (\d+) distance=([0-9.eE+-]+)"
@@ -134,29 +139,69 @@ def i1_stream_progress(spark, sf_dir):
         stream = IO.read_run_log(spark, src, streaming=True)
         q = R.stream_progress(stream, ck, sink_path=sink, available_now=True)
         q.awaitTermination()
-    return R.read_latest(spark, sink)
+    return L.read_latest(spark, sink)
 
 
 @register("i3_stream_tail", RETAIN_SQL, ctes=CT)
 def i3_stream_tail(spark, sf_dir):
-    src, state, ck = (scratch_dir(spark, n) for n in ("i3-src", "i3-state", "i3-ck"))
+    """Three batches; the tail is read from the state store after the last."""
+    src, ck = (scratch_dir(spark, n) for n in ("i3-src", "i3-ck"))
     for part in _write_parts(_log(spark, sf_dir)):
         part.write.mode("append").json(src)
         stream = IO.read_run_log(spark, src, streaming=True)
-        q = R.stream_tail(stream, state, ck, n=TAIL_N, available_now=True)
-        q.awaitTermination()
-    return R.read_tail(spark, state).select("run_id", "event_id", "line", "line_no", "offset")
+        T.stream_tail(stream, ck, n=TAIL_N, available_now=True).awaitTermination()
+    return T.read_tail(spark, ck, TAIL_N)
+
 
+_i4a_ctes, _i4a = S.edge_table("result", prefix="i4a")
+_I4_EDGES = [("i4edges", """SELECT * REPLACE (CASE WHEN ("from" + "to") % 10 = 0 THEN Ijk + 5 ELSE Ijk END AS Ijk,
+    CASE WHEN ("from" + "to") % 15 = 0 THEN CAST(130 AS DOUBLE) ELSE Iu END AS Iu)
+    FROM tedges WHERE ("from" + "to") % 31 <> 0""")]
+_i4b_ctes, _i4b = S.edge_table("result", edges="i4edges", prefix="i4b")
 
-@register("i4_stream_rebuild", 'SELECT "from", "to", delta_i, delta_tau, Ijk AS Ijk_orig, '
-          'CAST(1 AS BIGINT) AS version FROM tedges', ("delta_i", "delta_tau", "Ijk_orig"))
+
+@register("i4_stream_rebuild", f"""
+    SELECT *, CAST(1 AS BIGINT) AS version FROM ({_i4a}) a
+    UNION ALL SELECT *, CAST(2 AS BIGINT) AS version FROM ({_i4b}) b""", F1_DOUBLES,
+          ctes=S.NET_T + _I4_EDGES + _i4a_ctes + _i4b_ctes)
 def i4_stream_rebuild(spark, sf_dir):
-    src, sink, ck = (scratch_dir(spark, n) for n in ("i4-src", "i4-sink", "i4-ck"))
+    """Two complete uploads in three batches; between them a partial one, which publishes nothing.
+
+    The second upload changes, drops and keeps edges and raises the cap; each version equals the full F1 of
+    its edges.
+    """
+    src, manifests, sink, ck = (scratch_dir(spark, n) for n in ("i4-edges", "i4-manifests", "i4-sink", "i4-ck"))
     net = X.trade_network(spark, sf_dir)
-    edges = net.edges.drop("geometry")
-    edges.write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(edges.schema).parquet(src)
-    q = R.stream_rebuild(stream, net.nodes, sink, ck, lambda e, n: edge_inputs(e),
-                         available_now=True)
-    q.awaitTermination()
-    return R.read_version(spark, sink)
+    alloc = X.trade_allocations(spark, sf_dir, net, paired=True)
+    run = F.col("run_id") == "result"
+    publish = RB.f1_publisher(alloc.arc_infra.filter(run), alloc.arc_flow.filter(run), sink, X.N_GOODS_FROM_PARTS)
+    first = net.edges.drop("geometry")
+    s = F.col("from") + F.col("to")
+    second = (first.filter(s % 31 != 0)
+              .withColumn("Ijk", F.when(s % 10 == 0, F.col("Ijk") + 5).otherwise(F.col("Ijk")))
+              .withColumn("Iu", F.when(s % 15 == 0, F.lit(130.0)).otherwise(F.col("Iu"))))
+
+    def upload(name, edges):
+        edges.write.mode("append").parquet(f"{src}/upload={name}")
+
+    def announce(name):
+        files = spark.read.schema(first.schema).parquet(f"{src}/upload={name}").select(
+            F.col("_metadata.file_path").alias("file"))
+        files.agg(F.lit(name).alias("upload"), F.count_distinct("file").alias("n_files"),
+                  F.count("file").alias("n_rows")).write.mode("append").json(manifests)
+
+    def run_batch():
+        RB.stream_rebuild(spark, src, first.schema, manifests, sink, ck, publish,
+                          available_now=True).awaitTermination()
+
+    upload("a", first)
+    announce("a")
+    run_batch()
+    upload("b", second.filter(F.col("from") % 2 == 0))
+    run_batch()
+    if incremental.newest(spark, sink) != 1:
+        raise AssertionError("a partial upload was published")
+    upload("b", second.filter(F.col("from") % 2 != 0))
+    announce("b")
+    run_batch()
+    return incremental.read_edges_version(spark, sink, 1).unionByName(incremental.read_edges_version(spark, sink, 2))

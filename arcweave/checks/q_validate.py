@@ -8,7 +8,7 @@ from arcweave.checks import sql_variants as SV
 from arcweave.checks.registry import register
 from arcweave.checks.sqlparts import NET_T, parse_line
 from arcweave.operators import validate as V
-from arcweave.operators.graph import connected_components
+from arcweave.operators.graph import connected_components, extend_components
 from arcweave.plans.validation import cross_checks, type_network, validate_network
 from arcweave.sources import fixtures as X
 from arcweave.sources import variants as VA
@@ -162,6 +162,31 @@ def b14_unreachable(spark, sf_dir):
     return V.unreachable_finding(connected_components(net.nodes, net.edges))
 
 
+def _grown_components(spark, sf_dir, steps: int = 3):
+    """Nodes without edges, then the edges in ``steps`` parts by a rule on their ids."""
+    net = VA.domestic_network(spark, sf_dir)
+    now = net.nodes.select("node", F.col("node").alias("component"))
+    for step in range(steps):
+        part = net.edges.filter((F.col("from") * 7 + F.col("to")) % steps == step)
+        now = extend_components(now, part).checkpoint()
+    return now
+
+
+@register("b15_growing_components", "SELECT node, component FROM dcomp", ctes=NET_T + SV.DOMESTIC)
+def b15_growing_components(spark, sf_dir):
+    """Components after three additions of edges equal those of the whole network."""
+    return _grown_components(spark, sf_dir)
+
+
+@register("b14_unreachable_growing", """
+    SELECT 'warning' AS severity, 'B14' AS rule, 'nodes' AS entity, CAST(NULL AS BIGINT) AS key,
+           'nodes without a path to 1: ' || CAST(n AS VARCHAR) AS message
+    FROM (SELECT count_if(component <> (SELECT component FROM dcomp WHERE node = 1)) AS n
+          FROM dcomp) s WHERE n > 0""", ctes=NET_T + SV.DOMESTIC)
+def b14_unreachable_growing(spark, sf_dir):
+    return V.unreachable_finding(_grown_components(spark, sf_dir))
+
+
 @register("b15_component_sizes", "SELECT component, count(*) AS n_nodes FROM dcomp "
           "GROUP BY component", ctes=NET_T + SV.DOMESTIC)
 def b15_component_sizes(spark, sf_dir):

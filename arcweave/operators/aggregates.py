@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import (finite_or_null, pct_gain, round_sig, transform_value,
                                 widen_domain)
-from arcweave.operators.arcs import arc_weight, pair_hi, pair_lo
+from arcweave.operators.arcs import arc_weight, pair_columns
 
 # ---------------------------------------------------------------- budget
 
@@ -71,8 +71,7 @@ def global_cap(edges: DataFrame, new_col: str = "Ijk", old_col: str = "Ijk_orig"
 
 def edge_flows_long(arc_flow: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Symmetrised flow per undirected pair and good: ``(pair_lo, pair_hi, good, q)``."""
-    return arc_flow.groupBy(*keys, pair_lo("src", "dst").alias("pair_lo"),
-                            pair_hi("src", "dst").alias("pair_hi"), "good").agg(
+    return arc_flow.groupBy(*keys, *pair_columns(arc_flow), "good").agg(
         F.sum(F.col("q") * arc_weight()).alias("q"))
 
 
@@ -88,8 +87,7 @@ def edge_flows_wide(arc_flow: DataFrame, n_goods: int, keys: tuple[str, ...] = (
         aggs = [F.sum(F.when(F.col("good") == g, wq).otherwise(F.lit(0.0))).alias(f"Qjk_{g}")
                 for g in range(1, n_goods + 1)]
     aggs.append(F.sum(wq).alias("Qjk_total"))
-    return arc_flow.groupBy(*keys, pair_lo("src", "dst").alias("pair_lo"),
-                            pair_hi("src", "dst").alias("pair_hi")).agg(*aggs)
+    return arc_flow.groupBy(*keys, *pair_columns(arc_flow)).agg(*aggs)
 
 
 def edge_flow_total(flows_long: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

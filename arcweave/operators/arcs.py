@@ -60,12 +60,18 @@ def symmetrise(arcs: DataFrame, value_cols: list[str], keys: tuple[str, ...] = (
     """
     w = arc_weight()
     aggs = [F.sum(F.col(c) * w).alias(c) for c in value_cols]
-    return arcs.groupBy(*keys, pair_lo("src", "dst").alias("pair_lo"),
-                        pair_hi("src", "dst").alias("pair_hi")).agg(*aggs)
+    return arcs.groupBy(*keys, *pair_columns(arcs)).agg(*aggs)
+
+
+def pair_columns(df: DataFrame, a: str = "src", b: str = "dst") -> list[Column]:
+    """The canonical pair: the columns of a table that stores it, or else derived from its two ends."""
+    if all(c in df.columns for c in PAIR):
+        return [F.col(c) for c in PAIR]
+    return [pair_lo(a, b).alias("pair_lo"), pair_hi(a, b).alias("pair_hi")]
 
 
 def with_pair(edges: DataFrame, a: str = "from", b: str = "to") -> DataFrame:
-    return edges.withColumn("pair_lo", pair_lo(a, b)).withColumn("pair_hi", pair_hi(a, b))
+    return edges.select(*[F.col(f"`{c}`") for c in edges.columns if c not in PAIR], *pair_columns(edges, a, b))
 
 
 def effective_bounds(edges: DataFrame, allow_downgrade: bool = False) -> DataFrame:

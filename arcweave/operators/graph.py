@@ -1,4 +1,4 @@
-"""Connected components (B15) and reachability (B14) as rounds of joins.
+"""Connected components (B15) and reachability (B14) as rounds of joins, whole or as a network grows.
 
 Alternating large-star and small-star rounds: each round rewrites the edge table so that every
 node points at a smaller one, until all point at the smallest of their component. Repeated edges
@@ -59,6 +59,31 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
             .select("node", F.coalesce("v", "node").alias("component")))
 
 
+def extend_components(components: DataFrame, edges: DataFrame, src: str = "from", dst: str = "to") -> DataFrame:
+    """B15 after edges were added: ``(node, component)`` from the components before and the new edges only.
+
+    Each end of a new edge stands for its component (or for itself, a node that was not known), so what is left
+    is a graph of components with at most as many edges as were added. Rounds run on that graph;
+    the known nodes are read twice, to look up ends and to rename components. Components
+    stay named by their smallest node. The result has the lineage of ``components``; store it before the next step.
+    """
+    ensure_checkpoint_dir(components.sparkSession)
+    known = components.select(F.col("node").cast("long").alias("node"), F.col("component").cast("long").alias("component"))
+    new = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).filter(
+        F.col("u").isNotNull() & F.col("v").isNotNull()).distinct()
+    ends = new.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    label = (ends.join(known.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left")
+             .select("node", F.coalesce("component", "node").alias("label"), F.col("known").isNull().alias("fresh"))
+             .checkpoint())
+    at = label.select("node", "label")
+    links = (new.join(at.withColumnsRenamed({"node": "u", "label": "a"}), "u")
+             .join(at.withColumnsRenamed({"node": "v", "label": "b"}), "v"))
+    stars = _stars(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    nodes = known.unionByName(label.filter("fresh").select("node", F.col("label").alias("component")))
+    return (nodes.join(stars, F.col("component") == F.col("u"), "left")
+            .select("node", F.coalesce("v", "component").alias("component")))
+
+
 def component_sizes(components: DataFrame) -> DataFrame:
     """Nodes per component."""
     return components.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))

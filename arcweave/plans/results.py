@@ -1,10 +1,11 @@
 """Result tables (F1, F2) and run comparisons.
 
 F1 plan shape: the two fact tables (``arc_infra`` and ``arc_flow``) are each
-pre-aggregated on the canonical pair — one shuffle each, with map-side partial
-aggregation so hot pairs are combined before the exchange — and joined to the
-edge list on the same key. The only other work is two one-row aggregates for the
-cap, of the edge table and of the aggregated pairs, attached by broadcast.
+pre-aggregated on the canonical pair, with map-side partial
+aggregation so hot pairs are combined before the exchange, and joined to the
+edge list on the same key. Where all three are stored bucketed by the pair
+(``arcweave.sources.buckets``), none of them is exchanged. The cap is a one-row
+aggregate of the edges, attached by broadcast.
 """
 
 from __future__ import annotations
@@ -28,6 +29,53 @@ def edge_inputs(edges: DataFrame) -> DataFrame:
                         F.col("Ijk").cast("double").alias("Ijk_orig"))
 
 
+def edge_facts(edges: DataFrame, arc_infra: DataFrame, arc_flow: DataFrame | None = None, n_goods: int = 1,
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """F1 without the columns that depend on the whole network: input columns, ``Iu``, the canonical pair,
+    ``Ijk``, and with flows ``Qjk_*``. Rows depend only on the arcs of their own pair."""
+    infra = symmetrise(arc_infra, ["ijk"]).withColumnRenamed("ijk", "ijk_sym")
+    out = (edge_base(edges, keep).join(infra, ["pair_lo", "pair_hi"], "left")
+           .withColumn("Ijk", F.coalesce(F.col("ijk_sym"), F.lit(0.0))).drop("ijk_sym"))
+    if arc_flow is None:
+        return out
+    flows = edge_flows_wide(arc_flow, n_goods)
+    qcols = [c for c in flows.columns if c.startswith("Qjk_")]
+    out = out.join(flows, ["pair_lo", "pair_hi"], "left")
+    return out.select(*[c for c in out.columns if c not in qcols],
+                      *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in qcols])
+
+
+def edge_base(edges: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Input columns, ``Iu`` (null where the table has none) and the canonical pair."""
+    return with_pair(edges).select(*keep, *EDGE_INPUT_COLS[:4], F.col("Ijk").cast("double").alias("Ijk_orig"),
+                                   (F.col("Iu").cast("double") if "Iu" in edges.columns
+                                    else F.lit(None).cast("double")).alias("Iu"),
+                                   "pair_lo", "pair_hi")
+
+
+def with_upgrades(facts: DataFrame, cap: DataFrame) -> DataFrame:
+    """``increase`` and ``perc_upgraded`` beside ``Ijk``, from the one-row frame ``cap``."""
+    at = facts.columns.index("Ijk") + 1
+    out = facts.crossJoin(F.broadcast(cap)).withColumns({  # one row
+        "increase": increase("Ijk", "Ijk_orig"),
+        "perc_upgraded": perc_upgraded("Ijk", "Ijk_orig", "Iu", "cap")})
+    return out.select(*facts.columns[:at], "increase", "perc_upgraded", *facts.columns[at:]).drop(
+        "Iu", "pair_lo", "pair_hi")
+
+
+def network_cap(edges: DataFrame, arc_infra: DataFrame) -> DataFrame:
+    """E5: the largest finite ``Iu``, or else the largest old or new infrastructure of an edge.
+
+    The new infrastructure needs the join with the arcs, which is made only where no edge has a finite bound:
+    one look for such an edge, which ends at the first, decides.
+    """
+    base = edge_base(edges)
+    bounded = finite_or_null(F.col("Iu"))
+    if not base.filter(bounded.isNotNull()).isEmpty():
+        return base.agg(F.max(bounded).alias("cap"))
+    return edge_facts(edges, arc_infra).agg(F.greatest(F.max("Ijk_orig"), F.max("Ijk")).alias("cap"))
+
+
 def edge_table(net: NetworkTables, arc_infra: DataFrame | None = None,
                arc_flow: DataFrame | None = None, run_id: str | None = "result",
                n_goods: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -37,40 +85,13 @@ def edge_table(net: NetworkTables, arc_infra: DataFrame | None = None,
     ``increase``, ``perc_upgraded`` and, with flows, ``Qjk_1..Qjk_N`` (N > 1) and
     ``Qjk_total``. ``keep`` carries extra edge columns (e.g. ``edge_id``, ``line``).
     """
-    edges = net.edges
-    base = with_pair(edges).select(*keep, *EDGE_INPUT_COLS[:4],
-                                   F.col("Ijk").cast("double").alias("Ijk_orig"),
-                                   (F.col("Iu") if "Iu" in edges.columns
-                                    else F.lit(None).cast("double")).alias("Iu"),
-                                   "pair_lo", "pair_hi")
     if arc_infra is None:
-        return base.drop("Iu", "pair_lo", "pair_hi")
-
+        return edge_base(net.edges, keep).drop("Iu", "pair_lo", "pair_hi")
     if run_id is not None:
         arc_infra = arc_infra.filter(F.col("run_id") == run_id)
         arc_flow = None if arc_flow is None else arc_flow.filter(F.col("run_id") == run_id)
-    infra = symmetrise(arc_infra, ["ijk"]).withColumnRenamed("ijk", "ijk_sym")
-    out = (base.join(infra, ["pair_lo", "pair_hi"], "left")
-           .withColumn("Ijk", F.coalesce(F.col("ijk_sym"), F.lit(0.0))).drop("ijk_sym")
-           .withColumn("increase", increase("Ijk", "Ijk_orig")))
-
-    # E5: the largest finite Iu, or else the largest old or new infrastructure of an edge
-    old = base.agg(F.max(finite_or_null(F.col("Iu"))).alias("_iu"), F.max("Ijk_orig").alias("_old"))
-    new = (base.select("pair_lo", "pair_hi").join(infra, ["pair_lo", "pair_hi"])
-           .agg(F.max("ijk_sym").alias("_new")))
-    cap = old.crossJoin(new).select(  # one row each
-        F.coalesce("_iu", F.greatest("_old", F.coalesce("_new", F.lit(0.0)))).alias("cap"))
-    out = (out.crossJoin(F.broadcast(cap))
-           .withColumn("perc_upgraded", perc_upgraded("Ijk", "Ijk_orig", "Iu", "cap"))
-           .drop("cap"))
-
-    if arc_flow is not None:
-        flows = edge_flows_wide(arc_flow, n_goods)
-        qcols = [c for c in flows.columns if c.startswith("Qjk_")]
-        out = out.join(flows, ["pair_lo", "pair_hi"], "left")
-        out = out.select(*[c for c in out.columns if c not in qcols],
-                         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in qcols])
-    return out.drop("Iu", "pair_lo", "pair_hi")
+    return with_upgrades(edge_facts(net.edges, arc_infra, arc_flow, n_goods, keep),
+                         network_cap(net.edges, arc_infra))
 
 
 NODE_ALLOC_COLS = ["uj", "c_pc", "c_agg", "PCj", "Lj"]

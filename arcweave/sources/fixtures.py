@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions import fixed_point_text, haversine_km, iceberg_cost, utility
-from arcweave.operators.arcs import to_arcs
+from arcweave.operators.arcs import PAIR, to_arcs
 from arcweave.operators.windows import sequence_number
 from arcweave.session import scratch_dir
+from arcweave.sources.buckets import write_by_pair
 
 # Fixed values of the fixture construction (shared with the SQL oracle).
 LON_MULT, LON_MOD, LON_SHIFT = 7919, 36000, 18000
@@ -264,6 +265,11 @@ def trade_node_alloc(nodes: DataFrame, arc_flow: DataFrame,
 
 _STORE: dict[tuple[str, str], str] = {}
 STORED = ("nodes", "edges", "arc_flow", "arc_infra", "node_alloc", "node_output")
+BUCKETED = ("edges", "arc_flow", "arc_infra")  # stored by the canonical pair
+
+
+def _bucketed(base: str, name: str) -> str:
+    return base.rsplit("/", 1)[-1].replace("-", "_") + "_" + name
 
 
 def fixture_store(spark: SparkSession, sf_dir: str) -> str:
@@ -278,20 +284,27 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> str:
         f"{base}/line_facts")
     facts = spark.read.parquet(f"{base}/line_facts")
     build_trade_nodes(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/nodes")
-    edges_from_facts(facts).write.mode("overwrite").parquet(f"{base}/edges")
-    flow_from_facts(facts).write.mode("overwrite").parquet(f"{base}/arc_flow")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def by_pair(df: DataFrame, name: str, a: str = "src", b: str = "dst") -> DataFrame:
+        return write_by_pair(df, _bucketed(base, name), f"{base}/{name}", buckets, a, b)
+
     nodes = spark.read.parquet(f"{base}/nodes")
-    edges = spark.read.parquet(f"{base}/edges")
-    flow = spark.read.parquet(f"{base}/arc_flow")
-    trade_arc_infra(edges).write.mode("overwrite").parquet(f"{base}/arc_infra")
+    edges = by_pair(edges_from_facts(facts), "edges", "from", "to")
+    flow = by_pair(flow_from_facts(facts), "arc_flow")
+    by_pair(trade_arc_infra(edges), "arc_infra")
     trade_node_alloc(nodes, flow).write.mode("overwrite").parquet(f"{base}/node_alloc")
     trade_node_output(flow).write.mode("overwrite").parquet(f"{base}/node_output")
     _STORE[key] = base
     return base
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{fixture_store(spark, sf_dir)}/{name}")
+def stored(spark: SparkSession, sf_dir: str, name: str, paired: bool = False) -> DataFrame:
+    """A stored table; with ``paired`` those of ``BUCKETED`` keep their pair columns and their buckets."""
+    base = fixture_store(spark, sf_dir)
+    if name not in BUCKETED:
+        return spark.read.parquet(f"{base}/{name}")
+    return spark.table(_bucketed(base, name)) if paired else spark.read.parquet(f"{base}/{name}").drop(*PAIR)
 
 
 def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,14 +322,14 @@ def trade_arc_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "arc_flow")
 
 
-def trade_network(spark: SparkSession, sf_dir: str) -> NetworkTables:
-    return NetworkTables(trade_nodes(spark, sf_dir), trade_edges(spark, sf_dir))
+def trade_network(spark: SparkSession, sf_dir: str, paired: bool = False) -> NetworkTables:
+    return NetworkTables(trade_nodes(spark, sf_dir), stored(spark, sf_dir, "edges", paired))
 
 
 def trade_allocations(spark: SparkSession, sf_dir: str,
-                      net: NetworkTables | None = None) -> Allocations:
-    """The four allocation tables of the two runs (stored)."""
-    return Allocations(arc_infra=stored(spark, sf_dir, "arc_infra"),
-                       arc_flow=stored(spark, sf_dir, "arc_flow"),
+                      net: NetworkTables | None = None, paired: bool = False) -> Allocations:
+    """The four allocation tables of the two runs (stored); ``paired``: arcs by pair, in buckets."""
+    return Allocations(arc_infra=stored(spark, sf_dir, "arc_infra", paired),
+                       arc_flow=stored(spark, sf_dir, "arc_flow", paired),
                        node_alloc=stored(spark, sf_dir, "node_alloc"),
                        node_output=stored(spark, sf_dir, "node_output"))

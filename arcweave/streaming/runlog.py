@@ -1,29 +1,26 @@
-"""Solver-log analytics, batch and Structured Streaming.
+"""Solver-log analytics, batch and Structured Streaming.
 
 A log line is ``(run_id, event_id, line)``; ``event_id`` is the writer's arrival
 sequence. The batch operators live in ``arcweave.operators.windows``; this
 module adds run status and the streaming jobs.
 
-Streaming state is bounded: I1 keeps one row per run in the state store; I3
-keeps at most ``n`` lines plus one counter per run in a versioned table that
-each micro-batch replaces. Every sink write is keyed by the batch id, so a
-replayed batch after a failure rewrites the same version instead of appending.
+Streaming state is bounded: I1 keeps one row per run in the state store and in its table, I3
+(``arcweave.streaming.tail``) at most ``n`` lines and one counter per run in the state store.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arcweave.functions import parse_progress
 from arcweave.functions.text import ABORT_PATTERN, FAILED_PATTERN, FINISHED_PATTERN
-from arcweave.operators.windows import RETAIN_LINES, number_within, retain_last
+from arcweave.operators.windows import number_within
+from arcweave.streaming.latest import BUCKETS, merge_latest
 
-LOG_SCHEMA = "run_id long, event_id long, line string"
 FLUSH_INTERVAL = "250 milliseconds"  # fixed value: the reference's flush period
 
 
@@ -81,144 +78,20 @@ def progress_updates(log_stream: DataFrame) -> DataFrame:
 def stream_progress(log_stream: DataFrame, checkpoint: str,
                     on_progress: Callable[[DataFrame, int], None] | None = None,
                     sink_path: str | None = None, interval: str | None = FLUSH_INTERVAL,
-                    available_now: bool = False) -> StreamingQuery:
+                    available_now: bool = False, buckets: int = BUCKETS) -> StreamingQuery:
     """Live progress on an unbounded log, ``update`` mode, throttled micro-batches.
 
-    Each micro-batch's changed rows go to ``on_progress(df, batch_id)`` (the
-    run callback) and/or are merged into a Parquet table at ``sink_path``
-    (rewritten per batch id, so replays are idempotent).
+    Each micro-batch's changed rows go to ``on_progress(df, batch_id)`` (the run callback) and/or are
+    merged into the table at ``sink_path`` (``arcweave.streaming.latest``): only the buckets of the changed
+    runs are rewritten.
     """
-    spark = log_stream.sparkSession
-
     def handle(batch: DataFrame, batch_id: int) -> None:
         if on_progress is not None:
             on_progress(batch, batch_id)
         if sink_path is not None:
-            _merge_latest(spark, batch, sink_path, batch_id)
+            merge_latest(batch, sink_path, f"{checkpoint}#{batch_id}", key="run_id", at="at", buckets=buckets)
 
     w = (progress_updates(log_stream).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint).foreachBatch(handle))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
-
-
-def _latest_version(spark: SparkSession, path: str) -> int | None:
-    """Highest committed version under ``path`` (a ``_committed`` table of versions).
-
-    Only a missing table means that nothing is committed; any other error is raised, so that a
-    batch fails instead of starting anew without the stored state.
-    """
-    try:
-        commits = spark.read.schema("version long").parquet(f"{path}/_committed")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return commits.agg(F.max("version")).first()[0]
-
-
-def _commit(spark: SparkSession, path: str, version: int) -> None:
-    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode(
-        "overwrite").parquet(f"{path}/_committed/v={version}")
-
-
-def _merge_latest(spark: SparkSession, batch: DataFrame, path: str, batch_id: int) -> None:
-    prev = _latest_version(spark, path)
-    if prev is not None and prev >= batch_id:
-        return  # replay of a committed batch
-    cur = batch.select("run_id", "iteration", "distance", "at")
-    if prev is not None:
-        old = spark.read.parquet(f"{path}/v={prev}")
-        cur = old.join(cur.select("run_id"), "run_id", "left_anti").unionByName(cur)
-    cur.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-    _commit(spark, path, batch_id)
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    v = _latest_version(spark, path)
-    if v is None:
-        raise FileNotFoundError(f"no committed version under {path}")
-    return spark.read.parquet(f"{path}/v={v}")
-
-
-# ---------------------------------------------------------------- I3
-
-
-def tail_batch(spark: SparkSession, batch: DataFrame, path: str, batch_id: int,
-               n: int = RETAIN_LINES) -> None:
-    """I3 (one micro-batch): number new lines after the stored per-run totals, append
-    them to the stored tail, keep the newest ``n`` per run, write version ``batch_id``."""
-    prev = _latest_version(spark, path)
-    if prev is not None and prev >= batch_id:
-        return
-    fresh = number_within(batch.select("run_id", "event_id", "line"), ["run_id"], ["event_id"],
-                          out="k")
-    if prev is not None:
-        old_tail = spark.read.parquet(f"{path}/v={prev}/tail")
-        totals = spark.read.parquet(f"{path}/v={prev}/totals")
-        fresh = (fresh.join(totals, "run_id", "left")
-                 .withColumn("line_no", F.coalesce("total", F.lit(0)) + F.col("k"))
-                 .drop("total", "k"))
-        allx = old_tail.drop("offset").unionByName(fresh.select(*old_tail.drop("offset").columns))
-        old_totals = totals
-    else:
-        allx = fresh.withColumnRenamed("k", "line_no")
-        old_totals = None
-    new_totals = allx.groupBy("run_id").agg(F.max("line_no").alias("total"))
-    if old_totals is not None:
-        new_totals = (old_totals.join(new_totals.select("run_id"), "run_id", "left_anti")
-                      .unionByName(new_totals))
-    kept = retain_last(allx, n)
-    kept.write.mode("overwrite").parquet(f"{path}/v={batch_id}/tail")
-    new_totals.write.mode("overwrite").parquet(f"{path}/v={batch_id}/totals")
-    _commit(spark, path, batch_id)
-
-
-def stream_tail(log_stream: DataFrame, path: str, checkpoint: str, n: int = RETAIN_LINES,
-                available_now: bool = False, interval: str = FLUSH_INTERVAL) -> StreamingQuery:
-    """Retained tail of every run as a stream (``foreachBatch``, versioned state)."""
-    spark = log_stream.sparkSession
-    w = (log_stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: tail_batch(spark, df, path, bid, n)))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
-
-
-def read_tail(spark: SparkSession, path: str) -> DataFrame:
-    v = _latest_version(spark, path)
-    if v is None:
-        raise FileNotFoundError(f"no committed version under {path}")
-    return spark.read.parquet(f"{path}/v={v}/tail")
-
-
-# ---------------------------------------------------------------- I4
-
-
-def stream_rebuild(edge_stream: DataFrame, nodes: DataFrame, sink: str, checkpoint: str,
-                   build: Callable[[DataFrame, DataFrame], DataFrame],
-                   available_now: bool = False, interval: str = FLUSH_INTERVAL
-                   ) -> StreamingQuery:
-    """I4: each batch of edge files replaces the network; ``build(edges, nodes)``
-    (e.g. the F1 input table) is written as ``version = batch_id + 1``.
-
-    Overwriting ``{sink}/version=<v>`` makes a replayed batch idempotent; a version is
-    visible once its commit is written.
-    """
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        build(batch, nodes).write.mode("overwrite").parquet(f"{sink}/version={version}")
-        _commit(batch.sparkSession, sink, version)
-
-    w = (edge_stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(handle))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
-
-
-def read_version(spark: SparkSession, sink: str, version: int | None = None) -> DataFrame:
-    """A committed version, the newest by default; only its own folder is read."""
-    version = _latest_version(spark, sink) if version is None else version
-    if version is None:
-        raise FileNotFoundError(f"no committed version under {sink}")
-    return spark.read.parquet(f"{sink}/version={version}").withColumn(
-        "version", F.lit(version).cast("long"))

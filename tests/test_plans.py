@@ -6,6 +6,8 @@ import re
 import pytest
 
 from arcweave.checks.catalog import all_queries
+from arcweave.plans.results import edge_table, network_cap
+from arcweave.sources import fixtures as X
 
 from conftest import SF_SMALL
 
@@ -32,3 +34,28 @@ def test_f1_scans_are_pruned_and_filtered(spark):
     assert any("EqualTo(run_id,result)" in s for s in scans)
     # no scan reads the geometry text, which F1 does not need
     assert not any("geometry" in s.split("ReadSchema:")[-1] for s in scans)
+
+
+def test_f1_over_buckets_needs_no_exchange(spark):
+    net = X.trade_network(spark, SF_SMALL, paired=True)
+    alloc = X.trade_allocations(spark, SF_SMALL, net, paired=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(edge_table(net, alloc.arc_infra, alloc.arc_flow, "result", 5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 2
+    assert [x for x in plan.splitlines() if "Exchange hashpartitioning" in x] == []
+    # edges are read once for the rows and once, one column, for the cap
+    assert plan.count("FileScan parquet") == 4 and "geometry" not in "".join(re.findall(r"ReadSchema: [^\n]*", plan))
+
+
+def test_f1_cap_joins_only_unbounded_networks(spark):
+    net = X.trade_network(spark, SF_SMALL)
+    alloc = X.trade_allocations(spark, SF_SMALL, net)
+    free = X.NetworkTables(net.nodes, net.edges.drop("Iu"))
+    cap = network_cap(free.edges, alloc.arc_infra.filter("run_id = 'result'"))
+    assert "Join" in cap._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in network_cap(net.edges, alloc.arc_infra)._jdf.queryExecution().optimizedPlan().toString()
+    new = edge_table(free, alloc.arc_infra, run_id="result").agg({"Ijk": "max", "Ijk_orig": "max"}).first()
+    assert cap.first()["cap"] == max(new)

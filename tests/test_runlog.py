@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arcweave.operators import windows as W
 from arcweave.sources import files as IO
+from arcweave.streaming import latest as L
 from arcweave.streaming import runlog as R
 
 LINES = [(r, e, f"Iteration No. {k} distance={10.0 / k} duration=0.1 secs. Welfare=1")
@@ -67,29 +68,12 @@ def test_stream_progress_equals_batch(spark):
                               available_now=True)
         q.awaitTermination()
     got = sorted((r["run_id"], r["iteration"], r["distance"])
-                 for r in R.read_latest(spark, os.path.join(base, "sink")).collect())
+                 for r in L.read_latest(spark, os.path.join(base, "sink")).collect())
     want = sorted((r["run_id"], r["iteration"], r["distance"])
                   for r in R.progress_updates(log_df(spark)).collect())
     assert got == want
 
 
-def test_stream_tail_equals_batch(spark):
-    base = tempfile.mkdtemp(prefix="arcweave-i3-", dir="/tmp")
-    src = os.path.join(base, "src")
-    os.makedirs(src)
-    ordered = sorted(LINES, key=lambda r: r[1])
-    for i, chunk in enumerate((ordered[:10], ordered[10:20], ordered[20:])):
-        _write(src, chunk, f"part-{i}.json")
-        q = R.stream_tail(IO.read_run_log(spark, src, streaming=True), os.path.join(base, "st"),
-                          os.path.join(base, "ck"), n=4, available_now=True)
-        q.awaitTermination()
-    got = sorted(tuple(r) for r in R.read_tail(spark, os.path.join(base, "st")).select(
-        "run_id", "event_id", "line_no", "offset").collect())
-    want = sorted(tuple(r) for r in W.retain_last(R.number_lines(log_df(spark)), 4).select(
-        "run_id", "event_id", "line_no", "offset").collect())
-    assert got == want
-
-
 def test_stream_progress_live_trigger(spark):
     """The throttled trigger (250 ms) keeps the live table current while files arrive."""
     base = tempfile.mkdtemp(prefix="arcweave-live-", dir="/tmp")
@@ -107,23 +91,5 @@ def test_stream_progress_live_trigger(spark):
     finally:
         q.stop()
     got = sorted((r["run_id"], r["iteration"])
-                 for r in R.read_latest(spark, os.path.join(base, "sink")).collect())
+                 for r in L.read_latest(spark, os.path.join(base, "sink")).collect())
     assert got == [(1, 12), (2, 12)] and len(seen) >= 2
-
-
-def test_stream_rebuild_versions(spark):
-    """Each new edge file replaces the network; the newest version is the last batch."""
-    from arcweave.plans.results import edge_inputs
-    base = tempfile.mkdtemp(prefix="arcweave-i4-", dir="/tmp")
-    src, sink, ck = (os.path.join(base, n) for n in ("src", "sink", "ck"))
-    schema = "from long, to long, delta_i double, delta_tau double, Ijk double"
-    nodes = spark.createDataFrame([(1,), (2,), (3,)], "node long")
-    for i, rows in enumerate(([(1, 2, 1.0, 0.1, 10.0)], [(1, 2, 1.0, 0.1, 20.0),
-                                                          (2, 3, 1.0, 0.1, 30.0)])):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        q = R.stream_rebuild(spark.readStream.schema(schema).parquet(src), nodes, sink, ck,
-                             lambda e, n: edge_inputs(e), available_now=True)
-        q.awaitTermination()
-    latest = R.read_version(spark, sink).collect()
-    assert {r["version"] for r in latest} == {2}
-    assert sorted(r["Ijk_orig"] for r in latest) == [20.0, 30.0]
