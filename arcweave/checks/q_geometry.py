@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arcweave.checks import sql_variants as SV
 from arcweave.checks import sqlparts as S
 from arcweave.checks.q_results import F1_DOUBLES, F2_DOUBLES, _f2_sql
-from arcweave.checks.registry import register
+from arcweave.checks.registry import register, split_size
 from arcweave.functions import (curved_line, haversine_km, iceberg_cost, parse_linestring,
                                 to_linestring)
 from arcweave.operators.aggregates import bounding_box
@@ -15,6 +15,7 @@ from arcweave.operators.joins import attach_geometry, resolve_geometry, with_end
 from arcweave.plans.publish import edge_features, node_features
 from arcweave.plans.results import edge_table, node_table
 from arcweave.session import scratch_dir
+from arcweave.plans.validation import type_network
 from arcweave.sources import files as IO
 from arcweave.sources import fixtures as X
 from arcweave.sources import variants as VA
@@ -234,7 +235,6 @@ def e17_bounding_box_edges(spark, sf_dir):
     SELECT node, lon, lat, population, productivity, product, name FROM tnodes""",
           ("lon", "lat", "population", "productivity"))
 def a1_a3_csv_roundtrip(spark, sf_dir):
-    from arcweave.plans.validation import type_network
     net = X.trade_network(spark, sf_dir)
     out = scratch_dir(spark, "network-csv")
     net.nodes.drop("nationkey").write.mode("overwrite").option("header", True).csv(
@@ -249,7 +249,6 @@ def a1_a3_csv_roundtrip(spark, sf_dir):
 @register("a2_csv_edges_roundtrip", 'SELECT edge_id, "from", "to", Ijk, Il, Iu, geometry '
                                     'FROM tedges', ("Ijk", "Il", "Iu"))
 def a2_csv_edges_roundtrip(spark, sf_dir):
-    from arcweave.plans.validation import type_network
     net = X.trade_network(spark, sf_dir)
     out = scratch_dir(spark, "edges-csv")
     net.edges.write.mode("overwrite").option("header", True).csv(out)
@@ -259,6 +258,18 @@ def a2_csv_edges_roundtrip(spark, sf_dir):
                               "geometry")
 
 
+@register("a2_csv_edge_ids", 'SELECT edge_id, "from", "to", Ijk, geometry FROM tedges', ("Ijk",))
+def a2_csv_edge_ids(spark, sf_dir):
+    """CSV files without ``edge_id``, read in small blocks: the row's number over all files."""
+    out = scratch_dir(spark, "edges-csv")
+    (X.trade_edges(spark, sf_dir).repartitionByRange(5, "edge_id").sortWithinPartitions("edge_id").drop("edge_id")
+     .write.option("header", True).option("quote", '"').option("escape", '"').csv(out))
+    with split_size(spark, 256 << 10):
+        raw = IO.read_edges(spark, out, "csv")
+    typed, _ = type_network(X.NetworkTables(None, raw), raw=True)
+    return typed.edges.select("edge_id", "from", "to", "Ijk", "geometry")
+
+
 def _read_back(spark, written, path):
     """A CSV table with the columns and types of ``written``."""
     raw = spark.read.option("header", True).csv(path)

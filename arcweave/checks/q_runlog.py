@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arcweave.checks import sql_variants as SV
 from arcweave.checks import sqlparts as S
 from arcweave.checks.q_results import F1_DOUBLES
-from arcweave.checks.registry import register
+from arcweave.checks.registry import register, split_size
 from arcweave.functions import parse_progress
 from arcweave.operators import windows as W
 from arcweave.plans import incremental
@@ -21,6 +21,7 @@ from arcweave.streaming import runlog as R
 from arcweave.streaming import tail as T
 
 CT = SV.RUNLOG
+
 PROG = r"Iteration No\. (\d+) distance=([0-9.eE+-]+)"
 TAIL_N = 20
 
@@ -126,6 +127,34 @@ def a10_read_run_log(spark, sf_dir):
     return IO.read_run_log(spark, d)
 
 
+def _text(log):
+    """The log as text lines that name their run, in ``event_id`` order over the files."""
+    return (log.repartitionByRange(5, "event_id").sortWithinPartitions("event_id")
+            .select(F.concat(F.lit("[run "), F.col("run_id"), F.lit("] "), F.col("line")).alias("value")))
+
+
+@register("a10_read_text_log", """
+    SELECT run_id, row_number() OVER (ORDER BY event_id) AS event_id, line, line_no FROM runlog_n""", ctes=CT)
+def a10_read_text_log(spark, sf_dir):
+    """Plain text, read in small blocks: arrival numbers over all files, and line numbers per run."""
+    d = scratch_dir(spark, "runlog-text")
+    _text(_log(spark, sf_dir)).write.text(d)
+    with split_size(spark, 64 << 10):
+        log = IO.read_text_log(spark, d)
+    return R.number_lines(log).select("run_id", "event_id", "line", "line_no")
+
+
+@register("i3_text_tail", f"SELECT r.run_id, r.line, r.line_no, r.offset FROM ({RETAIN_SQL}) r", ctes=CT)
+def i3_text_tail(spark, sf_dir):
+    """The retained tail of text logs, as a stream of three drops."""
+    src, ck = (scratch_dir(spark, n) for n in ("i3-text", "i3-text-ck"))
+    for part in _write_parts(_log(spark, sf_dir)):
+        _text(part).write.mode("append").text(src)
+        T.stream_tail(IO.read_text_log(spark, src, streaming=True), ck, n=TAIL_N, available_now=True,
+                      order=IO.ARRIVAL).awaitTermination()
+    return T.read_tail(spark, ck, TAIL_N).select("run_id", "line", "line_no", "offset")
+
+
 @register("i1_stream_progress", f"""
     SELECT run_id, arg_max(iteration, event_id) AS iteration,
            arg_max(distance, event_id) AS distance, max(event_id) AS at

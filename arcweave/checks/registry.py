@@ -8,6 +8,7 @@ last-bit difference in summation order does not change the comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,3 +72,15 @@ def stabilise(df: DataFrame, doubles) -> DataFrame:
     ds = set(doubles)
     return df.select(*[stable_col(F.col(f"`{c}`")).alias(c) if c in ds else F.col(f"`{c}`")
                        for c in df.columns])
+
+
+@contextmanager
+def split_size(spark, n_bytes):
+    """Files are read in blocks of ``n_bytes`` inside; scans are planned when they are first used."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

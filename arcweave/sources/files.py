@@ -1,4 +1,4 @@
-"""File sources and sinks (A1–A3, A5, A10).
+"""File sources and sinks (A1–A3, A5, A10: JSON records and plain text).
 
 CSV is read without schema inference: every column arrives as text and is typed
 by the validation step (B2/B3), so a bad value becomes a finding instead of a
@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from arcweave.operators.windows import sequence_number
+from arcweave.session import ensure_checkpoint_dir
 from arcweave.sources.fixtures import NetworkTables
+from arcweave.sources.positions import number_rows, with_places
 
 RUN_LOG_SCHEMA = "run_id long, event_id long, line string"
 
@@ -33,13 +36,19 @@ def read_nodes(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 def read_edges(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A2: edge table; the WKT field is quoted, quotes inside are doubled.
 
-    Without an ``edge_id`` column, one is derived from the row's file and position
-    so findings can name rows (file order is kept within each file).
+    Without an ``edge_id`` column, rows are numbered from 1 in the order of their files and places in them, so that
+    findings name the same rows however the files are split (``arcweave.sources.positions``); the
+    rows are stored once for that. Rows of a view, which have no place in a file, are numbered in ``(from, to)`` order.
     """
     df = _read(spark, path, fmt)
-    if "edge_id" not in df.columns:
-        df = df.withColumn("edge_id", F.monotonically_increasing_id() + 1)
-    return df
+    if "edge_id" in df.columns:
+        return df
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return sequence_number(df, ["from", "to"], "edge_id").select("*")
+    ensure_checkpoint_dir(spark)
+    return number_rows(df, "edge_id")
 
 
 def load_network(spark: SparkSession, directory: str, fmt: str = "csv",
@@ -92,3 +101,30 @@ def read_run_log(spark: SparkSession, path: str, streaming: bool = False) -> Dat
     """
     reader = spark.readStream if streaming else spark.read
     return reader.schema(RUN_LOG_SCHEMA).json(path)
+
+
+RUN_PREFIX = r"^\[run (\d+)\] ?"
+ARRIVAL = ("file", "block", "row")  # order of arrival of text lines
+
+
+def _text_lines(reader, path: str) -> DataFrame:
+    df = reader.text(path)
+    if "run_id" in df.columns:
+        return df.select(F.col("run_id").cast("long").alias("run_id"), F.col("value").alias("line"), "_metadata")
+    return df.select(F.regexp_extract("value", RUN_PREFIX, 1).try_cast("long").alias("run_id"),
+                     F.regexp_replace("value", RUN_PREFIX, "").alias("line"), "_metadata")
+
+
+def read_text_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """A10: plain text logs, batch or stream: one line of output a row.
+
+    The run is the folder ``run_id=<n>`` of a file, or else the prefix ``[run <n>] `` of a line (a line without one has a null
+    run). Lines of one file arrive in file order, files in the order of their paths.
+    Batch: ``(run_id, event_id, line)``, where ``event_id`` is the number of the line in arrival order, the same for
+    any split size. Stream: ``(run_id, file, block, row, line)``; ``ARRIVAL`` orders the lines of a batch.
+    """
+    if streaming:
+        return with_places(_text_lines(spark.readStream, path)).select("run_id", *ARRIVAL, "line")
+    ensure_checkpoint_dir(spark)
+    numbered = number_rows(_text_lines(spark.read, path), "event_id")
+    return numbered.select("run_id", "event_id", "line")

@@ -35,10 +35,11 @@ _UPDATE = "run_id long, total long, offset long, added long"
 
 
 class TailProcessor(StatefulProcessor):
-    """State of one run: ``total`` lines so far, and the newest ``n`` as a ring."""
+    """State of one run: ``total`` lines so far, and the newest ``n`` as a ring. ``order`` are the columns that
+    order the lines of a batch."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, order: tuple[str, ...]):
+        self.n, self.order = n, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState(_TOTAL, "total long")
@@ -47,8 +48,9 @@ class TailProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         added, newest = 0, []  # a heap: the earliest of the newest n on top
         for chunk in rows:
-            for event, line in zip(chunk["event_id"].tolist(), chunk["line"].tolist()):
-                item = (event, added, line)
+            places = zip(*[chunk[c].tolist() for c in self.order])
+            for place, event, line in zip(places, chunk["event_id"].tolist(), chunk["line"].tolist()):
+                item = (place, added, event, line)
                 added += 1
                 if len(newest) < self.n:
                     heapq.heappush(newest, item)
@@ -56,7 +58,7 @@ class TailProcessor(StatefulProcessor):
                     heapq.heappushpop(newest, item)
         before = self.total.get()[0] if self.total.exists() else 0
         total = before + added
-        for line_no, (event, _, line) in enumerate(sorted(newest), start=total - len(newest) + 1):
+        for line_no, (_, _, event, line) in enumerate(sorted(newest), start=total - len(newest) + 1):
             self.ring.updateValue((line_no % self.n,), (line_no, event, line))
         self.total.update((total,))
         yield pd.DataFrame({"run_id": [key[0]], "total": [total], "offset": [max(total - self.n, 0)],
@@ -84,28 +86,33 @@ def _back(name: str, column: str | None = None) -> Column:
     return F.nullif(F.col(column or name), F.lit(_NONE)).alias(name)
 
 
-def tail_updates(log_stream: DataFrame, n: int = RETAIN_LINES) -> DataFrame:
+def tail_updates(log_stream: DataFrame, n: int = RETAIN_LINES, order: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """One row for each run that a batch brings lines of: total, offset (lines dropped so far), lines added.
 
-    Lines of a run are numbered in the order of ``event_id`` within a batch, after those of earlier batches.
+    Lines of a run are numbered in the order of the columns ``order`` within a batch, after those of earlier
+    batches. Text logs have no ``event_id`` and are ordered by their places in files
+    (``arcweave.sources.files.ARRIVAL``), which are never null.
     """
     if n < 1:
         raise ValueError("at least one line must be kept")
-    filled = [F.coalesce(F.col(c), F.lit(_NONE)).alias(c) for c in ("run_id", "event_id")]
-    return (log_stream.select(*filled, "line").groupBy("run_id")
-            .transformWithStateInPandas(TailProcessor(n), outputStructType=_UPDATE, outputMode="Update",
+    events = F.col("event_id") if "event_id" in log_stream.columns else F.lit(None).cast("long")
+    places = [c for c in order if c != "event_id"]
+    return (log_stream.select(F.coalesce("run_id", F.lit(_NONE)).alias("run_id"),
+                              F.coalesce(events, F.lit(_NONE)).alias("event_id"), *places, "line").groupBy("run_id")
+            .transformWithStateInPandas(TailProcessor(n, order), outputStructType=_UPDATE, outputMode="Update",
                                         timeMode="None")
             .select(_back("run_id"), "total", "offset", "added"))
 
 
 def stream_tail(log_stream: DataFrame, checkpoint: str, n: int = RETAIN_LINES, on_update=None,
-                available_now: bool = False, interval: str = FLUSH_INTERVAL) -> StreamingQuery:
+                available_now: bool = False, interval: str = FLUSH_INTERVAL,
+                order: tuple[str, ...] = ("event_id",)) -> StreamingQuery:
     """Keep the newest ``n`` lines of every run of a log stream; ``on_update(df, batch_id)`` gets the updates.
 
     ``n`` must stay the same for one checkpoint.
     """
     with rocksdb_state(log_stream.sparkSession):
-        w = tail_updates(log_stream, n).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        w = tail_updates(log_stream, n, order).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         w = w.format("noop") if on_update is None else w.foreachBatch(on_update)
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
         return w.start()
