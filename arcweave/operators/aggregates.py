@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import (finite_or_null, pct_gain, round_sig, transform_value,
                                 widen_domain)
+from arcweave.functions.sums import exact_sums
 from arcweave.operators.arcs import arc_weight, pair_columns
 
 # ---------------------------------------------------------------- budget
@@ -25,11 +26,10 @@ def budget_stats(edges: DataFrame) -> DataFrame:
     """
     iu = F.col("Iu") if "Iu" in edges.columns else F.lit(None).cast("double")
     iu_ok = iu.isNotNull() & ~F.isnan(iu) & (F.abs(iu) != F.lit(float("inf")))
-    stats = edges.agg(
-        F.sum(F.col("delta_i") * F.col("Ijk")).alias("K_base"),
-        F.sum(F.col("delta_i") * F.greatest(iu, F.col("Ijk"))).alias("_k_max"),
-        F.coalesce(F.bool_and(iu_ok), F.lit(True)).alias("_all_iu"))
-    k_max = F.when(F.col("_all_iu"), F.col("_k_max"))
+    stats = exact_sums(edges, {
+        "K_base": F.col("delta_i") * F.col("Ijk"), "_k_max": F.col("delta_i") * F.greatest(iu, F.col("Ijk")),
+        "_no_iu": F.when(~iu_ok, F.lit(1.0))})
+    k_max = F.when(F.col("_no_iu").isNull(), F.col("_k_max"))
     k_base = F.col("K_base")
     raw = F.when(k_max.isNull(), k_base * 1.2).otherwise(
         F.least(k_base * 1.2, k_base + F.lit(0.5) * (k_max - k_base)))
@@ -37,8 +37,8 @@ def budget_stats(edges: DataFrame) -> DataFrame:
 
 
 def budget_spent(arcs: DataFrame, infra_col: str = "ijk") -> DataFrame:
-    """``Σ δi·I`` over the arc table (twice the edge-list sum)."""
-    return arcs.agg(F.sum(F.col("delta_i") * F.col(infra_col)).alias("spent"))
+    """``Σ δi·I`` over the arc table (twice the edge-list sum); the same bits for any partitioning."""
+    return exact_sums(arcs, {"spent": F.col("delta_i") * F.col(infra_col)})
 
 
 def rescale_to_budget(arcs: DataFrame, K, infra_col: str = "ijk") -> DataFrame:
@@ -132,7 +132,7 @@ def congestion_aggregate(arc_flow: DataFrame, weights: DataFrame | None, nu: flo
 
 def welfare(node_alloc: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """``Σ uj·Lj`` per run."""
-    return node_alloc.groupBy(*keys).agg(F.sum(F.col("uj") * F.col("Lj")).alias("welfare"))
+    return exact_sums(node_alloc, {"welfare": F.col("uj") * F.col("Lj")}, keys)
 
 
 def welfare_gain(welfare_df: DataFrame, result: str = "result",

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions import finite_or_null, parse_linestring
+from arcweave.functions.sums import exact_sums
 from arcweave.operators.arcs import pair_hi, pair_lo
 
 FINDINGS_SCHEMA = "severity string, rule string, entity string, key long, message string"
@@ -423,11 +424,11 @@ def check_solution(arcs: DataFrame, K, rtol: float = 1e-3, atol: float = 1e-6,
     """
     i = F.col(infra_col)
     percent = F.col("perc_upgraded") if "perc_upgraded" in arcs.columns else F.lit(None).cast("double")
-    stats = arcs.agg(
-        F.sum(F.col("delta_i") * i).alias("spent"),
+    counts = arcs.agg(
         F.count_if(i < F.col("Il") - atol).alias("n_below"),
         F.count_if(F.col("Iu").isNotNull() & (i > F.col("Iu") + atol)).alias("n_above"),
         F.count_if(~percent.between(-atol, 100 + atol)).alias("n_percent"))
+    stats = counts.crossJoin(exact_sums(arcs, {"spent": F.col("delta_i") * i}))  # one row each
     if isinstance(K, DataFrame):
         stats = stats.crossJoin(F.broadcast(K.agg(F.max("K").alias("K"))))  # one row
     else:
