@@ -14,6 +14,7 @@ from arcweave.plans import incremental
 from arcweave.session import ensure_checkpoint_dir, scratch_dir
 from arcweave.sources import files as IO
 from arcweave.sources import fixtures as X
+from arcweave.sources import logstore as LS
 from arcweave.sources import variants as VA
 from arcweave.streaming import latest as L
 from arcweave.streaming import rebuild as RB
@@ -72,6 +73,28 @@ def h4_lines_since(spark, sf_dir):
     return W.lines_since(kept, cursors).select("run_id", "event_id", "line", "line_no", "offset")
 
 
+def _stored_log(spark, sf_dir):
+    path = scratch_dir(spark, "log-store")
+    LS.write_log(R.number_lines(_log(spark, sf_dir)), path, 8)
+    return path
+
+
+@register("h3_stored_tail", RETAIN_SQL, ctes=CT)
+def h3_stored_tail(spark, sf_dir):
+    """The retained tail of a stored log: files that hold only older lines are not opened."""
+    return LS.read_since(spark, _stored_log(spark, sf_dir), 0, TAIL_N).select(
+        "run_id", "event_id", "line", "line_no", "offset")
+
+
+@register("h4_stored_cursor", f"""
+    SELECT r.run_id, r.event_id, r.line, r.line_no, r.offset FROM ({RETAIN_SQL}) r
+    WHERE r.line_no > greatest(r.run_id % 70, r.offset)""", ctes=CT)
+def h4_stored_cursor(spark, sf_dir):
+    path = _stored_log(spark, sf_dir)
+    cursors = LS.run_totals(spark, path).select("run_id", (F.col("run_id") % 70).alias("after"))
+    return LS.read_since(spark, path, cursors, TAIL_N).select("run_id", "event_id", "line", "line_no", "offset")
+
+
 @register("h5_latest_progress", f"""
     SELECT run_id, arg_max(iteration, line_no) AS iteration, arg_max(distance, line_no) AS distance,
            arg_max(iteration, line_no) / 200.0 AS share
