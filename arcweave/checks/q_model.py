@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arcweave.checks import sql_variants as SV
 from arcweave.checks import sqlparts as S
+from arcweave.checks.q_validate import T_COMP, validate_sql
 from arcweave.checks.registry import register
 from arcweave.functions import (production, round_sig, transform_value, transport_cost,
                                 utility)
@@ -13,9 +14,10 @@ from arcweave.operators import aggregates as A
 from arcweave.operators import validate as V
 from arcweave.operators.arcs import effective_bounds, effective_housing, productivity_long
 from arcweave.plans import model as M
-from arcweave.plans.etl import build_network_from_raw, derive_edge_attributes
+from arcweave.plans.etl import build_network_from_raw, build_validated_network, derive_edge_attributes
 from arcweave.plans.publish import scaled_features
 from arcweave.plans.results import edge_table, node_table
+from arcweave.session import scratch_dir
 from arcweave.sources import fixtures as X
 from arcweave.sources import variants as VA
 
@@ -397,7 +399,7 @@ def c5_derive_edge_attributes(spark, sf_dir):
     return edges
 
 
-@register("f6_etl_findings", """
+_ETL_FINDINGS = """
     SELECT 'error' AS severity, 'C5' AS rule, 'edges' AS entity, edge_id AS key,
            'Edge ' || CAST("from" AS VARCHAR) || ' - ' || CAST("to" AS VARCHAR) ||
            ': speed is not finite and positive.' AS message
@@ -406,21 +408,62 @@ def c5_derive_edge_attributes(spark, sf_dir):
     SELECT 'error', 'D3', 'edges', edge_id,
            'no geometry for ' || CAST("from" AS VARCHAR) || '/' || CAST("to" AS VARCHAR)
     FROM raw_edges e WHERE NOT EXISTS (SELECT 1 FROM raw_geometry g
-                                       WHERE g."from" = e."from" AND g."to" = e."to")""",
-          ctes=S.NET_T + SV.RAW)
+                                       WHERE g."from" = e."from" AND g."to" = e."to")"""
+_ETL = [("etl_nodes", ETL_NODES), ("etl_edges", f"""
+    SELECT e.*, g.geometry FROM ({_etl_edges_sql()}) e
+    LEFT JOIN (SELECT "from", "to", min(geometry) AS geometry FROM raw_geometry
+               GROUP BY "from", "to") g ON g."from" = e."from" AND g."to" = e."to" """)]
+
+
+@register("f6_etl_findings", _ETL_FINDINGS, ctes=S.NET_T + SV.RAW)
 def f6_etl_findings(spark, sf_dir):
     _, findings = build_network_from_raw(*VA.raw_tables(spark, sf_dir))
     return findings
 
 
-@register("f6_etl_network_edges", f"""
-    SELECT e.edge_id, e.Ijk, e.delta_i, g.geometry FROM ({_etl_edges_sql()}) e
-    LEFT JOIN (SELECT "from", "to", min(geometry) AS geometry FROM raw_geometry
-               GROUP BY "from", "to") g ON g."from" = e."from" AND g."to" = e."to" """,
-          ("Ijk", "delta_i"), ctes=S.NET_T + SV.RAW)
+@register("f6_etl_network_edges", "SELECT * FROM etl_edges", ("Ijk", "delta_i", "delta_tau", "Il", "Iu"),
+          ctes=S.NET_T + SV.RAW + _ETL)
 def f6_etl_network_edges(spark, sf_dir):
     net, _ = build_network_from_raw(*VA.raw_tables(spark, sf_dir))
-    return net.edges.select("edge_id", "Ijk", "delta_i", "geometry")
+    return net.edges.select("edge_id", "from", "to", "delta_i", "delta_tau", "Ijk", "Il", "Iu", "geometry")
+
+
+@register("f6_etl_network_nodes", "SELECT * FROM etl_nodes", ("lon", "lat", "population", "productivity"),
+          ctes=S.NET_T + SV.RAW + _ETL)
+def f6_etl_network_nodes(spark, sf_dir):
+    net, _ = build_network_from_raw(*VA.raw_tables(spark, sf_dir))
+    return net.nodes
+
+
+@register("f6_validated_network", f"{_ETL_FINDINGS} UNION ALL {validate_sql('etl_nodes', 'etl_edges')}",
+          ctes=S.NET_T + SV.RAW + _ETL + T_COMP)
+def f6_validated_network(spark, sf_dir):
+    """Findings of the derivation and of the whole validation of the built network."""
+    _, findings = build_validated_network(*VA.raw_tables(spark, sf_dir), scratch_dir(spark, "etl"))
+    return findings
+
+
+_GOOD = [("gedges", 'SELECT * FROM tedges WHERE ("from" + "to") % 17 <> 0 AND ("from" + "to") % 53 <> 0'),
+         ("garcs", 'SELECT "from" AS src, "to" AS dst FROM gedges UNION ALL SELECT "to", "from" FROM gedges'),
+         ("greach(node, lbl)", """SELECT node, node FROM tnodes
+             UNION SELECT a.dst, r.lbl FROM greach r JOIN garcs a ON a.src = r.node"""),
+         ("gcomp", "SELECT node, min(lbl) AS component FROM greach GROUP BY node")]
+
+
+@register("f6_validated_summary", """
+    SELECT CAST(0 AS BIGINT) AS n_errors,
+           1 + (SELECT CAST(count(*) > 0 AS BIGINT) FROM gedges WHERE geometry LIKE 'POINT%')
+             + (SELECT CAST(max(component) > 1 AS BIGINT) FROM gcomp) AS n_warnings, true AS valid""",
+          ctes=S.NET_T + _GOOD)
+def f6_validated_summary(spark, sf_dir):
+    """Raw tables without the edges that have no speed or no geometry: a valid network.
+
+    Warnings: no housing, texts that are no line, nodes that are not reached."""
+    raw_nodes, raw_edges, raw_geometry = VA.raw_tables(spark, sf_dir)
+    s = F.col("from") + F.col("to")
+    good = raw_edges.filter((s % 53 != 0) & (s % 17 != 0))
+    _, findings = build_validated_network(raw_nodes, good, raw_geometry, scratch_dir(spark, "etl"))
+    return V.findings_summary(findings)
 
 
 # ---------------------------------------------------------------- scenarios

@@ -206,9 +206,10 @@ def b16_geometry(spark, sf_dir):
     return V.check_geometry(X.trade_edges(spark, sf_dir))
 
 
-def _validate_sql():
-    node_f = SV.col_findings("tnodes", SV.node_value_specs())
-    edge_f = SV.col_findings("tedges", SV.edge_value_specs())
+def validate_sql(nodes="tnodes", edges="tedges", components="tcomp"):
+    """B17 of a network without errors as SQL."""
+    node_f = SV.col_findings(nodes, SV.node_value_specs())
+    edge_f = SV.col_findings(edges, SV.edge_value_specs())
     return f"""
     SELECT 'warning' AS severity, 'B4' AS rule, 'nodes' AS entity, CAST(NULL AS BIGINT) AS key,
            'housing absent, derived from population' AS message
@@ -216,12 +217,12 @@ def _validate_sql():
     UNION ALL
     SELECT 'warning', 'B16', 'edges', CAST(NULL AS BIGINT),
            '{GEOM_MSG} (' || CAST(n AS VARCHAR) || ' rows)'
-    FROM (SELECT count_if(geometry IS NOT NULL AND {PL} IS NULL) AS n FROM tedges) s WHERE n > 0
+    FROM (SELECT count_if(geometry IS NOT NULL AND {PL} IS NULL) AS n FROM {edges}) s WHERE n > 0
     UNION ALL
     SELECT 'warning', 'B14', 'nodes', CAST(NULL AS BIGINT),
            'nodes without a path to 1: ' || CAST(n AS VARCHAR)
-    FROM (SELECT count_if(component <> (SELECT component FROM tcomp WHERE node = 1)) AS n
-          FROM tcomp) c WHERE n > 0"""
+    FROM (SELECT count_if(component <> (SELECT component FROM {components} WHERE node = 1)) AS n
+          FROM {components}) c WHERE n > 0"""
 
 
 T_COMP = [
@@ -233,7 +234,7 @@ T_COMP = [
 ]
 
 
-@register("b17_validate_network", _validate_sql(), ctes=NET_T + T_COMP)
+@register("b17_validate_network", validate_sql(), ctes=NET_T + T_COMP)
 def b17_validate_network(spark, sf_dir):
     return validate_network(X.trade_network(spark, sf_dir))
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from arcweave.functions import finite_or_null, iceberg_cost, round_sig
 from arcweave.operators.joins import attach_geometry
-from arcweave.operators.validate import FINDINGS_SCHEMA, union_findings
+from arcweave.operators.validate import FINDING_COLUMNS, union_findings
 from arcweave.operators.windows import sequence_number
+from arcweave.plans.validation import validate_network
 from arcweave.sources.fixtures import NetworkTables
 
 # Fixed values of the derivation.
@@ -76,8 +77,23 @@ def build_network_from_raw(raw_nodes: DataFrame, raw_edges: DataFrame,
     nodes = derive_node_attributes(raw_nodes)
     edges, f_speed = derive_edge_attributes(raw_edges)
     edges, f_geom = attach_geometry(edges, raw_geometry)
-    findings = union_findings([f_speed.select(*FINDINGS_COLS), f_geom.select(*FINDINGS_COLS)])
+    findings = union_findings([f_speed.select(*FINDING_COLUMNS), f_geom.select(*FINDING_COLUMNS)])
     return NetworkTables(nodes, edges), findings
 
 
-FINDINGS_COLS = [c.split()[0] for c in FINDINGS_SCHEMA.split(", ")]
+def build_validated_network(raw_nodes: DataFrame, raw_edges: DataFrame, raw_geometry: DataFrame,
+                            path: str) -> tuple[NetworkTables, DataFrame]:
+    """F6 with B17: the network built from raw tables, written to ``path`` and read back, and all findings about it.
+
+    The findings of the derivation (C5, D3) and of the validation come in one table;
+    ``findings_summary`` of it says whether the network can be used.
+    """
+    net, built = build_network_from_raw(raw_nodes, raw_edges, raw_geometry)
+    tables = []
+    for name, df in (("nodes", net.nodes), ("edges", net.edges)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        tables.append(df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}"))
+    built.write.mode("overwrite").parquet(f"{path}/findings")
+    stored = NetworkTables(*tables)
+    built = built.sparkSession.read.schema(built.schema).parquet(f"{path}/findings")
+    return stored, union_findings([built, validate_network(stored)])

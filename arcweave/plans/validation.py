@@ -2,12 +2,15 @@
 
 The rules run in stages, and a stage with errors ends the checks that build on it: required
 columns, then types, then values for each table, then the rules across both tables if both were
-accepted, then reachability. Between stages the driver asks whether the stage's findings hold an
-error. Findings are a few rows per column or one per bad edge; each stage is stored once.
+accepted, then reachability. The stages of both tables are one job, whose findings (a few rows per column) are stored
+once and cut at the first stage with an error; the driver then asks whether there was one, and once more after the
+rules across both tables (one finding per bad edge).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,41 +54,37 @@ def cross_checks(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
     return [V.check_edges(edges, nodes)]
 
 
-class _Stages:
-    """Findings so far; ``passes`` stores a stage and tells whether it has no error."""
-
-    def __init__(self) -> None:
-        self.parts: list[DataFrame] = []
-
-    def passes(self, *findings: DataFrame) -> bool:
-        stage = V.union_findings(list(findings)).checkpoint()
-        self.parts.append(stage)
-        return stage.filter(F.col("severity") == "error").isEmpty()
-
-
-def accept_nodes(stages: _Stages, raw_nodes: DataFrame, raw: bool) -> DataFrame | None:
-    """The typed node table, or None if a rule of its own found an error."""
+def _node_stages(raw_nodes: DataFrame, raw: bool) -> tuple[DataFrame | None, list[list[DataFrame]]]:
+    """The typed node table and the findings of each stage of its own rules."""
     nodes, found = _typed(raw_nodes, "nodes", raw)
     if nodes is None:
-        stages.passes(*found)
-        return None
-    policy = V.resolve_housing_policy(raw_nodes)
-    if not stages.passes(*found, policy):
-        return None
+        return None, [found]
     nodes = V.drop_incomplete_housing(nodes)
-    if not stages.passes(V.check_consecutive_ids(nodes)):
-        return None
-    return nodes if stages.passes(V.check_node_values(nodes)) else None
+    return nodes, [[*found, V.resolve_housing_policy(raw_nodes)], [V.check_consecutive_ids(nodes)],
+                   [V.check_node_values(nodes)]]
 
 
-def accept_edges(stages: _Stages, raw_edges: DataFrame, raw: bool) -> DataFrame | None:
-    """The typed edge table, or None if a rule of its own found an error."""
+def _edge_stages(raw_edges: DataFrame, raw: bool) -> tuple[DataFrame | None, list[list[DataFrame]]]:
+    """The typed edge table and the findings of each stage of its own rules."""
     edges, found = _typed(raw_edges, "edges", raw)
-    if edges is None or not stages.passes(*found):
-        if edges is None:
-            stages.passes(*found)
-        return None
-    return edges if stages.passes(V.check_edge_values(edges)) else None
+    if edges is None:
+        return None, [found]
+    return edges, [found, [V.check_edge_values(edges)]]
+
+
+def _until_error(sides: dict[str, list[list[DataFrame]]]) -> tuple[DataFrame, set[str]]:
+    """(findings, sides with an error) of the stages of each side, each up to its first stage with an error.
+
+    All stages of all sides are one job; a later stage may look at values that an earlier one refuses, and its
+    findings are dropped then.
+    """
+    tagged = [f.select(*V.FINDING_COLUMNS, F.lit(side).alias("side"), F.lit(i).alias("stage"))
+              for side, stages in sides.items() for i, stage in enumerate(stages) for f in stage]
+    found = reduce(DataFrame.unionByName, tagged).checkpoint()
+    ends = found.filter(F.col("severity") == "error").groupBy("side").agg(F.min("stage").alias("end"))
+    kept = (found.join(F.broadcast(ends), "side", "left")  # at most one row a side
+            .filter(F.col("end").isNull() | (F.col("stage") <= F.col("end"))).select(*V.FINDING_COLUMNS))
+    return kept, {r["side"] for r in ends.collect()}
 
 
 def validate_network(net: NetworkTables, raw: bool = False, root: int = 1,
@@ -97,14 +96,21 @@ def validate_network(net: NetworkTables, raw: bool = False, root: int = 1,
     """
     spark: SparkSession = (net.nodes if net.nodes is not None else net.edges).sparkSession
     ensure_checkpoint_dir(spark)
-    stages = _Stages()
-    nodes = None if net.nodes is None else accept_nodes(stages, net.nodes, raw)
-    edges = None if net.edges is None else accept_edges(stages, net.edges, raw)
+    nodes = edges = None
+    sides = {}
+    if net.nodes is not None:
+        nodes, sides["nodes"] = _node_stages(net.nodes, raw)
+    if net.edges is not None:
+        edges, sides["edges"] = _edge_stages(net.edges, raw)
+    found, bad = _until_error(sides)
+    parts = [found]
     if net.nodes is None or net.edges is None:
         here, other = ("edges", "nodes") if net.nodes is None else ("nodes", "edges")
-        stages.parts.append(spark.createDataFrame(
+        parts.append(spark.createDataFrame(
             [("info", "B17", here, None, f"{here} present, {other} absent")], V.FINDINGS_SCHEMA))
-    elif nodes is not None and edges is not None:
-        if stages.passes(*cross_checks(nodes, edges)) and reachability:
-            stages.parts.append(V.unreachable_finding(connected_components(nodes, edges), root))
-    return V.union_findings(stages.parts)
+    elif nodes is not None and edges is not None and not bad:
+        cross, bad = _until_error({"both": [cross_checks(nodes, edges)]})
+        parts.append(cross)
+        if reachability and not bad:
+            parts.append(V.unreachable_finding(connected_components(nodes, edges), root))
+    return V.union_findings(parts)
