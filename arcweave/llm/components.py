@@ -47,3 +47,21 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
             break
     low = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(low)
+
+
+def extend(label: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, label) when ``edges`` are added to the edges that ``label`` comes from.
+
+    Rounds run on the graph of labels only, which has at most as many edges as were added.
+    """
+    def of(node: str, out: str) -> DataFrame:
+        return label.select(F.col("node").alias(node), F.col("label").alias(out))
+
+    links = (edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
+             .join(of("u", "lu"), "u", "left").join(of("v", "lv"), "v", "left")
+             .select("u", "v", F.coalesce("lu", "u").alias("a"), F.coalesce("lv", "v").alias("b")))
+    links = stored(links, "label-links")
+    roots = components(links, "a", "b").select(F.col("node").alias("r"), F.col("label").alias("root"))
+    ends = links.select(F.col("u").alias("node"), F.col("a").alias("label")).union(links.select("v", "b"))
+    nodes = label.select("node", "label").union(ends).distinct()
+    return nodes.join(roots, F.col("label") == F.col("r"), "left").select("node", F.coalesce("root", "label").alias("label"))

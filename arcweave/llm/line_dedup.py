@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import stored
+from arcweave.llm.common import fresh, stored
 
 WINDOW = 3
 
@@ -87,16 +87,15 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     With ``n_chars`` that column is set to the new length. Only the changed texts are joined back.
     """
     out = dedup_lines(df, key, text, window).filter("n_removed > 0")
-    new = stored(out.select(F.col(key).alias("__key"), F.col("h").alias("__h"), F.col("text").alias("__text"))
-                 .distinct(), "changed-texts")
-    both = df.join(new, df[key].eqNullSafe(new["__key"]) & (F.xxhash64(df[text]) == new["__h"]), "left")
-    both = both.filter(F.col("__text").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    cleaned = F.coalesce(F.col("__text"), F.col(text))
-    cols = {text: cleaned}
+    k, h, t = fresh(df, "changed_key", "changed_hash", "changed_text")
+    new = stored(out.select(F.col(key).alias(k), F.col("h").alias(h), F.col("text").alias(t)).distinct(), "changed-texts")
+    both = df.join(new, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
+    both = both.filter(F.col(t).isNull() | F.col(t).rlike(r"[^\x20\x09-\x0D]"))
+    cols = {text: F.coalesce(F.col(t), F.col(text))}
     if n_chars:
-        cols[n_chars] = F.when(F.col("__text").isNull(), F.col(n_chars)).otherwise(
-            F.char_length("__text").cast(df.schema[n_chars].dataType))
-    return both.select(*[cols.get(c, F.col(c)).alias(c) for c in df.columns])
+        cols[n_chars] = F.when(F.col(t).isNull(), F.col(n_chars)).otherwise(
+            F.char_length(t).cast(df.schema[n_chars].dataType))
+    return both.select(*[cols.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def oracle_sql() -> str:

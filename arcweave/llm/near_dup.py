@@ -15,12 +15,15 @@ on, linked to the centre or not, and only pairs of two classes are looked at: al
 of up to ``SMALL`` members. A larger one is dealt by the members' rarest words, of which two near
 texts always share one, so texts that share a passage and nothing else come apart; what is still
 large gets 2, 4, 8, ... further centres a turn until one class is left or all have been compared. So
-two near texts that agree on any sketch always end in one class, and no bucket is cut off. Before a
-pair is aligned, the numbers of words by hash bin tell whether it can be near at all.
+two near texts that agree on any sketch always end in one class, and no bucket is cut off. A pair is
+formed only if the parities of its word counts by hash bin differ in at most two bins for each edit allowed, and
+aligned only if the counts by bin can be made good by these edits; neither is ever false for near texts.
 
 For k-mer sets with a Jaccard similarity J a sketch agrees with a chance of about J^2. Scattered edits
 of 20 % of the words, the most that is accepted, leave J = 0.34: 40 sketches miss 0.7 % of such pairs.
-With 15 % (J = 0.44) fewer than 0.02 % are missed, with 10 % (J = 0.57) fewer than one in 10^6.
+With 15 % (J = 0.44) fewer than 0.02 % are missed, with 10 % (J = 0.57) fewer than one in 10^6. This
+holds for long texts. Short ones have few k-mers, so texts of ``LEAST`` to ``SHORT`` words are also put into
+a bucket for each of their rarest words, of which near ones share one: between them no pair is missed.
 
 Defined results: null, blank and equal texts are copies of each other; texts of under five words
 have no sketch and are only copies or unique; a null id is smaller than all others; rows are
@@ -39,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import stored, words
-from arcweave.llm.components import components
+from arcweave.llm.common import fresh, stored, words
+from arcweave.llm.components import components, extend
 from arcweave.llm.wordhash import U64, Words, chunks, digests, mix, signed, split_words, splitmix, text_buffer
 
 KMER = 3
@@ -50,6 +53,8 @@ LEAST = 5  # words of a text that is more than a copy or unique
 CANDIDATES = 12  # k-mers of a document that are sorted to find the smallest (more if they are too few)
 EDIT_PERCENT = 20
 ORDERS = 2
+SHORT = 30  # words up to which a text also meets others by its rarest words
+PARITY = 4  # longs of parities of word counts
 SMALL = 32  # members up to which a bucket is compared in full
 BINS = 128
 BAND = 512  # width that a first alignment has at least, as far as the limit allows
@@ -107,38 +112,55 @@ def order_minhash(w: Words, h: np.ndarray, k: int = KMER, sketches: int = SKETCH
     return docs, out
 
 
+def _parities(w: Words, h: np.ndarray, n: int) -> np.ndarray:
+    """Per document ``PARITY`` longs: whether a word occurs in each of their bins an odd number of times."""
+    bits = 64 * PARITY
+    odd = np.bincount(w.doc_of_word() * bits + (h % U64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(U64)
+
+
+def _numbered_words(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, token) of all words of short texts; equal words of a text are numbered."""
+    size = np.diff(w.first)
+    short = (size >= LEAST) & (size <= SHORT)
+    doc = w.doc_of_word()
+    at = np.flatnonzero(short[doc]) if len(doc) else doc
+    doc, own = doc[at], h[at]
+    order = np.lexsort((own, doc))
+    same = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (own[order][1:] == own[order][:-1])] if len(at) else order
+    place = np.arange(len(order))
+    nth = np.empty(len(order), dtype=U64)
+    nth[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(U64) if len(order) else nth
+    return doc, mix(own + nth * U64(0x9E3779B97F4A7C15))
+
+
+def _lists(per: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), signed(values))
+
+
 def _sketched(df: DataFrame) -> DataFrame:
-    """id, n_words, digests a and b, sketches; one row per input row."""
+    """id, h, n_words, digests a and b, sketches, parity, and the tokens of short texts; one row per input row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             for i, j in chunks(offsets):
                 w = split_words(data, offsets[i:j + 1])
                 h = w.hashes(1)
                 d1, d2 = digests(w, h, w.hashes(2))
                 docs, values = order_minhash(w, h)
-                per = np.zeros(j - i + 1, dtype=np.int32)
-                per[docs + 1] = values.shape[1]
+                per = np.zeros(j - i, dtype=np.int32)
+                per[docs] = values.shape[1]
+                doc, tokens = _numbered_words(w, h)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(w.first)), signed(d1), signed(d2),
-                     pa.ListArray.from_arrays(pa.array(np.cumsum(per).astype(np.int32)), signed(values.ravel()))],
-                    names=["id", "n_words", "a", "b", "sketches"])
-
-    return df.mapInArrow(run, "id long, n_words long, a long, b long, sketches array<long>")
-
-
-def _digest(text: Column | str) -> Column:
-    """Struct of the two digests of a text's words (not null)."""
-    def run(texts: pa.Array) -> pa.Array:
-        data, offsets = text_buffer(texts)
-        out = [np.zeros((2, 0), dtype=U64)]
-        for i, j in chunks(offsets):
-            w = split_words(data, offsets[i:j + 1])
-            out.append(np.stack(digests(w, w.hashes(1), w.hashes(2))))
-        a, b = np.concatenate(out, axis=1)
-        return pa.StructArray.from_arrays([signed(a), signed(b)], names=["a", "b"])
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(w.first)),
+                     signed(d1), signed(d2), _lists(per, values.ravel()),
+                     _lists(np.full(j - i, PARITY), _parities(w, h, j - i).ravel()),
+                     _lists(np.bincount(doc, minlength=j - i), tokens)],
+                    names=["id", "h", "n_words", "a", "b", "sketches", "parity", "tokens"])
 
-    return F.arrow_udf(run, "struct<a:long,b:long>")(text)
+    return df.mapInArrow(run, "id long, h long, n_words long, a long, b long, sketches array<long>, "
+                              "parity array<long>, tokens array<long>")
 
 
 def band_distance(a: Sequence, b: Sequence, band: int) -> int | None:
@@ -245,16 +267,12 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return some.union(bags.filter("not possible").select("a", "b", F.lit(False)))
 
 
-def _rare_words(texts: DataFrame) -> DataFrame:
-    """(rep, token): the rarest fifth of a text's words, and one more; equal words are numbered.
+def _rarest(tokens: DataFrame) -> DataFrame:
+    """(rep, token): the rarest fifth of a text's tokens, and one more, of a table (rep, token) of all of them.
 
     Two texts of which one becomes the other by editing at most a fifth of the longer one's words have
     four fifths of its words in common, so in any one order of all words these lists share one.
     """
-    tokens = stored(texts.select("rep", F.explode(words(F.col("text"))).alias("w"))
-                    .groupBy("rep", "w").agg(F.count(F.lit(1)).cast("int").alias("c"))
-                    .select("rep", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("c"), "w")
-                    .select("rep", F.xxhash64("w", "c").alias("token")), "tokens")
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a list is bounded by its own row's text
     lists = tokens.join(common, "token").groupBy("rep").agg(
@@ -263,26 +281,50 @@ def _rare_words(texts: DataFrame) -> DataFrame:
     return lists.select("rep", F.explode(F.slice("o", F.lit(1), size)).alias("o")).select("rep", F.col("o.token").alias("token"))
 
 
-def find_links(docs: DataFrame, unique: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, between the texts of ``unique`` (rep, a, b, n_words, sketches).
+def _rare_words(texts: DataFrame) -> DataFrame:
+    """(rep, token): the rarest words of the texts (rep, text); equal words of a text are numbered."""
+    return _rarest(stored(texts.select("rep", F.explode(words(F.col("text"))).alias("w"))
+                          .groupBy("rep", "w").agg(F.count(F.lit(1)).cast("int").alias("c"))
+                          .select("rep", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("c"), "w")
+                          .select("rep", F.xxhash64("w", "c").alias("token")), "tokens"))
+
+
+def _buckets(unique: DataFrame) -> DataFrame:
+    """(bucket, rep): one bucket for each sketch, and for each of the rarest words of a short text."""
+    sketches = unique.select("rep", F.posexplode("sketches").alias("j", "s")).select(
+        F.xxhash64("s", "j").alias("bucket"), "rep")
+    tokens = unique.select("rep", F.explode("tokens").alias("token"))
+    return sketches.union(_rarest(tokens).select(F.xxhash64("token", F.lit(-1)).alias("bucket"), "rep"))
+
 
-    Links join all texts into one class that agree on a sketch and are near, directly or through others.
+def _parity_distance() -> Column:
+    """Bins in which the parities of two texts differ: at most two for each edit."""
+    bits = [F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("px")[i])) for i in range(PARITY)]
+    return reduce(lambda x, y: x + y, bits)
+
+
+def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, label) between the texts of ``unique`` (rep, id, h, n_words, sketches, parity, tokens).
+
+    Links (a, b), a < b, are verified; with others they join all texts into one class that agree on a bucket and are
+    near, directly or through others. ``label`` (node, label) names the class of each linked text.
     """
-    todo = stored(unique.select("rep", "n_words", F.posexplode_outer("sketches").alias("j", "s"))
-                  .filter("s is not null").select(F.xxhash64("s", "j").alias("bucket"), "rep", "n_words"), "buckets")
+    todo = stored(_buckets(unique), "buckets")
+    facts = unique.select("rep", "n_words", "parity")
     texts, label, verdicts, turn = None, None, [], 0
     while True:
+        # counting members and bringing them together share one shuffle of two numbers a member
+        dealt = todo.select("bucket", "rep").repartition("bucket")
         # one of a few orders of all texts in a turn, so that a class has few different centres
         rank = F.xxhash64("rep", F.pmod("bucket", F.lit(ORDERS)), F.lit(turn))
-        ranked = todo.withColumn("rank", rank)
-        sizes = (ranked.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("c"), F.count(F.lit(1)).alias("n"))
+        sizes = (dealt.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "rep")).alias("c"), F.count(F.lit(1)).alias("n"))
                  .filter("n > 1").select("bucket", F.col("c.rep").alias("first"), "n"))
         # in the first turn one centre; later 2, 4, 8, ... (about) in a large bucket and all members in a small one
         centre = F.col("rep") == F.col("first")
         if turn:
-            part = F.col("rank").cast("double") / F.lit(2.0 ** 64) + 0.5
+            part = rank.cast("double") / F.lit(2.0 ** 64) + 0.5
             centre = centre | (F.col("n") <= SMALL) | (part < F.lit(2.0 ** turn - 1) / F.col("n"))
-        met = ranked.join(sizes, "bucket").select("bucket", "rep", "n_words", "n", centre.alias("centre"))
+        met = dealt.join(sizes, "bucket").select("bucket", "rep", "n", centre.alias("centre")).join(facts, "rep")
         if label is not None:
             met = met.join(label, met["rep"] == label["node"], "left").drop("node")
         else:
@@ -291,51 +333,53 @@ def find_links(docs: DataFrame, unique: DataFrame) -> DataFrame:
         if met.isEmpty():
             break
         if texts is None:  # later turns only have texts of the first
-            need = unique.join(met.select("rep").distinct(), "rep").select("rep", "a", "b")
-            texts = stored(docs.withColumn("d", _digest("text")).select("text", F.col("d.a").alias("a"), F.col("d.b").alias("b"))
-                           .join(need, ["a", "b"]).groupBy("rep").agg(F.min("text").alias("text"))
+            need = unique.join(met.select("rep").distinct(), "rep").select("rep", "id", "h")
+            texts = stored(docs.join(need, ["id", "h"]).groupBy("rep").agg(F.first("text").alias("text"))
                            .withColumn("bag", F.arrow_udf(_bags, "binary")("text")), "texts")
-        x = met.filter("centre").select("bucket", F.col("rep").alias("x"), F.col("n_words").alias("nx"), F.col("label").alias("lx"))
+        x = met.filter("centre").select("bucket", F.col("rep").alias("x"), F.col("n_words").alias("nx"),
+                                        F.col("label").alias("lx"), F.col("parity").alias("px"))
         longer, shorter = F.greatest("n_words", "nx"), F.least("n_words", "nx")
         limit = F.floor(longer * EDIT_PERCENT / 100).cast("long")
         new = (met.join(x, (met["bucket"] == x["bucket"]) & (F.col("label") != F.col("lx")) & (longer - shorter <= limit)
-                        & (~F.col("centre") | (F.col("rep") > F.col("x"))))
+                        & (~F.col("centre") | (F.col("rep") > F.col("x"))) & (_parity_distance() <= 2 * limit))
                .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"), limit.alias("limit")).distinct())
-        for known in verdicts:
-            new = new.join(known, ["a", "b"], "left_anti")
+        if verdicts:
+            new = new.join(reduce(DataFrame.union, verdicts).select("a", "b"), ["a", "b"], "left_anti")
         verdicts.append(stored(_verify(new, texts), "verdicts"))
-        links = reduce(DataFrame.union, verdicts).filter("ok").select("a", "b")
-        label = components(links, "a", "b")
+        linked = verdicts[-1].filter("ok").select("a", "b")
+        label = stored(components(linked, "a", "b") if label is None else extend(label, linked, "a", "b"), "label")
         # a centre has met all others; the rest of a bucket is done when it is one class
-        rest = met.filter("not centre").drop("label").join(label, F.col("rep") == F.col("node"), "left").select(
-            "bucket", "rep", "n_words", "n", F.coalesce("label", "rep").alias("label"))
+        rest = met.filter("not centre").select("bucket", "rep", "n").join(
+            label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
         several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "n_words", "n"), "rest")
+        rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "n"), "rest")
+        todo = rest.select("bucket", "rep")
         if turn == 0:
             # large buckets: only members that share one of their rarest words can be near
             large = rest.filter(F.col("n") > SMALL)
             rare = _rare_words(texts.join(large.select("rep").distinct(), "rep").select("rep", "text"))
-            todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep", "n_words").union(
-                large.join(rare, "rep").select(F.xxhash64("bucket", "token").alias("bucket"), "rep", "n_words")), "refined")
-        else:
-            todo = rest.select("bucket", "rep", "n_words")
+            todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep").union(
+                large.join(rare, "rep").select(F.xxhash64("bucket", "token").alias("bucket"), "rep")), "refined")
         turn += 1
     if not verdicts:
-        return met.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    return links
+        none = met.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        return none, none.withColumnsRenamed({"a": "node", "b": "label"})
+    return reduce(DataFrame.union, verdicts).filter("ok").select("a", "b"), label
 
 
 def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per input row: id, a and b (digests of its words), class_id, n_links and kept."""
+    """Per input row: id, h (hash of the text), a and b (digests of its words), class_id, n_links and kept."""
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"),
                      F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select("id", F.xxhash64("text").alias("h"), "text")
     rows = stored(_sketched(docs), "sketches")
     # texts are numbered, so that no two of them are ever one node
     unique = stored(rows.groupBy("a", "b").agg(
-        F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+        F.min(F.struct("id", "h")).alias("first"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"),
+        F.first("parity").alias("parity"), F.first("tokens").alias("tokens"))
+        .select("a", "b", "first.*", "n_words", "sketches", "parity", "tokens")
         .sortWithinPartitions("a", "b").withColumn("rep", F.monotonically_increasing_id()), "unique")
-    links = find_links(docs, unique)
-    label = components(links, "a", "b")
+    links, label = find_links(docs, unique)
     ends = links.select(F.col("a").alias("e")).union(links.select("b")).groupBy("e").agg(
         F.count(F.lit(1)).alias("n_links"))
     texts = stored(unique.select("rep", "a", "b", "id").join(label, F.col("rep") == F.col("node"), "left")
@@ -347,8 +391,8 @@ def _classes(df: DataFrame, key: str, text: str) -> DataFrame:
     own = F.struct("id", "a", "b")
     facts = stored(texts.join(first, F.col("label") == F.col("l"), "left")
                    .select("a", "b", F.coalesce("f", own).alias("f"), "n_links"), "classes")
-    return rows.select("id", "a", "b").join(facts, ["a", "b"]).select(
-        "id", "a", "b", F.col("f.id").alias("class_id"), "n_links", (own == F.col("f")).alias("kept"))
+    return rows.select("id", "h", "a", "b").join(facts, ["a", "b"]).select(
+        "id", "h", "a", "b", F.col("f.id").alias("class_id"), "n_links", (own == F.col("f")).alias("kept"))
 
 
 def _real(c: str) -> Column:
@@ -362,14 +406,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def one_per_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``df`` for each class, with all its columns."""
-    keep = stored(_classes(df, key, text).filter("kept").groupBy(_real("id").alias("__keep"), "a", "b")
-                  .agg(F.count(F.lit(1)).alias("__n")).withColumnsRenamed({"a": "__a", "b": "__b"}), "kept")
-    marked = df.withColumn("__d", _digest(F.coalesce(F.col(text), F.lit(""))))
-    marked = marked.select(*df.columns, F.col("__d.a").alias("__da"), F.col("__d.b").alias("__db"))
-    same = (F.col("__da") == F.col("__a")) & (F.col("__db") == F.col("__b")) & F.col(key).eqNullSafe(F.col("__keep"))
-    pick = lambda ids: marked.join(ids, same, "left_semi")
-    single = keep.filter("__n = 1").drop("__n")
+    """One row of ``df`` for each class, with all its columns: of the kept id and words the text with the smallest hash."""
+    k, h, n = fresh(df, "kept_key", "kept_hash", "kept_rows")
+    rows = _classes(df, key, text).filter("kept").groupBy("id", "a", "b", "h").agg(F.count(F.lit(1)).alias("n"))
+    keep = stored(rows.groupBy("id", "a", "b").agg(F.min(F.struct("h", "n")).alias("m"))
+                  .select(_real("id").alias(k), F.col("m.h").alias(h), F.col("m.n").alias(n)), "kept")
+    own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    pick = lambda ids: df.join(ids.drop(n), F.col(key).eqNullSafe(F.col(k)) & (own == F.col(h)), "left_semi")
+    single, several = keep.filter(F.col(n) == 1), stored(keep.filter(F.col(n) > 1), "repeated")
     # rows that are there several times are few or none; only they are grouped
-    several = stored(keep.filter("__n > 1").drop("__n"), "repeated")
-    return pick(single).unionByName(pick(several).dropDuplicates([key, "__da", "__db"])).select(*df.columns)
+    repeated = pick(several).withColumn(h, own).dropDuplicates([key, h]).drop(h)
+    return pick(single).unionByName(repeated)

@@ -1,11 +1,14 @@
 import random
 
+import pyarrow as pa
 from fixtures import documents, empty, sentence, texts, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from arcweave.llm.near_dup import band_distance, edit_distance_within, near_duplicates, one_per_class
+from arcweave.llm.line_dedup import without_repeats
+from arcweave.llm.near_dup import _parities, band_distance, edit_distance_within, near_duplicates, one_per_class
+from arcweave.llm.wordhash import split_words, text_buffer
 
 
 def levenshtein(a, b):
@@ -175,3 +178,40 @@ def test_texts_of_null_and_repeated_ids_stay(spark):
 
 def test_empty(spark):
     assert near_duplicates(empty(spark)).count() == 0 and one_per_class(empty(spark)).count() == 0
+
+
+def test_short_texts_miss_no_pair(spark):
+    rng = random.Random(16)
+    rows = []
+    for n in (5, 6, 7, 10, 15, 20, 30):
+        for _ in range(40):
+            x = sentence(rng, n, 10 ** 6)
+            y = x.split()
+            for p in rng.sample(range(n), n // 5):
+                y[p] = f"new{rng.randrange(10 ** 6)}"
+            rows += [x, " ".join(y)]
+    cls = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, rows)).collect()}
+    assert all(cls[2 * i] == cls[2 * i + 1] == 2 * i for i in range(len(rows) // 2))
+
+
+def test_parities_never_exclude_near_texts():
+    rng = random.Random(17)
+    for _ in range(200):
+        a = sentence(rng, rng.randrange(1, 300), 40)
+        n = rng.randrange(1, 1 + len(a.split()))
+        b = edit(rng, a + " tail", n)
+        data, offsets = text_buffer(pa.array([a + " tail", b]))
+        w = split_words(data, offsets)
+        x, y = _parities(w, w.hashes(1), 2)
+        assert sum(int(v).bit_count() for v in x ^ y) <= 2 * n
+
+
+def test_further_columns_keep_their_values(spark):
+    df = documents(spark, corpus()[:30]).selectExpr(
+        "*", "'d' as __d", "'k' as kept_key", "'h' as KEPT_HASH", "1 as kept_rows", "doc_id as changed_text", "2 as __text",
+        "3 as changed_key", "4 as changed_hash")
+    for out in (one_per_class(df), without_repeats(df, n_chars="n_chars")):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert (r["__d"], r["kept_key"], r["KEPT_HASH"], r["kept_rows"], r["changed_text"], r["__text"]) == (
+                "d", "k", "h", 1, r.doc_id, 2)
