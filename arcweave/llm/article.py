@@ -5,10 +5,15 @@ styles and other raw text are skipped; elements that are boilerplate by tag, rol
 their class or id are dropped with all they hold (menus, headers, footers, sidebars, notices,
 adverts, forms, reader comments).
 
-A word of a class or id can also stand on a wrapper of the article (``has-sidebar``). Such an element
-stays if its text outside links has at least the points of all unmarked text and it holds an h1, a
-main or an unmarked article element, or if it has four times these points and hardly any unmarked
-text is left (the strongest one first; what it holds then counts as unmarked).
+A name that says how a page is laid out (``has-sidebar``, ``comments-open``) marks nothing. Other names can
+still stand on a wrapper of the article. A marked element stays if its marks are only words of layout
+(``header``, ``sidebar``), its text outside links has at least the points of all unmarked text, and it holds an h1, a
+main or an unmarked article element outside further marks; or, whatever its words of layout, if it has four times these
+points and hardly any unmarked text is left, unless an unmarked article or main with text stands outside it (the
+strongest one first; what it holds then counts as unmarked). Elements marked as comments, adverts, navigation, notices
+and the like stay only where the page has no other text. Marked paragraphs are dropped like other elements, marked
+headings where the mark is more than a word of layout. A header element inside the article is a header too
+and goes with all it holds, a heading included.
 
 Scoring: each block of text (a paragraph, list item, heading, cell, or the loose text of a
 container) gets one point, one for each comma, and one for each 100 characters up to three. The
@@ -61,9 +66,14 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "consent gdpr popup modal overlay alert newsletter subscribe subscription signup login "
                   "share sharing social comment comments commentlist disqus replies respond toolbar skip "
                   "copyright disclaimer".split())
+# Those that also name wrappers of whole pages.
+LAYOUT = frozenset("banner header masthead topbar footer sidebar aside widget widgets toolbar".split())
+# Words that turn a name into a remark about the layout.
+REMARKS = frozenset("no has have with without open closed off on enabled disabled".split())
 LITTLE = 200  # characters outside links and marked elements that are no article
 CLEARLY = 4  # times the points of the unmarked text
-KEEP_MARKED = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
+KEEP_MARKED = frozenset("html body article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar "
                   "toolbar form".split())
 
@@ -72,40 +82,55 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PAIR = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
 _VALUE = re.compile(_PAIR)
 _ATTR = re.compile(rf"(?:[\s/]++|{_PAIR})*+>")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z0-9])")
 _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "dropped", "block", "score", "length", "linked", "link", "mark", "outer", "proof")
+    __slots__ = ("tag", "parent", "dropped", "block", "score", "length", "linked", "link", "mark", "outer", "proof",
+                 "layout", "content")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, marked: bool = False):
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, marked: bool = False, layout: bool = True):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.outer = parent.mark if parent is not None else None  # the nearest marked element around this one
         self.mark, self.proof = self if marked else self.outer, False
+        self.layout = layout  # no mark but words of layout
+        self.content = tag in CONTENT or (parent is not None and parent.content)
         self.block = tag not in INLINE
         self.link = tag == "a" or (parent is not None and parent.link)
         self.score, self.length, self.linked = 0.0, 0, 0
 
 
-def _boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is dropped in any case, and whether its class or id marks it."""
+def _marks(value: str) -> set[str]:
+    """Words of a class or id that mark boilerplate; names that only remark on the layout give none."""
+    found: set[str] = set()
+    for name in value.split():
+        words = {x.lower() for x in _SPLIT.split(name)}
+        if REMARKS.isdisjoint(words):
+            found |= words & MARKS
+    return found
+
+
+def _boilerplate(tag: str, attrs: str) -> tuple[bool, set[str]]:
+    """Whether an element is dropped in any case, and the words by which its class or id marks it."""
+    marks: set[str] = set()
     if tag in DROPPED:
-        return True, False
-    marked = False
+        return True, marks
     if "=" not in attrs and "hidden" not in attrs:
-        return False, False
+        return False, marks
     for name, value in _VALUE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            marks |= _marks(value)
+            continue
+        value = value.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True, marked
+            return True, marks
         if name == "role" and value in ROLES:
-            return True, marked
+            return True, marks
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True, marked
-        if name in ("class", "id") and not MARKS.isdisjoint(_SPLIT.split(value)):
-            marked = True
-    return False, marked
+            return True, marks
+    return False, marks
 
 
 def _closing(tag: str) -> tuple[str, ...]:
@@ -187,11 +212,13 @@ def _read(page: str) -> list[tuple[_Node, list[tuple[str, bool, _Node | None]]]]
                 elif tag == "br":
                     run.append((" ", False, stack[-1].mark))
             continue
-        gone, marked = _boilerplate(tag, attrs)
-        node = _Node(tag, stack[-1], stack[-1].dropped or gone, marked and tag not in KEEP_MARKED)
-        if not node.dropped and (tag in ("h1", "main") or (tag == "article" and not marked)):
+        gone, marks = _boilerplate(tag, attrs)
+        layout = marks <= LAYOUT
+        marked = bool(marks) and tag not in KEEP_MARKED and not (layout and tag in HEADINGS)
+        node = _Node(tag, stack[-1], stack[-1].dropped or gone, marked, layout)
+        if not node.dropped and not marked and (tag in ("h1", "main") or (tag == "article" and not marks)):
             around = node.outer
-            while around is not None and not around.proof:
+            while around is not None and around.layout and not around.proof:
                 around.proof, around = True, around.outer
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, pos)
@@ -229,24 +256,34 @@ def _points(text: str) -> float:
 def _wrappers(read: list) -> set[_Node]:
     """Marked elements that hold the article, and so stay."""
     marks: dict[_Node, list[float]] = {}  # mark: points and characters outside links, of its own pieces only
-    bare = [0.0, 0.0]
-    for _, text, linked, mark in _rendered(read, lambda _: False):
+    bare, content = [0.0, 0.0], False
+    for owner, text, linked, mark in _rendered(read, lambda _: False):
         own = bare if mark is None else marks.setdefault(mark, [0.0, 0.0])
         own[0] += _points(text) * (1.0 - linked / len(text))
         own[1] += len(text) - linked
+        content = content or (mark is None and owner.content and len(text) > linked)
     total: dict[_Node, float] = {}
     for mark, (points, _) in marks.items():
         around = mark
         while around is not None:
             total[around] = total.get(around, 0.0) + points
             around = around.outer
+
+    def fits(x: _Node) -> bool:
+        if total[x] <= 0:
+            return False
+        if not x.layout:
+            return not bare[1]
+        if x.proof:
+            return total[x] >= bare[0]
+        return total[x] >= bare[0] * CLEARLY and bare[1] < LITTLE and (not content or x.content)
+
     stay: set[_Node] = set()
     while True:
-        fit = [x for x in total if x not in stay and (x.outer is None or x.outer in stay) and total[x] > 0
-               and total[x] >= bare[0] * (1 if x.proof else CLEARLY) and (x.proof or bare[1] < LITTLE)]
+        fit = [x for x in total if x not in stay and (x.outer is None or x.outer in stay) and fits(x)]
         if not fit:
             return stay
-        best = max(fit, key=lambda x: (x.proof, total[x]))
+        best = max(fit, key=lambda x: (x.layout, x.proof, total[x]))
         stay.add(best)
         own = marks.get(best, (0.0, 0.0))
         bare = [bare[0] + own[0], bare[1] + own[1]]

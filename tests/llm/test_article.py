@@ -1,3 +1,5 @@
+import random
+
 from arcweave.llm.article import extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>Menu, title</title><style>p{}</style></head><body>
@@ -66,6 +68,66 @@ def test_marks_on_a_wrapper_keep_the_article():
     assert main_text("<div><p>One <span class=ad>buy</span> two</p></div>") == "One two"
 
 
+def test_comments_never_win_over_the_article():
+    def p(n, word="Words"):
+        return f"<p>{(word + ', words, and more words that go on. ') * 4}</p>" * n
+
+    own = "\n\n".join([("Words, words, and more words that go on. " * 4).strip()] * 2)
+    talk = [f"<section id=comments><article>{p(4, 'Reply')}</article></section>",
+            f"<section class=comments><article>{p(2, 'Reply')}</article><article>{p(4, 'Reply')}</article></section>",
+            f"<div id=comments><h1>Comments</h1>{p(9, 'Reply')}</div>", f"<div class=userComments>{p(5, 'Reply')}</div>",
+            f'<ul class="commentList"><li>{p(3, "Reply")}</ul>']
+    for t in talk:
+        for page in (f"<article>{p(2)}</article>{t}", f"<main><article>{p(2)}</article>{t}</main>",
+                     f"<article>{p(2)}{t}</article>", f"<div><div>{p(2)}</div>{t}</div>",
+                     f"<div class=has-sidebar><main>{p(2)}</main>{t}</div>",
+                     f'<div class="single comments-open no-ads">{p(2)}{t}</div>'):
+            assert main_text(page) == own, page
+    # the last content left
+    assert main_text(f"<div class=comments>{p(2)}</div>") == own
+
+
+def test_marked_paragraphs_and_headings():
+    long = ("Words, words, and more words that go on. " * 4).strip()
+    for bad in ("<p class=advertisement>Buy, now, here</p>", "<h3 class=comments-title>12 comments</h3>",
+                "<p class='text relatedLinks'>See, also</p>", "<p id=cookieNotice>We use cookies</p>"):
+        assert main_text(f"<article><p>{long}</p>{bad}<p>{long}</p></article>") == f"{long}\n\n{long}", bad
+    assert main_text(f"<article><h1 class=page-header>Title</h1><p>{long}</p></article>") == f"Title\n\n{long}"
+    assert main_text(f"<article><header><h1>Title</h1></header><p>{long}</p></article>") == long
+
+
+def test_random_pages_give_their_article():
+    """Pages put together from an article, whose blocks are known, and boilerplate of all kinds around and in it."""
+    rng = random.Random(11)
+
+    def prose(k):
+        return " ".join(rng.choice("abcdefg") * rng.randrange(1, 9) + rng.choice(["", "", ",", "."]) for _ in range(k))
+
+    def junk():
+        text, links = prose(rng.randrange(3, 60)), "".join(f"<li><a href=x>{prose(3)}</a></li>" for _ in range(9))
+        return rng.choice([
+            f"<nav><ul>{links}</ul></nav>", f"<aside><p>{text}</p></aside>", f"<div class=sidebar><p>{text}</p></div>",
+            f"<footer><p>{text}</p></footer>", f"<header><h1>{prose(3)}</h1></header>", f"<form><p>{text}</p></form>",
+            f"<section id=comments><article><p>{text}</p></article><article><p>{text}</p></article></section>",
+            f"<div class=adBox><p>{text}</p></div>", f"<div role=banner>{text}</div>", f"<script>{text}</script>",
+            f"<div class='cookie-notice'><h2>{text}</h2></div>", f"<p hidden>{text}</p>", f"<!-- {text} -->",
+            f"<ul class=menu>{links}</ul>", f"<div id=newsletterSignup><p>{text}</p></div>"])
+
+    for _ in range(400):
+        want, body = [], []
+        for _ in range(rng.randrange(2, 8)):
+            text = prose(rng.randrange(15, 120))
+            want.append(" ".join(text.split()))
+            tag = rng.choice(["p", "p", "p", "h2", "blockquote", "pre"])
+            body.append(f"<{tag}>{text}</{tag}>" + (junk() if rng.random() < 0.3 else ""))
+        open_, close = rng.choice([("<article>", "</article>"), ("<main>", "</main>"),
+                                   ("<main><article class=post>", "</article></main>"),
+                                   ("<div class='post has-sidebar'>", "</div>"), ("<div id=content>", "</div>")])
+        page = "".join([*(junk() for _ in range(rng.randrange(4))), open_, *body, close,
+                        *(junk() for _ in range(rng.randrange(4)))])
+        assert main_text(f"<html><body><div>{page}</div></body></html>") == "\n\n".join(want), page
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 50000 + "<p>x, y") == "x, y"
     assert main_text("<p>" + "<b>" * 20000 + "x") == "x"
