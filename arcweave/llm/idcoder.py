@@ -328,14 +328,24 @@ CACHE = 300_000
 
 class _Tokens(dict):
     """Word to its ids as 16-bit integers in bytes. Words are cut at ASCII white space, where the
-    tokenizer's own split always cuts and which it drops, so a text's ids are those of its words."""
+    tokenizer's own split always cuts and which it drops, so a text's ids are those of its words.
+
+    The tokenizer makes one id of the string of an added token wherever it stands, across words too; a text
+    that holds one (in any case, as texts may be lower-cased first) is encoded as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(self, text: str) -> bytes | None:
+        """Ids of a text that must be encoded as a whole, or nothing."""
+        low = text.lower()
+        if not any(t in low for t in self.added):
+            return None
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def fill(self, words: set[bytes]) -> None:
         """Encode the words that are not known yet in one call; beyond ``CACHE`` words start anew."""
@@ -364,10 +374,12 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part_keys = batch.column(0).slice(a, 500).to_pylist()
-                texts = [(t or "").encode().split() for t in batch.column(1).slice(a, 500).to_pylist()]
+                texts = [t or "" for t in batch.column(1).slice(a, 500).to_pylist()]
+                whole = [known.whole(t) for t in texts]
+                texts = [t.encode().split() if x is None else [] for t, x in zip(texts, whole)]
                 known.fill(set().union(*texts))
-                for k, words in zip(part_keys, texts):
-                    ids = b"".join([known[w] for w in words]) + end
+                for k, words, x in zip(part_keys, texts, whole):
+                    ids = (b"".join([known[w] for w in words]) if x is None else x) + end
                     keys.append(k)
                     counts.append(len(ids) // 2)
                     held.append(ids)
@@ -411,7 +423,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     rows = stored(files.select("content").mapInArrow(
         run, "part long, frame long, key long, at long, data binary"), "ids")
     totals = rows.groupBy("part", "frame").agg(F.sum(F.octet_length("data") / 4).cast("long").alias("n"))
-    # one row per frame: a running sum over them is small
+    # one row per frame: a running sum over them is small, but it grows with the input, so it is not broadcast by a hint
     before = totals.select("part", "frame", (F.sum("n").over(Window.orderBy("part", "frame")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), ["part", "frame"]).select(
+    return rows.join(before, ["part", "frame"]).select(
         F.col("key").alias(key), (F.col("before") + F.col("at")).alias("start"), "data")

@@ -55,7 +55,6 @@ def test_files_match_the_library(spark, tmp_path):
     path = str(tmp_path / "ids")
     c.write_ids(df, path, P.path("word_bpe_49k.json"), part_bytes=3000)
     tk = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect()))
     at, want = 0, []
     for known, i, t in rows:
@@ -66,7 +65,7 @@ def test_files_match_the_library(spark, tmp_path):
     assert sorted(got, key=lambda x: x[1]) == want
 
 
-def test_ids_are_those_of_the_library_default_without_added_tokens():
+def test_words_and_whole_texts_give_the_ids_of_the_library():
     path = P.path("word_bpe_49k.json")
     tk, known = Tokenizer.from_file(path), c._Tokens(path)
     rows = [t or "" for t in texts()[:-1]] + ["< |endoftext|> İΣΑΣ ǅ é  x y", "<|end", "ẞ"]
@@ -74,11 +73,9 @@ def test_ids_are_those_of_the_library_default_without_added_tokens():
         words = t.encode().split()
         known.fill(set(words))
         own = np.frombuffer(b"".join(known[w] for w in words), dtype="<u2").tolist()
-        assert own == tk.encode(t, add_special_tokens=False).ids
-    # the named difference
-    known.fill({b"a", b"<|endoftext|>"})
-    assert tk.encode("a <|endoftext|>", add_special_tokens=False).ids[1:] == [49407]
-    assert len(known[b"<|endoftext|>"]) > 2
+        assert known.whole(t) is None and own == tk.encode(t, add_special_tokens=False).ids
+    held = np.frombuffer(known.whole("a <|endoftext|>"), dtype="<u2").tolist()
+    assert held == tk.encode("a <|endoftext|>", add_special_tokens=False).ids and held[1:] == [49407]
 
 
 def test_empty(spark, tmp_path):
