@@ -313,23 +313,21 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
     facts = unique.select("rep", "n_words", "parity")
     texts, label, verdicts, turn = None, None, [], 0
     while True:
-        # counting members and bringing them together share one shuffle of two numbers a member
-        dealt = todo.select("bucket", "rep").repartition("bucket")
+        # counting members and bringing them together share one shuffle of two or three numbers a member
+        dealt = todo.repartition("bucket")
+        dealt = dealt if label is not None else dealt.withColumn("label", F.col("rep"))
         # one of a few orders of all texts in a turn, so that a class has few different centres
         rank = F.xxhash64("rep", F.pmod("bucket", F.lit(ORDERS)), F.lit(turn))
-        sizes = (dealt.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "rep")).alias("c"), F.count(F.lit(1)).alias("n"))
-                 .filter("n > 1").select("bucket", F.col("c.rep").alias("first"), "n"))
+        sizes = (dealt.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "rep")).alias("c"), F.count(F.lit(1)).alias("n"),
+                                             F.min("label").alias("lo"), F.max("label").alias("hi"))
+                 .filter("lo <> hi").select("bucket", F.col("c.rep").alias("first"), "n"))  # several classes
         # in the first turn one centre; later 2, 4, 8, ... (about) in a large bucket and all members in a small one
         centre = F.col("rep") == F.col("first")
         if turn:
             part = rank.cast("double") / F.lit(2.0 ** 64) + 0.5
             centre = centre | (F.col("n") <= SMALL) | (part < F.lit(2.0 ** turn - 1) / F.col("n"))
-        met = dealt.join(sizes, "bucket").select("bucket", "rep", "n", centre.alias("centre")).join(facts, "rep")
-        if label is not None:
-            met = met.join(label, met["rep"] == label["node"], "left").drop("node")
-        else:
-            met = met.withColumn("label", F.lit(None).cast("long"))
-        met = stored(met.withColumn("label", F.coalesce("label", "rep")), "met")
+        met = stored(dealt.join(sizes, "bucket").select("bucket", "rep", "n", "label", centre.alias("centre"))
+                     .join(facts, "rep"), "met")
         if met.isEmpty():
             break
         if texts is None:  # later turns only have texts of the first
@@ -352,14 +350,14 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
         rest = met.filter("not centre").select("bucket", "rep", "n").join(
             label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
         several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "n"), "rest")
-        todo = rest.select("bucket", "rep")
+        rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "label", "n"), "rest")
+        todo = rest.select("bucket", "rep", "label")
         if turn == 0:
             # large buckets: only members that share one of their rarest words can be near
             large = rest.filter(F.col("n") > SMALL)
             rare = _rare_words(texts.join(large.select("rep").distinct(), "rep").select("rep", "text"))
-            todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep").union(
-                large.join(rare, "rep").select(F.xxhash64("bucket", "token").alias("bucket"), "rep")), "refined")
+            todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep", "label").union(
+                large.join(rare, "rep").select(F.xxhash64("bucket", "token").alias("bucket"), "rep", "label")), "refined")
         turn += 1
     if not verdicts:
         none = met.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
