@@ -41,7 +41,8 @@ from arcweave.llm.wordhash import U64, Words, chunks, digests, signed, split_wor
 
 WINDOW = 50
 PHRASE = 8
-PART_BYTES = 16 << 20  # text of a part
+PART_BYTES = 8 << 20  # text of a part
+STEP_BYTES = 1 << 20  # text that is hashed at once
 _LOW = U64(0xFFFFFFFF)
 _NULL_ID = -(1 << 63)
 
@@ -66,16 +67,16 @@ def chosen(w: Words, h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarra
     return g, starts, at[starts]
 
 
-_CHOICE = "kind int, id long, n_words long, a long, b long"
+_CHOICE = "kind int, id long, h long, n_words long, a long, b long"
 
 
 def _choices(df: DataFrame, window: int, phrase: int) -> DataFrame:
     """kind 0: a document with its digests a, b; kind 1: a phrase hash a that a document with digest b chose."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = text_buffer(batch.column(1))
-            for i, j in chunks(offsets):
+            ids, own = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
+            for i, j in chunks(offsets, STEP_BYTES):
                 w = split_words(data, offsets[i:j + 1])
                 h1, h2 = w.hashes(1), w.hashes(2)
                 d1, d2 = digests(w, h1, h2)
@@ -86,9 +87,10 @@ def _choices(df: DataFrame, window: int, phrase: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(np.array([0, 1], np.int32), [n, len(at)])),
                     pa.array(np.concatenate([ids[i:j], ids[i:j][doc]])),
+                    pa.array(np.concatenate([own[i:j], own[i:j][doc]])),
                     pa.array(np.concatenate([np.diff(w.first), np.zeros(len(at), np.int64)])),
                     signed(np.concatenate([d1, g[at]])), signed(np.concatenate([d2, d1[doc]]))],
-                    names=["kind", "id", "n_words", "a", "b"])
+                    names=["kind", "id", "h", "n_words", "a", "b"])
 
     return df.mapInArrow(run, _CHOICE)
 
@@ -115,13 +117,13 @@ class _Part:
         data, offsets = text_buffer(pa.concat_arrays(self.texts))
         recurring = np.sort(np.concatenate(self.recurring)) if self.recurring else np.zeros(0, U64)
         automaton = self._compile(data, offsets, recurring) if len(recurring) else None
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, STEP_BYTES):
             yield self._rows(data, offsets, i, j, ids, automaton)
 
     def _compile(self, data, offsets, recurring) -> ahocorasick.Automaton | None:
         """Automaton of the phrases, each as its words with a space around every word."""
         automaton, seen = ahocorasick.Automaton(), set()
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, STEP_BYTES):
             w, _, g, _, at = self._measure(data, offsets, i, j)
             at = at[np.flatnonzero(np.diff(at, prepend=-1))]
             slot = np.minimum(np.searchsorted(recurring, g[at]), len(recurring) - 1)
@@ -224,12 +226,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("id"),
                      F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.select("id", F.xxhash64("text").alias("h"), "text")
     choice = stored(_choices(docs, window, phrase), "choices")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(n_partitions(spark), -(-size // part_bytes))
-    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")
+    # texts under one id, as where many ids are null, are spread
+    part = F.pmod(F.xxhash64("id", "h"), F.lit(parts)).cast("int").alias("part")
 
-    phrases = choice.filter("kind = 1").select("id", F.col("a").alias("phrase"), F.col("b").alias("digest"))
+    phrases = choice.filter("kind = 1").select("id", "h", F.col("a").alias("phrase"), F.col("b").alias("digest"))
     recurring = phrases.groupBy("phrase").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter(
         "lo < hi").select("phrase")
     wanted = phrases.select(part, "phrase").join(stored(recurring, "recurring"), "phrase").select(

@@ -4,6 +4,7 @@ from collections import Counter
 
 from fixtures import documents, empty, sentence, texts, words
 
+from arcweave.llm import phrases
 from arcweave.llm.phrases import remove_repeats
 
 
@@ -58,3 +59,22 @@ def test_same_id_and_periodic_texts(spark):
 
 def test_empty(spark):
     assert remove_repeats(empty(spark)).count() == 0
+
+
+def test_texts_under_a_null_id_are_spread(spark):
+    rng = random.Random(6)
+    rows = [sentence(rng, 60) for _ in range(900)]
+    df = spark.createDataFrame([(None if i % 3 == 0 else i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    seen = []
+    real = phrases._located
+
+    def spy(part_rows, *rest):
+        seen.append({r["part"]: r["count"] for r in part_rows.filter("kind = 2").groupBy("part").count().collect()})
+        return real(part_rows, *rest)
+
+    phrases._located = spy
+    try:
+        assert phrases.remove_repeats(df).count() == len(rows)
+    finally:
+        phrases._located = real
+    assert len(seen[0]) >= 8 and max(seen[0].values()) < 2 * len(rows) / len(seen[0])
