@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registry():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES]
-    assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def keep_quality(rows):
