@@ -1,17 +1,20 @@
 """Token-id files: adaptive context mixing and a range coder, in independently reset blocks.
 
-An id is four nibbles. Order 0 keeps adaptive counts of each nibble after the nibbles before it.
-Order 1 and order 2 each predict one id, the last that followed the previous one or two ids. The
-distribution of a nibble is a mixture of the three orders: a prediction has a share while the
-prefix agrees with it, which follows how often predictions of that order and confidence came
-true so far in the block (the mixing weights adapt). A range coder with 48-bit state and 16-bit
-output codes it.
+Order 0 gives each id a share for how often it came in the block, up to the last update (after 16, 32,
+64, ... ids, later every 512), and ids that did not come yet shares that fall with their number, all
+together about as much as Good and Turing's estimate from the ids that came once. Order 1 and order 2 each
+predict one id, the last that followed the previous one or two ids. The distribution of an id is a mixture
+of the three orders: the share of a prediction follows how often predictions of that order and confidence
+came true so far in the block (the mixing weights adapt), and predictions that agree have one share
+together. An id is coded in the share of the highest order that has it, by a range coder with 48-bit
+state and 16-bit output whose carries are added at the end of the block.
 
 Every block starts from an empty model, carries its length and a CRC-32 of its ids, and can be
 read alone. Blocks are coded in lock-step: step t handles the t-th id of up to ``LANES`` blocks
-with numpy. All arithmetic is on integers, so encoder and decoder agree on every machine.
+with numpy. All arithmetic is on integers, or on doubles where a quotient is exact, so encoder and
+decoder agree on every machine.
 
-File format: frames, each followed by a newline. A frame is ``CMX1``, then little-endian 64-bit
+File format: frames, each followed by a newline. A frame is ``CMX2``, then little-endian 64-bit
 numbers: bytes after this header, partition number, frame number, documents, ids, blocks; then per
 document its key (64 bits), a null flag (8 bits) and its number of ids (64 bits); then per block
 its ids, bytes and CRC-32 (32 bits each); then the blocks.
@@ -44,203 +47,275 @@ from pyspark.sql import functions as F
 from arcweave.llm.common import n_partitions, stored
 
 END_ID = 1
-LANES = 1024
+LANES = 2048
 BLOCK = 4096            # ids of a block; fewer where a frame has not enough for FEW_LANES blocks
 FEW_LANES = 256
 FRAME_IDS = LANES * BLOCK
 PART_BYTES = 16 << 20
-STEP, LIMIT = 24, 1000  # added to a count; a row of counts is halved beyond the limit
-MAX_ODDS = 112          # of a prediction, in sixteenths: totals stay below 2^14
+UPDATE = 512            # ids between updates of order 0, at most
+MAX_UNIT = 1024         # share of one place of the history
+MAX_ODDS = 112          # of a prediction, in sixteenths: totals stay below 2^27 and products below 2^31
 SLOTS = 11              # bits of a block's slot number in the prediction tables
-BASES = (0, 1, 17, 273)  # first count row of the four nibbles
-ROWS = 273 + 4096
-MAGIC = b"CMX1"
+MAGIC = b"CMX2"
 HEAD = struct.Struct("<4s6q")
 
 
-class _Model:
-    """Counts, predictions and mixing weights of all lanes."""
+def _weights() -> tuple[np.ndarray, np.ndarray]:
+    """Share of each id before it was seen, by rank as in a frequency-ordered vocabulary, and where it starts."""
+    share = np.maximum((1 << 14) // (np.arange(1 << 16) + 64), 1)
+    return share.astype(np.int32), np.concatenate([[0], np.cumsum(share)]).astype(np.int32)
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        # row r of lane i is number r * lanes + i: rows that all lanes use are neighbours
-        self.counts = np.zeros((lanes * ROWS, 16), dtype=np.int16)  # without the 1 that each nibble has besides
-        self.flat = self.counts.reshape(-1)
-        # predicted id, and above it the confidence
-        self.seen = [np.zeros(lanes << SLOTS, dtype=np.int32) for _ in range(2)]
-        self.right = [np.full(lanes * 8, 1 << 14, dtype=np.int64) for _ in range(2)]
-        self.one = np.zeros(lanes, dtype=np.int64)
-        self.two = np.zeros(lanes, dtype=np.int64)
-
-    def predictions(self):
-        """Per order: slot, predicted id, confidence, odds in sixteenths (0 for an empty slot)."""
-        out = []
-        for order in (0, 1):
-            key = self.one * 0x9E3779B1
-            if order:
-                key ^= self.two * 0xC2B2AE35
-            slot = ((key ^ (key >> 15)) & ((1 << SLOTS) - 1)) * len(key) + self.lane
-            both = self.seen[order].take(slot).astype(np.int64)
-            sure = both >> 16
-            rate = self.right[order].take(self.lane * 8 + sure)
-            odds = np.minimum((rate << 4) // (65536 - rate), MAX_ODDS) * (sure > 0)
-            out.append((slot, both & 65535, sure, odds))
-        return out
-
-    def learn(self, found, x: np.ndarray) -> None:
-        for order, (slot, guess, sure, _) in enumerate(found):
-            hit = guess == x
-            at = self.lane * 8 + sure
-            rate = self.right[order].take(at)
-            self.right[order][at] = rate + ((hit * 65000 - rate) >> 5)
-            self.seen[order][slot] = x | (np.minimum(sure * hit + 1, 7) << 16)
-        self.two, self.one = self.one, x
-
-
-class _Coder:
-    """Range coder state of all lanes. ``low`` is taken modulo 2^48.
-
-    Totals are below 2^14, so a range of 2^32 or more lasts for two nibbles.
+
+NEW, NEW_FROM = _weights()
+NEW_ID = np.repeat(np.arange(1 << 16, dtype=np.int32), NEW)  # the id at every place of the shares
+ALL_NEW = int(NEW_FROM[-1])
+#: Odds in sixteenths of a prediction by its rate of success in 1,024 steps.
+ODDS = np.minimum((np.arange(1024) << 4) // (1025 - np.arange(1024)), MAX_ODDS).astype(np.int32)
+
+
+class _History:
+    """Order 0: the ids of every lane up to the last of ``UPDATES``, sorted; an id's share is how often it is there.
+
+    Ids not seen yet share ``ALL_NEW``; a sorted place has a share chosen per lane, by how many of its ids came once.
     """
 
-    TOP = (1 << 48) - 1
-    MIN = 1 << 32
+    def __init__(self, ids: np.ndarray):  # (lanes, steps so far)
+        lanes, self.n = ids.shape
+        self.edge = np.arange(lanes, dtype=np.int64) * self.n  # first place of a lane
+        rows = np.sort(ids.astype(np.uint16), axis=1, kind="stable")
+        head = np.ones((lanes, self.n), dtype=bool)
+        head[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        start = np.flatnonzero(head.ravel())
+        # per lane and id: its number, first place in the lane, and how often it came
+        self.ids = rows.ravel()[start]
+        self.count = np.diff(start, append=lanes * self.n)
+        lane = start // max(self.n, 1)
+        self.first = start - lane * self.n
+        self.keys = (lane.astype(np.uint32) << np.uint32(16)) | self.ids
+        once = np.bincount(lane[self.count == 1], minlength=lanes)
+        self.unit = np.minimum(ALL_NEW // np.maximum(once, 1), MAX_UNIT).astype(np.int32)
+        self.total = ALL_NEW + self.unit * self.n
+
+    def places(self) -> np.ndarray:
+        """First place, count and id (above bits 32, 16 and 0) for every place."""
+        return np.repeat((self.first << 32) | (self.count << 16) | self.ids, self.count)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the ids ``x`` (lanes, steps) among all places."""
+        start, size = NEW_FROM[x], NEW[x]
+        if not self.n:
+            return start, size
+        lane = np.arange(len(x), dtype=np.uint32) << np.uint32(16)
+        own = (lane[:, None] | x.astype(np.uint32)).ravel()
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        seen = np.flatnonzero(self.keys.take(at) == own)
+        at, unit = at[seen], self.unit.take(seen // x.shape[1])
+        start.reshape(-1)[seen] = ALL_NEW + self.first.take(at) * unit
+        size.reshape(-1)[seen] = self.count.take(at) * unit
+        return start, size
 
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, dtype=np.int64)
-        self.range = np.full(lanes, self.TOP, dtype=np.int64)
 
-    def due(self) -> np.ndarray:
-        """Lanes whose first 16 bits are settled or whose range got too small."""
-        return np.flatnonzero(((self.low ^ (self.low + self.range)) < self.MIN) | (self.range < self.MIN))
+class _Model:
+    """Orders 1 and 2 of all lanes: predictions, and how often those of a confidence came true.
 
-    def open(self, at: np.ndarray) -> np.ndarray:
-        low, rng = self.low[at], self.range[at]
-        return ((low ^ (low + rng)) < self.MIN) | (rng < self.MIN)
+    Arrays hold order 1 of all lanes, then order 2.
+    """
 
-    def shift(self, at: np.ndarray) -> None:
-        """Move the lanes ``at`` on by 16 bits; a small range that crosses a border is cut there first."""
-        low, rng = self.low[at], self.range[at]
-        cut = (low ^ (low + rng)) >= self.MIN
-        rng = np.where(cut, (-low) & (self.MIN - 1), rng)
-        self.low[at] = (low << 16) & self.TOP
-        self.range[at] = np.minimum(rng << 16, self.TOP)
+    def __init__(self, lanes: int):
+        self.lanes, self.both = lanes, np.arange(2 * lanes, dtype=np.int64)
+        # predicted id, and above it the confidence
+        self.seen = np.zeros(2 * lanes << SLOTS, dtype=np.int32)
+        self.right = np.full(2 * lanes * 8, 1 << 14, dtype=np.int32)
+        self.key = np.zeros(2 * lanes, dtype=np.int64)
+        self.one = np.zeros(lanes, dtype=np.int64)
 
+    def predictions(self, own: np.ndarray):
+        """(ids, shares of order 1, of order 2) beside the shares ``own`` (twice) of order 0."""
+        slot = self.key ^ (self.key >> 15)
+        slot &= (1 << SLOTS) - 1
+        slot *= 2 * self.lanes
+        slot += self.both
+        packed = self.seen.take(slot)
+        sure = packed >> 16
+        guess = packed & 65535
+        at = sure * (2 * self.lanes) + self.both
+        rate = self.right.take(at)
+        share = ODDS.take(rate >> 6)
+        share *= own
+        share >>= 4
+        share[sure == 0] = 0
+        self.found = slot, guess, sure, at, rate
+        n = self.lanes
+        same = share[:n] * (guess[:n] == guess[n:])  # orders that agree have one share together
+        return guess, share[:n] - same, share[n:] + same
+
+    def learn(self, x: np.ndarray) -> None:
+        slot, guess, sure, at, rate = self.found
+        twice = np.concatenate([x, x])
+        hit = guess == twice
+        target = hit * np.int32(65000)
+        target -= rate
+        target >>= 5
+        target += rate
+        self.right[at] = target
+        sure *= hit
+        sure += 1
+        np.minimum(sure, 7, out=sure)
+        sure <<= 16
+        sure |= twice
+        self.seen[slot] = sure
+        n = self.lanes
+        now = x * np.int64(0x9E3779B1)
+        np.bitwise_xor(now, self.one, out=self.key[n:])
+        self.key[:n] = now
+        self.one = x * np.int64(0xC2B2AE35)
+
+
+MIN = 1 << 32
+TOP = 1 << 48
+
+
+def _unit(size: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """size // total, exact: below 2^48 the rounding of a double cannot reach the next whole number."""
+    return (size / total).astype(np.int64)
+
+
+class _Writer:
+    """Range coder of all lanes: 48-bit state, a word of 16 bits leaves when the range is below 2^32."""
 
-class _Writer(_Coder):
     def __init__(self, lanes: int, steps: int):
-        super().__init__(lanes)
-        self.out = np.zeros((lanes, steps * 5 + 8), dtype=">u2")
-        self.used = np.zeros(lanes, dtype=np.int64)
-
-    def _emit(self, at: np.ndarray) -> None:
-        self.out[at, self.used[at]] = self.low[at] >> 32
-        self.used[at] += 1
+        self.low = np.zeros(lanes, dtype=np.int64)
+        self.range = np.full(lanes, TOP, dtype=np.int64)
+        # words with their carry above bit 16; lanes are neighbours, as they are at nearly the same word
+        self.out = np.zeros((steps * 2 + 8, lanes), dtype=np.int32)
+        self.flat = self.out.reshape(-1)
+        self.lanes, self.at = lanes, np.arange(lanes, dtype=np.int64)
 
     def put(self, start, size, total) -> None:
-        unit = self.range // total
+        unit = _unit(self.range, total)
         self.low += unit * start
         self.range = unit * size
-
-    def settle(self) -> None:
-        at = self.due()
-        while len(at):
-            self._emit(at)
-            self.shift(at)
-            at = at[self.open(at)]
+        due = self.range < MIN
+        while due.any():
+            self.flat[self.at] = self.low >> 32  # a lane that is not due writes this place again
+            self.at += due * self.lanes
+            self.low = np.where(due, (self.low & (MIN - 1)) << 16, self.low)
+            self.range <<= due * 16
+            due = self.range < MIN
 
     def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
         for _ in range(3):
-            self._emit(every)
-            self.low = (self.low << 16) & self.TOP
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.used.tolist())]
+            self.flat[self.at] = self.low >> 32
+            self.at += self.lanes
+            self.low = (self.low & (MIN - 1)) << 16
+        used, words = (self.at // self.lanes).tolist(), self.out
+        for t in range(max(used) - 1, 0, -1):
+            words[t - 1] += words[t] >> 16
+        words = np.ascontiguousarray((words & 65535).astype(">u2").T)
+        return [words[i, :n].tobytes() for i, n in enumerate(used)]
+
 
+class _Reader:
+    """The other side of ``_Writer``; ``code`` is relative to the lower end of the range."""
 
-class _Reader(_Coder):
     def __init__(self, blocks: list[bytes]):
-        super().__init__(len(blocks))
-        size = max(map(len, blocks)) // 2 + 8
-        self.words = np.zeros((len(blocks), size), dtype=np.int64)
+        lanes, size = len(blocks), max(map(len, blocks)) // 2 + 8
+        # beyond the end of a damaged block zeros are read; its checksum tells
+        words = np.zeros((lanes, size), dtype=np.uint16)
         for i, b in enumerate(blocks):
-            self.words[i, :len(b) // 2] = np.frombuffer(b, dtype=">u2")
-        self.code = (self.words[:, 0] << 32) | (self.words[:, 1] << 16) | self.words[:, 2]
-        self.used = np.full(len(blocks), 3, dtype=np.int64)
+            words[i, :len(b) // 2] = np.frombuffer(b, dtype=">u2")
+        words = words.T.astype(np.int32)  # lanes are neighbours
+        w = words[:3].astype(np.int64)
+        self.code = (w[0] << 32) | (w[1] << 16) | w[2]
+        self.flat = np.ascontiguousarray(words).reshape(-1)
+        self.range = np.full(lanes, TOP, dtype=np.int64)
+        lane = np.arange(lanes, dtype=np.int64)
+        self.lanes, self.at, self.end = lanes, lane + 3 * lanes, lane + (size - 1) * lanes
 
     def target(self, total) -> np.ndarray:
-        self.unit = self.range // total
-        return np.minimum((self.code - self.low) // self.unit, total - 1)
+        self.unit = _unit(self.range, total)
+        return np.minimum(_unit(self.code, self.unit), total - 1)
 
     def take(self, start, size) -> None:
-        self.low += self.unit * start
+        self.code -= self.unit * start
         self.range = self.unit * size
-
-    def settle(self) -> None:
-        at = self.due()
-        while len(at):
-            # beyond the end of a damaged block zeros are read; its checksum tells
-            word = self.words[at, np.minimum(self.used[at], self.words.shape[1] - 1)]
-            self.code[at] = ((self.code[at] << 16) & self.TOP) | word
-            self.used[at] += 1
-            self.shift(at)
-            at = at[self.open(at)]
-
-
-#: Column k of a row is the sum of the counts up to k; row n of _FROM marks the nibbles from n on.
-_UP_TO = np.triu(np.ones((16, 16), dtype=np.float32))
-_FROM = np.triu(np.ones((16, 16), dtype=np.float32))
-_ONES = np.ones(16, dtype=np.float32)
-_EACH = np.arange(1, 17, dtype=np.float32)
-
-
-def _run(lanes: int, steps: int, x_of: np.ndarray, coder, decode: bool) -> np.ndarray:
-    """Code ``steps`` ids of every lane; ``x_of`` (steps, lanes) is read or filled.
-
-    Sums are small whole numbers, which 32-bit floats hold exactly.
-    """
-    m, lane = _Model(lanes), np.arange(lanes, dtype=np.int64)
-    sums = np.zeros((lanes, 16), dtype=np.float32)
-    flat_sums, edge = sums.reshape(-1), lane * 16
-    for t in range(steps):
-        found = m.predictions()
-        (_, g1, _, q1), (_, g2, _, q2) = found
-        x = None if decode else x_of[t]
-        prefix = np.zeros(lanes, dtype=np.int64)
-        for k in range(4):
-            shift = 12 - 4 * k
-            at = (prefix + BASES[k]) * lanes + lane
-            np.matmul(m.counts.take(at, axis=0).astype(np.float32), _UP_TO, out=sums)
-            sums += _EACH
-            own = sums[:, 15].astype(np.int64)
-            a1, a2 = g1 >> shift, g2 >> shift
-            w1 = ((own * q1) >> 4) * ((a1 >> 4) == prefix)
-            w2 = ((own * q2) >> 4) * ((a2 >> 4) == prefix)
-            n1, n2, total = a1 & 15, a2 & 15, own + w1 + w2
-            if decode:
-                sums += _FROM.take(n1, axis=0) * w1.astype(np.float32)[:, None]
-                sums += _FROM.take(n2, axis=0) * w2.astype(np.float32)[:, None]
-                goal = coder.target(total).astype(np.float32)
-                s = ((sums <= goal[:, None]).astype(np.float32) @ _ONES).astype(np.int64)
-                here = edge + s
-                start = flat_sums.take(here - 1, mode="wrap").astype(np.int64) * (s > 0)
-                coder.take(start, flat_sums.take(here).astype(np.int64) - start)
+        due = self.range < MIN
+        while due.any():
+            word = self.flat.take(np.minimum(self.at, self.end))
+            self.code = np.where(due, ((self.code << 16) | word) & (TOP - 1), self.code)
+            self.at += due * self.lanes
+            self.range <<= due * 16
+            due = self.range < MIN
+
+
+def _epochs(steps: int) -> Iterator[tuple[int, int]]:
+    """The steps between updates of order 0: at 16, 32, 64, ... and at every ``UPDATE`` ids."""
+    t, end = 0, 16
+    while t < steps:
+        yield t, min(end, steps)
+        t, end = end, end + min(end, UPDATE)
+
+
+def _write(x: np.ndarray, coder: _Writer) -> None:
+    """Code the ids ``x`` (lanes, steps)."""
+    lanes, steps = x.shape
+    m = _Model(lanes)
+    for begin, end in _epochs(steps):
+        past = _History(x[:, :begin])
+        own, twice = past.total, np.concatenate([past.total] * 2)
+        starts, sizes = (np.ascontiguousarray(v.T) for v in past.find(x[:, begin:end]))
+        for t, now in enumerate(np.ascontiguousarray(x[:, begin:end].T)):
+            guess, w1, w2 = m.predictions(twice)
+            hit = guess == np.concatenate([now, now])
+            upper = own + w1
+            start, size = starts[t], sizes[t]
+            # the predictions that came true are few
+            by1 = np.flatnonzero(hit[:lanes] & (w1 > 0))
+            start[by1], size[by1] = own[by1], w1[by1]
+            by2 = np.flatnonzero(hit[lanes:] & (w2 > 0))
+            start[by2], size[by2] = upper[by2], w2[by2]
+            coder.put(start, size, upper + w2)
+            m.learn(now)
+
+
+def _read(x: np.ndarray, coder: _Reader) -> None:
+    """Fill ``x`` (lanes, steps) with the coded ids."""
+    lanes, steps = x.shape
+    m = _Model(lanes)
+    for begin, end in _epochs(steps):
+        past = _History(x[:, :begin])
+        places, own, twice = past.places(), past.total, np.concatenate([past.total] * 2)
+        rows = np.empty((end - begin, lanes), dtype=np.int32)
+        for t in range(end - begin):
+            guess, w1, w2 = m.predictions(twice)
+            upper = own + w1
+            goal = coder.target(upper + w2)
+            if begin:
+                # a place of the history, or the one of a new id or a prediction, which replace it
+                place = _unit(goal - ALL_NEW, past.unit)
+                np.clip(place, 0, begin - 1, out=place)
+                place += past.edge
+                packed = places.take(place)
+                now = packed & 65535
+                start = (packed >> 32) * past.unit
+                start += ALL_NEW
+                size = ((packed >> 16) & 65535) * past.unit
+                new = np.flatnonzero(goal < ALL_NEW)
+                ids = NEW_ID.take(goal[new])
+                now[new], start[new], size[new] = ids, NEW_FROM.take(ids), NEW.take(ids)
             else:
-                s = (x >> shift) & 15
-                here = edge + s
-                low = flat_sums.take(here - 1, mode="wrap").astype(np.int64) * (s > 0)
-                size = flat_sums.take(here).astype(np.int64) - low + w1 * (n1 == s) + w2 * (n2 == s)
-                coder.put(low + w1 * (n1 < s) + w2 * (n2 < s), size, total)
-            if k & 1:
-                coder.settle()
-            m.flat[at * 16 + s] += STEP
-            full = own > LIMIT
-            if full.any():
-                m.counts[at[full]] >>= 1
-            prefix = (prefix << 4) | s
-        if decode:
-            x_of[t] = prefix
-        m.learn(found, prefix)
-    return x_of
+                now = NEW_ID.take(np.minimum(goal, ALL_NEW - 1))
+                start, size = NEW_FROM.take(now), NEW.take(now)
+            at = np.flatnonzero(goal >= own)
+            if len(at):
+                second = goal[at] >= upper[at]
+                now[at] = guess[at + second * lanes]
+                start[at] = np.where(second, upper[at], own[at])
+                size[at] = np.where(second, w2[at], w1[at])
+            coder.take(start, size)
+            rows[t] = now
+            m.learn(rows[t])
+        x[:, begin:end] = rows.T
 
 
 def block_sizes(n: int) -> list[int]:
@@ -265,11 +340,11 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     out = []
     for i, j in _groups(sizes):
         steps = max(sizes[i:j])
-        x = np.zeros((steps, j - i), dtype=np.int32)  # a block one shorter is filled up by a zero
+        x = np.zeros((j - i, steps), dtype=np.int32)  # a block one shorter is filled up by a zero
         for r in range(i, j):
-            x[:sizes[r], r - i] = ids[ends[r]:ends[r + 1]]
+            x[r - i, :sizes[r]] = ids[ends[r]:ends[r + 1]]
         coder = _Writer(j - i, steps)
-        _run(j - i, steps, x, coder, False)
+        _write(x, coder)
         for r, b in zip(range(i, j), coder.finish()):
             out.append((sizes[r], zlib.crc32(ids[ends[r]:ends[r + 1]].astype("<u4").tobytes()), b))
     return out
@@ -280,9 +355,10 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     parts = []
     for i, j in _groups([n for n, _, _ in blocks]):
         steps = max(n for n, _, _ in blocks[i:j])
-        x = _run(j - i, steps, np.zeros((steps, j - i), dtype=np.int32), _Reader([b for _, _, b in blocks[i:j]]), True)
+        x = np.zeros((j - i, steps), dtype=np.int32)
+        _read(x, _Reader([b for _, _, b in blocks[i:j]]))
         for r in range(i, j):
-            own = x[:blocks[r][0], r - i].astype("<u4")
+            own = x[r - i, :blocks[r][0]].astype("<u4")
             if zlib.crc32(own.tobytes()) != blocks[r][1]:
                 raise ValueError(f"checksum of block {r} differs")
             parts.append(own)
