@@ -32,6 +32,7 @@ damaged block raises an error; further columns are not looked at.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -399,12 +400,27 @@ def read_frames(data: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.nd
 
 # -- tokenising ---------------------------------------------------------------------------
 
-CACHE = 300_000
+CACHE = 400_000
+JOINED = 50  # new words that are encoded in one string, the end token's string between them
+#: An ASCII sign other than the apostrophe, after an ASCII or Latin-1 letter or a digit: there the tokenizer's
+#: own split always cuts, so a space before it changes no id.
+_SIGN = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))", re.DOTALL)
+
+
+def cut_words(text: str) -> list[bytes]:
+    """Pieces of a text at which the tokenizer's own split always cuts, with ASCII letters in lower case.
+
+    The tokenizer composes marks before it lower-cases, so case is left where a mark (U+0300 to U+037F) could follow.
+    """
+    data = text.encode()
+    if b"\xcc" not in data and b"\xcd" not in data:
+        data = _SIGN.sub(rb" \g<0>", data.lower())
+    return data.split()
 
 
 class _Tokens(dict):
-    """Word to its ids as 16-bit integers in bytes. Words are cut at ASCII white space, where the
-    tokenizer's own split always cuts and which it drops, so a text's ids are those of its words.
+    """Word to its ids as 16-bit integers in bytes. Words are those of ``cut_words``; the tokenizer drops
+    the white space between them, so a text's ids are those of its words.
 
     The tokenizer makes one id of the string of an added token wherever it stands, across words too; a text
     that holds one (in any case, as texts may be lower-cased first) is encoded as a whole."""
@@ -414,7 +430,10 @@ class _Tokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content.lower() for t in added.values()]
+        self.cut = max(added)
+        self.between = f" {added[self.cut].content} "
 
     def whole(self, text: str) -> bytes | None:
         """Ids of a text that must be encoded as a whole, or nothing."""
@@ -429,9 +448,15 @@ class _Tokens(dict):
         if len(self) + len(new) > CACHE:
             self.clear()
             new = list(words)
-        texts = [w.decode() for w in new]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self[w] = array("H", e.ids).tobytes()
+        # no word holds an added token, so the string of one between words comes out as its id and nothing else does
+        groups = [new[i:i + JOINED] for i in range(0, len(new), JOINED)]
+        texts = [self.between.join([w.decode() for w in g]) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u2")
+            cut = np.flatnonzero(ids == self.cut)
+            ids, ends = ids.tobytes(), (2 * cut).tolist()
+            for w, a, b in zip(group, [0, *[x + 2 for x in ends]], [*ends, len(ids)]):
+                self[w] = ids[a:b]
 
 
 @lru_cache(maxsize=1)
@@ -452,7 +477,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id"
                 part_keys = batch.column(0).slice(a, 500).to_pylist()
                 texts = [t or "" for t in batch.column(1).slice(a, 500).to_pylist()]
                 whole = [known.whole(t) for t in texts]
-                texts = [t.encode().split() if x is None else [] for t, x in zip(texts, whole)]
+                texts = [cut_words(t) if x is None else [] for t, x in zip(texts, whole)]
                 known.fill(set().union(*texts))
                 for k, words, x in zip(part_keys, texts, whole):
                     ids = (b"".join([known[w] for w in words]) if x is None else x) + end
@@ -499,7 +524,9 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     rows = stored(files.select("content").mapInArrow(
         run, "part long, frame long, key long, at long, data binary"), "ids")
     totals = rows.groupBy("part", "frame").agg(F.sum(F.octet_length("data") / 4).cast("long").alias("n"))
-    # one row per frame: a running sum over them is small, but it grows with the input, so it is not broadcast by a hint
-    before = totals.select("part", "frame", (F.sum("n").over(Window.orderBy("part", "frame")) - F.col("n")).alias("before"))
+    # a running sum over one row per frame; stored, so that the planner knows its size and only joins it by
+    # broadcast, without moving the ids, where it is under the session's threshold
+    before = stored(totals.select("part", "frame", (
+        F.sum("n").over(Window.orderBy("part", "frame")) - F.col("n")).alias("before")), "frames")
     return rows.join(before, ["part", "frame"]).select(
         F.col("key").alias(key), (F.col("before") + F.col("at")).alias("start"), "data")

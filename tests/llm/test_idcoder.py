@@ -68,9 +68,15 @@ def test_files_match_the_library(spark, tmp_path):
 def test_words_and_whole_texts_give_the_ids_of_the_library():
     path = P.path("word_bpe_49k.json")
     tk, known = Tokenizer.from_file(path), c._Tokens(path)
-    rows = [t or "" for t in texts()[:-1]] + ["< |endoftext|> İΣΑΣ ǅ é  x y", "<|end", "ẞ"]
+    rows = [t or "" for t in texts()[:-1]] + [
+        "< |endoftext|> İΣΑΣ ǅ é  x y", "<|end", "ẞ", "J\u030c. J, j\u030c! A\u0301; e.\u0301 É, ×. ÷! ß: ÿ? É. Ñ)) (a).",
+        "It's, IT'S. don't! 'tis 'S o'RE. a'sb x'' 'll. we'LL, 1.5, v2.0; http://a.b/c?d=e&f_g #a@b [x] {y} a~ b` c^d",
+        "K\u212a, \u0130. \u1e9e. \u00aa. \u00ba, a\u00b2. \u00df. \u0149. \u01f0. <|END, <|a b|> <|ENDOFTEXT"]
+    rng = random.Random(5)
+    signs = "aAzZ09.,'-_<|>()!?éÉñß×÷\u0301\u030c\u0338 \n\u3000\u00a0İıΣς"
+    rows += ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(400)]
     for t in rows:
-        words = t.encode().split()
+        words = c.cut_words(t)
         known.fill(set(words))
         own = np.frombuffer(b"".join(known[w] for w in words), dtype="<u2").tolist()
         assert known.whole(t) is None and own == tk.encode(t, add_special_tokens=False).ids
