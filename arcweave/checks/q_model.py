@@ -262,9 +262,15 @@ def _catalogue_sql(src: str, metrics: list[tuple]) -> str:
 
 
 def _edge_metrics():
-    cols = ["from", "to", "delta_i", "delta_tau", "Ijk_orig", "Ijk", "increase", "perc_upgraded",
-            *[f"Qjk_{g}" for g in range(1, NG + 1)], "Qjk_total"]
-    return A._edge_metric_list(cols)
+    # Fixed values, stated here again so that the SQL does not take them from the engine
+    return [
+        ("Ijk", "Final infrastructure (Ijk)", "viridis", False, None),
+        ("increase", "Infrastructure increase (Ijk − initial)", "ylorrd", False, None),
+        ("perc_upgraded", "Percent upgraded (% of Iu − initial)", "ylorrd", False, (0.0, 100.0)),
+        ("Qjk_total", "Total flow (all goods)", "ylorrd", False, None),
+        *[(f"Qjk_{g}", f"Flow of good {g}", "ylorrd", False, None) for g in range(1, NG + 1)],
+        ("Ijk_orig", "Initial infrastructure (input Ijk)", "inferno", False, None),
+    ]
 
 
 @register("e14_edge_metric_catalogue", _catalogue_sql("f1", _edge_metrics()), ("min", "max"),
@@ -274,7 +280,20 @@ def e14_edge_metric_catalogue(spark, sf_dir):
 
 
 def _node_metrics():
-    return [(k, lab, pal, div, None) for k, lab, pal, div in A.NODE_METRICS]
+    # Fixed values, as above
+    return [
+        ("uj_gain_pct", "Welfare (utility) gain %", "rdbu", True, None),
+        ("c_pc_gain_pct", "Consumption (per capita) gain %", "rdbu", True, None),
+        ("PCj_gain_pct", "Price index change %", "rdbu", True, None),
+        ("uj", "Utility per worker (uj)", "viridis", False, None),
+        ("c_pc", "Consumption per capita (cj)", "viridis", False, None),
+        ("c_agg", "Aggregate consumption (Cj)", "viridis", False, None),
+        ("PCj", "Consumption price index (PCj)", "viridis", False, None),
+        ("Lj", "Labor / population (Lj)", "viridis", False, None),
+        ("Yj", "Production (Yj)", "viridis", False, None),
+        ("population", "Population (input)", "viridis", False, None),
+        ("productivity", "Productivity (input)", "viridis", False, None),
+    ]
 
 
 F2_FINAL = None
@@ -321,16 +340,30 @@ def f4_scaled_features(spark, sf_dir):
     return scaled_features(_f1(spark, sf_dir), SCALE, ["from", "to"])
 
 
-@register("e16_scale_domains", f"""
-    SELECT {", ".join(
-        (f'coalesce(min(CASE WHEN isfinite({TF[tf].replace("x", chr(34) + k + chr(34))}) THEN '
-         f'{TF[tf].replace("x", chr(34) + k + chr(34))} END), 0.0) AS lo_{k}')
-        if not (tf == "level" and k == "perc_upgraded") else f"CAST(0 AS DOUBLE) AS lo_{k}"
-        for k, tf in SCALE.items())} FROM f1""",
-          tuple(f"lo_{k}" for k in SCALE), ctes=S.NET_T + F1C + [("f1", F1F)])
+#: Domains of E16: those of F4, one metric around zero, and one whose domain is a single value and is widened.
+DOMAINS = SCALE | {"Ijk_orig": "level", "one": "level"}
+
+
+def _e16_sql():
+    out = []
+    for key, tf in DOMAINS.items():
+        tx = TF[tf].replace("x", f'"{key}"') if tf != "level" else f'"{key}"'
+        t = f"CASE WHEN isfinite({tx}) THEN {tx} END"
+        if key == "perc_upgraded":
+            lo, hi = "CAST(0 AS DOUBLE)", "CAST(100 AS DOUBLE)"
+        elif key == "Ijk_orig":
+            hi = f"greatest(abs(min({t})), abs(max({t})))"
+            lo = f"-{hi}"
+        else:
+            lo, hi = f"coalesce(min({t}), 0.0)", f"coalesce(max({t}), 1.0)"
+        out.append(f"{lo} AS lo_{key}, CASE WHEN {hi} > {lo} THEN {hi} ELSE {lo} + 1e-9 END AS hi_{key}")
+    return f"SELECT {', '.join(out)} FROM (SELECT *, CAST(1 AS DOUBLE) AS one FROM f1) f"
+
+
+@register("e16_scale_domains", _e16_sql(), tuple(f"{end}_{k}" for k in DOMAINS for end in ("lo", "hi")),
+          ctes=S.NET_T + F1C + [("f1", F1F)])
 def e16_scale_domains(spark, sf_dir):
-    d = A.scale_domains(_f1(spark, sf_dir), SCALE)
-    return d.select(*[f"lo_{k}" for k in SCALE])
+    return A.scale_domains(_f1(spark, sf_dir).withColumn("one", F.lit(1.0)), DOMAINS, diverging=("Ijk_orig",))
 
 
 @register("e13_run_summary", f"""

@@ -77,7 +77,7 @@ def grid_network(spark: SparkSession, n_rows: int, n_cols: int, seed: int = 42)
     nodes = spark.range(n_rows * n_cols).select(
         node.alias("node"), lon.alias("lon"), lat.alias("lat"), pop.alias("population"),
         prod.alias("productivity"), F.round(pop * 0.3, 2).alias("housing"),
-        F.concat(F.lit("City-"), F.lpad(node.cast("string"), 2, "0")).alias("name"))
+        F.concat(F.lit("City-"), F.when(node < 10, "0").otherwise(""), node.cast("string")).alias("name"))
 
     idx = F.col("id")
     r, c = (idx / n_cols).cast("long"), idx % n_cols
