@@ -12,11 +12,12 @@ bucket are first aligned with its centre only, chosen by one of two orders of al
 classes of all links so far are found. A bucket whose members without the centre are one class is
 done: a large group of copies costs one alignment per text and order. Otherwise all its members go
 on, linked to the centre or not, and only pairs of two classes are looked at: all of them in a bucket
-of up to ``SMALL`` members. A larger one is dealt by the members' rarest words, of which two near
-texts always share one, so texts that share a passage and nothing else come apart; what is still
-large gets 2, 4, 8, ... further centres a turn until one class is left or all have been compared. So
-two near texts that agree on any sketch always end in one class, and no bucket is cut off. A pair is
-formed only if the parities of its word counts by hash bin differ in at most two bins for each edit allowed, and
+of up to ``SMALL`` members. The members of larger ones meet instead in buckets of their rarest words, one
+for each word whatever bucket they come from; two near texts always share one, so texts that share a
+passage and nothing else come apart. What is still large gets ``GROWTH`` times as many centres each turn
+until one class is left or all have been compared. So two near texts that agree on any sketch always end
+in one class, and no bucket is cut off. Two texts that have some of their ``HEAD`` rarest words in common
+are paired in the bucket of the rarest common one and nowhere else. A pair is formed only if the parities of its word counts by hash bin differ in at most two bins for each edit allowed, and
 aligned only if the counts by bin can be made good by these edits; neither is ever false for near texts.
 
 For k-mer sets with a Jaccard similarity J a sketch agrees with a chance of about J^2. Scattered edits
@@ -56,6 +57,8 @@ ORDERS = 2
 SHORT = 30  # words up to which a text also meets others by its rarest words
 PARITY = 4  # longs of parities of word counts
 SMALL = 32  # members up to which a bucket is compared in full
+GROWTH = 8  # by which the centres of a larger bucket grow each turn
+HEAD = 8  # rarest words of a text that tell where it is paired
 BINS = 128
 BAND = 512  # width that a first alignment has at least, as far as the limit allows
 _NULL_ID = -(1 << 63)
@@ -268,21 +271,22 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _rarest(tokens: DataFrame) -> DataFrame:
-    """(rep, token): the rarest fifth of a text's tokens, and one more, of a table (rep, token) of all of them.
+    """(rep, rare): the rarest fifth of a text's tokens, and one more, of a table (rep, token) of all of them.
 
     Two texts of which one becomes the other by editing at most a fifth of the longer one's words have
-    four fifths of its words in common, so in any one order of all words these lists share one.
+    four fifths of its words in common, so in any one order of all words these lists share one. Lists
+    start with the rarest token, and all are in the same order.
     """
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a list is bounded by its own row's text
     lists = tokens.join(common, "token").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("df", "token"))).alias("o"))
     size = F.floor(F.size("o") * F.lit(EDIT_PERCENT) / F.lit(100)).cast("int") + 1
-    return lists.select("rep", F.explode(F.slice("o", F.lit(1), size)).alias("o")).select("rep", F.col("o.token").alias("token"))
+    return lists.select("rep", F.transform(F.slice("o", F.lit(1), size), lambda o: o["token"]).alias("rare"))
 
 
 def _rare_words(texts: DataFrame) -> DataFrame:
-    """(rep, token): the rarest words of the texts (rep, text); equal words of a text are numbered."""
+    """(rep, rare): the rarest words of the texts (rep, text); equal words of a text are numbered."""
     return _rarest(stored(texts.select("rep", F.explode(words(F.col("text"))).alias("w"))
                           .groupBy("rep", "w").agg(F.count(F.lit(1)).cast("int").alias("c"))
                           .select("rep", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("c"), "w")
@@ -294,7 +298,8 @@ def _buckets(unique: DataFrame) -> DataFrame:
     sketches = unique.select("rep", F.posexplode("sketches").alias("j", "s")).select(
         F.xxhash64("s", "j").alias("bucket"), "rep")
     tokens = unique.select("rep", F.explode("tokens").alias("token"))
-    return sketches.union(_rarest(tokens).select(F.xxhash64("token", F.lit(-1)).alias("bucket"), "rep"))
+    return sketches.union(_rarest(tokens).select(F.explode("rare").alias("token"), "rep")
+                          .select(F.xxhash64("token", F.lit(-1)).alias("bucket"), "rep"))
 
 
 def _parity_distance() -> Column:
@@ -303,6 +308,12 @@ def _parity_distance() -> Column:
     return reduce(lambda x, y: x + y, bits)
 
 
+def _paired_here() -> Column:
+    """Whether this is the bucket of the rarest word that both heads have, if they have one in common."""
+    common = F.array_intersect("head", "hx")
+    return F.coalesce(F.get(common, F.lit(0)) == F.col("bucket"), F.lit(True))
+
+
 def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, label) between the texts of ``unique`` (rep, id, h, n_words, sketches, parity, tokens).
 
@@ -310,7 +321,7 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
     near, directly or through others. ``label`` (node, label) names the class of each linked text.
     """
     todo = stored(_buckets(unique), "buckets")
-    facts = unique.select("rep", "n_words", "parity")
+    facts = unique.select("rep", "n_words", "parity", F.lit(None).cast("array<long>").alias("head"))
     texts, label, verdicts, turn = None, None, [], 0
     while True:
         # counting members and bringing them together share one shuffle of two or three numbers a member
@@ -321,11 +332,11 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
         sizes = (dealt.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "rep")).alias("c"), F.count(F.lit(1)).alias("n"),
                                              F.min("label").alias("lo"), F.max("label").alias("hi"))
                  .filter("lo <> hi").select("bucket", F.col("c.rep").alias("first"), "n"))  # several classes
-        # in the first turn one centre; later 2, 4, 8, ... (about) in a large bucket and all members in a small one
+        # in the first turn one centre; later about GROWTH ** turn in a large bucket and all members in a small one
         centre = F.col("rep") == F.col("first")
         if turn:
             part = rank.cast("double") / F.lit(2.0 ** 64) + 0.5
-            centre = centre | (F.col("n") <= SMALL) | (part < F.lit(2.0 ** turn - 1) / F.col("n"))
+            centre = centre | (F.col("n") <= SMALL) | (part < F.lit(float(GROWTH) ** turn - 1) / F.col("n"))
         met = stored(dealt.join(sizes, "bucket").select("bucket", "rep", "n", "label", centre.alias("centre"))
                      .join(facts, "rep"), "met")
         if met.isEmpty():
@@ -334,12 +345,13 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
             need = unique.join(met.select("rep").distinct(), "rep").select("rep", "id", "h")
             texts = stored(docs.join(need, ["id", "h"]).groupBy("rep").agg(F.first("text").alias("text"))
                            .withColumn("bag", F.arrow_udf(_bags, "binary")("text")), "texts")
-        x = met.filter("centre").select("bucket", F.col("rep").alias("x"), F.col("n_words").alias("nx"),
-                                        F.col("label").alias("lx"), F.col("parity").alias("px"))
+        x = met.filter("centre").select(F.col("bucket").alias("at"), F.col("rep").alias("x"), F.col("n_words").alias("nx"),
+                                        F.col("label").alias("lx"), F.col("parity").alias("px"), F.col("head").alias("hx"))
         longer, shorter = F.greatest("n_words", "nx"), F.least("n_words", "nx")
         limit = F.floor(longer * EDIT_PERCENT / 100).cast("long")
-        new = (met.join(x, (met["bucket"] == x["bucket"]) & (F.col("label") != F.col("lx")) & (longer - shorter <= limit)
-                        & (~F.col("centre") | (F.col("rep") > F.col("x"))) & (_parity_distance() <= 2 * limit))
+        new = (met.join(x, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("lx")) & (longer - shorter <= limit)
+                        & (~F.col("centre") | (F.col("rep") > F.col("x"))) & (_parity_distance() <= 2 * limit)
+                        & _paired_here())
                .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"), limit.alias("limit")).distinct())
         if verdicts:
             new = new.join(reduce(DataFrame.union, verdicts).select("a", "b"), ["a", "b"], "left_anti")
@@ -353,11 +365,13 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
         rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "label", "n"), "rest")
         todo = rest.select("bucket", "rep", "label")
         if turn == 0:
-            # large buckets: only members that share one of their rarest words can be near
-            large = rest.filter(F.col("n") > SMALL)
-            rare = _rare_words(texts.join(large.select("rep").distinct(), "rep").select("rep", "text"))
+            # members of large buckets can be near only if they share one of their rarest words
+            large = stored(rest.filter(F.col("n") > SMALL).select("rep", "label").distinct(), "large")
+            rare = _rare_words(texts.join(large.select("rep"), "rep").select("rep", "text"))
+            rare = stored(rare.select("rep", F.transform("rare", lambda t: F.xxhash64(t, F.lit(-2))).alias("rare")), "rare")
             todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep", "label").union(
-                large.join(rare, "rep").select(F.xxhash64("bucket", "token").alias("bucket"), "rep", "label")), "refined")
+                large.join(rare, "rep").select(F.explode("rare").alias("bucket"), "rep", "label")), "refined")
+            facts = facts.drop("head").join(rare.select("rep", F.slice("rare", 1, HEAD).alias("head")), "rep", "left")
         turn += 1
     if not verdicts:
         none = met.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
