@@ -357,7 +357,10 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
             new = new.join(reduce(DataFrame.union, verdicts).select("a", "b"), ["a", "b"], "left_anti")
         verdicts.append(stored(_verify(new, texts), "verdicts"))
         linked = verdicts[-1].filter("ok").select("a", "b")
-        label = stored(components(linked, "a", "b") if label is None else extend(label, linked, "a", "b"), "label")
+        if label is None:
+            label = stored(components(linked, "a", "b"), "label")
+        elif not linked.isEmpty():
+            label = stored(extend(label, linked, "a", "b"), "label")
         # a centre has met all others; the rest of a bucket is done when it is one class
         rest = met.filter("not centre").select("bucket", "rep", "n").join(
             label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))

@@ -150,6 +150,24 @@ def test_many_texts_with_one_passage_and_two_near_ones(spark):
     assert all(cls[i] == (i - 150 if i >= 150 else i) for i in range(len(rows)))
 
 
+def test_large_buckets_over_few_words_lose_no_pair(spark):
+    """Texts in large buckets of two passages, whose rarest words are common to many, against all pairs."""
+    rng = random.Random(15)
+    parts = [sentence(rng, 45, 6) for _ in range(2)]
+    rows = [parts[i % 2] + " " + sentence(rng, 50, 6) + (" " + parts[1 - i % 2] if i % 5 == 0 else "") for i in range(120)]
+    for i in range(40):
+        rows.append(edit(rng, rows[i], 3 + i % 15))
+    w = [words(t) for t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and edit_distance_within(w[i], w[j], max(len(w[i]), len(w[j])) // 5) is not None:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    cls = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, rows)).filter("doc_id is not null").collect()}
+    assert [cls[i] for i in range(len(rows))] == label and len(set(label)) < 125
+
+
 def test_pairs_at_the_edit_limit_are_found(spark):
     rng = random.Random(14)
     rows = []
