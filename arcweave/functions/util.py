@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,15 +26,10 @@ def finite_or_null(x) -> Column:
 def fixed_point_text(scaled, scale: int) -> Column:
     """Text of an integer held in units of 10^-scale, e.g. (-1234, 2) -> '-12.34'.
 
-    Built from integer arithmetic so the text is the same in every SQL engine.
+    Exact decimals up to ``scale`` 6, so the text is the same in every SQL engine.
     """
-    scaled = as_col(scaled).cast("long")
-    unit = 10 ** scale
-    mag = F.abs(scaled)
-    whole = (mag / F.lit(unit)).cast("long")
-    frac = F.lpad((mag % F.lit(unit)).cast("string"), scale, "0")
-    sign = F.when(scaled < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, whole.cast("string"), F.lit("."), frac)
+    unit = F.lit(Decimal(1).scaleb(-scale))
+    return (as_col(scaled).cast("long").cast("decimal(20,0)") * unit).cast("string")
 
 
 def plain_number(x) -> Column:

@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from arcweave.operators.arcs import PAIR, pair_columns
 
 
-def write_by_pair(df: DataFrame, table: str, path: str, buckets: int, a: str = "src", b: str = "dst") -> DataFrame:
-    """Store ``df`` with its pair as table ``table`` at ``path``; returns the stored table."""
+def deal_by_pair(df: DataFrame, buckets: int, a: str = "src", b: str = "dst") -> DataFrame:
+    """``df`` with its pair as last columns, each bucket in a partition of its own."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in PAIR]
-    (df.select(*rest, *pair_columns(df, a, b)).repartition(buckets, *PAIR)
-     .write.mode("overwrite").bucketBy(buckets, *PAIR).sortBy(*PAIR).option("path", path).saveAsTable(table))
+    return df.select(*rest, *pair_columns(df, a, b)).repartition(buckets, *PAIR)
+
+
+def write_dealt(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store rows that ``deal_by_pair`` dealt, or that were derived from a table stored so, where they are: no shuffle."""
+    (df.write.mode("overwrite").bucketBy(buckets, *PAIR).sortBy(*PAIR).option("path", path).saveAsTable(table))
     return df.sparkSession.table(table)
 
 
+def write_by_pair(df: DataFrame, table: str, path: str, buckets: int, a: str = "src", b: str = "dst") -> DataFrame:
+    """Store ``df`` with its pair as table ``table`` at ``path``; returns the stored table."""
+    return write_dealt(deal_by_pair(df, buckets, a, b), table, path, buckets)
+
+
 def attach_by_pair(spark: SparkSession, table: str, path: str, schema: str, buckets: int) -> DataFrame:
     """Name a folder that ``write_by_pair`` filled in the catalogue of another session."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS `{table}` ({schema}) USING parquet CLUSTERED BY ({', '.join(PAIR)}) "

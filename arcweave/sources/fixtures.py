@@ -18,7 +18,7 @@ from arcweave.functions import fixed_point_text, haversine_km, iceberg_cost, uti
 from arcweave.operators.arcs import PAIR, to_arcs
 from arcweave.operators.windows import sequence_number
 from arcweave.session import scratch_dir
-from arcweave.sources.buckets import write_by_pair
+from arcweave.sources.buckets import deal_by_pair, write_dealt
 
 # Fixed values of the fixture construction (shared with the SQL oracle).
 LON_MULT, LON_MOD, LON_SHIFT = 7919, 36000, 18000
@@ -134,7 +134,10 @@ def trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_geometry_text(f, t) -> "F.Column":
-    """Three-point LINESTRING through the chord midpoint, a POINT, or null, by id modulus."""
+    """Three-point LINESTRING through the chord midpoint, a POINT, or null, by id modulus.
+
+    A point and a line share the text of their first pair: a generated method of more than 8,000 bytes is never compiled.
+    """
     s = f + t
     lon_f, lat_f = _lon_hundredths(f) * 10, _lat_hundredths(f) * 10
     lon_t, lat_t = _lon_hundredths(t) * 10, _lat_hundredths(t) * 10
@@ -143,12 +146,11 @@ def edge_geometry_text(f, t) -> "F.Column":
     def pair(x, y):
         return F.concat(fixed_point_text(x, 3), F.lit(" "), fixed_point_text(y, 3))
 
-    line = F.concat(F.lit("LINESTRING ("), pair(lon_f, lat_f), F.lit(", "),
-                    pair(mid_lon, mid_lat), F.lit(", "), pair(lon_t, lat_t), F.lit(")"))
-    pointtxt = F.concat(F.lit("POINT ("), pair(lon_f, lat_f), F.lit(")"))
-    return (F.when(s % GEOM_NULL_MOD == 0, F.lit(None).cast("string"))
-            .when(s % GEOM_POINT_MOD == 0, pointtxt)
-            .otherwise(line))
+    is_point = s % GEOM_POINT_MOD == 0
+    rest = F.concat(F.lit(", "), pair(mid_lon, mid_lat), F.lit(", "), pair(lon_t, lat_t))
+    text = F.concat(F.when(is_point, F.lit("POINT (")).otherwise(F.lit("LINESTRING (")), pair(lon_f, lat_f),
+                    F.when(is_point, F.lit("")).otherwise(rest), F.lit(")"))
+    return F.when(s % GEOM_NULL_MOD != 0, text)
 
 
 def trade_line_facts(lines: DataFrame) -> DataFrame:
@@ -163,21 +165,27 @@ def trade_line_facts(lines: DataFrame) -> DataFrame:
     ).agg(F.sum("l_quantity").alias("q"))
 
 
-def edges_from_facts(facts: DataFrame) -> DataFrame:
-    """NET-T edges: one per (supplier, customer) pair with at least one line.
+def numbered_pairs(facts: DataFrame) -> DataFrame:
+    """``edge_id``, ``from``, ``to``, ``qty``: one row per (supplier, customer) pair with at least one line.
 
     ``edge_id`` is the pair's position in ``(from, to)`` order, numbered
     distributedly (customer ids exceed 2^32 at the largest scales, so packing both
-    ids into one long would collide).
+    ids into one long would collide). The other columns follow from these, so only these are sorted and shuffled.
     """
-    pairs = facts.groupBy(F.col("supp_node").alias("from"), F.col("cust_node").alias("to")).agg(
-        F.sum("q").alias("qty"))
+    stored_pair = [c for c in PAIR if c in facts.columns]  # no exchange where the facts are stored by pair
+    pairs = facts.groupBy(F.col("supp_node").alias("from"), F.col("cust_node").alias("to"), *stored_pair).agg(
+        F.sum("q").alias("qty")).select("from", "to", "qty")
+    return sequence_number(pairs, ["from", "to"], "edge_id").select("edge_id", "from", "to", "qty")
+
+
+def edge_columns(pairs: DataFrame) -> DataFrame:
+    """NET-T edges from ``numbered_pairs``; the pair columns, if there are any, stay last."""
     f, t = F.col("from"), F.col("to")
     s = f + t
     ijk = (F.lit(IJK_BASE) + F.floor(F.col("qty")) % F.lit(IJK_MOD)).cast("double")
     km = haversine_km(node_lon(f), node_lat(f), node_lon(t), node_lat(t))
-    body = pairs.select(
-        f.alias("from"), t.alias("to"),
+    return pairs.select(
+        "edge_id", f.alias("from"), t.alias("to"),
         (F.lit(1.0) + ((f * F.lit(DELTA_I_MULT) + t) % F.lit(DELTA_I_MOD)) / F.lit(10)).alias(
             "delta_i"),
         iceberg_cost(km, DELTA_TAU_FLOOR).alias("delta_tau"),
@@ -185,17 +193,21 @@ def edges_from_facts(facts: DataFrame) -> DataFrame:
         F.when(s % IL_NULL_MOD != 0, ijk).alias("Il"),
         F.when(s % IU_NULL_MOD != 0, F.lit(IU_VALUE)).alias("Iu"),
         edge_geometry_text(f, t).alias("geometry"),
-    )
-    numbered = sequence_number(body, ["from", "to"], "edge_id")
-    return numbered.select("edge_id", *body.columns)
+        *[c for c in PAIR if c in pairs.columns])
+
+
+def edges_from_facts(facts: DataFrame) -> DataFrame:
+    """NET-T edges: one per (supplier, customer) pair with at least one line."""
+    return edge_columns(numbered_pairs(facts))
 
 
 def flow_from_facts(facts: DataFrame) -> DataFrame:
     """Directed flows per run and good; returned lines travel customer -> supplier.
 
     Every fact feeds the result run and, if shipped before the cutoff, the
-    baseline run: one pass and one shuffle for both runs.
+    baseline run: one pass for both runs, and no shuffle where the facts are stored by pair.
     """
+    stored_pair = [c for c in PAIR if c in facts.columns]
     returned = F.col("returned")
     runs = F.when(F.col("early"), F.array(F.lit(RUN_BASELINE), F.lit(RUN_RESULT))).otherwise(
         F.array(F.lit(RUN_RESULT)))
@@ -203,8 +215,9 @@ def flow_from_facts(facts: DataFrame) -> DataFrame:
         F.explode(runs).alias("run_id"),
         F.when(returned, F.col("cust_node")).otherwise(F.col("supp_node")).alias("src"),
         F.when(returned, F.col("supp_node")).otherwise(F.col("cust_node")).alias("dst"),
-        "good", "q")
-        .groupBy("run_id", "src", "dst", "good").agg(F.sum("q").alias("q")))
+        "good", "q", *stored_pair)
+        .groupBy("run_id", "src", "dst", "good", *stored_pair).agg(F.sum("q").alias("q"))
+        .select("run_id", "src", "dst", "good", "q", *stored_pair))
 
 
 def build_trade_edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
@@ -220,12 +233,13 @@ def build_trade_arc_flow(spark: SparkSession, sf_dir: str,
 
 def trade_arc_infra(edges: DataFrame) -> DataFrame:
     """Infrastructure per run and direction: baseline keeps Ijk, result scales by src."""
-    arcs = to_arcs(edges.select("from", "to", "Ijk"))
+    stored_pair = [c for c in PAIR if c in edges.columns]
+    arcs = to_arcs(edges.select("from", "to", "Ijk", *stored_pair))
     scale = F.lit(1.0) + (F.col("src") % 4) / F.lit(10)
     runs = F.array(
         F.struct(F.lit(RUN_BASELINE).alias("run_id"), F.col("Ijk").alias("ijk")),
         F.struct(F.lit(RUN_RESULT).alias("run_id"), (F.col("Ijk") * scale).alias("ijk")))
-    return arcs.select("src", "dst", F.inline(runs)).select("run_id", "src", "dst", "ijk")
+    return arcs.select("src", "dst", F.inline(runs), *stored_pair).select("run_id", "src", "dst", "ijk", *stored_pair)
 
 
 def trade_node_output(arc_flow: DataFrame) -> DataFrame:
@@ -265,7 +279,7 @@ def trade_node_alloc(nodes: DataFrame, arc_flow: DataFrame,
 
 _STORE: dict[tuple[str, str], str] = {}
 STORED = ("nodes", "edges", "arc_flow", "arc_infra", "node_alloc", "node_output")
-BUCKETED = ("edges", "arc_flow", "arc_infra")  # stored by the canonical pair
+BUCKETED = ("line_facts", "edges", "arc_flow", "arc_infra")  # stored by the canonical pair
 
 
 def _bucketed(base: str, name: str) -> str:
@@ -278,21 +292,20 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> str:
     if key in _STORE:
         return _STORE[key]
     base = scratch_dir(spark, "trade-network")
-    # One pass over lineitem ⋈ orders: the aggregated facts are stored, then the
-    # edges and the flows are both derived from them.
-    trade_line_facts(trade_lines(spark, sf_dir)).write.mode("overwrite").parquet(
-        f"{base}/line_facts")
-    facts = spark.read.parquet(f"{base}/line_facts")
     build_trade_nodes(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/nodes")
+    nodes = spark.read.parquet(f"{base}/nodes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def by_pair(df: DataFrame, name: str, a: str = "src", b: str = "dst") -> DataFrame:
-        return write_by_pair(df, _bucketed(base, name), f"{base}/{name}", buckets, a, b)
+    def store(df: DataFrame, name: str) -> DataFrame:
+        return write_dealt(df, _bucketed(base, name), f"{base}/{name}", buckets)
 
-    nodes = spark.read.parquet(f"{base}/nodes")
-    edges = by_pair(edges_from_facts(facts), "edges", "from", "to")
-    flow = by_pair(flow_from_facts(facts), "arc_flow")
-    by_pair(trade_arc_infra(edges), "arc_infra")
+    # One pass over lineitem ⋈ orders: the aggregated facts (at most 20 a pair) are dealt by pair once, and all
+    # tables by pair are derived from them where they lie; only the numbering of the edges shuffles again, four longs a row.
+    facts = store(deal_by_pair(trade_line_facts(trade_lines(spark, sf_dir)), buckets, "supp_node", "cust_node"),
+                  "line_facts")
+    edges = store(edge_columns(deal_by_pair(numbered_pairs(facts), buckets, "from", "to")), "edges")
+    flow = store(flow_from_facts(facts), "arc_flow")
+    store(trade_arc_infra(edges), "arc_infra")
     trade_node_alloc(nodes, flow).write.mode("overwrite").parquet(f"{base}/node_alloc")
     trade_node_output(flow).write.mode("overwrite").parquet(f"{base}/node_output")
     _STORE[key] = base
