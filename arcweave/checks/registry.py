@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.checks.sqlparts import NET_T, stable, with_ctes
+from arcweave.functions import at_digits
 
 
 @dataclass
@@ -56,14 +57,15 @@ def register(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[
     return deco
 
 
+def _whole(y) -> "F.Column":
+    """Nearest whole double, halves away from zero."""
+    near = F.rint(y)
+    return near + F.signum(y) * (F.abs(y) - F.abs(near) == 0.5).cast("double")
+
+
 def stable_col(x) -> "F.Column":
     """Comparison rounding: k = 9 significant digits, half away from zero."""
-    e = F.floor(F.log10(F.abs(x)))
-    s = F.lit(8) - e
-    up = F.round(x * F.pow(F.lit(10.0), s), 0) / F.pow(F.lit(10.0), s)
-    down = F.round(x / F.pow(F.lit(10.0), -s), 0) * F.pow(F.lit(10.0), -s)
-    return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double"))
-            .when(x == 0, F.lit(0.0)).when(s >= 0, up).otherwise(down))
+    return at_digits(F.nanvl(x, F.lit(None).cast("double")), 9, _whole)
 
 
 def stabilise(df: DataFrame, doubles) -> DataFrame:

@@ -3,7 +3,7 @@
 from arcweave.functions.geometry import (curved_line, curved_midpoint, haversine_km,
                                          line_length_km, parse_linestring, point,
                                          straight_line, to_linestring)
-from arcweave.functions.numeric import (ces_exponent, iceberg_cost, increase, normalise,
+from arcweave.functions.numeric import (at_digits, ces_exponent, iceberg_cost, increase, normalise,
                                         pct_gain, perc_upgraded, production, round_sig,
                                         transform_value, transport_cost, utility,
                                         widen_domain)
@@ -11,7 +11,7 @@ from arcweave.functions.text import parse_progress, progress_distance, progress_
 from arcweave.functions.util import as_col, finite_or_null, fixed_point_text, plain_number
 
 __all__ = [
-    "as_col", "ces_exponent", "curved_line", "curved_midpoint", "finite_or_null",
+    "as_col", "at_digits", "ces_exponent", "curved_line", "curved_midpoint", "finite_or_null",
     "fixed_point_text", "haversine_km", "iceberg_cost", "increase", "line_length_km",
     "normalise", "parse_linestring", "parse_progress", "pct_gain", "perc_upgraded", "point",
     "production", "progress_distance", "progress_iteration", "round_sig", "straight_line",

@@ -30,17 +30,21 @@ def iceberg_cost(km, floor: float = 0.0) -> Column:
             .when(km == 0, F.lit(float(floor))))
 
 
+def at_digits(x, digits: int, whole) -> Column:
+    """``x`` rounded to ``digits`` significant digits by ``whole``, a rounding to whole doubles; not finite -> NaN.
+
+    One of the two units is 1, so each step is exact where it was with a case for each sign. Without cases and
+    decimals the generated method of a dozen columns stays below the 8,000 bytes beyond which the JVM runs it interpreted.
+    """
+    x = as_col(x)
+    scale = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))  # null for 0, which ``greatest`` passes over
+    up, down = (F.pow(F.lit(10.0), F.greatest(s, F.lit(0).cast("long"))) for s in (scale, -scale))
+    return whole(x * up / down) / up * down + F.lit(0.0)  # no negative zero
+
+
 def round_sig(x, digits: int = 7) -> Column:
     """Round to ``digits`` significant digits (half to even); NaN/inf/null -> null."""
-    x = finite_or_null(as_col(x))
-    e = F.floor(F.log10(F.abs(x)))
-    scale = F.lit(digits - 1) - e
-    up = F.bround(x * F.pow(F.lit(10.0), scale), 0) / F.pow(F.lit(10.0), scale)
-    down = F.bround(x / F.pow(F.lit(10.0), -scale), 0) * F.pow(F.lit(10.0), -scale)
-    return (F.when(x.isNull(), F.lit(None).cast("double"))
-            .when(x == 0, F.lit(0.0))
-            .when(scale >= 0, up)
-            .otherwise(down))
+    return F.nanvl(at_digits(x, digits, F.rint), F.lit(None).cast("double"))
 
 
 def perc_upgraded(new, old, iu, cap) -> Column:

@@ -237,6 +237,11 @@ def check_node_values(nodes: DataFrame) -> DataFrame:
     return _column_findings(stats, specs)
 
 
+def _unreadable(geometry: Column) -> Column:
+    """A text that is no line; the parse comes first, where its repeated parts are evaluated once."""
+    return parse_linestring(geometry).isNull() & geometry.isNotNull()
+
+
 def check_edge_values(edges: DataFrame) -> DataFrame:
     """B9 (and B16 when a ``geometry`` column exists) in one aggregate pass."""
     c = F.col
@@ -245,7 +250,7 @@ def check_edge_values(edges: DataFrame) -> DataFrame:
              for k in EDGE_FLOAT_COLS]
     if "geometry" in edges.columns:
         g = c("geometry")
-        aggs.append(F.count_if(g.isNotNull() & parse_linestring(g).isNull()).alias("n_geom"))
+        aggs.append(F.count_if(_unreadable(g)).alias("n_geom"))
         specs.append(("n_geom", "warning", "B16", "edges",
                       GEOMETRY_BAD))
     return _column_findings(edges.agg(*aggs), specs)
@@ -254,7 +259,7 @@ def check_edge_values(edges: DataFrame) -> DataFrame:
 def check_geometry(edges: DataFrame) -> DataFrame:
     """B16 alone: one warning with the count of non-null texts that do not parse."""
     g = F.col("geometry")
-    stats = edges.agg(F.count_if(g.isNotNull() & parse_linestring(g).isNull()).alias("n_geom"))
+    stats = edges.agg(F.count_if(_unreadable(g)).alias("n_geom"))
     return _column_findings(stats, [("n_geom", "warning", "B16", "edges",
                                      GEOMETRY_BAD)])
 
