@@ -62,12 +62,14 @@ def derive_edge_attributes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
                    round_sig(speed, SIG).alias("Ijk"), round_sig(speed, SIG).alias("Il"),
                    round_sig(iu, SIG).alias("Iu"))
     bad = F.col("_speed").isNull() | (F.col("_speed") <= 0)
-    findings = e.filter(bad).select(
+    finding = F.struct(
         F.lit("error").alias("severity"), F.lit("C5").alias("rule"), F.lit("edges").alias("entity"),
         F.col("edge_id").cast("long").alias("key"),
         F.concat(F.lit("Edge "), F.col("from").cast("string"), F.lit(" - "),
                  F.col("to").cast("string"),
                  F.lit(": speed is not finite and positive.")).alias("message"))
+    # no filter: that would be pushed down with the whole formula of the speed written out for each mention of it
+    findings = e.select(F.inline(F.when(bad, F.array(finding))))
     return e.drop("_speed"), findings
 
 
