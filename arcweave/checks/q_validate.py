@@ -10,6 +10,7 @@ from arcweave.checks.sqlparts import NET_T, parse_line
 from arcweave.operators import validate as V
 from arcweave.operators.graph import connected_components, extend_components
 from arcweave.plans.validation import cross_checks, type_network, validate_network
+from arcweave.session import ensure_checkpoint_dir
 from arcweave.sources import fixtures as X
 from arcweave.sources import variants as VA
 
@@ -164,10 +165,12 @@ def b14_unreachable(spark, sf_dir):
 
 def _grown_components(spark, sf_dir, steps: int = 3):
     """Nodes without edges, then the edges in ``steps`` parts by a rule on their ids."""
+    ensure_checkpoint_dir(spark)
     net = VA.domestic_network(spark, sf_dir)
     now = net.nodes.select("node", F.col("node").alias("component"))
+    ends = net.edges.select("from", "to").checkpoint()  # joined with the nodes once, not in every step
     for step in range(steps):
-        part = net.edges.filter((F.col("from") * 7 + F.col("to")) % steps == step)
+        part = ends.filter((F.col("from") * 7 + F.col("to")) % steps == step)
         now = extend_components(now, part).checkpoint()
     return now
 

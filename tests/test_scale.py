@@ -4,8 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from arcweave.checks import q_validate
 from arcweave.checks.catalog import all_queries
+from arcweave.plans.etl import derive_edge_attributes
 from arcweave.sources import fixtures as X
+from arcweave.sources import variants as VA
 
 from conftest import SF_SMALL, rows
 
@@ -44,3 +47,21 @@ def test_generated_methods_are_small_enough_to_be_compiled(spark):
             assert largest_method(df) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_speed_findings_work_the_formula_out_once(spark):
+    raw = VA.raw_tables(spark, SF_SMALL)[1]
+    plan = derive_edge_attributes(raw)[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("ASIN(") == 2  # once in the distance and once in the duration of the raw table
+
+
+def test_growing_components_join_the_edges_once(spark, monkeypatch):
+    parts = []
+
+    def extend(components, edges):
+        parts.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return components
+
+    monkeypatch.setattr(q_validate, "extend_components", extend)
+    q_validate._grown_components(spark, SF_SMALL)
+    assert len(parts) == 3 and not any("Join" in p for p in parts)
