@@ -25,15 +25,14 @@ def pair_hi(a="from", b="to") -> Column:
 def to_arcs(edges: DataFrame, src: str = "from", dst: str = "to") -> DataFrame:
     """G1: both orientations of every edge, carrying all other columns unchanged.
 
-    One scan and an ``inline`` of a two-element array, instead of a union of two
+    One scan and an ``inline`` of an array without a lambda, instead of a union of two
     scans. A self-loop is one matrix cell, so it yields a single arc.
     """
     others = [c for c in edges.columns if c not in (src, dst)]
-    both = F.array(
-        F.struct(F.col(src).alias("src"), F.col(dst).alias("dst")),
-        F.when(F.col(src) != F.col(dst),
-               F.struct(F.col(dst).alias("src"), F.col(src).alias("dst"))))
-    return edges.select(F.inline(F.filter(both, lambda a: a.isNotNull())), *others)
+    there = F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    back = F.struct(F.col(dst).alias("src"), F.col(src).alias("dst"))
+    ways = F.when(F.col(src) != F.col(dst), F.array(there, back)).otherwise(F.array(there))
+    return edges.select(F.inline(ways), *others)
 
 
 def to_pairs(arcs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arcweave.checks import q_validate
 from arcweave.checks.catalog import all_queries
+from arcweave.operators.arcs import to_arcs
 from arcweave.plans.etl import derive_edge_attributes
 from arcweave.sources import fixtures as X
 from arcweave.sources import variants as VA
@@ -29,6 +30,14 @@ def test_tables_by_pair_are_derived_without_a_shuffle(spark):
     assert "Exchange" not in X.trade_arc_infra(edges)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_arcs_are_made_in_compiled_code(spark):
+    edges = spark.createDataFrame([(1, 2, 5), (3, 3, 6), (4, None, 7), (None, 4, 8)], "`from` long, `to` long, k int")
+    arcs = to_arcs(edges)
+    assert "lambda" not in arcs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, arcs.collect()), key=repr) == sorted(
+        [(1, 2, 5), (2, 1, 5), (3, 3, 6), (4, None, 7), (None, 4, 8)], key=repr)
+
+
 def test_edges_are_numbered_before_their_columns_are_made(spark):
     pairs = X.numbered_pairs(X.stored(spark, SF_SMALL, "line_facts", paired=True))
     assert pairs.columns == ["edge_id", "from", "to", "qty"]
