@@ -7,10 +7,11 @@ sort-merge join, where AQE splits a hub node (a skewed key) across tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.functions import parse_linestring, straight_line
+from arcweave.functions import LINE_TYPE, parse_linestring, plainly_line, straight_line
+from arcweave.operators.arcs import PAIR
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -22,19 +23,45 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "from", "left").join(b, "to", "left")
 
 
+def ends_by_pair(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``lon_lo, lat_lo, lon_hi, lat_hi`` beside each distinct canonical pair (null when the node is absent)."""
+    lo = nodes.select(F.col("node").alias("pair_lo"), F.col("lon").alias("lon_lo"), F.col("lat").alias("lat_lo"))
+    hi = nodes.select(F.col("node").alias("pair_hi"), F.col("lon").alias("lon_hi"), F.col("lat").alias("lat_hi"))
+    return (pairs.select(*PAIR).distinct().join(lo, "pair_lo", "left").join(hi, "pair_hi", "left")
+            .select(*PAIR, "lon_lo", "lat_lo", "lon_hi", "lat_hi"))
+
+
+def _with_needed_endpoints(edges: DataFrame, nodes: DataFrame, geometry_col: str) -> DataFrame:
+    """``with_endpoints`` for edges that store their pair; null also where the text surely is a line.
+
+    Only pairs and coordinates are dealt by node and dealt back by pair: an edge is not shuffled where it is stored by pair.
+    """
+    needed = edges.filter(~plainly_line(geometry_col)) if geometry_col in edges.columns else edges
+    at = edges.join(ends_by_pair(needed, nodes), list(PAIR), "left")
+
+    def end(node: str, c: str) -> Column:
+        return F.when(F.col(node) == F.col("pair_lo"), F.col(f"{c}_lo")).when(
+            F.col(node) == F.col("pair_hi"), F.col(f"{c}_hi")).alias(f"{c}_{node}")
+
+    return at.select(*[F.col(f"`{c}`") for c in edges.columns], *[end(n, c) for n in ("from", "to") for c in ("lon", "lat")])
+
+
 def resolve_geometry(edges: DataFrame, nodes: DataFrame | None,
-                     geometry_col: str = "geometry") -> DataFrame:
+                     geometry_col: str = "geometry", undrawn: bool = False) -> DataFrame:
     """``line`` = parsed WKT, else the straight line between the endpoints; rows
-    with neither are dropped (they cannot be drawn)."""
+    with neither are dropped (they cannot be drawn), or with ``undrawn`` kept with a null line.
+
+    The text is parsed below the join with the nodes, so that what is built on ``line`` does not parse it again.
+    """
     parsed = (parse_linestring(F.col(geometry_col)) if geometry_col in edges.columns
-              else F.lit(None))
-    if nodes is None:
-        out = edges.withColumn("line", parsed)
-        return out.filter(F.col("line").isNotNull())
-    ends = with_endpoints(edges, nodes)
-    line = F.coalesce(parsed, straight_line("lon_from", "lat_from", "lon_to", "lat_to"))
-    return (ends.withColumn("line", line).filter(F.col("line").isNotNull())
-            .drop("lon_from", "lat_from", "lon_to", "lat_to"))
+              else F.lit(None).cast(LINE_TYPE))
+    out = edges.withColumn("line", parsed)
+    if nodes is not None:
+        stored = all(c in edges.columns for c in PAIR)
+        ends = _with_needed_endpoints(out, nodes, geometry_col) if stored else with_endpoints(out, nodes)
+        line = F.coalesce(F.col("line"), straight_line("lon_from", "lat_from", "lon_to", "lat_to"))
+        out = ends.withColumn("line", line).drop("lon_from", "lat_from", "lon_to", "lat_to")
+    return out if undrawn else out.filter(F.col("line").isNotNull())
 
 
 def attach_geometry(edges: DataFrame, geom: DataFrame) -> tuple[DataFrame, DataFrame]:

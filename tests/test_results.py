@@ -3,8 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows
+
+from arcweave.functions import parse_linestring, plainly_line
 from arcweave.operators import aggregates as A
-from arcweave.operators.arcs import symmetrise, to_arcs
+from arcweave.operators.arcs import symmetrise, to_arcs, with_pair
+from arcweave.operators.joins import resolve_geometry
 from arcweave.plans.publish import scaled_features
 from arcweave.plans.results import edge_table
 from arcweave.sources.fixtures import NetworkTables
@@ -96,3 +100,22 @@ def test_edge_table_cap_without_any_bound(spark):
          edge_table(NetworkTables(None, e), infra, None, "r").collect()}
     # cap = max(new, old) = 30: edge 1-2 went 10 -> 20 of a 20-wide headroom
     assert t == {(1, 2): 50.0, (2, 3): 0.0}
+
+
+def test_lines_of_edges_stored_by_pair(spark):
+    """D2 over edges with their pair gives the lines of D2 over edges without, for any text and any ends."""
+    nodes = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0), (3, 5.0, None)], "node long, lon double, lat double")
+    texts = [None, "", "POINT (1 2)", "LINESTRING (0.5 1, -2 3.25)", "linestring(1 2, 3 4)", "LINESTRING (1 2)",
+             "LINESTRING (1 2, 3)", "LINESTRING (1 2, 3 4 9)", "LINESTRING (1e3 2, 3 4)", "LINESTRING (1 2, 3 4) x",
+             "LINESTRING (1. 2, 3 4)", "LINESTRING (x 2, 3 4)", "LINESTRING (" + ", ".join(["1.5 -2.5"] * 20000) + ")"]
+    ends = [(1, 2), (2, 1), (1, 1), (1, 3), (1, 9), (9, 2), (None, 2), (1, None), (None, None)]
+    edges = spark.createDataFrame([(i * 100 + j, f, t, g) for i, (f, t) in enumerate(ends) for j, g in enumerate(texts)],
+                                  "edge_id long, `from` long, `to` long, geometry string")
+    plain = resolve_geometry(edges, nodes, undrawn=True).select("edge_id", "line")
+    paired = resolve_geometry(with_pair(edges), nodes, undrawn=True).select("edge_id", "line")
+    assert rows(paired) == rows(plain) and plain.count() == len(ends) * len(texts)
+    drawn = plain.filter("line is not null")
+    assert rows(resolve_geometry(with_pair(edges), nodes).select("edge_id", "line")) == rows(drawn)
+    sure = edges.filter(plainly_line("geometry"))
+    assert sure.filter(parse_linestring("geometry").isNull()).count() == 0
+    assert sure.select("geometry").distinct().count() == 2
