@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from arcweave.checks import sql_variants as SV
 from arcweave.checks import sqlparts as S
 from arcweave.checks.q_results import F1_DOUBLES
-from arcweave.checks.registry import register, split_size
+from arcweave.checks.registry import register, small_blocks
 from arcweave.functions import parse_progress
 from arcweave.operators import windows as W
 from arcweave.plans import incremental
@@ -152,7 +152,8 @@ def a10_read_run_log(spark, sf_dir):
 
 def _text(log):
     """The log as text lines that name their run, in ``event_id`` order over the files."""
-    return (log.repartitionByRange(5, "event_id").sortWithinPartitions("event_id")
+    files = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (log.repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
             .select(F.concat(F.lit("[run "), F.col("run_id"), F.lit("] "), F.col("line")).alias("value")))
 
 
@@ -162,7 +163,7 @@ def a10_read_text_log(spark, sf_dir):
     """Plain text, read in small blocks: arrival numbers over all files, and line numbers per run."""
     d = scratch_dir(spark, "runlog-text")
     _text(_log(spark, sf_dir)).write.text(d)
-    with split_size(spark, 64 << 10):
+    with small_blocks(spark, d, 64 << 10):
         log = IO.read_text_log(spark, d)
     return R.number_lines(log).select("run_id", "event_id", "line", "line_no")
 

@@ -86,3 +86,20 @@ def split_size(spark, n_bytes):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+BLOCKS_A_FILE = 4
+MOST_OF_A_BLOCK = 128 << 20
+
+
+@contextmanager
+def small_blocks(spark, path, least):
+    """The files of ``path`` are read in blocks of about a quarter of a file inside, and of ``least`` bytes at least.
+
+    So every larger file is cut, and the number of tasks follows the number of files, not the bytes. The sizes are those
+    of the file listing; no block is larger than 128 MB, Spark's default.
+    """
+    n_bytes, n_files = spark.read.format("binaryFile").load(path).agg(F.sum("length"), F.count(F.lit(1))).first()
+    size = -(-(n_bytes or 0) // (BLOCKS_A_FILE * max(n_files, 1)))
+    with split_size(spark, min(max(size, least), MOST_OF_A_BLOCK)):
+        yield

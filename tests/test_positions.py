@@ -5,13 +5,18 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from arcweave.checks.registry import split_size
+from arcweave.checks.catalog import all_queries
+from arcweave.checks.registry import BLOCKS_A_FILE, small_blocks, split_size
+from arcweave.session import ensure_checkpoint_dir
 from arcweave.sources import files as IO
 from arcweave.sources.positions import number_rows
 from arcweave.streaming import runlog as R
 from arcweave.streaming import tail as T
 
+from conftest import SF_SMALL
+
 
 def folder(name):
     return tempfile.mkdtemp(prefix=f"arcweave-{name}-", dir="/tmp")
@@ -77,3 +82,25 @@ def test_views_are_numbered_by_their_ends(spark):
     spark.createDataFrame([(5, 6), (1, 2), (3, 4)], "from long, to long").createOrReplaceTempView("arcweave_some_edges")
     got = {r["from"]: r["edge_id"] for r in IO.read_edges(spark, "arcweave_some_edges", "table").collect()}
     assert got == {1: 1, 3: 2, 5: 3}
+
+
+def test_blocks_follow_the_files_not_the_bytes(spark):
+    d = folder("blocks")
+    for i in range(3):
+        with open(f"{d}/{i}.log", "w") as fh:
+            fh.writelines(f"{i}-{k:06d}-{'x' * 90}\n" for k in range(30_000))
+    with small_blocks(spark, d, 1 << 10):
+        log = spark.read.text(d).select("value", "_metadata")
+        tasks = log.rdd.getNumPartitions()
+        got = number_rows(log, "n").orderBy("n").select(F.substring("value", 1, 8).alias("v")).collect()
+    assert 3 < tasks <= 3 * (BLOCKS_A_FILE + 1)
+    assert [r.v for r in got] == [f"{i}-{k:06d}" for i in range(3) for k in range(30_000)]
+
+
+def test_edge_files_are_written_by_all_partitions(spark):
+    """A2: the files of the query, and so the tasks that write and number them, grow with the session's partitions."""
+    all_queries()["a2_csv_edge_ids"].run(spark, SF_SMALL)
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    newest = max((f"{base}/{n}" for n in os.listdir(base) if n.startswith("edges-csv-")), key=os.path.getmtime)
+    files = [n for n in os.listdir(newest) if n.endswith(".csv")]
+    assert len(files) == int(spark.conf.get("spark.sql.shuffle.partitions"))
