@@ -239,7 +239,7 @@ T_COMP = [
 
 @register("b17_validate_network", validate_sql(), ctes=NET_T + T_COMP)
 def b17_validate_network(spark, sf_dir):
-    return validate_network(X.trade_network(spark, sf_dir))
+    return validate_network(X.trade_network(spark, sf_dir, paired=True))
 
 
 def _validate_range_sql():

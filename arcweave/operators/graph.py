@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.operators.arcs import PAIR
 from arcweave.session import ensure_checkpoint_dir
 
 
@@ -32,8 +33,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _stars(edges: DataFrame) -> DataFrame:
     """(u, v): every node of an edge but the smallest of its component, with that smallest one."""
-    now = edges.filter(F.col("u") != F.col("v")).select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    return _stars_of_pairs(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+
+
+def _stars_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``_stars`` of edges that have their larger node in ``u``; those stored by pair are not shuffled for the first round."""
+    now = pairs.filter(F.col("u") != F.col("v")).distinct().checkpoint()
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,7 +58,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
                          src: str = "from", dst: str = "to") -> DataFrame:
     """``(node, component)`` where ``component`` is the smallest node id reachable."""
     ensure_checkpoint_dir(nodes.sparkSession)
-    stars = _stars(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")))
+    if (src, dst) == ("from", "to") and all(c in edges.columns for c in PAIR):
+        stars = _stars_of_pairs(edges.select(F.col("pair_hi").alias("u"), F.col("pair_lo").alias("v")))
+    else:
+        stars = _stars(edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")))
     return (nodes.select(F.col("node").cast("long").alias("node")).distinct()
             .join(stars, F.col("node") == F.col("u"), "left")
             .select("node", F.coalesce("v", "node").alias("component")))

@@ -6,11 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcweave.operators import validate as V
+from arcweave.operators.arcs import with_pair
 from arcweave.operators.graph import connected_components
 from arcweave.plans.validation import validate_network
-from arcweave.sources.fixtures import NetworkTables
+from arcweave.sources.fixtures import NetworkTables, trade_network
 from arcweave.sources.grid import grid_network
 
+from conftest import SF_SMALL
+
 NODES = [(i, 10.0 + i, 2.0, 100.0, 1.0) for i in range(1, 6)]
 NODE_SCHEMA = "node long, lon double, lat double, population double, productivity double"
 EDGE_SCHEMA = ("edge_id long, from long, to long, delta_i double, delta_tau double, Ijk double, "
@@ -154,3 +157,37 @@ def test_grid_network_is_valid(spark):
     assert findings == 0
     speeds = {r["Ijk"] for r in g.edges.select("Ijk").distinct().collect()}
     assert speeds <= {20.0, 30.0, 40.0, 50.0, 60.0, 80.0}
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_reference_flags_of_any_ends(spark, monkeypatch, few):
+    monkeypatch.setattr(V, "BROADCAST_IDS", few)
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3)], "node long")
+    ends = list(itertools.product([1, 2, 3, 9, None], [1, 3, 8, None]))
+    edges = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(ends)], "edge_id long, from long, to long")
+    got = {r["edge_id"]: r["ref_ok"] for r in V.reference_flags(edges, nodes).collect()}
+    assert got == {i: f in (1, 2, 3) and t in (1, 2, 3) for i, (f, t) in enumerate(ends)}
+    assert sorted(r["end"] for r in V.unknown_ends(edges, nodes).collect()) == [8, 9]
+
+
+def test_checks_of_stored_pairs_shuffle_no_edges(spark):
+    """B10 and B12 of a network without unknown ends, stored by pair: no edge is joined with nodes or dealt anew."""
+    stored = trade_network(spark, SF_SMALL, paired=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = V.check_edges(stored.edges, stored.nodes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plan and plan.count("SortMergeJoin") == 1
+
+
+def test_stored_pairs_give_the_same_findings(spark):
+    bad = [(1, 1, 2, 1.0, 0.1, 10.0, 11.0, 9.0), (2, 2, 1, 1.0, 0.1, 10.0, None, None), (3, 3, 3, 1.0, 0.1, 1.0, None, None),
+           (4, 4, 999, 1.0, 0.1, 1.0, 2.0, None), (5, 999, 4, 1.0, 0.1, 1.0, None, None)]
+    good = [(1, 2, 1, 1.0, 0.1, 10.0, None, None), (2, 4, 3, 1.0, 0.1, 10.0, None, None)]
+    for edges in (bad, good):
+        n = net(spark, edges)
+        paired = NetworkTables(n.nodes, with_pair(n.edges))
+        key = lambda f: sorted(map(str, f.collect()))
+        assert key(validate_network(paired)) == key(validate_network(n))
+        assert key(connected_components(n.nodes, paired.edges)) == key(connected_components(n.nodes, n.edges))
