@@ -13,11 +13,14 @@ earlier versions stay, since those versions can still be read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.operators.arcs import PAIR, pair_columns
+from arcweave.operators.arcs import PAIR, pair_columns, with_pair
 from arcweave.plans.results import edge_base, edge_facts, network_cap, with_upgrades
 from arcweave.session import ensure_checkpoint_dir
 
@@ -61,14 +64,17 @@ def _bucket(buckets: int) -> Column:
 def changed_pairs(before: DataFrame | None, after: DataFrame, inputs: list[str]) -> DataFrame:
     """Pairs whose rows differ in ``inputs`` between two tables, as sets with repeats; also pairs of one table only."""
     def marked(df: DataFrame, sign: int) -> DataFrame:
-        # one hash for each of two accumulators; decimal sums cannot overflow
-        return df.select(*PAIR, F.lit(sign).alias("n"), *[
-            (F.xxhash64(F.lit(seed), *inputs).cast("decimal(20,0)") * sign).alias(f"h{seed}") for seed in (1, 2)])
+        # two hashes, each in halves of 32 bits, whose sums as longs are exact for 2^31 rows of a pair
+        hashes = df.select(*PAIR, *[F.xxhash64(F.lit(seed), *inputs).alias(f"x{seed}") for seed in (1, 2)])
+        return hashes.select(*PAIR, F.lit(sign).cast("long").alias("n"), *[
+            (half * sign).alias(f"{name}{seed}") for seed in (1, 2) for name, half in (
+                ("lo", F.col(f"x{seed}").bitwiseAND(F.lit(0xFFFFFFFF))), ("hi", F.shiftright(f"x{seed}", 32)))])
 
-    rows = marked(after, 1)
-    rows = rows if before is None else rows.unionByName(marked(before, -1))
-    sums = rows.groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
-    return sums.filter((F.col("n") != 0) | (F.col("h1") != 0) | (F.col("h2") != 0)).select(*PAIR)
+    if before is None:  # all pairs are new
+        return after.select(*PAIR).distinct()
+    sums = marked(after, 1).unionByName(marked(before, -1)).groupBy(*PAIR).agg(
+        *[F.sum(c).alias(c) for c in ("n", "lo1", "hi1", "lo2", "hi2")])
+    return sums.filter(reduce(or_, [F.col(c) != 0 for c in ("n", "lo1", "hi1", "lo2", "hi2")])).select(*PAIR)
 
 
 def publish_edges(edges: DataFrame, arc_infra: DataFrame, arc_flow: DataFrame | None, path: str, version: int,
@@ -84,12 +90,17 @@ def publish_edges(edges: DataFrame, arc_infra: DataFrame, arc_flow: DataFrame |
     before = None if earlier is None else _facts(spark, path, earlier)
     base = edge_base(edges)
     inputs = [c for c in base.columns if c not in PAIR]
-    changed = changed_pairs(before, base, inputs).withColumn("bucket", _bucket(buckets)).checkpoint()
-    touched = sorted(r[0] for r in changed.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    if before is None:  # all pairs are new: their edges and arcs are taken as they are, without a look-up of pairs
+        changed = base.filter(F.col("pair_lo").isNotNull())
+        parts = with_pair(edges).filter(F.col("pair_lo").isNotNull()), arc_infra, arc_flow
+    else:
+        changed = changed_pairs(before, base, inputs).checkpoint()
+        parts = (_of_pairs(edges, changed, "from", "to"), _of_pairs(arc_infra, changed),
+                 None if arc_flow is None else _of_pairs(arc_flow, changed))
+    # at most ``buckets`` numbers
+    touched = sorted(r[0] for r in changed.select(_bucket(buckets)).distinct().collect())
     if touched:
-        rows = edge_facts(_of_pairs(edges, changed, "from", "to"), _of_pairs(arc_infra, changed),
-                          None if arc_flow is None else _of_pairs(arc_flow, changed), n_goods)
-        rows = rows.withColumn("bucket", _bucket(buckets))
+        rows = edge_facts(*parts, n_goods).withColumn("bucket", _bucket(buckets))
         if before is not None:
             kept = before.filter(F.col("bucket").isin(touched)).join(changed.select(*PAIR), list(PAIR), "left_anti")
             rows = rows.unionByName(kept)

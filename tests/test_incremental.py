@@ -136,3 +136,15 @@ def test_only_complete_uploads_are_published(spark):
         assert rows_of(I.read_edges_version(spark, sink, version).drop("version")) == full(spark, edges, infra, flow)
     known = I.versions(spark, sink).select("version", "upload").distinct().collect()
     assert sorted(map(tuple, known)) == [(1, "a"), (2, "c")]
+
+
+def test_pairs_of_a_first_version_are_not_compared(spark):
+    """All pairs of a first version are new, so nothing is hashed; two versions are compared without decimals."""
+    pairs = spark.createDataFrame([(1, 2, 5.0), (1, 2, 5.0), (1, 3, 5.0), (2, 3, -1.0)], "pair_lo long, pair_hi long, x double")
+    first = I.changed_pairs(None, pairs, ["x"])
+    assert "xxhash64" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, first.collect())) == [(1, 2), (1, 3), (2, 3)]
+    later = spark.createDataFrame([(1, 2, 5.0), (1, 3, 5.0), (2, 3, -1.5), (4, 5, None)], pairs.schema)
+    both = I.changed_pairs(pairs, later, ["x"])
+    assert "decimal" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, both.collect())) == [(1, 2), (2, 3), (4, 5)]
