@@ -17,7 +17,8 @@ for each word whatever bucket they come from; two near texts always share one, s
 passage and nothing else come apart. What is still large gets ``GROWTH`` times as many centres each turn
 until one class is left or all have been compared. So two near texts that agree on any sketch always end
 in one class, and no bucket is cut off. Two texts that have some of their ``HEAD`` rarest words in common
-are paired in the bucket of the rarest common one and nowhere else. A pair is formed only if the parities of its word counts by hash bin differ in at most two bins for each edit allowed, and
+are paired in the bucket of the rarest common one and nowhere else; others that share large buckets, in the first
+of these (texts with a common passage share many). A pair is formed only if the parities of its word counts by hash bin differ in at most two bins for each edit allowed, and
 aligned only if the counts by bin can be made good by these edits; neither is ever false for near texts.
 
 For k-mer sets with a Jaccard similarity J a sketch agrees with a chance of about J^2. Scattered edits
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import fresh, stored, words
+from arcweave.llm.common import fresh, keyed, stored, words
 from arcweave.llm.components import components, extend
 from arcweave.llm.wordhash import U64, Words, chunks, digests, mix, signed, split_words, splitmix, text_buffer
 
@@ -57,7 +58,7 @@ ORDERS = 2
 SHORT = 30  # words up to which a text also meets others by its rarest words
 PARITY = 4  # longs of parities of word counts
 SMALL = 32  # members up to which a bucket is compared in full
-GROWTH = 8  # by which the centres of a larger bucket grow each turn
+GROWTH = 32  # by which the centres of a larger bucket grow each turn
 HEAD = 8  # rarest words of a text that tell where it is paired
 BINS = 128
 BAND = 512  # width that a first alignment has at least, as far as the limit allows
@@ -309,9 +310,14 @@ def _parity_distance() -> Column:
 
 
 def _paired_here() -> Column:
-    """Whether this is the bucket of the rarest word that both heads have, if they have one in common."""
-    common = F.array_intersect("head", "hx")
-    return F.coalesce(F.get(common, F.lit(0)) == F.col("bucket"), F.lit(True))
+    """Whether two members are paired in this bucket and not in another that they share.
+
+    It is that of the rarest word that both heads have; if they have none in common, the first of the large buckets
+    that they share, and any small one.
+    """
+    first = lambda x, y: F.get(F.array_intersect(x, y), F.lit(0)) == F.col("bucket")
+    return (F.when(F.arrays_overlap("head", "hx"), first("head", "hx"))
+            .when(F.col("n") > SMALL, F.coalesce(first("large", "gx"), F.lit(True))).otherwise(F.lit(True)))
 
 
 def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -321,11 +327,14 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
     near, directly or through others. ``label`` (node, label) names the class of each linked text.
     """
     todo = stored(_buckets(unique), "buckets")
-    facts = unique.select("rep", "n_words", "parity", F.lit(None).cast("array<long>").alias("head"))
+    none = F.lit(None).cast("array<long>")
+    facts = unique.select("rep", "n_words", "parity", none.alias("head"))
+    shared = None  # (rep, large): the large buckets of a text from the second turn on, in one order of all buckets
     texts, label, verdicts, turn = None, None, [], 0
     while True:
         # counting members and bringing them together share one shuffle of two or three numbers a member
-        dealt = todo.repartition("bucket")
+        # (the filter drops no row; it gives both sides the same plan)
+        dealt = todo.filter("bucket is not null and rep is not null").repartition("bucket")
         dealt = dealt if label is not None else dealt.withColumn("label", F.col("rep"))
         # one of a few orders of all texts in a turn, so that a class has few different centres
         rank = F.xxhash64("rep", F.pmod("bucket", F.lit(ORDERS)), F.lit(turn))
@@ -341,15 +350,25 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
                      .join(facts, "rep"), "met")
         if met.isEmpty():
             break
+        if turn and shared is None:
+            # later turns keep these, as a pair that is not formed in a bucket is left to an earlier one
+            shared = stored(met.filter(F.col("n") > SMALL).groupBy("rep").agg(
+                F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("o"))
+                .select("rep", F.transform("o", lambda o: o["bucket"]).alias("large")), "shared")
+        member = met.withColumn("large", none)
+        if turn:
+            member = member.filter(F.col("n") <= SMALL).unionByName(
+                met.filter(F.col("n") > SMALL).join(shared, "rep", "left"))
         if texts is None:  # later turns only have texts of the first
             need = unique.join(met.select("rep").distinct(), "rep").select("rep", "id", "h")
-            texts = stored(docs.join(need, ["id", "h"]).groupBy("rep").agg(F.first("text").alias("text"))
-                           .withColumn("bag", F.arrow_udf(_bags, "binary")("text")), "texts")
-        x = met.filter("centre").select(F.col("bucket").alias("at"), F.col("rep").alias("x"), F.col("n_words").alias("nx"),
-                                        F.col("label").alias("lx"), F.col("parity").alias("px"), F.col("head").alias("hx"))
+            texts = keyed(docs.join(need, ["id", "h"]).groupBy("rep").agg(F.first("text").alias("text"))
+                          .withColumn("bag", F.arrow_udf(_bags, "binary")("text")), "texts", "rep")
+        x = member.filter("centre").select(F.col("bucket").alias("at"), F.col("rep").alias("x"), F.col("n_words").alias("nx"),
+                                           F.col("label").alias("lx"), F.col("parity").alias("px"), F.col("head").alias("hx"),
+                                           F.col("large").alias("gx"))
         longer, shorter = F.greatest("n_words", "nx"), F.least("n_words", "nx")
         limit = F.floor(longer * EDIT_PERCENT / 100).cast("long")
-        new = (met.join(x, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("lx")) & (longer - shorter <= limit)
+        new = (member.join(x, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("lx")) & (longer - shorter <= limit)
                         & (~F.col("centre") | (F.col("rep") > F.col("x"))) & (_parity_distance() <= 2 * limit)
                         & _paired_here())
                .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"), limit.alias("limit")).distinct())
@@ -377,8 +396,8 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
             facts = facts.drop("head").join(rare.select("rep", F.slice("rare", 1, HEAD).alias("head")), "rep", "left")
         turn += 1
     if not verdicts:
-        none = met.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-        return none, none.withColumnsRenamed({"a": "node", "b": "label"})
+        empty = met.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        return empty, empty.withColumnsRenamed({"a": "node", "b": "label"})
     return reduce(DataFrame.union, verdicts).filter("ok").select("a", "b"), label
 
 

@@ -6,8 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from arcweave.llm.common import keyed
 from arcweave.llm.line_dedup import without_repeats
-from arcweave.llm.near_dup import _parities, band_distance, edit_distance_within, near_duplicates, one_per_class
+from arcweave.llm.near_dup import (SMALL, _paired_here, _parities, band_distance, edit_distance_within, near_duplicates,
+                                   one_per_class)
 from arcweave.llm.wordhash import split_words, text_buffer
 
 
@@ -233,3 +235,46 @@ def test_further_columns_keep_their_values(spark):
         for r in out.collect():
             assert (r["__d"], r["kept_key"], r["KEPT_HASH"], r["kept_rows"], r["changed_text"], r["__text"]) == (
                 "d", "k", "h", 1, r.doc_id, 2)
+
+
+def test_two_texts_are_paired_in_one_of_the_large_buckets_they_share(spark):
+    def pairs(n, head, hx, large, gx):
+        rows = spark.createDataFrame([(b, n, head, hx, large, gx) for b in (11, 12, 13, 14)],
+                                     "bucket long, n long, head array<long>, hx array<long>, large array<long>, gx array<long>")
+        return [r.bucket for r in rows.filter(_paired_here()).collect()]
+
+    many = SMALL + 1
+    assert pairs(many, [1, 2], [3, 4], [10, 12, 11, 13, 14], [9, 12, 11, 13, 14]) == [12]
+    assert pairs(many, [1, 13], [3, 13], [12, 11, 13, 14], [12, 11, 13, 14]) == [13]
+    assert pairs(SMALL, [1, 2], [3, 4], None, None) == [11, 12, 13, 14]
+    assert pairs(many, None, None, None, None) == [11, 12, 13, 14]
+
+
+def test_texts_that_share_a_passage_come_apart_and_near_ones_among_them_are_found(spark):
+    rng = random.Random(18)
+    passage = [f"p{i}" for i in range(160)]
+    rows = []
+    for i in range(90):  # own words beyond a fifth, fewer rare ones: texts meet by many words of the passage
+        own = [f"o{i}x{j}" for j in range(14)] + rng.choices(["of", "the", "and"], k=31)
+        rows += [" ".join(passage + own)]
+    rows += [r.replace("o3x1 ", "new ") for r in rows[3:4]] + ["of the and " * 15 for _ in range(300)]
+    out = {r.doc_id: r.class_id for r in near_duplicates(documents(spark, rows)).collect()}
+    near = [(i, j) for i in range(91) for j in range(i) if levenshtein(rows[i].split(), rows[j].split())
+            <= max(len(rows[i].split()), len(rows[j].split())) // 5]
+    assert out[90] == out[3] and all(out[i] == out[j] for i, j in near)
+
+
+def test_rows_stored_by_a_key_are_joined_without_a_shuffle(spark):
+    rows = keyed(spark.range(1000).selectExpr("id as rep", "'x' as text").groupBy("rep").agg(F.first("text").alias("text")),
+                 "by-key", "rep")
+    pairs = spark.range(50).selectExpr("id as a", "id + 1 as b")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = pairs.join(rows.withColumnRenamed("rep", "a"), "a")
+        assert df._jdf.queryExecution().sparkPlan().toString() and df.count() == 50
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[0].count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert rows.count() == 1000
