@@ -18,7 +18,8 @@ passage and nothing else come apart. What is still large gets ``GROWTH`` times a
 until one class is left or all have been compared. So two near texts that agree on any sketch always end
 in one class, and no bucket is cut off. Two texts that have some of their ``HEAD`` rarest words in common
 are paired in the bucket of the rarest common one and nowhere else; others that share large buckets, in the first
-of these (texts with a common passage share many). A pair is formed only if the parities of its word counts by hash bin differ in at most two bins for each edit allowed, and
+of these (texts with a common passage share many). There a word counts only if it comes so early in both lists that
+enough words are left for the common ones. A pair is formed only if the parities of its word counts by hash bin differ in at most two bins for each edit allowed, and
 aligned only if the counts by bin can be made good by these edits; neither is ever false for near texts.
 
 For k-mer sets with a Jaccard similarity J a sketch agrees with a chance of about J^2. Scattered edits
@@ -309,11 +310,19 @@ def _parity_distance() -> Column:
     return reduce(lambda x, y: x + y, bits)
 
 
+def _can_be_rarest(place: str, n_words: str, common: Column) -> Column:
+    """Whether a word at this place of a text's words, rarest first, can be the rarest of ``common`` or more common words.
+
+    The words before it are not common then. A bucket that is not one of a word has no place.
+    """
+    return F.coalesce(F.col(place) <= F.col(n_words) - common, F.lit(True))
+
+
 def _paired_here() -> Column:
     """Whether two members are paired in this bucket and not in another that they share.
 
     It is that of the rarest word that both heads have; if they have none in common, the first of the large buckets
-    that they share, and any small one.
+    that they share (of the rarest word), and any small one.
     """
     first = lambda x, y: F.get(F.array_intersect(x, y), F.lit(0)) == F.col("bucket")
     return (F.when(F.arrays_overlap("head", "hx"), first("head", "hx"))
@@ -326,10 +335,10 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
     Links (a, b), a < b, are verified; with others they join all texts into one class that agree on a bucket and are
     near, directly or through others. ``label`` (node, label) names the class of each linked text.
     """
-    todo = stored(_buckets(unique), "buckets")
+    todo = stored(_buckets(unique), "buckets").withColumn("place", F.lit(None).cast("int"))
     none = F.lit(None).cast("array<long>")
     facts = unique.select("rep", "n_words", "parity", none.alias("head"))
-    shared = None  # (rep, large): the large buckets of a text from the second turn on, in one order of all buckets
+    shared = None  # (rep, large): the large buckets of a text from the second turn on, in the order of their words
     texts, label, verdicts, turn = None, None, [], 0
     while True:
         # counting members and bringing them together share one shuffle of two or three numbers a member
@@ -346,14 +355,14 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
         if turn:
             part = rank.cast("double") / F.lit(2.0 ** 64) + 0.5
             centre = centre | (F.col("n") <= SMALL) | (part < F.lit(float(GROWTH) ** turn - 1) / F.col("n"))
-        met = stored(dealt.join(sizes, "bucket").select("bucket", "rep", "n", "label", centre.alias("centre"))
+        met = stored(dealt.join(sizes, "bucket").select("bucket", "rep", "place", "n", "label", centre.alias("centre"))
                      .join(facts, "rep"), "met")
         if met.isEmpty():
             break
         if turn and shared is None:
             # later turns keep these, as a pair that is not formed in a bucket is left to an earlier one
             shared = stored(met.filter(F.col("n") > SMALL).groupBy("rep").agg(
-                F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("o"))
+                F.sort_array(F.collect_list(F.struct("place", "bucket"))).alias("o"))
                 .select("rep", F.transform("o", lambda o: o["bucket"]).alias("large")), "shared")
         member = met.withColumn("large", none)
         if turn:
@@ -365,11 +374,12 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
                           .withColumn("bag", F.arrow_udf(_bags, "binary")("text")), "texts", "rep")
         x = member.filter("centre").select(F.col("bucket").alias("at"), F.col("rep").alias("x"), F.col("n_words").alias("nx"),
                                            F.col("label").alias("lx"), F.col("parity").alias("px"), F.col("head").alias("hx"),
-                                           F.col("large").alias("gx"))
+                                           F.col("large").alias("gx"), F.col("place").alias("ox"))
         longer, shorter = F.greatest("n_words", "nx"), F.least("n_words", "nx")
         limit = F.floor(longer * EDIT_PERCENT / 100).cast("long")
         new = (member.join(x, (F.col("bucket") == F.col("at")) & (F.col("label") != F.col("lx")) & (longer - shorter <= limit)
                         & (~F.col("centre") | (F.col("rep") > F.col("x"))) & (_parity_distance() <= 2 * limit)
+                        & _can_be_rarest("place", "n_words", longer - limit) & _can_be_rarest("ox", "nx", longer - limit)
                         & _paired_here())
                .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"), limit.alias("limit")).distinct())
         if verdicts:
@@ -381,18 +391,18 @@ def find_links(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame
         elif not linked.isEmpty():
             label = stored(extend(label, linked, "a", "b"), "label")
         # a centre has met all others; the rest of a bucket is done when it is one class
-        rest = met.filter("not centre").select("bucket", "rep", "n").join(
-            label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        rest = met.filter("not centre").select("bucket", "rep", "place", "n").join(
+            label, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "place", "n", F.coalesce("label", "rep").alias("label"))
         several = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "label", "n"), "rest")
-        todo = rest.select("bucket", "rep", "label")
+        rest = stored(rest.join(several.select("bucket"), "bucket").select("bucket", "rep", "place", "label", "n"), "rest")
+        todo = rest.select("bucket", "rep", "place", "label")
         if turn == 0:
             # members of large buckets can be near only if they share one of their rarest words
             large = stored(rest.filter(F.col("n") > SMALL).select("rep", "label").distinct(), "large")
             rare = _rare_words(texts.join(large.select("rep"), "rep").select("rep", "text"))
             rare = stored(rare.select("rep", F.transform("rare", lambda t: F.xxhash64(t, F.lit(-2))).alias("rare")), "rare")
-            todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep", "label").union(
-                large.join(rare, "rep").select(F.explode("rare").alias("bucket"), "rep", "label")), "refined")
+            todo = stored(rest.filter(F.col("n") <= SMALL).select("bucket", "rep", "place", "label").unionByName(
+                large.join(rare, "rep").select(F.posexplode("rare").alias("place", "bucket"), "rep", "label")), "refined")
             facts = facts.drop("head").join(rare.select("rep", F.slice("rare", 1, HEAD).alias("head")), "rep", "left")
         turn += 1
     if not verdicts:

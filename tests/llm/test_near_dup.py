@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.common import keyed
 from arcweave.llm.line_dedup import without_repeats
-from arcweave.llm.near_dup import (SMALL, _paired_here, _parities, band_distance, edit_distance_within, near_duplicates,
-                                   one_per_class)
+from arcweave.llm.near_dup import (SMALL, _can_be_rarest, _paired_here, _parities, band_distance, edit_distance_within,
+                                   near_duplicates, one_per_class)
 from arcweave.llm.wordhash import split_words, text_buffer
 
 
@@ -278,3 +278,9 @@ def test_rows_stored_by_a_key_are_joined_without_a_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert rows.count() == 1000
+
+
+def test_a_place_excludes_a_word_only_if_too_few_words_are_left(spark):
+    df = spark.createDataFrame([(20, 100), (21, 100), (0, 79), (None, 1)], "place int, n_words long")
+    got = df.select(_can_be_rarest("place", "n_words", F.lit(80)).alias("x")).collect()
+    assert [r.x for r in got] == [True, False, False, True]
