@@ -12,7 +12,8 @@ from arcweave.functions import (production, round_sig, transform_value, transpor
                                 utility)
 from arcweave.operators import aggregates as A
 from arcweave.operators import validate as V
-from arcweave.operators.arcs import effective_bounds, effective_housing, productivity_long
+from arcweave.operators.arcs import PAIR, effective_bounds, effective_housing, productivity_long
+from arcweave.operators.joins import join_by_pair
 from arcweave.plans import model as M
 from arcweave.plans.etl import build_network_from_raw, build_validated_network, derive_edge_attributes
 from arcweave.plans.publish import scaled_features
@@ -196,11 +197,11 @@ def c21_utility(spark, sf_dir):
           UNION ALL SELECT "to", "from", delta_tau FROM tedges) a
       ON a.src = f.src AND a.dst = f.dst""", ("tau",))
 def c22_transport_cost(spark, sf_dir):
-    net = X.trade_network(spark, sf_dir)
-    alloc = X.trade_allocations(spark, sf_dir, net)
-    q = alloc.arc_flow.groupBy("run_id", "src", "dst").agg(F.sum("q").alias("q"))
-    arcs = M.model_tables(net).arcs.select("src", "dst", "delta_tau")
-    j = q.join(alloc.arc_infra, ["run_id", "src", "dst"]).join(arcs, ["src", "dst"])
+    net = X.trade_network(spark, sf_dir, paired=True)
+    alloc = X.trade_allocations(spark, sf_dir, net, paired=True)
+    q = alloc.arc_flow.groupBy("run_id", "src", "dst", *PAIR).agg(F.sum("q").alias("q"))
+    arcs = M.model_tables(net).arcs.select("src", "dst", "delta_tau", *PAIR)
+    j = join_by_pair(join_by_pair(q, alloc.arc_infra, ["run_id", "src", "dst"]), arcs, ["src", "dst"])
     p = X.TRADE_PARAMS
     return j.select("run_id", "src", "dst",
                     transport_cost("delta_tau", "q", "ijk", p["beta"], p["gamma"]).alias("tau"))

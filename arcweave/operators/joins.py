@@ -7,6 +7,9 @@ sort-merge join, where AQE splits a hub node (a skewed key) across tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,26 @@ from arcweave.functions import LINE_TYPE, parse_linestring, plainly_line, straig
 from arcweave.operators.arcs import PAIR
 
 
+def stores_pair(*tables: DataFrame) -> bool:
+    """Whether all tables carry the canonical pair as columns."""
+    return all(c in t.columns for t in tables for c in PAIR)
+
+
+def join_by_pair(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)``, inner or left, for keys ``on`` that determine the pair.
+
+    Where both tables store their pair, the pair is the only join key and ``on`` is compared as bounds in the
+    condition, so that tables in buckets by pair are not shuffled: as keys, ``on`` would be dealt anew. A row meets
+    the rows of its own pair, a few a run and good.
+    """
+    if not stores_pair(left, right):
+        return left.join(right.drop(*PAIR), on, how)
+    there = right.withColumnsRenamed({c: f"_{c}" for c in (*on, *PAIR)})
+    same = [F.col(c) == F.col(f"_{c}") for c in PAIR]
+    within = [F.col(c).between(F.col(f"_{c}"), F.col(f"_{c}")) for c in on]
+    return left.join(there, reduce(and_, [*same, *within]), how).drop(*[f"_{c}" for c in (*on, *PAIR)])
+
+
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Attach ``lon_from, lat_from, lon_to, lat_to`` (null when the node is absent)."""
     a = nodes.select(F.col("node").alias("from"), F.col("lon").alias("lon_from"),
@@ -57,8 +80,7 @@ def resolve_geometry(edges: DataFrame, nodes: DataFrame | None,
               else F.lit(None).cast(LINE_TYPE))
     out = edges.withColumn("line", parsed)
     if nodes is not None:
-        stored = all(c in edges.columns for c in PAIR)
-        ends = _with_needed_endpoints(out, nodes, geometry_col) if stored else with_endpoints(out, nodes)
+        ends = _with_needed_endpoints(out, nodes, geometry_col) if stores_pair(edges) else with_endpoints(out, nodes)
         line = F.coalesce(F.col("line"), straight_line("lon_from", "lat_from", "lon_to", "lat_to"))
         out = ends.withColumn("line", line).drop("lon_from", "lat_from", "lon_to", "lat_to")
     return out if undrawn else out.filter(F.col("line").isNotNull())

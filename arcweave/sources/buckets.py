@@ -10,18 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.operators.arcs import PAIR, pair_columns
+from arcweave.operators.arcs import PAIR, pair_columns, pair_hi, pair_lo
+
+COMPRESSION = "zstd"  # ids and numbers of a pair's rows take about two thirds of the bytes of Spark's default
 
 
 def deal_by_pair(df: DataFrame, buckets: int, a: str = "src", b: str = "dst") -> DataFrame:
-    """``df`` with its pair as last columns, each bucket in a partition of its own."""
+    """``df`` with its pair as last columns, each bucket in a partition of its own; a pair not stored is not shuffled."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in PAIR]
-    return df.select(*rest, *pair_columns(df, a, b)).repartition(buckets, *PAIR)
+    stored = all(c in df.columns for c in PAIR)
+    dealt = df.repartition(buckets, *(PAIR if stored else (pair_lo(a, b), pair_hi(a, b))))
+    return dealt.select(*rest, *pair_columns(df, a, b))
 
 
 def write_dealt(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Store rows that ``deal_by_pair`` dealt, or that were derived from a table stored so, where they are: no shuffle."""
-    (df.write.mode("overwrite").bucketBy(buckets, *PAIR).sortBy(*PAIR).option("path", path).saveAsTable(table))
+    (df.write.mode("overwrite").bucketBy(buckets, *PAIR).sortBy(*PAIR).option("path", path)
+     .option("compression", COMPRESSION).saveAsTable(table))
     return df.sparkSession.table(table)
 
 

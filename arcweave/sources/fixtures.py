@@ -121,16 +121,31 @@ def build_trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("nationkey").cast("int").alias("nationkey")))
 
 
-def trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shipped lines with their supplier and customer node ids (lineitem ⋈ orders)."""
-    lineitem = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+LINE_COLUMNS = ("l_partkey", "l_quantity", "l_returnflag", "l_shipdate")
+
+
+def trade_lines(spark: SparkSession, sf_dir: str, columns: tuple = LINE_COLUMNS) -> DataFrame:
+    """Shipped lines with their supplier and customer node ids (lineitem ⋈ orders).
+
+    ``columns`` are names or expressions of lineitem, worked out before the join, so that only they are shuffled.
+    """
+    lineitem = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", *columns)
+    kept = lineitem.columns[2:]
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
             .crossJoin(F.broadcast(supplier_count(spark, sf_dir)))
             .select((F.col("l_suppkey") + 1).cast("long").alias("supp_node"),
                     (F.col("n_sup") + F.col("o_custkey") + 1).cast("long").alias("cust_node"),
-                    "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"))
+                    *kept))
+
+
+def trade_fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped lines with what ``trade_line_facts`` groups by: a few small values instead of keys, texts and dates."""
+    return trade_lines(spark, sf_dir, (
+        (F.col("l_returnflag") == "R").alias("returned"),
+        (F.col("l_partkey") % N_GOODS_FROM_PARTS + 1).cast("int").alias("good"),
+        (F.col("l_shipdate") < F.lit(BASELINE_CUTOFF).cast("timestamp")).alias("early"),
+        "l_quantity"))
 
 
 def edge_geometry_text(f, t) -> "F.Column":
@@ -157,12 +172,7 @@ def trade_line_facts(lines: DataFrame) -> DataFrame:
     """Shipped quantity per (supplier, customer, returned, good, shipped before the
     cutoff): the single aggregation of the line-level join that both the edges and
     the flows are derived from (partial aggregation before the shuffle)."""
-    return lines.groupBy(
-        "supp_node", "cust_node",
-        (F.col("l_returnflag") == "R").alias("returned"),
-        (F.col("l_partkey") % N_GOODS_FROM_PARTS + 1).cast("int").alias("good"),
-        (F.col("l_shipdate") < F.lit(BASELINE_CUTOFF).cast("timestamp")).alias("early"),
-    ).agg(F.sum("l_quantity").alias("q"))
+    return lines.groupBy("supp_node", "cust_node", "returned", "good", "early").agg(F.sum("l_quantity").alias("q"))
 
 
 def numbered_pairs(facts: DataFrame) -> DataFrame:
@@ -221,13 +231,13 @@ def flow_from_facts(facts: DataFrame) -> DataFrame:
 
 
 def build_trade_edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    lines = trade_lines(spark, sf_dir) if lines is None else lines
+    lines = trade_fact_lines(spark, sf_dir) if lines is None else lines
     return edges_from_facts(trade_line_facts(lines))
 
 
 def build_trade_arc_flow(spark: SparkSession, sf_dir: str,
                          lines: DataFrame | None = None) -> DataFrame:
-    lines = trade_lines(spark, sf_dir) if lines is None else lines
+    lines = trade_fact_lines(spark, sf_dir) if lines is None else lines
     return flow_from_facts(trade_line_facts(lines))
 
 
@@ -301,7 +311,7 @@ def fixture_store(spark: SparkSession, sf_dir: str) -> str:
 
     # One pass over lineitem ⋈ orders: the aggregated facts (at most 20 a pair) are dealt by pair once, and all
     # tables by pair are derived from them where they lie; only the numbering of the edges shuffles again, four longs a row.
-    facts = store(deal_by_pair(trade_line_facts(trade_lines(spark, sf_dir)), buckets, "supp_node", "cust_node"),
+    facts = store(deal_by_pair(trade_line_facts(trade_fact_lines(spark, sf_dir)), buckets, "supp_node", "cust_node"),
                   "line_facts")
     edges = store(edge_columns(deal_by_pair(numbered_pairs(facts), buckets, "from", "to")), "edges")
     flow = store(flow_from_facts(facts), "arc_flow")
