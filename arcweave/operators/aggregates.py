@@ -275,14 +275,18 @@ def bounding_box(nodes: DataFrame | None, edges: DataFrame | None = None,
                  line_col: str = "line", pad: float = PAD_FRACTION) -> DataFrame:
     """One row ``min_lon, min_lat, max_lon, max_lat`` padded by ``pad`` of the span per side.
 
-    Uses node coordinates; with no nodes, the vertices of the edge lines.
+    Uses node coordinates; with no nodes, the vertices of the edge lines. Lines are not exploded and null lines
+    not filtered: Spark pushes what both ask of a line below its column, where the text would be parsed anew each time.
     """
     if nodes is not None:
-        pts = nodes.select(F.col("lon"), F.col("lat"))
+        b = nodes.agg(F.min("lon").alias("a"), F.min("lat").alias("b"),
+                      F.max("lon").alias("c"), F.max("lat").alias("d"), F.count(F.lit(1)).alias("n"))
     else:
-        pts = edges.select(F.explode(line_col).alias("p")).select("p.lon", "p.lat")
-    b = pts.agg(F.min("lon").alias("a"), F.min("lat").alias("b"),
-                F.max("lon").alias("c"), F.max("lat").alias("d"), F.count(F.lit(1)).alias("n"))
+        line = F.col(line_col)
+        n = F.when(line.isNotNull(), F.size(line)).otherwise(F.lit(0)).cast("long")
+        b = edges.agg(F.min(F.array_min(line["lon"])).alias("a"), F.min(F.array_min(line["lat"])).alias("b"),
+                      F.max(F.array_max(line["lon"])).alias("c"), F.max(F.array_max(line["lat"])).alias("d"),
+                      F.coalesce(F.sum(n), F.lit(0)).alias("n"))
     dlon = (F.col("c") - F.col("a")) * pad
     dlat = (F.col("d") - F.col("b")) * pad
     return b.select((F.col("a") - dlon).alias("min_lon"), (F.col("b") - dlat).alias("min_lat"),
