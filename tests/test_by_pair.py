@@ -1,12 +1,11 @@
 """Queries over tables in buckets by pair shuffle no fact, and the tables are built from few shuffled columns."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from arcweave.checks.catalog import all_queries
 from arcweave.operators.arcs import PAIR, with_pair
 from arcweave.operators.joins import join_by_pair
+from arcweave.sources import files as IO
 from arcweave.sources import fixtures as X
 from arcweave.sources.buckets import deal_by_pair
 
@@ -64,3 +63,22 @@ def test_transport_cost_exchanges_no_arcs(spark):
     X.fixture_store(spark, SF_SMALL)
     plan = plan_without_broadcast(spark, lambda: all_queries()["c22_transport_cost"].build(spark, SF_SMALL))
     assert plan.count("SortMergeJoin") == 2 and exchanges(plan) == []
+
+
+def test_written_results_exchange_no_facts(spark, monkeypatch):
+    X.fixture_store(spark, SF_SMALL)
+    plans = []
+    write = IO.write_results
+
+    def spy(nodes, edges, *rest):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        write(nodes, edges, *rest)
+
+    monkeypatch.setattr(IO, "write_results", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = all_queries()["a5_write_results"].build(spark, SF_SMALL).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n == X.trade_edges(spark, SF_SMALL).count()
+    assert exchanges(plans[0]) == []
