@@ -88,9 +88,12 @@ def write_results(node_df: DataFrame | None, edge_df: DataFrame | None, path: st
             w.format(fmt).save(f"{base}/{name}")
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """Newline-delimited text sink (used by the GeoJSON feature rows)."""
-    df.select(F.col("feature").alias("value")).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Newline-delimited text sink (used by the GeoJSON feature rows), compressed: each row repeats all property names.
+
+    ``spark.read.text`` and other readers of text files undo it; ``none`` writes plain files.
+    """
+    df.select(F.col("feature").alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
 def read_run_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
