@@ -71,10 +71,11 @@ def load_network(spark: SparkSession, directory: str, fmt: str = "csv",
 
 
 def write_results(node_df: DataFrame | None, edge_df: DataFrame | None, path: str,
-                  fmt: str = "csv") -> None:
+                  fmt: str = "csv", compression: str = "gzip") -> None:
     """A5: node and edge result tables, CSV with header (or Parquet), overwrite.
 
-    Written in parallel as part files; sorting by id happens only here, at the sink.
+    Written in parallel as part files; sorting by id happens only here, at the sink. CSV is compressed, which
+    ``spark.read.csv`` and other readers of CSV undo; ``none`` writes plain files.
     """
     base = path.rstrip("/")
     for name, df, key in (("nodes_results", node_df, ["node"]),
@@ -83,7 +84,7 @@ def write_results(node_df: DataFrame | None, edge_df: DataFrame | None, path: st
             continue
         w = df.sortWithinPartitions(*key).write.mode("overwrite")
         if fmt == "csv":
-            w.option("header", True).csv(f"{base}/{name}")
+            w.option("header", True).option("compression", compression).csv(f"{base}/{name}")
         else:
             w.format(fmt).save(f"{base}/{name}")
 

@@ -94,3 +94,17 @@ def test_features_are_written_compressed_and_whole(spark, tmp_path):
     assert sizes[0] * 4 < sizes[1]
     back = spark.read.text(str(tmp_path / "f"))
     assert rows(back, "value") == rows(features, "feature")
+
+
+def test_results_are_written_compressed_and_whole(spark, tmp_path):
+    nodes = X.trade_nodes(spark, SF_SMALL).select("node", "lon", "name")
+    edges = X.trade_edges(spark, SF_SMALL).select("from", "to", "delta_tau", "geometry")
+    for name, how in (("gz", ()), ("plain", ("none",))):
+        IO.write_results(nodes, edges, str(tmp_path / name), "csv", *how)
+        for table, df in (("nodes_results", nodes), ("edges_results", edges)):
+            back = spark.read.option("header", True).csv(str(tmp_path / name / table))
+            assert back.columns == df.columns
+            assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, map(tuple, df.select(
+                *[F.col(f"`{c}`").cast("string") for c in df.columns]).collect())))
+    sizes = [sum(p.stat().st_size for p in (tmp_path / d / "edges_results").glob("part-*")) for d in ("gz", "plain")]
+    assert sizes[0] * 2 < sizes[1]
