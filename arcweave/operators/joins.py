@@ -34,7 +34,8 @@ def join_by_pair(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     there = right.withColumnsRenamed({c: f"_{c}" for c in (*on, *PAIR)})
     same = [F.col(c) == F.col(f"_{c}") for c in PAIR]
     within = [F.col(c).between(F.col(f"_{c}"), F.col(f"_{c}")) for c in on]
-    return left.join(there, reduce(and_, [*same, *within]), how).drop(*[f"_{c}" for c in (*on, *PAIR)])
+    rest = [c for c in (*left.columns, *right.columns) if c not in (*on, *PAIR)]
+    return left.join(there, reduce(and_, [*same, *within]), how).select(*[F.col(f"`{c}`") for c in (*on, *rest, *PAIR)])
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -91,11 +92,11 @@ def attach_geometry(edges: DataFrame, geom: DataFrame) -> tuple[DataFrame, DataF
 
     Returns (edges with ``geometry``, findings for edges without a geometry).
     Of several texts for one key the smallest is used (a partial aggregate), so the
-    join cannot multiply edges; a warning names such an edge.
+    join cannot multiply edges; a warning names such an edge. Tables that store their pair are joined where they lie.
     """
-    one = geom.groupBy("from", "to").agg(F.min("geometry").alias("geometry"),
-                                         F.count(F.lit(1)).alias("_n"))
-    joined = edges.join(one, ["from", "to"], "left")
+    one = geom.groupBy("from", "to", *[c for c in PAIR if stores_pair(geom)]).agg(
+        F.min("geometry").alias("geometry"), F.count(F.lit(1)).alias("_n"))
+    joined = join_by_pair(edges, one, ["from", "to"], "left")
     pair = F.concat(F.col("from").cast("string"), F.lit("/"), F.col("to").cast("string"))
     findings = joined.filter(F.col("_n").isNull() | (F.col("_n") > 1)).select(
         F.when(F.col("_n").isNull(), "error").otherwise("warning").alias("severity"),

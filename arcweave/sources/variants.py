@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions import fixed_point_text, haversine_km, iceberg_cost
+from arcweave.operators.arcs import PAIR
 from arcweave.operators.windows import number_within, sequence_number
 from arcweave.sources.fixtures import (DELTA_TAU_FLOOR, NetworkTables, edge_geometry_text,
-                                       node_lat, node_lon, read_table, supplier_count,
+                                       node_lat, node_lon, read_table, stored, supplier_count,
                                        trade_edges, trade_lines, trade_nodes)
 
 
@@ -238,8 +239,8 @@ __all__ = ["bounded_variant", "bounds_variant", "domestic_network", "dup_edges",
 # ---------------------------------------------------------------- raw ETL inputs and scenarios
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Raw node, edge and geometry tables in source units, built from NET-T.
+def raw_tables(spark: SparkSession, sf_dir: str, paired: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Raw node, edge and geometry tables in source units, built from NET-T (``paired``: by pair, in its buckets).
 
     Zero population every 5th node, port outflows every 7th, zero durations
     (infinite speed) when ``(from + to) % 53 = 0``, and no geometry when
@@ -254,15 +255,16 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         (F.col("productivity") * 1e9).alias("gdp"),
         F.when(node % 7 == 0, (node * 10).cast("double")).otherwise(F.lit(0.0)).alias("outflows"),
         "product", F.col("name").alias("city_country"))
-    e = trade_edges(spark, sf_dir)
+    e = stored(spark, sf_dir, "edges", paired)
+    pair = [c for c in PAIR if paired]
     f, t = F.col("from"), F.col("to")
     metres = haversine_km(node_lon(f), node_lat(f), node_lon(t), node_lat(t)) * 1000
     minutes = metres / 1000 / F.col("Ijk") * 60
     raw_edges = e.select(
         "edge_id", "from", "to", metres.alias("distance"),
         F.when(_s() % 53 == 0, F.lit(0.0)).otherwise(minutes).alias("duration"),
-        (F.col("delta_i") * 1e5).alias("ug_cost_km"))
-    raw_geometry = e.filter(_s() % 17 != 0).select("from", "to", "geometry")
+        (F.col("delta_i") * 1e5).alias("ug_cost_km"), *pair)
+    raw_geometry = e.filter(_s() % 17 != 0).select("from", "to", "geometry", *pair)
     return raw_nodes, raw_edges, raw_geometry
 
 
