@@ -227,7 +227,8 @@ def i4_stream_rebuild(spark, sf_dir):
     net = X.trade_network(spark, sf_dir)
     alloc = X.trade_allocations(spark, sf_dir, net, paired=True)
     run = F.col("run_id") == "result"
-    publish = RB.f1_publisher(alloc.arc_infra.filter(run), alloc.arc_flow.filter(run), sink, X.N_GOODS_FROM_PARTS)
+    publish = RB.f1_publisher(alloc.arc_infra.filter(run), alloc.arc_flow.filter(run), sink, X.N_GOODS_FROM_PARTS,
+                              buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))  # those of the arcs
     first = net.edges.drop("geometry")
     s = F.col("from") + F.col("to")
     second = (first.filter(s % 31 != 0)
@@ -235,7 +236,7 @@ def i4_stream_rebuild(spark, sf_dir):
               .withColumn("Iu", F.when(s % 15 == 0, F.lit(130.0)).otherwise(F.col("Iu"))))
 
     def upload(name, edges):
-        edges.write.mode("append").parquet(f"{src}/upload={name}")
+        edges.write.mode("append").option("compression", "zstd").parquet(f"{src}/upload={name}")
 
     def announce(name):
         files = spark.read.schema(first.schema).parquet(f"{src}/upload={name}").select(
